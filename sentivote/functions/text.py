@@ -50,6 +50,11 @@ INLINE_REWRITES = [
 ]
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns whose names may hold dots, as model names do."""
+    return [F.col(f"`{n}`") for n in names]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
