@@ -29,7 +29,7 @@ def cost_units(model: str = "model", tok_in: str = "tok_in", tok_out: str = "tok
 
 
 def _rounded(millionths: Column, digits: int) -> Column:
-    scaled = millionths * F.lit(10 ** (digits - 6)).cast("decimal(4,0)")
+    scaled = millionths * F.lit(10 ** (digits - 6)).cast("decimal(10,0)")
     return F.round(scaled, 0).cast("double") / float(10**digits)
 
 

@@ -102,10 +102,21 @@ def confidence(v: Column, name: str = "confiance") -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
+def canonical_question(key: Column) -> Column:
+    """Map a short question key such as ``not_1`` to the shared vocabulary."""
+    return F.regexp_replace(F.lower(key), "^not_", "notoriete_")
+
+
+def _question_field(v: Column, name: str, question: str) -> Column:
+    short = question.replace("notoriete_", "not_")
+    found = _field(v, f"{name}.{question}")
+    return found if short == question else F.coalesce(found, _field(v, f"{name}.{short}"))
+
+
 def answers_map(v: Column, name: str = "reponses_questions", questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> Column:
     """All questions answered oui or non, missing ones non."""
     return F.map_from_arrays(
-        F.array(*[F.lit(q) for q in questions]), F.array(*[_yes(_field(v, f"{name}.{q}")) for q in questions])
+        F.array(*[F.lit(q) for q in questions]), F.array(*[_yes(_question_field(v, name, q)) for q in questions])
     )
 
 

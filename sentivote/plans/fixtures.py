@@ -182,3 +182,186 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("verdict "), F.substring(h, 1, 4)).alias("justification_juge"),
         F.lit(None).cast("string").alias("analyse_critique"),
     )
+
+
+# --- raw replies -------------------------------------------------------------------
+
+
+def _pick(selector: Column, options: list[Column]) -> Column:
+    return F.element_at(F.array(*options), (selector + 1).cast("int"))
+
+
+def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw reply per document and question, in sixteen shapes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.select("*", F.explode(F.array(*[F.lit(q) for q in vocab.QUESTION_KEYS])).alias("question_key"))
+    h = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "question_key", F.lit("raw")))
+    shapes = [
+        '{"reponse": "oui"}', '```json\n{"reponse": "Oui "}\n```', "Je pense que OUI", '{"reponse": "non"}',
+        '["oui"]', "aucune id\u00e9e", 'Voici {"reponse": "yes"} merci', '{"autre": 1}',
+        '{"reponse": true}', '{"reponse": 1}', '{"reponse": "OUI"}', '```\n{"reponse": "non"}\n```',
+        '{"reponse": null}', '{"reponse": "oui" ', '"oui"',
+    ]
+    quoted = F.concat(F.lit("{"), F.substring("text", 1, 10), F.lit("}"))
+    return asked.withColumn("_h", h).select(
+        "doc_id", "question_key", _pick(digit(F.col("_h"), 1), [*[F.lit(s) for s in shapes], quoted]).alias("raw")
+    )
+
+
+def raw_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One structured reply per document: category, confidence, two answers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    hashed = docs.withColumn("_h", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|structured"))))
+    h = F.col("_h")
+    category = _pick(digit(h, 1) % 8, [F.lit(c) for c in (
+        "ROI", "roi", "Notori\u00e9t\u00e9", "NOTORIETE", "obligation", "Description", "autre", "Notoriete")])
+    conf = _pick(digit(h, 2) % 8, [F.lit(c) for c in ("0.55", '"0.8"', "1.7", "-2", '"abc"', "null", "true", "0.25")])
+    body = F.concat(
+        F.lit('{"categorie": "'), category, F.lit('", "confiance": '), conf,
+        F.lit(', "justification": "j", "reponses_questions": {"roi_1": "'),
+        F.when(digit(h, 3) < 8, "oui").otherwise("non"),
+        F.lit('", "not_2": "YES", "obl_3": '), F.when(digit(h, 4) < 8, "true").otherwise("0"), F.lit("}}"),
+    )
+    raw = _pick(digit(h, 5) % 4, [body, F.concat(F.lit("```json\n"), body, F.lit("\n```")),
+                                  F.concat(F.lit("R\u00e9sultat : "), body, F.lit(" fin")), F.lit("pas de JSON")])
+    return hashed.select("doc_id", raw.alias("raw"))
+
+
+def chat_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded chat responses, one per conversation turn, as JSON text."""
+    turns = table(spark, sf_dir, "conversations")
+    text = F.col("text")
+    message = (
+        F.when(F.col("turn") % 4 == 0, F.struct(text.alias("content"), F.lit(None).cast("string").alias("reasoning")))
+        .when(F.col("turn") % 4 == 1, F.struct(F.lit("  ").alias("content"), text.alias("reasoning")))
+        .when(F.col("turn") % 4 == 2, F.struct(F.lit(None).cast("string").alias("content"), F.lit("").alias("reasoning")))
+        .otherwise(F.struct(text.alias("content"), F.lit("r").alias("reasoning")))
+    )
+    body = F.struct(
+        F.array(F.struct(message.alias("message"))).alias("choices"),
+        F.struct(
+            F.length(text).alias("prompt_tokens"),
+            F.when(F.col("turn") % 4 != 3, F.col("turn")).alias("completion_tokens"),
+        ).alias("usage"),
+    )
+    return turns.select("conv_id", "turn", F.to_json(body).alias("response"))
+
+
+# --- document structure --------------------------------------------------------------
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc"), (F.col("turn") + 1).cast("int").alias("page"), "text"
+    )
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn")
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc"),
+        F.floor(turn / 3 + 1).cast("int").alias("page"),
+        turn.cast("int").alias("box_no"),
+        F.array(turn / 8.0, turn * 1.0, turn * 2.0, turn + 0.5).alias("bbox"),
+        F.when(turn % 4 == 3, F.lit(" \n ")).otherwise(F.concat(F.lit("  "), "text", F.lit("\n"))).alias("text"),
+    )
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn")
+    kind = (turn + F.col("conv_id")) % 7
+    paths = ["//Document/H1", "//Document/P", "//Document/Table", "//Document/Table/TR", "//Document/Table/TR/TD",
+             "//Document/Table[2]/TR/TD/P", "//Document/P[2]"]
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc"),
+        turn.cast("int").alias("el_no"),
+        _pick(kind, [F.lit(p) for p in paths]).alias("path"),
+        F.when(kind != 3, F.substring("text", 1, 60)).alias("text"),
+        F.when(turn > 0, F.floor(turn / 4 + 1).cast("int")).alias("page"),
+        F.when(kind == 0, 20.0).when(kind == 6, 15.0).when(kind == 1, F.lit(None)).otherwise(10.0).alias("text_size"),
+    )
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as one table: a header row and one row per event."""
+    from sentivote.functions.ranking import numbered
+
+    rows = numbered(
+        table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props"), ["event_id"], "pos", ["user_id"]
+    )
+    values = F.array(
+        F.struct(F.lit(1).alias("col"), F.col("event_id").cast("string").alias("value")),
+        F.struct(F.lit(2).alias("col"), F.col("event_type").alias("value")),
+        F.struct(F.lit(3).alias("col"), F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("value")),
+    )
+    header = F.array(*[F.struct(F.lit(i).alias("col"), F.lit(n).alias("value")) for i, n in enumerate(("id", "type", "props"), 1)])
+    body = rows.select(F.col("user_id").alias("doc"), F.lit(1).alias("table_no"), (F.col("pos") + 1).cast("int").alias("row"), F.inline(values))
+    heads = rows.filter("pos = 0").select(F.col("user_id").alias("doc"), F.lit(1).alias("table_no"), F.lit(0).alias("row"), F.inline(header))
+    return heads.unionByName(body)
+
+
+def tables_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One or two extracted tables for two conversations out of three."""
+    turns = table(spark, sf_dir, "conversations").filter((F.col("conv_id") % 3 != 0) & (F.col("turn") < 2))
+    return turns.select(
+        F.col("conv_id").alias("doc"),
+        (F.col("turn") + 1).cast("int").alias("table_no"),
+        F.concat(F.lit("| "), F.substring("text", 1, 10), F.lit(" |\n|---|")).alias("markdown"),
+    )
+
+
+def docs_with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as Markdown texts with a table heading in every third turn."""
+    from sentivote.operators.docstruct import join_pages
+
+    turn = F.col("page") - 1
+    text = F.when((turn + F.col("doc")) % 3 == 0, F.concat(F.lit("### Tableau\n\n"), F.substring("text", 1, 20))).otherwise(
+        F.concat(F.lit("mot Tableau "), F.substring("text", 1, 20))
+    )
+    return join_pages(page_texts(spark, sf_dir).withColumn("text", text), separator="\n").select("doc", "text")
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OCR block graph from orders: a table per order, a cell per line item."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag")
+    )
+    child = lambda ids: F.array(F.struct(F.lit("CHILD").alias("type"), ids.alias("ids")))
+    none = F.array().cast("array<struct<type:string,ids:array<string>>>")
+    number = F.col("l_linenumber").cast("string")
+    id_of = lambda kind: F.concat(F.lit(kind), number)
+    block = lambda i, kind, text, row, col, rel: F.struct(
+        i.alias("id"), F.lit(kind).alias("block_type"), text.cast("string").alias("text"),
+        row.cast("int").alias("row_index"), col.cast("int").alias("column_index"), rel.alias("relationships"),
+    )
+    nothing = F.lit(None)
+    per_item = F.array(
+        block(id_of("c"), "CELL", nothing, number, F.lit(1) + F.col("l_partkey") % 3,
+              child(F.array(id_of("w"), id_of("v"), F.lit("gone")))),
+        block(id_of("w"), "WORD", F.col("l_partkey"), nothing, nothing, none),
+        block(id_of("v"), "WORD", F.col("l_returnflag"), nothing, nothing, none),
+        block(id_of("l"), "LINE", F.concat_ws(" ", F.col("l_partkey").cast("string"), "l_returnflag"), nothing, nothing, none),
+    )
+    rows = items.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), F.inline(per_item))
+    cell_ids = F.sort_array(F.collect_list(id_of("c")))
+    tables = items.groupBy(F.col("l_orderkey").alias("doc")).agg(cell_ids.alias("_ids")).select(
+        "doc", F.lit(0).alias("ord"), F.inline(F.array(block(F.lit("t"), "TABLE", nothing, nothing, nothing, child(F.col("_ids")))))
+    )
+    return rows.unionByName(tables)
+
+
+def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    failed = i % 13 == 0
+    number = lambda c: F.when(failed, 0).otherwise(c).cast("int")
+    return docs.select(
+        _pick(i % 4, [F.lit(t) for t in ("pypdf", "marker", "docling", "tabula")]).alias("outil"),
+        F.when(i % 8 < 4, "lattice").otherwise("stream").alias("mode"),
+        F.format_string("doc_%d.pdf", i).alias("fichier"),
+        number(F.floor(F.col("n_chars") / 1800) + 1).alias("nb_pages"),
+        number(F.col("n_chars")).alias("nb_chars"),
+        number(i % 5).alias("nb_tableaux"),
+        ((i % 97) / 10.0).alias("temps_secondes"),
+        F.when(failed, "illisible").alias("erreur"),
+    )

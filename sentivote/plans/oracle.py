@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 
 from sentivote import vocab
+from sentivote.plans import oracle_calls
 from sentivote.plans import oracle_text as X
 from sentivote.plans.fixtures import ANSWER_MODELS, ENSEMBLE_MODELS
 
@@ -143,7 +145,11 @@ def exact_percentages(statement: str) -> str:
 
 
 def sql() -> dict[str, str]:
-    parts = [text_sql(), vote_sql(), report_sql(), sensitivity_sql(), ensemble_sql(), judge_sql()]
+    here = sys.modules[__name__]
+    parts = [
+        text_sql(), vote_sql(), report_sql(), sensitivity_sql(), ensemble_sql(), judge_sql(),
+        oracle_calls.call_sql(here), oracle_calls.structure_sql(here), oracle_calls.flagship_sql(here),
+    ]
     return {name: exact_percentages(s) for part in parts for name, s in part.items()}
 
 

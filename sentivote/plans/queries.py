@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sentivote import vocab
 from sentivote.functions import text as T
 from sentivote.operators import ballots as B
-from sentivote.operators import clean, ensemble, judge, report, segment, sensitivity, vote
+from sentivote.functions import language, parse
+from sentivote.operators import calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, vote
 from sentivote.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,12 +203,173 @@ def judge_queries() -> dict[str, Query]:
     }
 
 
+def call_queries() -> dict[str, Query]:
+    def answers(strict: bool) -> Query:
+        reader = parse.yes_no_strict if strict else parse.yes_no
+        return lambda s, d: fx.raw_replies(s, d).withColumn("r", reader(F.col("raw"))).select(
+            "doc_id", "question_key", "r.answer", F.col("r.erreur").isNotNull().alias("failed")
+        )
+
+    def predictions(s: SparkSession, d: str) -> DataFrame:
+        read = fx.raw_predictions(s, d).withColumn("p", parse.prediction(F.col("raw")))
+        said = F.concat_ws(",", *[F.element_at(F.col("p.answers"), q) for q in vocab.QUESTION_KEYS])
+        return read.select(
+            "doc_id", "p.categorie", "p.confiance", "p.justification", said.alias("answers"),
+            F.col("p.erreur").isNotNull().alias("failed"),
+        )
+
+    def plan(s: SparkSession, d: str) -> DataFrame:
+        return calls.call_plan(fx.units(s, d))
+
+    def phrase_prompts(s: SparkSession, d: str) -> DataFrame:
+        asked = calls.call_plan(fx.unit_texts(s, d), models=fx.ANSWER_MODELS[:1])
+        return asked.select(*vocab.PHRASE_KEY, "question_key", F.md5(calls.phrase_prompt()).alias("prompt_md5"))
+
+    def paragraph_prompts(s: SparkSession, d: str) -> DataFrame:
+        asked = calls.call_plan(
+            segment.scored_units(segment.paragraphs(_cleaned(s, d))), ["roi_1", "obl_2"], fx.ANSWER_MODELS[:1]
+        )
+        return asked.select(
+            "source_folder", "source_file", "paragraph_index", "phrase_index", "question_key",
+            F.md5(calls.paragraph_prompt()).alias("prompt_md5"),
+        )
+
+    def external(s: SparkSession, d: str) -> DataFrame:
+        def ask():
+            def answer(batch):
+                yes = batch["phrase"].str.len() % 2 == 0
+                out = batch[[]].copy()
+                out["raw"] = yes.map({True: '{"reponse": "oui"}', False: '{"reponse": "non"}'})
+                out["tok_in"] = batch["phrase"].str.len().astype("int32")
+                out["tok_out"], out["duration_s"], out["erreur"] = 5, 0.0, None
+                return out
+
+            return answer
+
+        asked = calls.call_plan(fx.unit_texts(s, d), ["roi_1"], fx.ANSWER_MODELS[:1])
+        replied = calls.read_answers(calls.ask_external(asked, ask))
+        return replied.select(*vocab.PHRASE_KEY, "question_key", "model", "answer", "tok_in", "tok_out")
+
+    def recorded(s: SparkSession, d: str) -> DataFrame:
+        replies = fx.raw_replies(s, d).filter("doc_id % 10 <> 3").select(
+            F.col("doc_id").cast("int").alias("phrase_index"), "question_key", "raw",
+            F.lit(10).alias("tok_in"), F.lit(2).alias("tok_out"), F.lit(None).cast("string").alias("erreur"),
+        )
+        asked = calls.call_plan(fx.units(s, d), models=fx.ANSWER_MODELS[:1])
+        answered = calls.read_answers(calls.answer_from_recorded(asked, replies, ["phrase_index", "question_key"]))
+        return answered.select(
+            *vocab.PHRASE_KEY, "question_key", "answer", "tok_in", F.col("erreur").isNotNull().alias("failed")
+        )
+
+    def rules(s: SparkSession, d: str) -> DataFrame:
+        words = {"roi_1": r"(?i)tion", "notoriete_1": r"(?i)the", "obl_1": r"[0-9]"}
+        asked = calls.call_plan(fx.unit_texts(s, d), list(words), fx.ANSWER_MODELS[:1])
+        return calls.answer_by_rules(asked, words).select(*vocab.PHRASE_KEY, "question_key", "answer")
+
+    done = lambda s, d: fx.units(s, d).filter(F.col("source_file").startswith("src1")).select(*vocab.FILE_KEY)
+
+    def results(s: SparkSession, d: str) -> DataFrame:
+        labelled = vote.classify(fx.votes(s, d)).select(*vocab.PHRASE_KEY, "categorie")
+        fresh = labelled.withColumn("source_path", F.lit("b/new.json"))
+        cached = labelled.filter("phrase_index % 3 = 0").select(
+            *vocab.PHRASE_KEY, F.lit("cached").alias("categorie"), F.lit("a/old.json").alias("source_path")
+        )
+        return calls.with_cached(fresh, cached)
+
+    def language_accuracy(s: SparkSession, d: str) -> DataFrame:
+        routed = language.routed(fx.table(s, d, "documents"))
+        return routed.groupBy("lang").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == F.col("lang_detected")).alias("n_right")
+        )
+
+    return {
+        "parse_answers": answers(False),
+        "parse_answers_strict": answers(True),
+        "parse_predictions": predictions,
+        "chat_content": lambda s, d: fx.chat_responses(s, d).withColumn("r", parse.content_and_usage(F.col("response"))).select(
+            "conv_id", "turn", F.coalesce("r.raw", F.lit("")).alias("raw"), "r.tok_in", "r.tok_out",
+            F.col("r.erreur").isNotNull().alias("failed"),
+        ),
+        "call_plan": plan,
+        "call_costs": lambda s, d: calls.call_costs(fx.votes(s, d)).select(
+            *vocab.PHRASE_KEY, "model", "question_key", "cost_usd", "cost_eur"
+        ),
+        "phrase_prompts": phrase_prompts,
+        "paragraph_prompts": paragraph_prompts,
+        "external_answers": external,
+        "recorded_answers": recorded,
+        "rule_answers": rules,
+        "incremental_skip": lambda s, d: calls.pending(fx.units(s, d), done(s, d)),
+        "dedup_results": lambda s, d: calls.first_results(results(s, d), ["source_path"]),
+        "language_route": lambda s, d: language.routed(fx.table(s, d, "documents")).select(
+            "doc_id", F.coalesce("lang_detected", F.lit("-")).alias("lang_detected"), "lang_routed"
+        ),
+        "language_accuracy": language_accuracy,
+    }
+
+
+def structure_queries() -> dict[str, Query]:
+    def boxes(s: SparkSession, d: str) -> DataFrame:
+        shown = F.array_join(F.transform("blocs_detail", lambda b: F.array_join(b["bbox"].cast("array<string>"), ",")), ";")
+        return docstruct.page_boxes(fx.boxes(s, d)).select("doc", "page", "texte", "nb_blocs", "nb_chars", shown.alias("bboxes"))
+
+    def preview(s: SparkSession, d: str) -> DataFrame:
+        values = F.transform("apercu", lambda c: F.coalesce(c["value"], F.lit("")))
+        return docstruct.table_preview(fx.cells(s, d)).select(
+            "doc", "table_no", "n_rows", "n_cols", F.array_join("colonnes", ",").alias("colonnes"),
+            F.array_join(values, ",").alias("apercu"),
+        )
+
+    def paths(s: SparkSession, d: str) -> DataFrame:
+        listed = fx.table(s, d, "pages").select(
+            F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("path"), F.col("page_id").alias("seen_no")
+        )
+        return docstruct.distinct_paths(listed, "seen_no")
+
+    return {
+        "page_concat": lambda s, d: docstruct.join_pages(fx.page_texts(s, d)),
+        "page_concat_titled": lambda s, d: docstruct.join_pages(fx.page_texts(s, d), titled=True),
+        "page_boxes": boxes,
+        "structure_markdown": lambda s, d: docstruct.structure_markdown(fx.elements(s, d)),
+        "element_stats": lambda s, d: docstruct.element_stats(fx.elements(s, d)),
+        "rebuild_with_tables": lambda s, d: docstruct.rebuild_with_tables(fx.elements(s, d), fx.tables_of_docs(s, d)),
+        "splice_tables": lambda s, d: docstruct.splice_tables(fx.docs_with_headings(s, d), fx.tables_of_docs(s, d)),
+        "table_markdown": lambda s, d: docstruct.table_markdown(fx.cells(s, d)),
+        "table_preview": preview,
+        "markdown_tables": lambda s, d: docstruct.markdown_tables(fx.md_docs(s, d)),
+        "table_cells": lambda s, d: docstruct.table_cells(docstruct.markdown_tables(fx.md_docs(s, d))),
+        "block_text": lambda s, d: docstruct.block_text(fx.blocks(s, d)),
+        "block_grid": lambda s, d: docstruct.block_tables(fx.blocks(s, d)),
+        "extraction_leaderboard": lambda s, d: docstruct.extraction_leaderboard(fx.extractions(s, d)),
+        "extraction_by_mode": lambda s, d: docstruct.extraction_leaderboard(fx.extractions(s, d), ["outil", "mode"]),
+        "path_dedup": paths,
+    }
+
+
+def flagship() -> dict[str, Query]:
+    def labelled_phrases(s: SparkSession, d: str) -> DataFrame:
+        """Markdown, cleaned and cut to phrases, asked, voted and labelled."""
+        phrases = segment.phrases_flat(_cleaned(s, d))
+        keyed = phrases.select(*vocab.PHRASE_KEY, T.fingerprint(F.col("phrase")).alias("_fp"))
+        return vote.classify(fx.hashed_answers(keyed, F.col("_fp")))
+
+    return {
+        "labelled_phrases": lambda s, d: labelled_phrases(s, d).select(
+            *vocab.PHRASE_KEY, "scores_roi", "scores_notoriete", "scores_obligation", "categorie", "cost_eur_phrase"
+        ),
+        "labelled_files": lambda s, d: report.file_summary(labelled_phrases(s, d), ["source_folder"]),
+    }
+
+
 def registry() -> dict[str, Query]:
     return {
+        **flagship(),
         **text_queries(),
+        **call_queries(),
         **vote_queries(),
         **report_queries(),
         **sensitivity_queries(),
         **ensemble_queries(),
         **judge_queries(),
+        **structure_queries(),
     }
