@@ -16,6 +16,7 @@ from sentivote import vocab
 from sentivote.functions.money import cost_units, eur
 from sentivote.functions.ranking import numbered
 from sentivote.operators.vote import is_valid
+from sentivote.session import checkpointed
 
 ASKED, VALID, YES = "asked_", "valid_", "yes_"
 MAX_MODELS = 62
@@ -25,18 +26,15 @@ def mask_of(members: Sequence[str], models: Sequence[str]) -> int:
     return sum(1 << models.index(m) for m in members if m in models)
 
 
-def ballots(
-    calls: DataFrame,
-    models: Sequence[str],
-    key: Sequence[str] = tuple(vocab.PHRASE_KEY),
-    questions: Sequence[str] = tuple(vocab.QUESTION_KEYS),
-    with_cost: bool = False,
-) -> DataFrame:
-    """Fold calls to masks.  ``models`` must list every model that may occur."""
+def mask_aggregates(models: Sequence[str], questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> list[Column]:
+    """The three masks per question, as aggregates over calls.
+
+    ``models`` must list every model that may occur.
+    """
     if len(models) > MAX_MODELS:
         raise ValueError(f"at most {MAX_MODELS} models fit into a mask, got {len(models)}")
     bits = F.create_map(*[c for i, m in enumerate(models) for c in (F.lit(m), F.lit(1 << i).cast("long"))])
-    bit = F.col("_bit")
+    bit = F.element_at(bits, F.col("model"))
     masks = []
     for q in questions:
         here = F.col("question_key") == q
@@ -46,12 +44,23 @@ def ballots(
             (YES, here & is_valid() & (F.col("answer") == "oui")),
         ):
             masks.append(F.coalesce(F.bit_or(F.when(cond, bit)), F.lit(0)).cast("long").alias(prefix + q))
+    return masks
+
+
+def ballots(
+    calls: DataFrame,
+    models: Sequence[str],
+    key: Sequence[str] = tuple(vocab.PHRASE_KEY),
+    questions: Sequence[str] = tuple(vocab.QUESTION_KEYS),
+    with_cost: bool = False,
+) -> DataFrame:
+    """Fold calls to masks, on request with the cost of each model."""
     costs = []
     if with_cost:
         costs = [
             F.sum(F.when(F.col("model") == m, cost_units())).alias(f"cost_units_{i}") for i, m in enumerate(models)
         ]
-    return calls.withColumn("_bit", F.element_at(bits, F.col("model"))).groupBy(*key).agg(*masks, *costs)
+    return calls.groupBy(*key).agg(*mask_aggregates(models, questions), *costs)
 
 
 def present(questions: Sequence[str]) -> Column:
@@ -80,7 +89,9 @@ def tensor_coo(
     """Non-zero cells of the (client, phrase, model, question) tensor.
 
     Clients are numbered in name order, units inside a client by ``position``.
+    The ballots are read several times for that, so they are written first.
     """
+    ballots_df = checkpointed(ballots_df)
     placed = numbered(ballots_df, position, "phrase_pos", group=["source_folder"])
     clients = client_axis(ballots_df)
     positions = F.sequence(F.lit(0), F.lit(len(models) - 1))
@@ -114,14 +125,10 @@ def tensor_shape(ballots_df: DataFrame, models: Sequence[str],
 # --- wide reports ------------------------------------------------------------------
 
 
-def model_answer_columns(ballots_df: DataFrame, models: Sequence[str],
-                         key: Sequence[str] = tuple(vocab.PHRASE_KEY),
-                         questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> DataFrame:
+def model_answer_columns(models: Sequence[str], questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> list[Column]:
     """One column per model and question, named ``<short model>__<question>``."""
     short = lambda m: m.split("/")[-1][:20]
-    return ballots_df.select(
-        *key, *[cell(q, i).alias(f"{short(m)}__{q}") for i, m in enumerate(models) for q in questions]
-    )
+    return [cell(q, i).alias(f"{short(m)}__{q}") for i, m in enumerate(models) for q in questions]
 
 
 def compact_answers(ballots_df: DataFrame, models: Sequence[str],

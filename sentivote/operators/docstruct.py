@@ -279,39 +279,39 @@ def block_text(blocks: DataFrame, key: Sequence[str] = ("doc",)) -> DataFrame:
     return lines.groupBy(*key).agg(F.array_join(_ordered(F.col("text"), "ord"), "\n").alias("text"))
 
 
-def _children(blocks: DataFrame, parent: str, child: str, key: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Pairs of a parent block and its child blocks of one type, in child order."""
-    ids = F.flatten(
-        F.transform(F.filter("relationships", lambda r: r["type"] == "CHILD"), lambda r: r["ids"])
-    )
-    parents = blocks.filter(F.col("block_type") == parent).select(*key, *keep, F.posexplode(ids).alias("_pos", "id"))
-    of_type = blocks.filter(F.col("block_type") == child).drop(*[c for c in keep if c not in key])
-    return parents.join(of_type, [*key, "id"])
-
-
 def block_tables(blocks: DataFrame, key: Sequence[str] = ("doc",)) -> DataFrame:
-    """Table cells from the block graph: one row per grid position, holes empty."""
-    base = [*key, "id", "block_type", "text", "row_index", "column_index", "relationships"]
-    slim = blocks.select(*base)
-    tables = slim.withColumn("table_id", F.col("id"))
-    cells = _children(tables, "TABLE", "CELL", key, ["table_id"]).select(
-        *key,
-        "table_id",
-        "_pos",
-        F.col("id").alias("cell_id"),
-        F.coalesce("row_index", F.lit(1)).alias("row"),
-        F.coalesce("column_index", F.lit(1)).alias("col"),
+    """Table cells from the block graph: one row per grid position, holes empty.
+
+    Both edges, table to cell and cell to word, go through one join on the
+    block id and meet again in one grouping by cell.
+    """
+    children = F.flatten(F.transform(F.filter("relationships", lambda r: r["type"] == "CHILD"), lambda r: r["ids"]))
+    edges = blocks.filter(F.col("block_type").isin("TABLE", "CELL")).select(
+        *key, F.col("id").alias("parent"), (F.col("block_type") == "TABLE").alias("from_table"),
+        F.posexplode(children).alias("_pos", "id"),
+    )
+    ends = blocks.filter(F.col("block_type").isin("CELL", "WORD")).select(
+        *key, "id", (F.col("block_type") == "CELL").alias("from_table"), "text", "row_index", "column_index"
+    )
+    # A table's children must be cells, a cell's children words.
+    pairs = edges.join(ends, [*key, "id", "from_table"])
+    in_table = F.col("from_table")
+    spot = F.struct(
+        F.col("parent").alias("table_id"), "_pos",
+        F.coalesce("row_index", F.lit(1)).alias("row"), F.coalesce("column_index", F.lit(1)).alias("col"),
     )
-    words = _children(slim.withColumn("cell_id", F.col("id")), "CELL", "WORD", key, ["cell_id"])
-    texts = words.groupBy(*key, "cell_id").agg(
-        strip(F.array_join(_ordered(F.coalesce("text", F.lit("")), "_pos"), " ")).alias("value")
+    word = F.struct("_pos", F.coalesce("text", F.lit("")).alias("word"))
+    by_cell = pairs.groupBy(*key, F.when(in_table, F.col("id")).otherwise(F.col("parent")).alias("cell_id")).agg(
+        F.collect_list(F.when(in_table, spot)).alias("spots"),
+        F.sort_array(F.collect_list(F.when(~in_table, word))).alias("words"),
     )
-    filled = cells.join(texts, [*key, "cell_id"], "left")
+    said = strip(F.array_join(F.transform("words", lambda w: w["word"]), " "))
+    filled = by_cell.select(*key, said.alias("value"), F.inline("spots"))
     at = [*key, "table_id", "row", "col"]
     # Of two cells at one position the later one counts.
-    placed = filled.groupBy(*at).agg(F.max_by(F.coalesce("value", F.lit("")), "_pos").alias("value"))
+    placed = filled.groupBy(*at).agg(F.max_by("value", "_pos").alias("value"))
     grid = (
-        placed.groupBy(*key, "table_id")
+        filled.groupBy(*key, "table_id")
         .agg(F.max("row").alias("_rows"), F.max("col").alias("_cols"))
         .select(*key, "table_id", "_cols", F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("row"))
         .select(*key, "table_id", "row", F.explode(F.sequence(F.lit(1), F.col("_cols"))).alias("col"))

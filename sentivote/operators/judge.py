@@ -11,6 +11,7 @@ from sentivote import vocab
 from sentivote.functions.numbers import percent
 from sentivote.functions.ranking import numbered
 from sentivote.functions.text import WS, strip
+from sentivote.session import checkpointed
 
 NO_TRUTH = "N/A"
 
@@ -106,7 +107,7 @@ def consistency_rate(checked: DataFrame) -> DataFrame:
 
 def judge_detail(judged: DataFrame, key: Sequence[str] = tuple(vocab.SEGMENT_KEY)) -> DataFrame:
     """Detail table with a corpus-wide row number and match marks."""
-    rows = numbered(judged, list(key), "_pos")
+    rows = numbered(checkpointed(judged), list(key), "_pos")
     mark = lambda c: F.col(c) == F.col("categorie_gt")
     return rows.select(
         (F.col("_pos") + 1).alias("numero"),

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from sentivote import vocab
 from sentivote.functions.money import cost_units, eur, usd
-from sentivote.operators.ballots import ballots, model_answer_columns
-from sentivote.functions.numbers import exact_mean, exact_sum, percent
-from sentivote.operators.vote import agreement_pct, is_valid, majority
+from sentivote.operators.ballots import mask_aggregates, model_answer_columns
+from sentivote.functions.numbers import exact_mean, exact_sum, percent, ratio, ticks
+from sentivote.operators.vote import agreement_pct, classify, is_valid, majority
 
 QUESTIONS = tuple(vocab.QUESTION_KEYS)
 KEY = tuple(vocab.PHRASE_KEY)
@@ -31,24 +31,28 @@ def score_strings(questions: Sequence[str] = QUESTIONS) -> list[Column]:
     return out
 
 
-def phrase_rows(classified: DataFrame, key: Sequence[str] = KEY, questions: Sequence[str] = QUESTIONS) -> DataFrame:
-    """One row per unit: label, score strings, cost, time, agreement, answers."""
-    return classified.select(
-        *key,
-        "categorie",
+def phrase_columns(key: Sequence[str] = KEY, questions: Sequence[str] = QUESTIONS) -> list[Column]:
+    return [
+        *[F.col(k) for k in key],
+        F.col("categorie"),
         *score_strings(questions),
-        "cost_eur_phrase",
-        "duration_s_phrase",
+        F.col("cost_eur_phrase"),
+        F.col("duration_s_phrase"),
         *[agreement_pct(q).alias(f"ACCORD_{q}") for q in questions],
         *[majority(q).alias(f"AGG_{q}") for q in questions],
-    )
+    ]
+
+
+def phrase_rows(classified: DataFrame, key: Sequence[str] = KEY, questions: Sequence[str] = QUESTIONS) -> DataFrame:
+    """One row per unit: label, score strings, cost, time, agreement, answers."""
+    return classified.select(*phrase_columns(key, questions))
 
 
-def wide_phrases(calls: DataFrame, classified: DataFrame, models: Sequence[str], key: Sequence[str] = KEY,
+def wide_phrases(calls: DataFrame, models: Sequence[str], key: Sequence[str] = KEY,
                  questions: Sequence[str] = QUESTIONS) -> DataFrame:
-    """``phrase_rows`` plus one column per model and question."""
-    per_model = model_answer_columns(ballots(calls, models, key, questions), models, key, questions)
-    return phrase_rows(classified, key, questions).join(per_model, list(key))
+    """``phrase_rows`` plus one column per model and question, from one pass."""
+    folded = classify(calls, key, questions, also=mask_aggregates(models, questions))
+    return folded.select(*phrase_columns(key, questions), *model_answer_columns(models, questions))
 
 
 def flat_listing(classified: DataFrame, texts: DataFrame, key: Sequence[str] = KEY,
@@ -77,18 +81,18 @@ def file_summary(classified: DataFrame, file_key: Sequence[str] = FILE, question
     aggs = [F.count(F.lit(1)).alias("total_phrases")]
     aggs += [F.count_if(F.col("categorie") == c).alias(c) for c in vocab.CATEGORIES]
     aggs += [
-        exact_sum(F.col("cost_eur_phrase"), 7).cast("double").alias("cout_total_eur"),
+        exact_sum(F.col("cost_eur_phrase"), 7).alias("cout_total_eur"),
         exact_mean(F.col("cost_eur_phrase"), 7).alias("cout_moyen_eur"),
-        exact_sum(F.col("duration_s_phrase"), 2).cast("double").alias("duree_totale_s"),
+        exact_sum(F.col("duration_s_phrase"), 2).alias("duree_totale_s"),
         exact_mean(F.col("duration_s_phrase"), 2).alias("duree_moyenne_s"),
     ]
     for category in PREFIX:
         qs = _of(category, questions)
         if not qs:
             continue
-        every = agreement_pct(qs[0]).cast("decimal(18,1)")
+        every = agreement_pct(qs[0])
         for q in qs[1:]:
-            every = every + agreement_pct(q).cast("decimal(18,1)")
+            every = every + agreement_pct(q)
         aggs.append(exact_mean(agreement_pct(qs[0]), 1).alias(f"accord_q1_{category}"))
         aggs.append((exact_mean(every, 1) / len(qs)).alias(f"accord_moyen_{category}"))
     return classified.groupBy(*file_key).agg(*aggs)
@@ -152,7 +156,7 @@ def global_stats(classified: DataFrame, models: Sequence[str], questions: Sequen
     counted = classified.agg(
         F.count(F.lit(1)).alias("total_phrases"),
         F.coalesce(F.sum("cost_units"), F.lit(0)).alias("u"),
-        F.coalesce(exact_sum(F.col("duration_s_phrase"), 2), F.lit(0)).alias("s"),
+        F.coalesce(F.sum(ticks(F.col("duration_s_phrase"), 2)), F.lit(0)).alias("s"),
         *[F.count_if(F.col("categorie") == c).alias(f"total_{c}") for c in vocab.CATEGORIES],
     )
     n = F.col("total_phrases")
@@ -161,7 +165,7 @@ def global_stats(classified: DataFrame, models: Sequence[str], questions: Sequen
         usd(F.col("u"), 6).alias("cout_total_usd"),
         eur(F.col("u"), 6).alias("cout_total_eur"),
         F.when(n == 0, 0.0).otherwise(eur(F.col("u"), 7, F.greatest(n, F.lit(1)))).alias("cout_phrase_eur"),
-        F.round(F.col("s") / 60, 2).cast("double").alias("duree_min"),
+        ratio(F.col("s"), F.lit(6000), 2).alias("duree_min"),
         F.lit(vocab.USD_PER_EUR).alias("taux_eur_usd"),
         F.lit(len(models)).alias("nb_modeles"),
         F.lit(len(questions)).alias("nb_questions"),

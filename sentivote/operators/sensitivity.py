@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentivote import vocab
-from sentivote.functions.numbers import percent, rounded_mean
+from sentivote.functions.numbers import percent, ratio, rounded_mean, ticks
 from sentivote.functions.text import quoted
 from sentivote.operators.vote import is_valid
 
@@ -68,33 +68,58 @@ def _label(v: Column) -> Column:
     return F.coalesce(v["best"]["c"], F.lit("Description"))
 
 
+def _share(v: Column) -> Column:
+    whole = F.coalesce(v["whole"], F.lit(0.0))
+    return F.when(whole > 0, F.round(v["best"]["s"] / F.when(whole > 0, whole), 3)).otherwise(0.0)
+
+
 def weighted_labels(folded: DataFrame, models: Sequence[str], key: Sequence[str] = tuple(vocab.SEGMENT_KEY)) -> DataFrame:
     """Vote of all models per segment: label and confidence (share, 3 digits)."""
-    v = F.col("_v")
-    share = F.when(F.coalesce(v["whole"], F.lit(0.0)) > 0, F.round(v["best"]["s"] / F.greatest(v["whole"], F.lit(1e-300)), 3))
     return folded.withColumn("_v", weighted_vote(len(models))).select(
-        *key, _label(v).alias("label"), F.coalesce(share, F.lit(0.0)).alias("confidence")
+        *key, _label(F.col("_v")).alias("label"), _share(F.col("_v")).alias("confidence")
     )
 
 
+def _subset_votes(folded: DataFrame, n: int) -> DataFrame:
+    """Folded rows times subsets, with ``subset_id``, ``k``, ``label``, ``changed``."""
+    bit = lambda i: F.getbit(F.col("subset_id"), F.lit(n - 1 - i)) == 1
+    with_ref = folded.withColumn("_ref", _label(weighted_vote(n)))
+    exploded = with_ref.select("*", F.explode(F.sequence(F.lit(1), F.lit(2**n - 2))).alias("subset_id"))
+    voted = exploded.withColumn("label", _label(weighted_vote(n, [bit(i) for i in range(n)])))
+    return voted.withColumns(
+        {"k": F.lit(n) - F.bit_count("subset_id"), "changed": F.col("label") != F.col("_ref")}
+    ).drop("_ref")
+
+
+def with_stability(folded: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Add the stability score to the folded rows.
+
+    The subsets are grouped back by the whole folded row, which is already
+    partitioned by segment.
+    """
+    n = len(models)
+    counts = [
+        a
+        for k in range(1, n)
+        for a in (
+            F.count_if(F.col("k") == k).alias(f"_all_{k}"),
+            F.count_if((F.col("k") == k) & F.col("changed")).alias(f"_changed_{k}"),
+        )
+    ]
+    counted = _subset_votes(folded, n).groupBy(*folded.columns).agg(*counts)
+    tenths = F.lit(0)
+    for k in range(1, n):
+        tenths = tenths + ticks(percent(F.col(f"_changed_{k}"), F.col(f"_all_{k}"), 1), 1)
+    return counted.select(*folded.columns, _score(tenths, F.lit(n - 1)).alias("stability_score"))
+
+
 def leave_k_out(folded: DataFrame, models: Sequence[str], key: Sequence[str] = tuple(vocab.SEGMENT_KEY)) -> DataFrame:
     """One row per segment and proper subset of the models.
 
     ``subset_id`` has model 0 in its highest bit; within one ``k`` (models
     removed) descending ids list the subsets in combination order.
     """
-    n = len(models)
-    bit = lambda i: F.getbit(F.col("subset_id"), F.lit(n - 1 - i)) == 1
-    with_ref = folded.withColumn("_ref", _label(weighted_vote(n)))
-    exploded = with_ref.select("*", F.explode(F.sequence(F.lit(1), F.lit(2**n - 2))).alias("subset_id"))
-    voted = exploded.withColumn("label", _label(weighted_vote(n, [bit(i) for i in range(n)])))
-    return voted.select(
-        *key,
-        "subset_id",
-        (F.lit(n) - F.bit_count("subset_id")).alias("k"),
-        "label",
-        (F.col("label") != F.col("_ref")).alias("changed"),
-    )
+    return _subset_votes(folded, len(models)).select(*key, "subset_id", "k", "label", "changed")
 
 
 def kept_names(models: Sequence[str]) -> Column:
@@ -114,12 +139,17 @@ def change_rates(subsets: DataFrame, key: Sequence[str] = tuple(vocab.SEGMENT_KE
     return counted.withColumn("pct_change", percent(F.col("nb_changes"), F.col("nb_combinations"), 1))
 
 
+def _score(pct_tenths: Column, n: Column) -> Column:
+    """100 minus the mean percentage; 100 when nothing was left out."""
+    return ratio(1000 * n - pct_tenths, 10 * n, 1, default=100.0)
+
+
 def stability(rates: DataFrame, key: Sequence[str] = tuple(vocab.SEGMENT_KEY)) -> DataFrame:
     """100 minus the plain mean of the rounded percentages over k."""
     totals = rates.groupBy(*key).agg(
-        F.sum(F.col("pct_change").cast("decimal(9,1)")).alias("total"), F.count("pct_change").alias("n")
+        F.sum(ticks(F.col("pct_change"), 1)).alias("total"), F.count("pct_change").alias("n")
     )
-    return totals.select(*key, F.round(100 - F.col("total") / F.col("n"), 1).cast("double").alias("stability_score"))
+    return totals.select(*key, _score(F.col("total"), F.col("n")).alias("stability_score"))
 
 
 def stability_report(rates: DataFrame) -> DataFrame:
@@ -162,18 +192,18 @@ def labelled_dataset(
     from sentivote.operators.vote import majority
 
     names = F.array(*[F.lit(c) for c in categories])
-    per_model = []
+    details = []
     for i, m in enumerate(models):
         short = m.split("/")[-1]
-        per_model.append(F.get(names, F.col(f"raw_cat_{i}")).alias(f"pred_{short}"))
-        per_model.append(F.col(f"conf_{i}").alias(f"conf_{short}"))
-    wide = folded.select(*key, *per_model)
-    labels = weighted_labels(folded, models, key)
-    stable = stability(change_rates(leave_k_out(folded, models, key), key), key)
+        details.append(F.get(names, F.col(f"raw_cat_{i}")).alias(f"pred_{short}"))
+        details.append(F.col(f"conf_{i}").alias(f"conf_{short}"))
     answers = classified.select(
         *key, "scores_roi", "scores_notoriete", "scores_obligation", *[majority(q).alias(f"Q_{q}") for q in questions]
     )
-    joined = segments.join(labels, list(key)).join(stable, list(key)).join(wide, list(key)).join(answers, list(key), "left")
+    labelled = with_stability(folded, models).withColumn("_v", weighted_vote(len(models))).select(
+        *key, _label(F.col("_v")).alias("label"), _share(F.col("_v")).alias("confidence"), "stability_score", *details
+    )
+    joined = segments.join(labelled, list(key)).join(answers, list(key), "left")
     return joined.select(
         client(F.col("source_folder")).alias("client"),
         dossier(F.col("source_folder")).alias("dossier"),
@@ -186,7 +216,7 @@ def labelled_dataset(
         "scores_roi",
         "scores_notoriete",
         "scores_obligation",
-        *quoted([c for c in wide.columns if c not in key]),
+        *quoted([c for c in labelled.columns if c.startswith(("pred_", "conf_"))]),
         *[f"Q_{q}" for q in questions],
     )
 

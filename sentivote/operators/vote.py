@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sentivote import vocab
 from sentivote.functions.money import cost_units, eur, usd
-from sentivote.functions.numbers import percent
+from sentivote.functions.numbers import percent, ratio, ticks
 
 N, Y = "n_", "y_"  # counter prefixes: valid answers, and those saying yes
 
@@ -30,11 +30,13 @@ def tally(
     key: Sequence[str] = tuple(vocab.PHRASE_KEY),
     questions: Sequence[str] = tuple(vocab.QUESTION_KEYS),
     errors_as_no: bool = False,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per unit: counters per question, call count, errors, cost, time.
 
     ``errors_as_no`` counts a failed call as a valid "non" instead of leaving
-    it out.  Token and duration columns are used when present.
+    it out.  Token and duration columns are used when present; ``also`` takes
+    more aggregates into the same pass.
     """
     valid = F.lit(True) if errors_as_no else is_valid()
     yes = is_valid() & (F.col("answer") == "oui")
@@ -50,8 +52,8 @@ def tally(
     if {"tok_in", "tok_out"} <= set(calls.columns):
         extra.append(F.sum(cost_units()).alias("cost_units"))
     if "duration_s" in calls.columns:
-        extra.append(F.sum(F.col("duration_s").cast("decimal(18,4)")).alias("duration_total"))
-    return calls.groupBy(*key).agg(*counters, *extra)
+        extra.append(F.sum(ticks(F.col("duration_s"), 4)).alias("duration_ticks"))
+    return calls.groupBy(*key).agg(*counters, *extra, *also)
 
 
 def majority(q: str) -> Column:
@@ -110,9 +112,10 @@ def classify(
     key: Sequence[str] = tuple(vocab.PHRASE_KEY),
     questions: Sequence[str] = tuple(vocab.QUESTION_KEYS),
     errors_as_no: bool = False,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Tally plus scores, label, and rounded cost and duration per unit."""
-    t = tally(calls, key, questions, errors_as_no)
+    t = tally(calls, key, questions, errors_as_no, also)
     scored = t.select(
         "*",
         score(questions, "roi").alias("scores_roi"),
@@ -123,8 +126,8 @@ def classify(
         scored = scored.withColumn("cost_usd_phrase", usd(F.col("cost_units"), 7)).withColumn(
             "cost_eur_phrase", eur(F.col("cost_units"), 7)
         )
-    if "duration_total" in t.columns:
-        scored = scored.withColumn("duration_s_phrase", F.round(F.col("duration_total").cast("double"), 2))
+    if "duration_ticks" in t.columns:
+        scored = scored.withColumn("duration_s_phrase", ratio(F.col("duration_ticks"), F.lit(10_000), 2))
     return scored
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentivote import vocab
+from sentivote.session import spread
 
 ANSWER_MODELS = [m.name for m in vocab.MODELS]
 ENSEMBLE_MODELS = list(dict.fromkeys(m for ms in vocab.ENSEMBLES.values() for m in ms))
@@ -54,9 +55,14 @@ def decorate(line: Column, kind: Column, level: Column) -> Column:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, spread over the cores when the file is small."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+
+
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents rewritten as Markdown: (source_folder, source_file, text)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "source", "text")
     lines = F.transform(
         F.split("text", "\n"),
         lambda l, i: decorate(l, (i + F.col("doc_id")) % 17, (1 + i % 3).cast("int")),
@@ -70,7 +76,7 @@ def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as classified units: language is the client, source the file."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "lang", "source").select(
         F.col("lang").alias("source_folder"),
         F.col("source").alias("source_file"),
         F.col("doc_id").cast("int").alias("phrase_index"),
@@ -193,7 +199,7 @@ def _pick(selector: Column, options: list[Column]) -> Column:
 
 def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw reply per document and question, in sixteen shapes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "text")
     asked = docs.select("*", F.explode(F.array(*[F.lit(q) for q in vocab.QUESTION_KEYS])).alias("question_key"))
     h = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "question_key", F.lit("raw")))
     shapes = [
@@ -323,9 +329,7 @@ def docs_with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OCR block graph from orders: a table per order, a cell per line item."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag")
-    )
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     child = lambda ids: F.array(F.struct(F.lit("CHILD").alias("type"), ids.alias("ids")))
     none = F.array().cast("array<struct<type:string,ids:array<string>>>")
     number = F.col("l_linenumber").cast("string")
@@ -339,8 +343,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         block(id_of("c"), "CELL", nothing, number, F.lit(1) + F.col("l_partkey") % 3,
               child(F.array(id_of("w"), id_of("v"), F.lit("gone")))),
         block(id_of("w"), "WORD", F.col("l_partkey"), nothing, nothing, none),
-        block(id_of("v"), "WORD", F.col("l_returnflag"), nothing, nothing, none),
-        block(id_of("l"), "LINE", F.concat_ws(" ", F.col("l_partkey").cast("string"), "l_returnflag"), nothing, nothing, none),
+        block(id_of("v"), "WORD", id_of("x"), nothing, nothing, none),
+        block(id_of("l"), "LINE", F.concat_ws(" ", F.col("l_partkey").cast("string"), id_of("x")), nothing, nothing, none),
     )
     rows = items.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), F.inline(per_item))
     cell_ids = F.sort_array(F.collect_list(id_of("c")))

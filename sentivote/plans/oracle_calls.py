@@ -178,7 +178,7 @@ ex AS (
 )"""
     items = """
 it AS (
-  SELECT l_orderkey AS doc, l_linenumber AS n, min(l_partkey) AS p, min(l_returnflag) AS f FROM lineitem GROUP BY ALL
+  SELECT l_orderkey AS doc, l_linenumber AS n, min(l_partkey) AS p, 'x' || l_linenumber AS f FROM lineitem GROUP BY ALL
 )"""
     md = (X.LINES,)
     runs = f"""

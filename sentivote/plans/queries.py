@@ -13,6 +13,7 @@ from sentivote.operators import ballots as B
 from sentivote.functions import language, parse
 from sentivote.operators import calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, vote
 from sentivote.plans import fixtures as fx
+from sentivote.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEG = tuple(vocab.SEGMENT_KEY)
@@ -42,7 +43,7 @@ def text_queries() -> dict[str, Query]:
         "scored_units": lambda s, d: segment.scored_units(segment.paragraphs(_cleaned(s, d))),
         "segmentation_report": lambda s, d: segment.segment_report(segment.phrases_flat(_cleaned(s, d)), vocab.FILE_KEY),
         "simple_segments": lambda s, d: segment.simple_segments(fx.md_docs(s, d)),
-        "html_strip": lambda s, d: fx.table(s, d, "pages").select("page_id", T.clean_markup(F.col("html")).alias("text")),
+        "html_strip": lambda s, d: spread(fx.table(s, d, "pages").select("page_id", "html"), "page_id").select("page_id", T.clean_markup(F.col("html")).alias("text")),
     }
 
 
@@ -94,7 +95,7 @@ def report_queries() -> dict[str, Query]:
     models = fx.ANSWER_MODELS
     return {
         "phrase_rows": lambda s, d: report.phrase_rows(classified(s, d)),
-        "wide_phrases": lambda s, d: report.wide_phrases(fx.votes(s, d), classified(s, d), models),
+        "wide_phrases": lambda s, d: report.wide_phrases(fx.votes(s, d), models),
         "compact_answers": lambda s, d: B.compact_answers(B.ballots(fx.votes(s, d), models, with_cost=True), models),
         "file_summary": lambda s, d: report.file_summary(classified(s, d)),
         "model_stats": lambda s, d: report.model_stats(fx.votes(s, d), models),
@@ -277,7 +278,7 @@ def call_queries() -> dict[str, Query]:
         return calls.with_cached(fresh, cached)
 
     def language_accuracy(s: SparkSession, d: str) -> DataFrame:
-        routed = language.routed(fx.table(s, d, "documents"))
+        routed = language.routed(fx.documents(s, d, "lang", "text"))
         return routed.groupBy("lang").agg(
             F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == F.col("lang_detected")).alias("n_right")
         )
@@ -301,7 +302,7 @@ def call_queries() -> dict[str, Query]:
         "rule_answers": rules,
         "incremental_skip": lambda s, d: calls.pending(fx.units(s, d), done(s, d)),
         "dedup_results": lambda s, d: calls.first_results(results(s, d), ["source_path"]),
-        "language_route": lambda s, d: language.routed(fx.table(s, d, "documents")).select(
+        "language_route": lambda s, d: language.routed(fx.documents(s, d, "lang", "text")).select(
             "doc_id", F.coalesce("lang_detected", F.lit("-")).alias("lang_detected"), "lang_routed"
         ),
         "language_accuracy": language_accuracy,

@@ -19,12 +19,24 @@ def local_session(cpus: int | str = "*", app: str = "sentivote", memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Use all cores on an input of few row groups.
+
+    A small file is read by one task, however many cores wait, and the text
+    operators do all their work in the reading task.  Only such an input is
+    redistributed; a large one already has more splits than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written copy.
 
