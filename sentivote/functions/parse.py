@@ -35,7 +35,10 @@ def _yes(value: Column) -> Column:
 
 
 def _field(v: Column, name: str) -> Column:
-    return F.lower(F.try_variant_get(v, f"$.{name}", "string"))
+    """Lower-cased text of a field; a fraction such as 1.0 keeps its point."""
+    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    text = F.lower(F.try_variant_get(v, f"$.{name}", "string"))
+    return F.when(kind.startswith("DECIMAL") | kind.startswith("DOUBLE"), F.concat(text, F.lit("."))).otherwise(text)
 
 
 def _reply(answer: Column, erreur: Column) -> Column:

@@ -83,8 +83,10 @@ def weighted_labels(folded: DataFrame, models: Sequence[str], key: Sequence[str]
 def _subset_votes(folded: DataFrame, n: int) -> DataFrame:
     """Folded rows times subsets, with ``subset_id``, ``k``, ``label``, ``changed``."""
     bit = lambda i: F.getbit(F.col("subset_id"), F.lit(n - 1 - i)) == 1
+    # A single model has no proper subset.
+    subsets = F.sequence(F.lit(1), F.lit(2**n - 2)) if n > 1 else F.array().cast("array<int>")
     with_ref = folded.withColumn("_ref", _label(weighted_vote(n)))
-    exploded = with_ref.select("*", F.explode(F.sequence(F.lit(1), F.lit(2**n - 2))).alias("subset_id"))
+    exploded = with_ref.select("*", F.explode(subsets).alias("subset_id"))
     voted = exploded.withColumn("label", _label(weighted_vote(n, [bit(i) for i in range(n)])))
     return voted.withColumns(
         {"k": F.lit(n) - F.bit_count("subset_id"), "changed": F.col("label") != F.col("_ref")}
@@ -98,6 +100,8 @@ def with_stability(folded: DataFrame, models: Sequence[str]) -> DataFrame:
     partitioned by segment.
     """
     n = len(models)
+    if n < 2:
+        return folded.withColumn("stability_score", F.lit(100.0))
     counts = [
         a
         for k in range(1, n)
