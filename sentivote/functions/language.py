@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentivote.functions.text import let
+
 # Function words that tell the four languages apart.
 PROFILES: dict[str, list[str]] = {
     "fr": ["le", "les", "des", "une", "est", "dans", "pour", "qui", "sur", "avec", "du", "et", "au", "pas"],
@@ -17,19 +19,24 @@ PROFILES: dict[str, list[str]] = {
 LOADED = ("fr", "en")
 
 
-def word_count(text: Column, words: Sequence[str]) -> Column:
-    """How many of the text's letter runs are one of ``words``."""
-    return F.regexp_count(F.lower(text), F.lit(rf"(?<!\p{{L}})(?:{'|'.join(words)})(?!\p{{L}})"))
+def words_of(text: Column) -> Column:
+    """The letter runs of a text, lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)
 
 
 def detect(text: Column, profiles: Mapping[str, Sequence[str]] = PROFILES) -> Column:
     """Language with most function words, ties in profile order; null without any."""
-    scores = [
-        F.struct(word_count(text, words).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang"))
-        for i, (lang, words) in enumerate(profiles.items())
-    ]
-    best = F.greatest(*scores)
-    return F.when(best["n"] > 0, best["lang"])
+
+    def best_of(words: Column) -> Column:
+        scores = [
+            F.struct(
+                F.size(F.filter(words, lambda w: w.isin(list(known)))).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")
+            )
+            for i, (lang, known) in enumerate(profiles.items())
+        ]
+        return let(F.greatest(*scores), lambda best: F.when(best["n"] > 0, best["lang"]))
+
+    return let(words_of(text), best_of)
 
 
 def route(lang: Column, loaded: Sequence[str] = LOADED) -> Column:

@@ -307,16 +307,38 @@ def block_tables(blocks: DataFrame, key: Sequence[str] = ("doc",)) -> DataFrame:
     )
     said = strip(F.array_join(F.transform("words", lambda w: w["word"]), " "))
     filled = by_cell.select(*key, said.alias("value"), F.inline("spots"))
-    at = [*key, "table_id", "row", "col"]
-    # Of two cells at one position the later one counts.
-    placed = filled.groupBy(*at).agg(F.max_by("value", "_pos").alias("value"))
-    grid = (
-        filled.groupBy(*key, "table_id")
-        .agg(F.max("row").alias("_rows"), F.max("col").alias("_cols"))
-        .select(*key, "table_id", "_cols", F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("row"))
-        .select(*key, "table_id", "row", F.explode(F.sequence(F.lit(1), F.col("_cols"))).alias("col"))
+    # A table's cells are listed in its own block, so they also fit into one row here.
+    tables = filled.groupBy(*key, "table_id").agg(
+        F.max("row").alias("_rows"),
+        F.max("col").alias("_cols"),
+        F.sort_array(F.collect_list(F.struct("row", "col", "_pos", "value"))).alias("_cells"),
     )
-    return grid.join(placed, at, "left").select(*at, F.coalesce("value", F.lit("")).alias("value"))
+    cols = F.col("_cols")
+    place = lambda c: (c["row"] - 1) * cols + c["col"] - 1
+
+    def last_at_place(cells: Column) -> Column:
+        """Of two cells at one position the later one counts."""
+        return F.filter(cells, lambda c, i: F.coalesce(place(F.get(cells, i + 1)) != place(c), F.lit(True)))
+
+    def with_holes(cells: Column) -> Column:
+        """Each cell followed by the empty positions up to the next cell."""
+        hole = lambda p: F.struct(
+            F.floor(p / cols + 1).cast("int").alias("row"), (p % cols + 1).cast("int").alias("col"), F.lit("").alias("value")
+        )
+        holes = lambda start, end: F.when(
+            end > start, F.transform(F.sequence(start, end - 1), hole)
+        ).otherwise(F.array().cast("array<struct<row:int,col:int,value:string>>"))
+
+        def fill(c: Column, i: Column) -> Column:
+            here = F.array(F.struct(c["row"].alias("row"), c["col"].alias("col"), c["value"].alias("value")))
+            following = F.coalesce(place(F.get(cells, i + 1)), F.col("_rows") * cols)
+            leading = F.when(i == 0, holes(F.lit(0), place(c))).otherwise(holes(F.lit(1), F.lit(0)))
+            return F.concat(leading, here, holes(place(c) + 1, following))
+
+        return F.flatten(F.transform(cells, fill))
+
+    grid = let(last_at_place(F.col("_cells")), with_holes)
+    return tables.select(*key, "table_id", F.inline(grid))
 
 
 # --- extraction runs ---------------------------------------------------------------------

@@ -24,44 +24,53 @@ STABLE_FROM = 80.0
 
 def fold(predictions: DataFrame, models: Sequence[str], key: Sequence[str] = tuple(vocab.SEGMENT_KEY),
          categories: Sequence[str] = tuple(vocab.CATEGORIES)) -> DataFrame:
-    """One row per segment: ``cat_i`` (null when failed), ``conf_i``, ``raw_cat_i``."""
+    """One row per segment, numbers only, so that the grouping runs on hash maps.
+
+    ``mask_<n>`` holds the models that validly predicted category n, the first
+    model in the highest bit; ``conf_<i>`` and ``cat_<i>`` what model i said.
+    """
     code = F.lit(None).cast("int")
     for n, c in enumerate(categories):
         code = F.when(F.col("categorie") == c, n).otherwise(code)
-    aggs = []
+    bits = F.create_map(
+        *[c for i, m in enumerate(models) for c in (F.lit(m), F.lit(1 << (len(models) - 1 - i)).cast("int"))]
+    )
+    bit = F.try_element_at(bits, F.col("model"))
+    aggs = [
+        F.coalesce(F.bit_or(F.when(is_valid() & (F.col("_code") == n), bit)), F.lit(0)).alias(f"mask_{n}")
+        for n in range(len(categories))
+    ]
     for i, m in enumerate(models):
-        mine = F.col("model") == m
-        aggs.append(F.max(F.when(mine & is_valid(), F.col("_code"))).alias(f"cat_{i}"))
-        aggs.append(F.max(F.when(mine, F.col("_code"))).alias(f"raw_cat_{i}"))
-        aggs.append(F.max(F.when(mine, F.col("confiance"))).alias(f"conf_{i}"))
+        aggs.append(F.max(F.when(F.col("model") == m, F.col("_code"))).alias(f"cat_{i}"))
+        aggs.append(F.max(F.when(F.col("model") == m, F.col("confiance"))).alias(f"conf_{i}"))
     return predictions.withColumn("_code", code).groupBy(*key).agg(*aggs)
 
 
-def weighted_vote(n_models: int, members: Sequence[Column] | None = None,
-                  categories: Sequence[str] = tuple(vocab.CATEGORIES)) -> Column:
-    """Struct (label, confidence, scores) over the members, by squared confidence.
+def _voted(df: DataFrame, n_models: int, subset: Column, name: str,
+           categories: Sequence[str] = tuple(vocab.CATEGORIES)) -> DataFrame:
+    """Add ``name``: struct (best(s, f, c), whole), the vote by squared confidence.
 
-    Ties go to the category predicted first in model order; without any valid
-    prediction the vote is Description with confidence 0.
+    A category's voters are its mask cut to the subset.  Masks of different
+    categories share no bit, so the larger one holds the earlier model: on equal
+    sums it wins, as the category predicted first in model order must.
     """
-    members = members or [F.lit(True)] * n_models
-    candidates, sums = [], []
-    for n, c in enumerate(categories):
-        total, first = F.lit(0.0), F.lit(n_models)
-        for i in reversed(range(n_models)):
-            hit = members[i] & (F.col(f"cat_{i}") == n)
-            first = F.when(hit, i).otherwise(first)
+    cut = df.select("*", *[F.col(f"mask_{n}").bitwiseAND(subset).alias(f"_m{n}") for n in range(len(categories))])
+    sums = []
+    for n in range(len(categories)):
+        total = F.lit(0.0)
         for i in range(n_models):
-            hit = members[i] & (F.col(f"cat_{i}") == n)
-            total = total + F.when(hit, F.col(f"conf_{i}") * F.col(f"conf_{i}")).otherwise(0.0)
-        sums.append(total)
-        candidates.append(
-            F.when(first < n_models, F.struct(total.alias("s"), (-first).alias("f"), F.lit(c).alias("c")))
-        )
-    whole = sums[0]
-    for s in sums[1:]:
+            conf = F.coalesce(F.col(f"conf_{i}"), F.lit(0.0))
+            total = total + F.getbit(F.col(f"_m{n}"), F.lit(n_models - 1 - i)).cast("double") * (conf * conf)
+        sums.append(total.alias(f"_s{n}"))
+    summed = cut.select("*", *sums)
+    candidates, whole = [], F.lit(0.0)
+    for n, c in enumerate(categories):
+        voters, s = F.col(f"_m{n}"), F.col(f"_s{n}")
+        candidates.append(F.when(voters != 0, F.struct(s.alias("s"), voters.alias("f"), F.lit(c).alias("c"))))
         whole = whole + s
-    return F.struct(F.greatest(*candidates).alias("best"), whole.alias("whole"))
+    return summed.select(
+        *quoted(df.columns), F.struct(F.greatest(*candidates).alias("best"), whole.alias("whole")).alias(name)
+    )
 
 
 def _label(v: Column) -> Column:
@@ -75,22 +84,25 @@ def _share(v: Column) -> Column:
 
 def weighted_labels(folded: DataFrame, models: Sequence[str], key: Sequence[str] = tuple(vocab.SEGMENT_KEY)) -> DataFrame:
     """Vote of all models per segment: label and confidence (share, 3 digits)."""
-    return folded.withColumn("_v", weighted_vote(len(models))).select(
+    return _voted(folded, len(models), F.lit(2 ** len(models) - 1), "_v").select(
         *key, _label(F.col("_v")).alias("label"), _share(F.col("_v")).alias("confidence")
     )
 
 
 def _subset_votes(folded: DataFrame, n: int) -> DataFrame:
     """Folded rows times subsets, with ``subset_id``, ``k``, ``label``, ``changed``."""
-    bit = lambda i: F.getbit(F.col("subset_id"), F.lit(n - 1 - i)) == 1
     # A single model has no proper subset.
     subsets = F.sequence(F.lit(1), F.lit(2**n - 2)) if n > 1 else F.array().cast("array<int>")
-    with_ref = folded.withColumn("_ref", _label(weighted_vote(n)))
+    with_ref = _voted(folded, n, F.lit(2**n - 1), "_all")
     exploded = with_ref.select("*", F.explode(subsets).alias("subset_id"))
-    voted = exploded.withColumn("label", _label(weighted_vote(n, [bit(i) for i in range(n)])))
-    return voted.withColumns(
-        {"k": F.lit(n) - F.bit_count("subset_id"), "changed": F.col("label") != F.col("_ref")}
-    ).drop("_ref")
+    voted = _voted(exploded.withColumn("_ref", _label(F.col("_all"))).drop("_all"), n, F.col("subset_id"), "_v")
+    return voted.withColumn("label", _label(F.col("_v"))).select(
+        *folded.columns,
+        "subset_id",
+        (F.lit(n) - F.bit_count("subset_id")).alias("k"),
+        "label",
+        (F.col("label") != F.col("_ref")).alias("changed"),
+    )
 
 
 def with_stability(folded: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -199,12 +211,13 @@ def labelled_dataset(
     details = []
     for i, m in enumerate(models):
         short = m.split("/")[-1]
-        details.append(F.get(names, F.col(f"raw_cat_{i}")).alias(f"pred_{short}"))
+        details.append(F.get(names, F.col(f"cat_{i}")).alias(f"pred_{short}"))
         details.append(F.col(f"conf_{i}").alias(f"conf_{short}"))
     answers = classified.select(
         *key, "scores_roi", "scores_notoriete", "scores_obligation", *[majority(q).alias(f"Q_{q}") for q in questions]
     )
-    labelled = with_stability(folded, models).withColumn("_v", weighted_vote(len(models))).select(
+    stable = with_stability(folded, models)
+    labelled = _voted(stable, len(models), F.lit(2 ** len(models) - 1), "_v").select(
         *key, _label(F.col("_v")).alias("label"), _share(F.col("_v")).alias("confidence"), "stability_score", *details
     )
     joined = segments.join(labelled, list(key)).join(answers, list(key), "left")

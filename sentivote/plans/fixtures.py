@@ -292,18 +292,18 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as one table: a header row and one row per event."""
     from sentivote.functions.ranking import numbered
 
-    rows = numbered(
-        table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props"), ["event_id"], "pos", ["user_id"]
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props")
+    rows = numbered(spread(events, "event_id"), ["event_id"], "pos", ["user_id"])
+    row = (F.col("pos") + 1).cast("int")
+    cell = lambda r, c, value: F.struct(r.alias("row"), F.lit(c).alias("col"), value.alias("value"))
+    body = F.array(
+        cell(row, 1, F.col("event_id").cast("string")),
+        cell(row, 2, F.col("event_type")),
+        cell(row, 3, F.when(F.col("event_id") % 5 != 0, F.col("props"))),
     )
-    values = F.array(
-        F.struct(F.lit(1).alias("col"), F.col("event_id").cast("string").alias("value")),
-        F.struct(F.lit(2).alias("col"), F.col("event_type").alias("value")),
-        F.struct(F.lit(3).alias("col"), F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("value")),
-    )
-    header = F.array(*[F.struct(F.lit(i).alias("col"), F.lit(n).alias("value")) for i, n in enumerate(("id", "type", "props"), 1)])
-    body = rows.select(F.col("user_id").alias("doc"), F.lit(1).alias("table_no"), (F.col("pos") + 1).cast("int").alias("row"), F.inline(values))
-    heads = rows.filter("pos = 0").select(F.col("user_id").alias("doc"), F.lit(1).alias("table_no"), F.lit(0).alias("row"), F.inline(header))
-    return heads.unionByName(body)
+    header = F.array(*[cell(F.lit(0), i, F.lit(n)) for i, n in enumerate(("id", "type", "props"), 1)])
+    with_header = F.when(F.col("pos") == 0, F.concat(header, body)).otherwise(body)
+    return rows.select(F.col("user_id").alias("doc"), F.lit(1).alias("table_no"), F.inline(with_header))
 
 
 def tables_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,12 +41,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written copy.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``, shared
-    by all executors, so losing some of them loses no result.  Only where none
-    is named, as in tests, a temporary folder takes its place.
+    by all executors, so losing some of them loses no result.  A session on one
+    machine that names none, as in tests, gets a temporary folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sentivote-checkpoint-"))
     return df.checkpoint()

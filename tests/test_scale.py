@@ -83,7 +83,7 @@ def test_row_numbers_of_a_hot_group(spark):
         F.when(F.col("id") % 3 == 0, F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).otherwise("hot").alias("g"),
         F.format_string("f%05d", (F.col("id") * 7919) % 5003).alias("o"),
     )
-    got = numbered(rows, ["o"], "pos", ["g"], ranges=16)
+    got = numbered(rows, ["o"], "pos", ["g"])
     by_group: dict[str, list] = {}
     for r in got.collect():
         by_group.setdefault(r["g"], []).append((r["o"], r["pos"]))
