@@ -13,10 +13,12 @@ linear in the length of the document.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sentivote.functions import text as T
 from sentivote.operators.clean import fence_pieces
@@ -39,6 +41,11 @@ _CHUNK = 512  # sentences per inner array in the merge fold
 SentenceSplitter = Callable[[Column], Column]
 
 
+def document_keys(docs: DataFrame) -> list[str]:
+    """The columns that go with each row found in a document."""
+    return [c for c in docs.columns if c not in ("text", "_pieces")]
+
+
 # --- tokens -------------------------------------------------------------------
 
 
@@ -116,7 +123,7 @@ def token_array(text: Column) -> Column:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    keys = [c for c in docs.columns if c != "text"]
+    keys = document_keys(docs)
     return docs.select(*keys, F.posexplode(token_array(F.col("text"))).alias("tok_pos", "tok")).select(
         *keys, "tok_pos", "tok.kind", "tok.level", "tok.text"
     )
@@ -189,6 +196,40 @@ def sentences(block: Column, splitter: SentenceSplitter = rule_pieces) -> Column
     )
 
 
+Split = Callable[[str, str | None], list[str]]
+
+
+def with_model_pieces(docs: DataFrame, load: Callable[[], Split], lang: str | None = None) -> DataFrame:
+    """Let user code, such as a sentence model, cut the text blocks.
+
+    ``load()`` runs once per task and returns a function from a block and the
+    document's language (the column ``lang``) to its sentences.  The distinct
+    blocks of a document travel to Python as one array; ``_pieces`` maps each to
+    its sentences, and ``model_splitter`` reads them there.
+    """
+    blocks = F.transform(F.filter(token_array(F.col("text")), lambda t: t["kind"] == "text"), lambda t: t["text"])
+    sent = docs.withColumn("_blocks", F.array_distinct(blocks))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split = load()
+        for batch in batches:
+            langs = batch[lang] if lang else [None] * len(batch)
+            batch["_cut"] = [
+                ["\n".join(" ".join(s.split("\n")) for s in split(b, code)) for b in row]
+                for row, code in zip(batch["_blocks"], langs)
+            ]
+            yield batch
+
+    schema = StructType([*sent.schema.fields, StructField("_cut", ArrayType(StringType()))])
+    cut = sent.mapInPandas(run, schema)
+    return cut.withColumn("_pieces", F.map_from_arrays("_blocks", "_cut")).drop("_blocks", "_cut")
+
+
+def model_splitter(block: Column) -> Column:
+    """Splitter for documents that went through ``with_model_pieces``."""
+    return F.filter(F.split(F.try_element_at(F.col("_pieces"), block), "\n"), lambda p: T.strip(p) != "")
+
+
 # --- sections, phrases, paragraphs ---------------------------------------------
 
 
@@ -256,7 +297,7 @@ def phrase_array(sections: Column) -> Column:
 
 def phrases_flat(docs: DataFrame, splitter: SentenceSplitter = rule_pieces) -> DataFrame:
     """One row per distinct phrase of a document, ``phrase_index`` from 0."""
-    keys = [c for c in docs.columns if c != "text"]
+    keys = document_keys(docs)
     found = phrase_array(section_array(F.col("text"), splitter))
     return docs.select(*keys, F.posexplode(found).alias("phrase_index", "phrase"))
 
@@ -337,7 +378,7 @@ def paragraph_array(sections: Column) -> Column:
 
 def paragraphs(docs: DataFrame, splitter: SentenceSplitter = rule_pieces) -> DataFrame:
     """One row per paragraph with its phrases as an array of structs."""
-    keys = [c for c in docs.columns if c != "text"]
+    keys = document_keys(docs)
     found = paragraph_array(section_array(F.col("text"), splitter))
     return docs.select(*keys, F.inline(found))
 
@@ -350,7 +391,7 @@ def paragraph_phrases(paragraphs_df: DataFrame) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, splitter: SentenceSplitter = rule_pieces) -> DataFrame:
     """Distinct fingerprints over titles and phrases of each document's paragraphs."""
-    keys = [c for c in docs.columns if c != "text"]
+    keys = document_keys(docs)
     found = paragraph_array(section_array(F.col("text"), splitter))
     titles = lambda ps: F.filter(F.transform(ps, lambda p: p["section_title"]), lambda t: T.strip(t) != "")
     texts = lambda ps: F.flatten(F.transform(ps, lambda p: F.transform(p["phrases"], lambda x: x["phrase"])))
@@ -396,7 +437,7 @@ def segment_report(phrases: DataFrame, key: list[str]) -> DataFrame:
 
 def simple_segments(docs: DataFrame, min_chars: int = MIN_SEGMENT_CHARS) -> DataFrame:
     """Paragraphs between blank lines and titles, at least ``min_chars`` long."""
-    keys = [c for c in docs.columns if c != "text"]
+    keys = document_keys(docs)
 
     def write(s: Column) -> Column:
         title = T.strip(F.regexp_replace(s, "^#+", ""))

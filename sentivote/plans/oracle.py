@@ -180,6 +180,7 @@ def text_sql() -> dict[str, str]:
             f"SELECT {X.KEYS}, tok_pos, CAST(sent_pos AS INTEGER) AS sent_pos, text AS sentence FROM sent",
             X.LINES, X.tokens("md_lines"), X.SENTENCES),
         "phrases_flat": X.statement("SELECT * FROM phrases", *clean),
+        "phrases_by_model": X.statement("SELECT * FROM phrases", *clean),
         "paragraphs": X.statement("SELECT * REPLACE (coalesce(phrase_index, -1) AS phrase_index) FROM para_phrases", *clean, X.PARAGRAPHS),
         "phrase_counts": X.statement(
             f"""SELECT d.source AS source_folder, 'doc_' || d.doc_id || '.md' AS source_file,

@@ -31,7 +31,19 @@ def text_queries() -> dict[str, Query]:
             F.posexplode(segment.sentences(F.col("text"))).alias("sent_pos", "sentence"),
         )
 
+    def model_phrases(spark: SparkSession, sf: str) -> DataFrame:
+        """Phrases cut by Python code loaded once per task."""
+
+        def load():
+            import re
+
+            end = re.compile(r"(?<=[.!?…])\s+")
+            return lambda block, lang: end.split(block)
+
+        return segment.phrases_flat(segment.with_model_pieces(_cleaned(spark, sf), load), segment.model_splitter)
+
     return {
+        "phrases_by_model": model_phrases,
         "clean_lines": lambda s, d: clean.clean_lines(fx.md_docs(s, d)),
         "clean_documents": lambda s, d: clean.clean_documents(fx.md_docs(s, d)),
         "clean_report": lambda s, d: clean.clean_report(clean.clean_documents(fx.md_docs(s, d))),

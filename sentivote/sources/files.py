@@ -153,9 +153,17 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 # --- sinks ----------------------------------------------------------------------------
 
 
-def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ("source_folder",)) -> None:
-    """One partitioned dataset.  A folder of any size is written by many tasks."""
-    df.write.mode("overwrite").partitionBy(*by).format(fmt).save(path)
+def write_dataset(
+    df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ("source_folder",), within: Sequence[str] = ("source_file",)
+) -> None:
+    """One dataset, partitioned by folder.
+
+    Rows are ranged by folder and file first: small folders share a task, so
+    the tasks do not each leave a file in every folder, and a folder of any
+    size is cut between its files.
+    """
+    ranged = df.repartitionByRange(*by, *within)
+    ranged.write.mode("overwrite").partitionBy(*by).format(fmt).save(path)
 
 
 def write_clean_documents(cleaned: DataFrame, path: str) -> None:
