@@ -141,10 +141,26 @@ def merge_short(block: Column, pieces: Column, min_chars: int = MIN_MERGE_CHARS)
     """Greedy left-to-right merge of sentences shorter than ``min_chars``.
 
     A short sentence takes the next one as long as its merged text still occurs
-    literally in the block, with the next sentence behind it.  That holds by
-    itself while every swallowed gap was a single blank, so the block is
-    searched only after another gap.  Finished sentences are collected in
-    chunks to keep the appends cheap.
+    literally in the block, with the next sentence behind it.  Where single
+    blanks join the sentences to the block again, that always holds and a merge
+    ends at the first boundary at or behind ``min_chars``: one expression finds
+    them all, in linear time.  Other blocks are folded sentence by sentence.
+    """
+    group = rf"(?s)(.{{{min_chars},}}?(?=\n|\z)|.+)(?:\n|\z)"
+
+    def merge(found: Column) -> Column:
+        groups = F.regexp_extract_all(F.array_join(found, "\n"), F.lit(group), 1)
+        regular = F.transform(groups, lambda g: F.replace(g, F.lit("\n"), F.lit(" ")))
+        return F.when(F.array_join(found, " ") == block, regular).otherwise(_fold_short(block, pieces, min_chars))
+
+    return T.let(F.transform(pieces, T.strip), merge)
+
+
+def _fold_short(block: Column, pieces: Column, min_chars: int) -> Column:
+    """The merge, step by step.
+
+    The block is searched only after a gap that is not a single blank; finished
+    sentences are collected in chunks to keep the appends cheap.
     """
     fields = ["full", "out", "cur", "literal", "blank_gap"]
     no_text = F.array().cast("array<string>")

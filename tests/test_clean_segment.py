@@ -68,6 +68,11 @@ def test_short_sentences_merge_until_long_enough(spark):
     assert sentences_of(spark, long) == [long]
 
 
+def test_the_threshold_counts_the_sentence_alone(spark):
+    long, almost, exact = "x" * 80 + ".", "y" * 78 + ".", "w" * 79 + "."
+    assert sentences_of(spark, f"{long} {almost} z. {exact} q.") == [long, f"{almost} z.", exact, "q."]
+
+
 def test_wide_gap_stops_a_merge_after_it_was_taken(spark):
     assert sentences_of(spark, "Un.  Deux. Trois.") == ["Un. Deux.", "Trois."]
     # The merged text also occurs literally further on, with the next sentence behind it.
