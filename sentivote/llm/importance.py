@@ -22,7 +22,7 @@ from sentivote.llm.common import code_points, column, kinds_of, mixed, slices, t
 
 #: n-grams are hashed to this many buckets; the models are two counts for each.
 BUCKETS = 1 << 14
-#: Labelled documents on which the cut is fitted, at most.
+#: Labelled documents on which the target model and the cut are fitted, at most: those whose ids have the least hashes.
 SAMPLE = 20_000
 #: Seed of the Gumbel noise.
 SEED = 17
@@ -129,21 +129,22 @@ def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def fitted(docs: DataFrame, label: DataFrame, id_col: str, text_col: str, buckets: int) -> np.ndarray:
-    """Log ratios of the buckets: the target is the text labelled above 0, the raw text is all text."""
+    """Log ratios of the buckets: the target is the text of ``label`` above 0, the raw text is all text.
+
+    ``label`` is bounded, so its ids go to every task and no text is moved.
+    """
     texts = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text")).where("text is not null")
     target = label.where("label > 0").select("id", F.lit(True).alias("target"))
-    rows = texts.join(target, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    rows = texts.join(F.broadcast(target), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     return log_ratios(model_counts(rows, buckets), buckets)
 
 
-def parting_weight(keys: DataFrame, label: DataFrame, sample: int) -> float:
+def parting_weight(keys: DataFrame, label: DataFrame) -> float:
     """The log weight that parts labelled target documents from others with the fewest errors.
 
-    It is found on at most ``sample`` labelled documents, those whose ids have the
-    smallest hashes.  Of equal cuts, the middle of the widest gap.
+    Of equal cuts, the middle of the widest gap.
     """
-    known = keys.where("w is not null").join(label, "id").select("id", "w", "label")
-    rows = known.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    rows = keys.where("w is not null").join(F.broadcast(label), "id").select("w", "label").collect()
     if not rows:
         return -np.inf
     w, good = np.array([r["w"] for r in rows]), np.array([r["label"] > 0 for r in rows])
@@ -181,20 +182,20 @@ def resampled(
 ) -> tuple[DataFrame, DataFrame, float | None]:
     """``docs`` with a struct column ``_q`` (w, key), a written table (id, w, key), the cut: key >= cut is drawn.
 
-    The target text is that of the documents labelled above 0; the models are
-    counted over all rows.  ``k`` defaults to the number of documents above
+    The target text is that of the documents labelled above 0, of ``sample`` labels at most; the
+    raw text is that of all rows.  ``k`` defaults to the number of documents above
     ``parting_weight``; the noise then settles who is drawn around the cut.
 
     A null text, or one without tokens, has no weight and is never drawn.  Without
     labels every other document is drawn.  Keys equal to the cut are all drawn;
     repeated rows share their noise and so their fate.
     """
-    label = labelled(labels, id_col, label_col)
+    label = written(labelled(labels, id_col, label_col).orderBy(F.xxhash64("id"), "id").limit(sample), "labels")
     ratios = fitted(docs, label, id_col, text_col, buckets)
     scored = weighted(docs, ratios, id_col, text_col, temperature, seed)
     keys = written(scored.select(column(scored, id_col).alias("id"), "_q.w", "_q.key"), "keys")
     if k is None:
-        k = keys.where(F.col("w") >= parting_weight(keys, label, sample)).count()
+        k = keys.where(F.col("w") >= parting_weight(keys, label)).count()
     return scored, keys, kth_largest(keys, "key", k)
 
 
