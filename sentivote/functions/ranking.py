@@ -55,7 +55,7 @@ def numbered(
 ) -> DataFrame:
     """Add ``name``: position from 0 of each row in its group by ``order``.
 
-    ``group`` plus ``order`` must identify a row and must not be null.  ``df``
+    ``group`` plus ``order`` must identify a row; nulls are a group of their own, and come first in order.  ``df``
     is read three times; pass a written table when it is costly to compute.
     """
     key = [*group, *order]
@@ -71,7 +71,8 @@ def numbered(
     )
     within = F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1
     return (
-        tagged.join(offsets, cell)
+        tagged.join(offsets, [tagged[c].eqNullSafe(offsets[c]) for c in cell])
+        .drop(*[offsets[c] for c in cell])
         .withColumn(name, F.col("_offset") + within)
         .drop("_range", "_offset")
         .select(*quoted(df.columns), name)

@@ -108,5 +108,5 @@ def newline_count(text: Column) -> Column:
 
 
 def model_short(model: Column) -> Column:
-    """Display name: last path part, 20 characters.  Never used as a join key."""
-    return F.substring(F.element_at(F.split(model, "/"), -1), 1, 20)
+    """Display name: last path part.  Never used as a join key."""
+    return F.element_at(F.split(model, "/"), -1)

@@ -13,9 +13,10 @@ from sentivote import vocab
 from sentivote.functions import parse
 from sentivote.functions.money import cost_units, eur, usd
 
-CONTEXT_CHARS = 1200  # paragraph shown with a phrase
-SEGMENT_CHARS = 800  # paragraph classified as a whole
-JUDGE_CHARS = 600  # paragraph shown to the judge
+
+def shown(name: str, chars: int | None) -> Column:
+    """A text column, whole unless a number of characters is given."""
+    return F.col(name) if chars is None else F.substring(name, 1, chars)
 
 
 def call_plan(
@@ -63,27 +64,27 @@ def phrase_prompt(template: str = vocab.PHRASE_PROMPT) -> Column:
     return fill(template, {"phrase": F.col("phrase"), "question_text": question_text(F.col("question_key"))})
 
 
-def paragraph_prompt(template: str = vocab.PARAGRAPH_PROMPT) -> Column:
+def paragraph_prompt(template: str = vocab.PARAGRAPH_PROMPT, chars: int | None = None) -> Column:
     return fill(
         template,
         {
-            "full_paragraph": F.substring("full_paragraph", 1, CONTEXT_CHARS),
+            "full_paragraph": shown("full_paragraph", chars),
             "phrase": F.col("phrase"),
             "question_text": question_text(F.col("question_key")),
         },
     )
 
 
-def segment_prompt(standard: str, for_qwen: str | None = None, chars: int = SEGMENT_CHARS) -> Column:
+def segment_prompt(standard: str, for_qwen: str | None = None, chars: int | None = None) -> Column:
     """Prompt for a whole segment; models named qwen may get their own template."""
-    fields = {"section_title": F.col("section_title"), "paragraph": F.substring("paragraph", 1, chars)}
+    fields = {"section_title": F.col("section_title"), "paragraph": shown("paragraph", chars)}
     usual = fill(standard, fields)
     if for_qwen is None:
         return usual
     return F.when(F.lower("model").contains("qwen"), fill(for_qwen, fields)).otherwise(usual)
 
 
-def judge_prompt(template: str, questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> Column:
+def judge_prompt(template: str, questions: Sequence[str] = tuple(vocab.QUESTION_KEYS), chars: int | None = None) -> Column:
     """Prompt for the judge: segment, first verdict and its nine answers."""
     answers = F.array_join(
         F.transform(
@@ -97,7 +98,7 @@ def judge_prompt(template: str, questions: Sequence[str] = tuple(vocab.QUESTION_
         template,
         {
             "section_title": F.col("section_title"),
-            "paragraph": F.substring("paragraph", 1, JUDGE_CHARS),
+            "paragraph": shown("paragraph", chars),
             "raisonnement": text("raisonnement", ""),
             "categorie_proposee": text("categorie", "Description"),
             "confiance": text("confiance", "0.5"),
@@ -116,23 +117,31 @@ def ask_external(calls: DataFrame, ask: Callable[[], Ask]) -> DataFrame:
     """Answer calls with user code, batch by batch.
 
     ``ask()`` runs once per task and returns a function from a batch of calls to
-    a frame with the columns of ``RAW_SCHEMA``, row for row.  A batch that
-    raises yields error rows; it never fails the job.  Write the result to a
-    table before using it twice, or the calls are asked twice.
+    a frame with the columns of ``RAW_SCHEMA``, row for row.  If a batch of calls
+    raises, its calls are asked one by one, and those that raise again become
+    error rows.  A reply with other columns or another number of rows is a
+    fault of the provider and fails the job.  Write the result to a table
+    before using it twice, or the calls are asked twice.
     """
     replies = StructType.fromDDL(RAW_SCHEMA)
     names = replies.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = ask()
-        for batch in batches:
+
+        def asked(batch: pd.DataFrame) -> pd.DataFrame:
             try:
-                found = answer(batch)[names].reset_index(drop=True)
+                found = answer(batch)
             except Exception as e:
-                found = pd.DataFrame(
-                    {"raw": [None] * len(batch), "tok_in": 0, "tok_out": 0, "duration_s": 0.0, "erreur": str(e)[:300]}
-                )
-            yield pd.concat([batch.reset_index(drop=True), found], axis=1)
+                if len(batch) > 1:
+                    return pd.concat([asked(batch.iloc[[i]]) for i in range(len(batch))])
+                return pd.DataFrame({"raw": [None], "tok_in": 0, "tok_out": 0, "duration_s": 0.0, "erreur": str(e)})
+            if len(found) != len(batch) or not set(names) <= set(found.columns):
+                raise ValueError(f"a provider returned {len(found)} rows of {list(found.columns)} for {len(batch)} calls")
+            return found[names]
+
+        for batch in batches:
+            yield pd.concat([batch.reset_index(drop=True), asked(batch).reset_index(drop=True)], axis=1)
 
     return calls.mapInPandas(run, StructType(calls.schema.fields + replies.fields))
 
@@ -197,9 +206,9 @@ def with_cached(fresh: DataFrame, done: DataFrame) -> DataFrame:
 def first_results(results: DataFrame, order: Sequence[str], key: Sequence[str] = tuple(vocab.PHRASE_KEY)) -> DataFrame:
     """The first result of each key in ``order`` (source path, then position).
 
-    A minimum over structs, so many copies of one key shrink before the
-    exchange instead of meeting in one window.
+    The row of the least order, so many copies of one key shrink before the
+    exchange instead of meeting in one window.  Rows may hold maps.
     """
-    rest = [c for c in results.columns if c not in key and c not in order]
-    first = results.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("r"))
+    rest = [c for c in results.columns if c not in key]
+    first = results.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"))
     return first.select(*key, "r.*").select(*results.columns)

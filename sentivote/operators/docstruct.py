@@ -16,8 +16,6 @@ from sentivote.functions.text import WS_IN_LINE, let, strip
 
 NEXT_PAGE = "\n\n--- PAGE SUIVANTE ---\n\n"
 RULED = "\n\n---\n\n"
-SHOWN_ROWS = 20
-PREVIEW_ROWS = 3
 EMPTY_TABLE = "*Tableau vide*"
 NO_TABLE = "*Tableau non disponible*"
 
@@ -198,9 +196,10 @@ def splice_tables(docs: DataFrame, tables: DataFrame, key: Sequence[str] = ("doc
 # --- tables ---------------------------------------------------------------------------
 
 
-def _top_cells(cells: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
-    """Per table its size and the cells of its header (row 0) and first rows."""
-    shown = F.when(F.col("row") <= rows, F.struct("row", "col", "value"))
+def _top_cells(cells: DataFrame, key: Sequence[str], rows: int | None) -> DataFrame:
+    """Per table its size and its cells, only those of the header (row 0) and the first ``rows`` if given."""
+    cell = F.struct("row", "col", "value")
+    shown = cell if rows is None else F.when(F.col("row") <= rows, cell)
     return cells.groupBy(*key, "table_no").agg(
         F.max("row").alias("n_rows"),
         F.max("col").alias("n_cols"),
@@ -208,8 +207,8 @@ def _top_cells(cells: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
     )
 
 
-def table_markdown(cells: DataFrame, key: Sequence[str] = ("doc",), rows: int = SHOWN_ROWS) -> DataFrame:
-    """Cells (row 0 is the header) to a Markdown table of at most ``rows`` rows."""
+def table_markdown(cells: DataFrame, key: Sequence[str] = ("doc",), rows: int | None = None) -> DataFrame:
+    """Cells (row 0 is the header) to a Markdown table, of at most ``rows`` rows if given."""
 
     def write(c: Column, i: Column) -> Column:
         value = F.coalesce(c["value"], F.lit("nan"))
@@ -220,17 +219,17 @@ def table_markdown(cells: DataFrame, key: Sequence[str] = ("doc",), rows: int =
         opening = F.when(~first, "").when(i == 0, "| ").otherwise("\n| ")
         return F.concat(opening, value, ending)
 
-    more = F.concat(F.lit("\n\n*... et "), (F.col("n_rows") - rows).cast("string"), F.lit(" lignes supplémentaires*"))
-    body = F.concat(
-        F.array_join(F.transform("_cells", write), ""), F.when(F.col("n_rows") > rows, more).otherwise("")
-    )
+    body = F.array_join(F.transform("_cells", write), "")
+    if rows is not None:
+        more = F.concat(F.lit("\n\n*... et "), (F.col("n_rows") - rows).cast("string"), F.lit(" lignes supplémentaires*"))
+        body = F.concat(body, F.when(F.col("n_rows") > rows, more).otherwise(""))
     return _top_cells(cells, key, rows).select(
         *key, "table_no", F.when(F.col("n_rows") < 1, EMPTY_TABLE).otherwise(body).alias("markdown")
     )
 
 
-def table_preview(cells: DataFrame, key: Sequence[str] = ("doc",), rows: int = PREVIEW_ROWS) -> DataFrame:
-    """Shape, column names and the cells of the first rows of each table."""
+def table_preview(cells: DataFrame, key: Sequence[str] = ("doc",), rows: int | None = None) -> DataFrame:
+    """Shape, column names and the cells of each table, of its first ``rows`` if given."""
     named = lambda keep: F.transform(F.filter("_cells", keep), lambda c: F.coalesce(c["value"], F.lit("")))
     return _top_cells(cells, key, rows).select(
         *key,

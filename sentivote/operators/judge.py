@@ -112,8 +112,8 @@ def judge_detail(judged: DataFrame, key: Sequence[str] = tuple(vocab.SEGMENT_KEY
     return rows.select(
         (F.col("_pos") + 1).alias("numero"),
         *key,
-        F.substring("section_title", 1, 60).alias("section"),
-        F.substring("paragraph", 1, 200).alias("extrait"),
+        F.col("section_title").alias("section"),
+        F.col("paragraph").alias("extrait"),
         "categorie_cot",
         "confiance_cot",
         F.when(F.col("accord_avec_modele"), "OUI").otherwise("NON").alias("accord_juge"),

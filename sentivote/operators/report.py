@@ -68,7 +68,7 @@ def flat_listing(classified: DataFrame, texts: DataFrame, key: Sequence[str] = K
 def agreement_per_phrase(classified: DataFrame, texts: DataFrame, key: Sequence[str] = KEY,
                          questions: Sequence[str] = QUESTIONS) -> DataFrame:
     rows = classified.select(*key, *[agreement_pct(q).alias(f"Accord_{q}") for q in questions])
-    short = texts.select(*key, F.substring("phrase", 1, 100).alias("phrase_text"))
+    short = texts.select(*key, F.col("phrase").alias("phrase_text"))
     return short.join(rows, list(key))
 
 

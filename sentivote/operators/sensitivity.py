@@ -18,7 +18,6 @@ from sentivote.functions.numbers import percent, ratio, rounded_mean, ticks
 from sentivote.functions.text import quoted
 from sentivote.operators.vote import is_valid
 
-TOP_COMBINATIONS = 20
 STABLE_FROM = 80.0
 
 
@@ -176,8 +175,8 @@ def stability_report(rates: DataFrame) -> DataFrame:
     return counted.withColumn("pct_affected", percent(F.col("segments_affected"), F.col("segments_total"), 1))
 
 
-def top_combinations(subsets: DataFrame, models: Sequence[str], top: int = TOP_COMBINATIONS) -> DataFrame:
-    """Per k the subsets that change most labels, ties in combination order."""
+def top_combinations(subsets: DataFrame, models: Sequence[str], top: int | None = None) -> DataFrame:
+    """Per k the subsets by the labels they change, most first, ties in combination order; ``top`` of them, if given."""
     counted = subsets.groupBy("k", "subset_id").agg(
         F.count_if("changed").alias("nb_changes"), F.count(F.lit(1)).alias("total")
     )
@@ -185,7 +184,7 @@ def top_combinations(subsets: DataFrame, models: Sequence[str], top: int = TOP_C
     ranked = Window.partitionBy("k").orderBy(F.desc("pct_change"), F.desc("subset_id"))
     return (
         rated.withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= top)
+        .filter(F.lit(True) if top is None else F.col("rank") <= top)
         .select("k", "rank", kept_names(models).alias("models_kept"), "nb_changes", "total", "pct_change")
     )
 
@@ -226,7 +225,7 @@ def labelled_dataset(
         dossier(F.col("source_folder")).alias("dossier"),
         *key,
         "section_title",
-        F.substring("paragraph", 1, 500).alias("paragraph"),
+        "paragraph",
         "label",
         "confidence",
         "stability_score",

@@ -7,15 +7,20 @@ position, answers by hexadecimal digits of an md5.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentivote import vocab
-from sentivote.session import spread
 
 ANSWER_MODELS = [m.name for m in vocab.MODELS]
 ENSEMBLE_MODELS = list(dict.fromkeys(m for ms in vocab.ENSEMBLES.values() for m in ms))
 
+#: A pattern for each question, for answers without a model.
+RULES = {
+    "roi_1": "(?i)tion", "roi_2": "(?i)ment", "roi_3": "[0-9]{3}", "notoriete_1": "(?i)the", "notoriete_2": "(?i)under",
+    "notoriete_3": "[A-Z]{4}", "obl_1": "[0-9]", "obl_2": "(?i)ver", "obl_3": "@",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,30 +39,30 @@ def digits(h: Column, at: int, n: int) -> Column:
 
 
 def decorate(line: Column, kind: Column, level: Column) -> Column:
-    """Markdown form of a line; ``kind`` runs over 0..16."""
+    """Markdown form of a line; ``kind`` runs over 0..16.  The line stays whole, marks and lines are added."""
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     head = F.substring(line, 1, 12)
     return (
-        F.when(kind == 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.substring(line, 1, 40)))
+        F.when(kind == 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), line))
         .when(kind == 2, text("- ", line))
         .when(kind == 3, text("12. ", line))
         .when(kind == 4, text("**", head, "** ", line))
         .when(kind == 5, text("[", head, "](https://example.com/p?q=1) ", line))
-        .when(kind == 6, F.lit("![plan](a.png)"))
-        .when(kind == 7, F.lit("***---"))
-        .when(kind == 8, text("| ", head, " | x |"))
-        .when(kind == 9, F.lit("|---|:--|"))
-        .when(kind == 10, F.lit(":-- -"))
-        .when(kind == 11, F.lit(""))
-        .when((kind == 13) | (kind == 15), F.lit("```"))
+        .when(kind == 6, text("![plan](a.png)\n", line))
+        .when(kind == 7, text("***---\n", line))
+        .when(kind == 8, text("| ", line, " | x |"))
+        .when(kind == 9, text("|---|:--|\n", line))
+        .when(kind == 10, text(":-- -\n", line))
+        .when(kind == 11, text("\n", line))
+        .when((kind == 13) | (kind == 15), text("```\n", line))
         .when(kind == 16, text('<span id="p1">x</span><b>', line, "</b>&nbsp;`fin` \\* 2  a"))
         .otherwise(line)
     )
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Columns of the documents, spread over the cores when the file is small."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+    """Columns of the documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +213,7 @@ def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"reponse": true}', '{"reponse": 1}', '{"reponse": "OUI"}', '```\n{"reponse": "non"}\n```',
         '{"reponse": null}', '{"reponse": "oui" ', '"oui"',
     ]
-    quoted = F.concat(F.lit("{"), F.substring("text", 1, 10), F.lit("}"))
+    quoted = F.concat(F.lit("{"), F.col("text"), F.lit("}"))
     return asked.withColumn("_h", h).select(
         "doc_id", "question_key", _pick(digit(F.col("_h"), 1), [*[F.lit(s) for s in shapes], quoted]).alias("raw")
     )
@@ -269,7 +274,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(turn / 3 + 1).cast("int").alias("page"),
         turn.cast("int").alias("box_no"),
         F.array(turn / 8.0, turn * 1.0, turn * 2.0, turn + 0.5).alias("bbox"),
-        F.when(turn % 4 == 3, F.lit(" \n ")).otherwise(F.concat(F.lit("  "), "text", F.lit("\n"))).alias("text"),
+        F.when(turn % 4 == 3, F.concat(F.lit(" \n "), "text")).otherwise(F.concat(F.lit("  "), "text", F.lit("\n"))).alias("text"),
     )
 
 
@@ -282,7 +287,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("doc"),
         turn.cast("int").alias("el_no"),
         _pick(kind, [F.lit(p) for p in paths]).alias("path"),
-        F.when(kind != 3, F.substring("text", 1, 60)).alias("text"),
+        F.col("text"),
         F.when(turn > 0, F.floor(turn / 4 + 1).cast("int")).alias("page"),
         F.when(kind == 0, 20.0).when(kind == 6, 15.0).when(kind == 1, F.lit(None)).otherwise(10.0).alias("text_size"),
     )
@@ -293,7 +298,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sentivote.functions.ranking import numbered
 
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props")
-    rows = numbered(spread(events, "event_id"), ["event_id"], "pos", ["user_id"])
+    rows = numbered(events, ["event_id"], "pos", ["user_id"])
     row = (F.col("pos") + 1).cast("int")
     cell = lambda r, c, value: F.struct(r.alias("row"), F.lit(c).alias("col"), value.alias("value"))
     body = F.array(
@@ -307,12 +312,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One or two extracted tables for two conversations out of three."""
-    turns = table(spark, sf_dir, "conversations").filter((F.col("conv_id") % 3 != 0) & (F.col("turn") < 2))
-    return turns.select(
+    """One extracted table for every turn."""
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc"),
         (F.col("turn") + 1).cast("int").alias("table_no"),
-        F.concat(F.lit("| "), F.substring("text", 1, 10), F.lit(" |\n|---|")).alias("markdown"),
+        F.concat(F.lit("| "), "text", F.lit(" |\n|---|")).alias("markdown"),
     )
 
 
@@ -321,15 +325,16 @@ def docs_with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sentivote.operators.docstruct import join_pages
 
     turn = F.col("page") - 1
-    text = F.when((turn + F.col("doc")) % 3 == 0, F.concat(F.lit("### Tableau\n\n"), F.substring("text", 1, 20))).otherwise(
-        F.concat(F.lit("mot Tableau "), F.substring("text", 1, 20))
+    text = F.when((turn + F.col("doc")) % 3 == 0, F.concat(F.lit("### Tableau\n\n"), "text")).otherwise(
+        F.concat(F.lit("mot Tableau "), "text")
     )
     return join_pages(page_texts(spark, sf_dir).withColumn("text", text), separator="\n").select("doc", "text")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OCR block graph from orders: a table per order, a cell per line item."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    """OCR block graph from orders: a table per order, a cell per line item, counted anew inside the order."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("l_linenumber"), "l_partkey")
     child = lambda ids: F.array(F.struct(F.lit("CHILD").alias("type"), ids.alias("ids")))
     none = F.array().cast("array<struct<type:string,ids:array<string>>>")
     number = F.col("l_linenumber").cast("string")

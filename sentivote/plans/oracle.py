@@ -165,15 +165,15 @@ def text_sql() -> dict[str, str]:
             f"SELECT {X.KEYS}, CAST(row_number() OVER (PARTITION BY {X.KEYS} ORDER BY line_no) - 1 AS INTEGER) AS line_no, line FROM cleaned",
             X.LINES, X.CLEAN),
         "clean_documents": X.statement(
-            f"""SELECT c.source_folder, c.source_file, c.text, CAST({nl.replace('text', 'd.text')} AS INTEGER) AS n_before,
+            f"""SELECT c.source_folder, c.source_file, c.text, CAST(d.nb AS INTEGER) AS n_before,
             false AS bad, CAST({nl.replace('text', 'c.text')} AS INTEGER) AS n_after
-            FROM clean_docs c JOIN documents d ON c.source_file = 'doc_' || d.doc_id || '.md'""",
+            FROM clean_docs c JOIN (SELECT source_file, count(*) - 1 AS nb FROM md_lines GROUP BY source_file) d USING (source_file)""",
             X.LINES, X.CLEAN),
         "clean_report": X.statement(
             f"""SELECT CAST(count(*) AS BIGINT) AS files_ok, CAST(0 AS BIGINT) AS files_failed,
-            CAST(sum({nl.replace('text', 'd.text')}) AS BIGINT) AS lines_before,
+            CAST(sum(d.nb) AS BIGINT) AS lines_before,
             CAST(sum({nl.replace('text', 'c.text')}) AS BIGINT) AS lines_after
-            FROM clean_docs c JOIN documents d ON c.source_file = 'doc_' || d.doc_id || '.md'""",
+            FROM clean_docs c JOIN (SELECT source_file, count(*) - 1 AS nb FROM md_lines GROUP BY source_file) d USING (source_file)""",
             X.LINES, X.CLEAN),
         "tokens": X.statement("SELECT * REPLACE (coalesce(level, 0) AS level) FROM tok", *raw),
         "sentences_merged": X.statement(
@@ -232,7 +232,7 @@ def vote_sql() -> dict[str, str]:
             f"SELECT {K}, cost_usd_phrase, cost_eur_phrase, duration_s_phrase FROM money", *VOTE_CTES),
         "call_details": with_(
             f"""SELECT {K}, CAST(count(*) AS INTEGER) AS n_details,
-            string_agg(substr(split_part(model, '/', 2), 1, 20) || ':' || question_key || ':' || answer ||
+            string_agg(split_part(model, '/', 2) || ':' || question_key || ':' || answer ||
               CASE WHEN failed THEN '!' ELSE '' END, ',' ORDER BY model, question_key) AS details
             FROM calls GROUP BY {K}""",
             *VOTE_CTES),
@@ -266,11 +266,11 @@ def report_sql() -> dict[str, str]:
     accord = lambda name: ", ".join(
         f"max(CASE WHEN question_key = '{q}' THEN CASE WHEN n_valid < 2 THEN 50.0 ELSE round(100.0::DOUBLE * greatest(n_oui, n_valid - n_oui) / n_valid, 1) END END) AS \"{name}_{q}\"" for q in Q)
     cells = ", ".join(
-        f"max(CASE WHEN model = '{m}' AND question_key = '{q}' THEN CASE WHEN failed THEN 'ERR' ELSE answer END END) AS \"{short(m)[:20]}__{q}\""
+        f"max(CASE WHEN model = '{m}' AND question_key = '{q}' THEN CASE WHEN failed THEN 'ERR' ELSE answer END END) AS \"{short(m)}__{q}\""
         for m in ANSWER_MODELS for q in Q)
     compact = ", ".join(
         "'R:' || " + " || ' N:' || ".join([_bits(m, "ROI"), _bits(m, "Notoriete")]) + " || ' O:' || " + _bits(m, "Obligation")
-        + f" AS \"resp_{short(m)[:25]}\", coalesce({eur(UNITS_SUM.replace('sum(', "sum(CASE WHEN model = '" + m + "' THEN ", 1).replace('BIGINT)) AS', 'BIGINT) END) AS'), 7)}, 0.0) AS \"cost_eur_{short(m)[:25]}\""
+        + f" AS \"resp_{short(m)}\", coalesce({eur(UNITS_SUM.replace('sum(', "sum(CASE WHEN model = '" + m + "' THEN ", 1).replace('BIGINT)) AS', 'BIGINT) END) AS'), 7)}, 0.0) AS \"cost_eur_{short(m)}\""
         for m in ANSWER_MODELS)
     means = []
     for c, p in (("ROI", "roi"), ("Notoriete", "notoriete"), ("Obligation", "obl")):
@@ -339,7 +339,7 @@ def report_sql() -> dict[str, str]:
             *VOTE_CTES),
         "agreement_per_phrase": with_(
             f"""SELECT lang AS source_folder, source AS source_file, CAST(doc_id AS INTEGER) AS phrase_index,
-            substr(text, 1, 100) AS phrase_text, {", ".join(f'"Accord_{q}"' for q in Q)}
+            text AS phrase_text, {", ".join(f'"Accord_{q}"' for q in Q)}
             FROM documents JOIN (SELECT {K}, {accord('Accord')} FROM va GROUP BY {K}) a ON a.phrase_index = doc_id""",
             *VOTE_CTES),
         "flat_listing": with_(
@@ -421,7 +421,7 @@ def sensitivity_sql() -> dict[str, str]:
     qcols = ", ".join(f"max(CASE WHEN question_key = '{q}' THEN answer END) AS \"Q_{q}\"" for q in Q)
     calls = (QUESTIONS, answers("u", S), votes_cte(S))
     dataset = f"""ds AS (SELECT u.source_folder AS client, '' AS dossier, {", ".join("u." + c.strip() for c in S.split(","))},
-        'Introduction' AS section_title, substr(doc.text, 1, 500) AS paragraph, label, confidence, stability_score,
+        'Introduction' AS section_title, doc.text AS paragraph, label, confidence, stability_score,
         scores_roi, scores_notoriete, scores_obligation, w.* EXCLUDE ({S}), qa.* EXCLUDE ({S})
         FROM u JOIN documents doc ON doc.doc_id = u.paragraph_index
         JOIN ref USING ({S}) JOIN stab USING ({S}) JOIN sc USING ({S})
@@ -441,7 +441,7 @@ def sensitivity_sql() -> dict[str, str]:
               SELECT *, row_number() OVER (PARTITION BY k ORDER BY pct_change DESC, subset_id DESC) AS rank FROM (
                 SELECT k, subset_id, {names} AS models_kept, CAST(sum(CASE WHEN changed THEN 1 ELSE 0 END) AS BIGINT) AS nb_changes,
                   count(*) AS total, round(100.0::DOUBLE * sum(CASE WHEN changed THEN 1 ELSE 0 END) / count(*), 1) AS pct_change
-                FROM sub GROUP BY k, subset_id)) WHERE rank <= 20""",
+                FROM sub GROUP BY k, subset_id))""",
             *base),
         "labelled_dataset": with_("SELECT * FROM ds", *base, *calls, dataset),
         "file_synthesis": with_(
@@ -632,7 +632,7 @@ judged AS (
             FROM first JOIN lab USING ({S})""", *base, *one_model),
         "judge_detail": with_(
             f"""SELECT row_number() OVER (ORDER BY source_folder, source_file, paragraph_index) AS numero, {S},
-            'Introduction' AS section, substr(text, 1, 200) AS extrait, categorie_cot, confiance_cot,
+            'Introduction' AS section, text AS extrait, categorie_cot, confiance_cot,
             CASE WHEN accord_avec_modele THEN 'OUI' ELSE 'NON' END AS accord_juge, categorie_juge, confiance_juge,
             justification_juge, analyse_critique, categorie_gt, categorie_cot = categorie_gt AS cot_ok, categorie_juge = categorie_gt AS juge_ok
             FROM judged JOIN documents ON doc_id = paragraph_index""", *base),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from sentivote import vocab
 from sentivote.functions import language
 from sentivote.plans import oracle_text as X
-from sentivote.plans.fixtures import ANSWER_MODELS
+from sentivote.plans.fixtures import ANSWER_MODELS, RULES
 
 K = "source_folder, source_file, phrase_index"
 
@@ -21,9 +21,8 @@ def case(selector: str, options: list[str]) -> str:
 def call_sql(o) -> dict[str, str]:
     """``o`` is the module holding the shared CTEs."""
     d = o.d
-    one = o.model_list(ANSWER_MODELS[:1])
     # What each of the sixteen reply shapes means; the last one is text in braces.
-    has_oui = "contains(lower(substr(text, 1, 10)), 'oui')"
+    has_oui = "contains(lower(text), 'oui')"
     yes, no, none = "'oui'", "'non'", "false"
     shape = d("h", 1)
     loose = [yes, yes, yes, no, no, no, no, no, yes, yes, yes, no, no, yes, no, f"CASE WHEN {has_oui} THEN 'oui' ELSE 'non' END"]
@@ -49,7 +48,7 @@ rh AS (SELECT doc_id, text, question_key, md5(CAST(doc_id AS VARCHAR) || '|' ||
         "'Phrase : \"' || text || '\"' || chr(10) || chr(10) || 'Question : ' || texte || chr(10) || chr(10) || "
         "'Réponds UNIQUEMENT avec ce JSON valide (sans markdown) :' || chr(10) || '{\"reponse\": \"oui\"} ou {\"reponse\": \"non\"}'"
     )
-    context = "'Paragraphe de contexte :' || chr(10) || '\"\"\"' || substr(full_paragraph, 1, 1200) || '\"\"\"' || chr(10) || chr(10) || "
+    context = "'Paragraphe de contexte :' || chr(10) || '\"\"\"' || full_paragraph || '\"\"\"' || chr(10) || chr(10) || "
     para_prompt = context + prompt.replace("'Phrase : ", "'Phrase à analyser : ").replace("|| text ||", "|| phrase ||")
     qtext = o.values("qtext", "question_key, texte", [(q.key, q.text) for q in vocab.QUESTIONS])
     units_of = o.text_sql()["scored_units"]
@@ -62,7 +61,8 @@ rh AS (SELECT doc_id, text, question_key, md5(CAST(doc_id AS VARCHAR) || '|' ||
 lw AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents),
 lc AS (SELECT doc_id, lang, {counts} FROM lw),
 ld AS (SELECT doc_id, lang, {detected} AS lang_detected FROM lc)"""
-    rule = "CASE WHEN (question_key = 'roi_1' AND regexp_matches(text, '(?i)tion')) OR (question_key = 'notoriete_1' AND regexp_matches(text, '(?i)the')) OR (question_key = 'obl_1' AND regexp_matches(text, '[0-9]')) THEN 'oui' ELSE 'non' END"
+    rule = "CASE WHEN " + " OR ".join(
+        f"(question_key = '{q}' AND regexp_matches(text, '{p}'))" for q, p in RULES.items()) + " THEN 'oui' ELSE 'non' END"
     docs = "SELECT lang AS source_folder, source AS source_file, CAST(doc_id AS INTEGER) AS phrase_index, doc_id, text FROM documents"
     return {
         "parse_answers": parsed(loose, loose_failed),
@@ -82,21 +82,22 @@ ld AS (SELECT doc_id, lang, {detected} AS lang_detected FROM lc)"""
             f"""SELECT {K}, model, question_key, {o.usd('cents', 10)} AS cost_usd, {o.eur('cents', 10)} AS cost_eur FROM (
               SELECT *, CAST(tok_in * CAST(round(pin * 100) AS BIGINT) + tok_out * CAST(round(pout * 100) AS BIGINT) AS HUGEINT) AS cents
               FROM calls JOIN prices USING (model))""", *o.VOTE_CTES),
-        "phrase_prompts": o.with_(f"SELECT {K}, question_key, md5({prompt}) AS prompt_md5 FROM ({docs}), qtext", qtext),
-        "paragraph_prompts": f"""WITH {qtext} SELECT source_folder, source_file, paragraph_index, phrase_index, question_key,
-            md5({para_prompt}) AS prompt_md5 FROM ({units_of}) un, qtext WHERE question_key IN ('roi_1', 'obl_2')""",
-        "external_answers": f"""SELECT {K}, 'roi_1' AS question_key, {quote(ANSWER_MODELS[0])} AS model,
-            CASE WHEN length(text) % 2 = 0 THEN 'oui' ELSE 'non' END AS answer, CAST(length(text) AS INTEGER) AS tok_in,
-            5 AS tok_out FROM ({docs})""",
+        "phrase_prompts": o.with_(f"SELECT {K}, question_key, model, md5({prompt}) AS prompt_md5 FROM ({docs}), qtext, models", qtext, o.model_list(ANSWER_MODELS)),
+        "paragraph_prompts": f"""WITH {qtext}, {o.model_list(ANSWER_MODELS)} SELECT source_folder, source_file, paragraph_index, phrase_index,
+            question_key, model, md5({para_prompt}) AS prompt_md5 FROM ({units_of}) un, qtext, models""",
+        "external_answers": o.with_(
+            f"""SELECT {K}, question_key, model, CASE WHEN length(text) % 2 = 0 THEN 'oui' ELSE 'non' END AS answer,
+            CAST(length(text) AS INTEGER) AS tok_in, 5 AS tok_out FROM ({docs}), questions, models""",
+            o.QUESTIONS, o.model_list(ANSWER_MODELS)),
         "recorded_answers": o.with_(
-            f"""SELECT lang AS source_folder, source AS source_file, CAST(doc_id AS INTEGER) AS phrase_index, question_key,
+            f"""SELECT lang AS source_folder, source AS source_file, CAST(doc_id AS INTEGER) AS phrase_index, question_key, model,
             CASE WHEN doc_id % 10 = 3 THEN 'non' ELSE {case(shape, loose)} END AS answer,
             CASE WHEN doc_id % 10 = 3 OR {case(shape, loose_failed)} THEN 0 ELSE 10 END AS tok_in,
-            doc_id % 10 = 3 OR {case(shape, loose_failed)} AS failed FROM rh JOIN documents USING (doc_id)""".replace(
-                "substr(text", "substr(documents.text"), o.QUESTIONS, replies),
+            doc_id % 10 = 3 OR {case(shape, loose_failed)} AS failed FROM rh JOIN documents USING (doc_id), models""".replace(
+                "lower(text)", "lower(documents.text)"), o.QUESTIONS, o.model_list(ANSWER_MODELS), replies),
         "rule_answers": o.with_(
-            f"SELECT {K}, question_key, {rule} AS answer FROM ({docs}), questions WHERE question_key IN ('roi_1', 'notoriete_1', 'obl_1')",
-            o.QUESTIONS),
+            f"SELECT {K}, question_key, model, {rule} AS answer FROM ({docs}), questions, models",
+            o.QUESTIONS, o.model_list(ANSWER_MODELS)),
         "incremental_skip": o.with_(f"SELECT {K} FROM u WHERE NOT starts_with(source_file, 'src1')", o.UNITS),
         "dedup_results": o.with_(
             f"""SELECT {K}, CASE WHEN phrase_index % 3 = 0 THEN 'cached' ELSE categorie END AS categorie,
@@ -118,7 +119,7 @@ def structure_sql(o) -> dict[str, str]:
     elements = f"""
 el AS (
   SELECT conv_id AS doc, CAST(turn AS INTEGER) AS el_no, {case('(turn + conv_id) % 7', [quote(p) for p in PATHS])} AS path,
-    CASE WHEN (turn + conv_id) % 7 <> 3 THEN substr(text, 1, 60) ELSE '' END AS text,
+    text,
     CASE WHEN turn > 0 THEN CAST(turn // 4 + 1 AS INTEGER) ELSE 1 END AS page,
     CASE (turn + conv_id) % 7 WHEN 0 THEN 20 WHEN 6 THEN 15 WHEN 1 THEN 12 ELSE 10 END AS size
   FROM conversations
@@ -140,8 +141,8 @@ es AS (
     has_line = f"(brk OR (tab AND (NOT inside OR contains(path, 'TD') OR contains(path, 'TR'))) OR (NOT tab AND (inside OR {t} <> '')))"
     tables = """
 tb AS (
-  SELECT conv_id AS doc, CAST(turn + 1 AS INTEGER) AS table_no, '| ' || substr(text, 1, 10) || ' |' || chr(10) || '|---|' AS markdown
-  FROM conversations WHERE conv_id % 3 <> 0 AND turn < 2
+  SELECT conv_id AS doc, CAST(turn + 1 AS INTEGER) AS table_no, '| ' || text || ' |' || chr(10) || '|---|' AS markdown
+  FROM conversations
 )"""
     rebuilt = f"""concat_ws(chr(10), {brk},
       CASE WHEN tab AND NOT contains(path, 'TD') AND markdown IS NOT NULL
@@ -157,13 +158,13 @@ cl AS (
     headings = """
 hd AS (
   SELECT conv_id AS doc, turn, (turn + conv_id) % 3 = 0 AS is_h,
-    CASE WHEN (turn + conv_id) % 3 = 0 THEN '### Tableau' || chr(10) || chr(10) || substr(text, 1, 20)
-      ELSE 'mot Tableau ' || substr(text, 1, 20) END AS txt, substr(text, 1, 20) AS body
+    CASE WHEN (turn + conv_id) % 3 = 0 THEN '### Tableau' || chr(10) || chr(10) || text
+      ELSE 'mot Tableau ' || text END AS txt, text AS body
   FROM conversations
 ),
 hn AS (
   SELECT *, sum(CASE WHEN is_h THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY turn) AS nth,
-    sum(CASE WHEN is_h THEN 1 ELSE 0 END) OVER (PARTITION BY doc) AS n_h, (doc % 3) <> 0 AS has_tables
+    sum(CASE WHEN is_h THEN 1 ELSE 0 END) OVER (PARTITION BY doc) AS n_h, true AS has_tables
   FROM hd
 ),
 hp AS (
@@ -178,7 +179,8 @@ ex AS (
 )"""
     items = """
 it AS (
-  SELECT l_orderkey AS doc, l_linenumber AS n, min(l_partkey) AS p, 'x' || l_linenumber AS f FROM lineitem GROUP BY ALL
+  SELECT doc, n, p, 'x' || n AS f FROM (SELECT l_orderkey AS doc, l_partkey AS p,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem)
 )"""
     md = (X.LINES,)
     runs = f"""
@@ -199,9 +201,9 @@ tt AS (
             count(*) AS n_pages FROM conversations GROUP BY conv_id)""",
         "page_boxes": f"""SELECT doc, page, coalesce(string_agg(t, chr(10) ORDER BY turn), '') AS texte, CAST(count(t) AS INTEGER) AS nb_blocs,
             CAST(coalesce(sum(length(t)), 0) AS INTEGER) AS nb_chars, coalesce(string_agg(b, ';' ORDER BY turn), '') AS bboxes FROM (
-              SELECT conv_id AS doc, CAST(turn // 3 + 1 AS INTEGER) AS page, turn, CASE WHEN turn % 4 <> 3 THEN {X.strip('text')} END AS t,
-              CASE WHEN turn % 4 <> 3 THEN concat_ws(',', CAST(((turn * 250 + 10) // 20)::DOUBLE / 100 AS VARCHAR), CAST(turn::DOUBLE AS VARCHAR),
-                CAST((turn * 2)::DOUBLE AS VARCHAR), CAST(turn + 0.5::DOUBLE AS VARCHAR)) END AS b FROM conversations)
+              SELECT conv_id AS doc, CAST(turn // 3 + 1 AS INTEGER) AS page, turn, {X.strip('text')} AS t,
+              concat_ws(',', CAST(((turn * 250 + 10) // 20)::DOUBLE / 100 AS VARCHAR), CAST(turn::DOUBLE AS VARCHAR),
+                CAST((turn * 2)::DOUBLE AS VARCHAR), CAST(turn + 0.5::DOUBLE AS VARCHAR)) AS b FROM conversations)
             GROUP BY doc, page""",
         "structure_markdown": o.with_(f"{tail} FROM (SELECT doc, el_no, {md_line} AS line, {has_line} AS has FROM es) GROUP BY doc", elements),
         "element_stats": o.with_(
@@ -219,12 +221,11 @@ tt AS (
             tables, headings),
         "table_markdown": o.with_(
             """SELECT doc, 1 AS table_no, '| id | type | props |' || chr(10) || '|---|---|---|' || chr(10) ||
-            string_agg('| ' || c1 || ' | ' || c2 || ' | ' || coalesce(c3, 'nan') || ' |', chr(10) ORDER BY row) FILTER (WHERE row <= 20) ||
-            CASE WHEN max(row) > 20 THEN chr(10) || chr(10) || '*... et ' || (max(row) - 20) || ' lignes supplémentaires*' ELSE '' END AS markdown
+            string_agg('| ' || c1 || ' | ' || c2 || ' | ' || coalesce(c3, 'nan') || ' |', chr(10) ORDER BY row) AS markdown
             FROM cl GROUP BY doc""", cells),
         "table_preview": o.with_(
             """SELECT doc, 1 AS table_no, CAST(max(row) AS INTEGER) AS n_rows, 3 AS n_cols, 'id,type,props' AS colonnes,
-            string_agg(c1 || ',' || c2 || ',' || coalesce(c3, ''), ',' ORDER BY row) FILTER (WHERE row <= 3) AS apercu
+            string_agg(c1 || ',' || c2 || ',' || coalesce(c3, ''), ',' ORDER BY row) AS apercu
             FROM cl GROUP BY doc""", cells),
         "markdown_tables": o.with_("SELECT * FROM tt", *md, runs),
         "table_cells": o.with_(
@@ -245,7 +246,7 @@ tt AS (
             LEFT JOIN it ON it.doc = g.doc AND it.n = g.r AND 1 + it.p % 3 = g.c""", items),
         "extraction_leaderboard": _leaderboard("outil"),
         "extraction_by_mode": _leaderboard("outil, mode"),
-        "path_dedup": "SELECT regexp_extract(url, '^(https?://[^/]+)', 1) AS path, max(page_id) AS seen_no FROM pages GROUP BY 1",
+        "path_dedup": "SELECT url AS path, max(page_id) AS seen_no FROM pages GROUP BY 1",
     }
 
 

@@ -61,25 +61,35 @@ raw_lines AS (
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n
   FROM documents
 ),
-md_lines AS (
-  SELECT source AS source_folder, 'doc_' || doc_id || '.md' AS source_file, n AS line_no,
+md_marked AS (
+  SELECT source AS source_folder, 'doc_' || doc_id || '.md' AS source_file, n,
     CASE (n + doc_id) % 17
-      WHEN 0 THEN repeat('#', CAST(1 + n % 3 AS INTEGER)) || ' ' || substr(l, 1, 40)
+      WHEN 0 THEN repeat('#', CAST(1 + n % 3 AS INTEGER)) || ' ' || l
       WHEN 2 THEN '- ' || l
       WHEN 3 THEN '12. ' || l
       WHEN 4 THEN '**' || substr(l, 1, 12) || '** ' || l
       WHEN 5 THEN '[' || substr(l, 1, 12) || '](https://example.com/p?q=1) ' || l
-      WHEN 6 THEN '![plan](a.png)'
-      WHEN 7 THEN '***---'
-      WHEN 8 THEN '| ' || substr(l, 1, 12) || ' | x |'
-      WHEN 9 THEN '|---|:--|'
-      WHEN 10 THEN ':-- -'
-      WHEN 11 THEN ''
-      WHEN 13 THEN '```'
-      WHEN 15 THEN '```'
+      WHEN 6 THEN '![plan](a.png)' || chr(10) || l
+      WHEN 7 THEN '***---' || chr(10) || l
+      WHEN 8 THEN '| ' || l || ' | x |'
+      WHEN 9 THEN '|---|:--|' || chr(10) || l
+      WHEN 10 THEN ':-- -' || chr(10) || l
+      WHEN 11 THEN chr(10) || l
+      WHEN 13 THEN '```' || chr(10) || l
+      WHEN 15 THEN '```' || chr(10) || l
       WHEN 16 THEN '<span id="p1">x</span><b>' || l || '</b>&nbsp;`fin` \\* 2  a'
-      ELSE l END AS line
+      ELSE l END AS marked
   FROM raw_lines
+),
+md_parts AS (
+  SELECT source_folder, source_file, n, unnest(string_split(marked, chr(10))) AS line,
+         generate_subscripts(string_split(marked, chr(10)), 1) AS part
+  FROM md_marked
+),
+md_lines AS (
+  SELECT source_folder, source_file, line,
+    row_number() OVER (PARTITION BY source_folder, source_file ORDER BY n, part) - 1 AS line_no
+  FROM md_parts
 )"""
 
 CLEAN = f"""

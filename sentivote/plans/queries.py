@@ -13,7 +13,6 @@ from sentivote.operators import ballots as B
 from sentivote.functions import language, parse
 from sentivote.operators import calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, vote
 from sentivote.plans import fixtures as fx
-from sentivote.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEG = tuple(vocab.SEGMENT_KEY)
@@ -55,7 +54,7 @@ def text_queries() -> dict[str, Query]:
         "scored_units": lambda s, d: segment.scored_units(segment.paragraphs(_cleaned(s, d))),
         "segmentation_report": lambda s, d: segment.segment_report(segment.phrases_flat(_cleaned(s, d)), vocab.FILE_KEY),
         "simple_segments": lambda s, d: segment.simple_segments(fx.md_docs(s, d)),
-        "html_strip": lambda s, d: spread(fx.table(s, d, "pages").select("page_id", "html"), "page_id").select("page_id", T.clean_markup(F.col("html")).alias("text")),
+        "html_strip": lambda s, d: fx.table(s, d, "pages").select("page_id", T.clean_markup(F.col("html")).alias("text")),
     }
 
 
@@ -235,15 +234,13 @@ def call_queries() -> dict[str, Query]:
         return calls.call_plan(fx.units(s, d))
 
     def phrase_prompts(s: SparkSession, d: str) -> DataFrame:
-        asked = calls.call_plan(fx.unit_texts(s, d), models=fx.ANSWER_MODELS[:1])
-        return asked.select(*vocab.PHRASE_KEY, "question_key", F.md5(calls.phrase_prompt()).alias("prompt_md5"))
+        asked = calls.call_plan(fx.unit_texts(s, d))
+        return asked.select(*vocab.PHRASE_KEY, "question_key", "model", F.md5(calls.phrase_prompt()).alias("prompt_md5"))
 
     def paragraph_prompts(s: SparkSession, d: str) -> DataFrame:
-        asked = calls.call_plan(
-            segment.scored_units(segment.paragraphs(_cleaned(s, d))), ["roi_1", "obl_2"], fx.ANSWER_MODELS[:1]
-        )
+        asked = calls.call_plan(segment.scored_units(segment.paragraphs(_cleaned(s, d))))
         return asked.select(
-            "source_folder", "source_file", "paragraph_index", "phrase_index", "question_key",
+            "source_folder", "source_file", "paragraph_index", "phrase_index", "question_key", "model",
             F.md5(calls.paragraph_prompt()).alias("prompt_md5"),
         )
 
@@ -259,7 +256,7 @@ def call_queries() -> dict[str, Query]:
 
             return answer
 
-        asked = calls.call_plan(fx.unit_texts(s, d), ["roi_1"], fx.ANSWER_MODELS[:1])
+        asked = calls.call_plan(fx.unit_texts(s, d))
         replied = calls.read_answers(calls.ask_external(asked, ask))
         return replied.select(*vocab.PHRASE_KEY, "question_key", "model", "answer", "tok_in", "tok_out")
 
@@ -268,16 +265,15 @@ def call_queries() -> dict[str, Query]:
             F.col("doc_id").cast("int").alias("phrase_index"), "question_key", "raw",
             F.lit(10).alias("tok_in"), F.lit(2).alias("tok_out"), F.lit(None).cast("string").alias("erreur"),
         )
-        asked = calls.call_plan(fx.units(s, d), models=fx.ANSWER_MODELS[:1])
+        asked = calls.call_plan(fx.units(s, d))
         answered = calls.read_answers(calls.answer_from_recorded(asked, replies, ["phrase_index", "question_key"]))
         return answered.select(
-            *vocab.PHRASE_KEY, "question_key", "answer", "tok_in", F.col("erreur").isNotNull().alias("failed")
+            *vocab.PHRASE_KEY, "question_key", "model", "answer", "tok_in", F.col("erreur").isNotNull().alias("failed")
         )
 
     def rules(s: SparkSession, d: str) -> DataFrame:
-        words = {"roi_1": r"(?i)tion", "notoriete_1": r"(?i)the", "obl_1": r"[0-9]"}
-        asked = calls.call_plan(fx.unit_texts(s, d), list(words), fx.ANSWER_MODELS[:1])
-        return calls.answer_by_rules(asked, words).select(*vocab.PHRASE_KEY, "question_key", "answer")
+        asked = calls.call_plan(fx.unit_texts(s, d))
+        return calls.answer_by_rules(asked, fx.RULES).select(*vocab.PHRASE_KEY, "question_key", "model", "answer")
 
     done = lambda s, d: fx.units(s, d).filter(F.col("source_file").startswith("src1")).select(*vocab.FILE_KEY)
 
@@ -335,7 +331,7 @@ def structure_queries() -> dict[str, Query]:
 
     def paths(s: SparkSession, d: str) -> DataFrame:
         listed = fx.table(s, d, "pages").select(
-            F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("path"), F.col("page_id").alias("seen_no")
+            F.col("url").alias("path"), F.col("page_id").alias("seen_no")
         )
         return docstruct.distinct_paths(listed, "seen_no")
 

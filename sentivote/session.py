@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,29 +27,25 @@ def local_session(cpus: int | str = "*", app: str = "sentivote", memory: str = "
     )
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Use all cores on an input of few row groups.
-
-    A small file is read by one task, however many cores wait, and the text
-    operators do all their work in the reading task.  Only such an input is
-    redistributed; a large one already has more splits than cores.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+_own_folder: list[str] = []
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy.
+    """Write ``df`` once as Parquet to the checkpoint folder and go on from the written copy.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``, shared
-    by all executors, so losing some of them loses no result.  A session on one
+    by all executors, so losing some of them loses no result.  Only a session on one
     machine that names none, as in tests, gets a temporary folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sentivote-checkpoint-"))
-    return df.checkpoint()
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="sentivote-checkpoint-"))
+        folder = _own_folder[0]
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ SEGMENT_SUFFIX = "_segments.json"
 
 def _located(df: DataFrame, root: str) -> DataFrame:
     """Add ``source_folder`` and ``source_file`` from the file's path below ``root``."""
-    rel = paths.relative(F.col("_metadata.file_path"), root)
+    rel = paths.relative(F.col("_metadata.file_path"), paths.qualified(df.sparkSession, root))
     return df.select("*", paths.folder(rel).alias("source_folder"), paths.file_name(rel).alias("source_file"))
 
 
@@ -154,16 +154,22 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_dataset(
-    df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ("source_folder",), within: Sequence[str] = ("source_file",)
+    df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ("source_folder",), within: Sequence[str] = ("source_file",),
+    mode: str = "overwrite", spread_over: int = 8,
 ) -> None:
-    """One dataset, partitioned by folder.
+    """One dataset, partitioned by folder.  ``df`` is run once.
 
-    Rows are ranged by folder and file first: small folders share a task, so
-    the tasks do not each leave a file in every folder, and a folder of any
-    size is cut between its files.
+    Rows are dealt by folder and one of ``spread_over`` parts of its files: the tasks
+    do not each leave a file in every folder, and a large folder is written by several.
+    ``mode`` is ``overwrite``, ``append`` (a later run adds files) or ``folders``, which
+    replaces the folders that ``df`` has and keeps the others.
     """
-    ranged = df.repartitionByRange(*by, *within)
-    ranged.write.mode("overwrite").partitionBy(*by).format(fmt).save(path)
+    part = F.pmod(F.xxhash64(*within), F.lit(spread_over))
+    writer = df.repartition(*by, part).write.partitionBy(*by).format(fmt)
+    if mode == "folders":
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)
+    else:
+        writer.mode(mode).save(path)
 
 
 def write_clean_documents(cleaned: DataFrame, path: str) -> None:

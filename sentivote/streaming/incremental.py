@@ -22,7 +22,7 @@ def markdown_stream(spark: SparkSession, root: str, files_per_batch: int | None
     reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rel = paths.relative(F.col("_metadata.file_path"), root)
+    rel = paths.relative(F.col("_metadata.file_path"), paths.qualified(spark, root))
     return reader.load(root).select(
         paths.folder(rel).alias("source_folder"),
         paths.file_name(rel).alias("source_file"),

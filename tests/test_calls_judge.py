@@ -81,13 +81,13 @@ def test_prompt_leaves_braces_of_the_text_alone(spark):
 
 def test_context_is_cut_for_the_prompt(spark):
     df = spark.createDataFrame([("§" * 2000, "p", "roi_1")], "full_paragraph string, phrase string, question_key string")
-    prompt = df.select(calls.paragraph_prompt()).first()[0]
+    prompt = df.select(calls.paragraph_prompt(chars=1200)).first()[0]
     assert prompt.count("§") == 1200
 
 
 def test_qwen_gets_its_own_template(spark):
     df = spark.createDataFrame([("t", "p" * 900, "Qwen/x"), ("t", "p", "y")], "section_title string, paragraph string, model string")
-    rows = df.select(calls.segment_prompt("S {section_title} {paragraph}", "Q {paragraph}")).collect()
+    rows = df.select(calls.segment_prompt("S {section_title} {paragraph}", "Q {paragraph}", chars=800)).collect()
     assert [r[0] for r in rows] == ["Q " + "p" * 800, "S t p"]
 
 
@@ -96,7 +96,7 @@ def test_judge_prompt_lists_the_answers(spark):
         [("t", "p" * 700, "why", "ROI", 0.5, {"roi_1": "oui"})],
         "section_title string, paragraph string, raisonnement string, categorie string, confiance double, answers map<string,string>",
     )
-    got = df.select(calls.judge_prompt("{paragraph}|{raisonnement}|{categorie_proposee}|{confiance}|{reponses_str}", ["roi_1", "obl_1"])).first()[0]
+    got = df.select(calls.judge_prompt("{paragraph}|{raisonnement}|{categorie_proposee}|{confiance}|{reponses_str}", ["roi_1", "obl_1"], chars=600)).first()[0]
     assert got == "p" * 600 + "|why|ROI|0.5|  roi_1: oui\n  obl_1: non"
 
 

@@ -65,12 +65,12 @@ def test_table_markdown_and_preview(spark):
     rows += [(1, 1, r, c, None if (r, c) == (2, 2) else f"{r}{c}") for r in range(1, 23) for c in (1, 2)]
     rows += [(1, 2, 0, 1, "vide")]
     df = spark.createDataFrame(rows, CELLS)
-    got = {r["table_no"]: r["markdown"] for r in D.table_markdown(df).collect()}
+    got = {r["table_no"]: r["markdown"] for r in D.table_markdown(df, rows=20).collect()}
     lines = got[1].split("\n")
     assert lines[:4] == ["| h | k |", "|---|---|", "| 11 | 12 |", "| 21 | nan |"]
     assert lines[-2:] == ["", "*... et 2 lignes supplémentaires*"] and len(lines) == 24
     assert got[2] == "*Tableau vide*"
-    seen = {r["table_no"]: r for r in D.table_preview(df).collect()}
+    seen = {r["table_no"]: r for r in D.table_preview(df, rows=3).collect()}
     assert (seen[1]["n_rows"], seen[1]["n_cols"], seen[1]["colonnes"], len(seen[1]["apercu"])) == (22, 2, ["h", "k"], 6)
 
 

@@ -92,7 +92,7 @@ def test_tensor_counts_the_valid_yes_answers(spark, sf):
 
 def test_wide_cells_show_missing_and_failed_calls(spark):
     row = report.wide_phrases(calls(spark, (0, 0, "roi_1", "oui"), (0, 1, "roi_1", "ERR")), M).first()
-    assert row["llama-3.3-70b-instru__roi_1"] == "oui"
+    assert row["llama-3.3-70b-instruct__roi_1"] == "oui"
     assert row["gemma-3-27b-it__roi_1"] == "ERR"
     assert row["mistral-nemo__roi_1"] == "?"
     assert row["ROI_Score"] == "1/3"
@@ -111,7 +111,7 @@ def test_call_details_hold_each_call_once(spark):
     df = calls(spark, (0, 0, "roi_1", "oui"), (0, 1, "roi_1", "ERR"))
     detail = vote.call_details(df.union(df)).first()["detail_appels"]
     assert [(d["model_short"], d["reponse"], d["erreur"]) for d in detail] == [
-        ("gemma-3-27b-it", "non", "timeout"), ("llama-3.3-70b-instru", "oui", None)
+        ("gemma-3-27b-it", "non", "timeout"), ("llama-3.3-70b-instruct", "oui", None)
     ]
 
 
