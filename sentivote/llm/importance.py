@@ -22,6 +22,8 @@ from sentivote.llm.common import code_points, column, kinds_of, mixed, slices, t
 
 #: n-grams are hashed to this many buckets; the models are two counts for each.
 BUCKETS = 1 << 14
+#: Raw-distributed counts per bucket that the target model starts from.
+PRIOR = 4
 #: Labelled documents on which the target model and the cut are fitted, at most: those whose ids have the least hashes.
 SAMPLE = 20_000
 #: Seed of the Gumbel noise.
@@ -69,13 +71,18 @@ def model_counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log p_target - log p_raw of every bucket, add-one smoothed; at most ``buckets`` rows reach the driver."""
-    raw, target = np.ones(buckets), np.ones(buckets)
+    """log p_target - log p_raw of every bucket; at most ``buckets`` rows reach the driver.
+
+    Raw counts are add-one smoothed.  Target counts get ``PRIOR`` raw-distributed counts per
+    bucket, so what the target text happens to lack weighs little where it is small.
+    """
+    raw, target = np.ones(buckets), np.zeros(buckets)
     for r in counts.collect():
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["target"]
-    if target.sum() == buckets:  # no target text at all: nothing tells the two apart
+    if not target.any():  # no target text at all: nothing tells the two apart
         return np.zeros(buckets)
+    target += PRIOR * buckets * raw / raw.sum()
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
@@ -182,8 +189,8 @@ def resampled(
 ) -> tuple[DataFrame, DataFrame, float | None]:
     """``docs`` with a struct column ``_q`` (w, key), a written table (id, w, key), the cut: key >= cut is drawn.
 
-    The target text is that of the documents labelled above 0, of ``sample`` labels at most; the
-    raw text is that of all rows.  ``k`` defaults to the number of documents above
+    Of ``sample`` labels at most, three quarters give the target text (those above 0) and one
+    quarter the cut; the raw text is that of all rows.  ``k`` defaults to the number of documents above
     ``parting_weight``; the noise then settles who is drawn around the cut.
 
     A null text, or one without tokens, has no weight and is never drawn.  Without
@@ -191,11 +198,12 @@ def resampled(
     repeated rows share their noise and so their fate.
     """
     label = written(labelled(labels, id_col, label_col).orderBy(F.xxhash64("id"), "id").limit(sample), "labels")
-    ratios = fitted(docs, label, id_col, text_col, buckets)
+    apart = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0
+    ratios = fitted(docs, label.where(~apart), id_col, text_col, buckets)
     scored = weighted(docs, ratios, id_col, text_col, temperature, seed)
     keys = written(scored.select(column(scored, id_col).alias("id"), "_q.w", "_q.key"), "keys")
     if k is None:
-        k = keys.where(F.col("w") >= parting_weight(keys, label)).count()
+        k = keys.where(F.col("w") >= parting_weight(keys, label.where(apart))).count()
     return scored, keys, kth_largest(keys, "key", k)
 
 

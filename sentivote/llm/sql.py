@@ -2,6 +2,98 @@
 
 from __future__ import annotations
 
+from sentivote.llm import near_join, pivots, secret_scan
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Smallest node in reach of each node over ``link`` (a, b), both ways.
+REACH = """
+reach(a, b) AS (
+  SELECT id AS a, id AS b FROM node
+  UNION
+  SELECT reach.a, way.b FROM reach JOIN (SELECT a, b FROM link UNION ALL SELECT b, a FROM link) way ON way.a = reach.b
+),
+root AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+
+def vectors() -> str:
+    return f"""
+WITH RECURSIVE every AS (SELECT vec_id AS id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL GROUP BY vec_id),
+node AS (SELECT id FROM every),
+usable AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM every
+    WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT p.id AS a, q.id AS b FROM usable p JOIN usable q ON p.id < q.id
+    WHERE list_dot_product(p.e, q.e) / (p.n * q.n) >= {pivots.COSINE}),
+{REACH},
+counted AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM link UNION ALL SELECT b FROM link) GROUP BY id)
+SELECT root.id AS vec_id, coalesce(n, 0) AS n_links, component_id, component_id = root.id AS kept FROM root LEFT JOIN counted USING (id)"""
+
+
+def near_copies() -> str:
+    width = near_join.WIDTH
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents
+),
+node AS (SELECT DISTINCT id FROM words WHERE id IS NOT NULL),
+gram AS (
+  SELECT DISTINCT id, unnest(CASE
+    WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width - 1}], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+),
+size AS (SELECT id, count(*) AS n FROM gram GROUP BY id),
+pair AS (
+  SELECT a, b, c, p.n AS n, q.n AS m FROM (SELECT x.id AS a, y.id AS b, count(*) AS c FROM gram x JOIN gram y ON x.s = y.s AND x.id < y.id GROUP BY ALL)
+  JOIN size p ON p.id = a JOIN size q ON q.id = b
+),
+link AS (SELECT a, b, c = n AND c = m AS same FROM pair WHERE c >= {near_join.SIMILARITY} * (n + m - c)),
+{REACH},
+side AS (SELECT a AS id, b AS other, same FROM link UNION ALL SELECT b, a, same FROM link),
+counted AS (
+  SELECT id, count(*) AS n_links, min(other) FILTER (WHERE same) AS first_copy, count(*) FILTER (WHERE same) AS n_same FROM side GROUP BY id
+)
+SELECT root.id AS doc_id, coalesce(least(root.id, first_copy), root.id) AS class_id, 1 + coalesce(n_same, 0) AS n_copies,
+  coalesce(n_links, 0) AS n_links, component_id, component_id = root.id AS kept FROM root LEFT JOIN counted USING (id)"""
+
+
+def secrets() -> str:
+    def found(order: int, kind: str, pattern: str, keep: str) -> str:
+        p = quoted(pattern)
+        return f"""
+  SELECT doc_id, {order} AS ord, {quoted(kind)} AS kind, start, start + length(m) AS stop FROM (
+    SELECT doc_id, ms[i] AS m, list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start
+    FROM (SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS gaps FROM docs WHERE regexp_matches(text, {p})))
+  ) WHERE {keep}"""
+
+    weight = "lambda c: len(list_filter(w, lambda x: x = c)) * log2(len(list_filter(w, lambda x: x = c)))"
+    n = secret_scan.WINDOW
+    entropy = f"""(SELECT max(log2({n}) - list_sum(list_transform(list_distinct(w), {weight})) / {n})
+      FROM (SELECT string_split(substr(m, k, {n}), '') AS w FROM (SELECT unnest(range(1, length(m) - {n} + 2)) AS k)))"""
+    allowed = " AND ".join(f"NOT regexp_matches(m, {quoted(a)})" for a in secret_scan.ALLOWED)
+    bar = f"CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN {secret_scan.HEX_BAR} ELSE {secret_scan.KEY_BAR} END"
+    base = [
+        found(0, "assign", secret_scan.ASSIGN, f"length(regexp_extract(m, {quoted(secret_scan.ASSIGN)}, 1)) >= 8"),
+        found(1, "access", secret_scan.ACCESS, "true"),
+        found(2, "hex", secret_scan.HEX, "true"),
+        found(3, "entropy", secret_scan.RUN, f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND {allowed} AND {entropy} >= {bar}"),
+    ]
+    shown = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, ord)"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+span AS ({" UNION ALL ".join(base)}),
+summed AS (
+  SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS a, count(*) FILTER (WHERE ord = 1) AS k, count(*) FILTER (WHERE ord = 2) AS h,
+    {shown} FILTER (WHERE ord < 3) AS base, {shown} AS spans FROM span GROUP BY doc_id
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN summed USING (doc_id)"""
+
 
 def sql() -> dict[str, str]:
-    return {}
+    return {"op4_pivots": vectors(), "op6_secrets": secrets(), "op7_near_join": near_copies()}
