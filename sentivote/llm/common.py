@@ -143,10 +143,10 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     """Connected components of ``edges`` (u long, v long): node, component = smallest node in reach.
 
     Alternating large-star and small-star steps.  A node's smallest neighbour
-    is an aggregate that shrinks on the map side, and the join that hands it
-    out can be split where a node is hot, so no neighbourhood is gathered in one
-    place.  Each round is a written table; the number of rounds grows with
-    the logarithm of the largest component.
+    is an aggregate that shrinks on the map side.  It is written before it is handed
+    out, so that the join reads both sides from a shuffle and can be split where a
+    node is hot: no neighbourhood is gathered in one place.  Each round is a written
+    table; the number of rounds grows with the logarithm of the largest component.
     """
     def state(df: DataFrame) -> tuple:
         r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -161,12 +161,12 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         if not before[0]:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        smallest = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         # large star: neighbours above u point to the smallest around u
         large = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(smallest, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = written(large.where("u <> v").distinct(), name)
         # small star: neighbours below u, and u, point to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
         after = state(now)

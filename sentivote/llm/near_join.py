@@ -192,7 +192,8 @@ def near_duplicates(
     sig = signatures(docs, id_col, text_col, width, trees, length)
     sig = written(sig, "signatures")
     members = sig.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("f")).select("id", "f.f1", "f.f2")
-    per_class = members.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # written, so that the join below reads both sides from a shuffle and can split a class that many documents share
+    per_class = written(members.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
     members = written(members.join(per_class, ["f1", "f2"]).select("id", "rep", "copies"), "members")
     firsts = members.where("id = rep").select(F.col("id"), "copies")
     classes = sig.join(firsts, "id").groupBy(F.col("id").alias("rep")).agg(
