@@ -227,8 +227,9 @@ def near_duplicates(
     ).dropDuplicates(["rep", "grp", "bi", "bj"])
     found = paired.groupBy("grp", "bi", "bj").applyInPandas(verify_block(similarity), "rep long, links long, root long")
     found = written(found, "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "linked")
+    # written, so that a class of many copies can be split in the joins
+    links = written(found.groupBy("rep").agg(F.sum("links").alias("links")), "link-counts")
+    roots = written(components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "linked"), "linked-roots")
     out = (
         members.join(links, "rep", "left")
         .join(roots.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -139,10 +139,10 @@ def near_vectors(
     )
     found = paired.groupBy("place", "bi", "bj").applyInPandas(verify_list(cosine, shared, pivots), "rep long, links long, root long")
     found = written(found.where("links > 0"), "vector-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = written(found.groupBy("rep").agg(F.sum("links").alias("links")), "vector-link-counts")
     # copies of a vector reach their class, classes reach each other
     hubs = members.join(classes, ["h", "vector"]).select("id", "rep", "copies")
-    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "vector-groups")
+    roots = written(components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "vector-groups"), "vector-roots")
     out = hubs.join(links, "rep", "left").join(roots.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     every = df.select(column(df, id_col).cast("long").alias("id")).where("id is not null").distinct()
