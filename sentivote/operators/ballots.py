@@ -18,7 +18,7 @@ from sentivote.functions.ranking import numbered
 from sentivote.operators.vote import is_valid
 from sentivote.session import checkpointed
 
-ASKED, VALID, YES = "asked_", "valid_", "yes_"
+ASKED, VALID, YES, BIT = "asked_", "valid_", "yes_", "_bit"
 MAX_MODELS = 62
 
 
@@ -26,15 +26,24 @@ def mask_of(members: Sequence[str], models: Sequence[str]) -> int:
     return sum(1 << models.index(m) for m in members if m in models)
 
 
-def mask_aggregates(models: Sequence[str], questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> list[Column]:
-    """The three masks per question, as aggregates over calls.
-
-    ``models`` must list every model that may occur.
-    """
+def bit_of(models: Sequence[str], first_highest: bool = False) -> Column:
+    """Bit of a row's model; a model that isn't listed fails the job by its name."""
     if len(models) > MAX_MODELS:
         raise ValueError(f"at most {MAX_MODELS} models fit into a mask, got {len(models)}")
-    bits = F.create_map(*[c for i, m in enumerate(models) for c in (F.lit(m), F.lit(1 << i).cast("long"))])
-    bit = F.element_at(bits, F.col("model"))
+    place = lambda i: len(models) - 1 - i if first_highest else i
+    bits = F.create_map(*[c for i, m in enumerate(models) for c in (F.lit(m), F.lit(1 << place(i)).cast("long"))])
+    unknown = F.raise_error(F.concat(F.lit("model is not listed: "), F.coalesce("model", F.lit("null")))).cast("long")
+    return F.coalesce(F.try_element_at(bits, F.col("model")) if models else F.lit(None).cast("long"), unknown)
+
+
+def with_bit(calls: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Add each call's bit once, ahead of the aggregates that read it."""
+    return calls.withColumn(BIT, bit_of(models))
+
+
+def mask_aggregates(questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> list[Column]:
+    """The three masks per question, as aggregates over calls that went through ``with_bit``."""
+    bit = F.col(BIT)
     masks = []
     for q in questions:
         here = F.col("question_key") == q
@@ -60,7 +69,7 @@ def ballots(
         costs = [
             F.sum(F.when(F.col("model") == m, cost_units())).alias(f"cost_units_{i}") for i, m in enumerate(models)
         ]
-    return calls.groupBy(*key).agg(*mask_aggregates(models, questions), *costs)
+    return with_bit(calls, models).groupBy(*key).agg(*mask_aggregates(questions), *costs)
 
 
 def present(questions: Sequence[str]) -> Column:

@@ -75,6 +75,41 @@ def paragraph_prompt(template: str = vocab.PARAGRAPH_PROMPT, chars: int | None =
     )
 
 
+def paragraph_prompts(
+    contexts: DataFrame,
+    questions: Sequence[vocab.Question] = tuple(vocab.QUESTIONS),
+    models: Sequence[str] = tuple(m.name for m in vocab.MODELS),
+    template: str = vocab.PARAGRAPH_PROMPT,
+    chars: int | None = None,
+    then: Callable[[Column], Column] = lambda prompt: prompt,
+) -> DataFrame:
+    """Every unit of ``segment.paragraph_contexts`` with every question and model, and ``then`` of its prompt.
+
+    Prompts are made on the paragraph's row, where the context is held once, and the
+    models share them; only what ``then`` makes of a prompt, such as a digest, is multiplied.
+    """
+    keys = [c for c in contexts.columns if c not in ("full_paragraph", "units")]
+
+    def asked(unit: Column) -> Column:
+        prompt = lambda q: fill(
+            template, {"full_paragraph": shown("full_paragraph", chars), "phrase": unit["phrase"], "question_text": F.lit(q.text)}
+        )
+        return F.array(
+            *[
+                F.struct(unit["phrase_index"].alias("phrase_index"), F.lit(q.key).alias("question_key"), then(prompt(q)).alias("prompt"))
+                for q in questions
+            ]
+        )
+
+    calls = contexts.select(*keys, F.inline(F.flatten(F.transform("units", asked))))
+    return calls.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+
+
+def with_prompts(calls: DataFrame, prompt: Column, system: str = "") -> DataFrame:
+    """Add the two messages of a call for a provider: ``system`` and ``prompt``."""
+    return calls.withColumns({"system": F.lit(system), "prompt": prompt})
+
+
 def segment_prompt(standard: str, for_qwen: str | None = None, chars: int | None = None) -> Column:
     """Prompt for a whole segment; models named qwen may get their own template."""
     fields = {"section_title": F.col("section_title"), "paragraph": shown("paragraph", chars)}
@@ -116,6 +151,7 @@ Ask = Callable[[pd.DataFrame], pd.DataFrame]
 def ask_external(calls: DataFrame, ask: Callable[[], Ask]) -> DataFrame:
     """Answer calls with user code, batch by batch.
 
+    ``calls`` carries the messages, see ``with_prompts``.
     ``ask()`` runs once per task and returns a function from a batch of calls to
     a frame with the columns of ``RAW_SCHEMA``, row for row.  If a batch of calls
     raises, its calls are asked one by one, and those that raise again become

@@ -19,14 +19,31 @@ from sentivote.operators.vote import label
 
 Ensembles = Mapping[str, Sequence[str]]
 
+# Sentences of the reports.
+STRONG = "Ce modèle influence fortement la classification — à garder en priorité"
+MODERATE = "Ce modèle a un impact modéré"
+WEAK = "Ce modèle est interchangeable sans impact majeur"
+AMBIGUOUS = "Segment AMBIGU — catégorie réelle incertaine, révision manuelle conseillée"
+SENSITIVE = ("Catégorie ", " robuste mais sensible au choix des modèles")
+RELIABLE = "TRÈS HAUTE — stable dans tous les ensembles testés"
+
 
 def _long(v: int) -> Column:
     return F.lit(v).cast("long")
 
 
+def _voters(questions: Sequence[str]) -> Column:
+    """Mask of the models with a valid prediction: any valid answer for the unit."""
+    total = F.col(VALID + questions[0])
+    for q in questions[1:]:
+        total = total.bitwiseOR(F.col(VALID + q))
+    return total
+
+
 def _says_yes(q: str, mask: Column) -> Column:
+    """More than half of the valid predictions; one that lacks the answer counts as "non"."""
     count = lambda c: F.bit_count(c.bitwiseAND(mask))
-    return 2 * count(F.col(YES + q)) > count(F.col(VALID + q))
+    return 2 * count(F.col(YES + q)) > count(F.col("voters"))
 
 
 def _score(answers: Mapping[str, Column], prefix: str) -> Column:
@@ -75,7 +92,7 @@ def revote(
 ) -> DataFrame:
     """One row per unit and ensemble: answers, scores, label, active models."""
     everyone = present(questions)
-    rows = ballots.select("*", everyone.alias("everyone"), F.inline(_listed(list(ensembles), ensembles, models)))
+    rows = ballots.select("*", everyone.alias("everyone"), _voters(questions).alias("voters"), F.inline(_listed(list(ensembles), ensembles, models)))
     active = F.bit_count(F.col("mask").bitwiseAND(F.col("everyone"))).alias("n_modeles_actifs")
     rows = rows.select("*", active, _effective(F.col("mask"), F.col("everyone")).alias("eff"))
     return _voted(rows, F.col("eff"), "", questions, [*key, "ensemble", "n_modeles_actifs"])
@@ -94,8 +111,8 @@ def pairs(
     Columns: key, ensemble, ref_*/alt_* label and scores, ``changed`` (questions
     whose answer differs, in question order), ``n_modeles_actifs``.
     """
-    masks = [p + q for q in questions for p in (VALID, YES)]
-    base = ballots.select(*key, *masks, present(questions).alias("everyone"))
+    masks = [YES + q for q in questions] + ["voters"]
+    base = ballots.withColumn("voters", _voters(questions)).select(*key, *masks, present(questions).alias("everyone"))
     ref_mask = _effective(_long(mask_of(ensembles[reference], models)), F.col("everyone"))
     with_ref = _voted(base.withColumn("ref_mask", ref_mask), F.col("ref_mask"), "ref_", questions,
                       [*key, *masks, "everyone"])
@@ -181,10 +198,16 @@ def question_divergence(pairs_df: DataFrame, questions: Sequence[str] = tuple(vo
     )
 
 
-def divergent_segments(pairs_df: DataFrame, key: Sequence[str] = tuple(vocab.PHRASE_KEY)) -> DataFrame:
-    """Units whose label changes, with both score strings and the changed questions."""
+def _with_texts(units: DataFrame, texts: DataFrame | None, key: Sequence[str]) -> DataFrame:
+    """Add the columns of ``texts`` (key and text) to what is left of the units."""
+    return units if texts is None else units.join(texts, list(key), "left")
+
+
+def divergent_segments(pairs_df: DataFrame, key: Sequence[str] = tuple(vocab.PHRASE_KEY),
+                       texts: DataFrame | None = None) -> DataFrame:
+    """Units whose label changes, with both score strings, the changed questions and, if given, the texts."""
     scores = lambda s: F.format_string("ROI:%d NOT:%d OBL:%d", f"{s}_roi", f"{s}_not", f"{s}_obl")
-    return pairs_df.filter(differs()).select(
+    rows = pairs_df.filter(differs()).select(
         *key,
         "ensemble",
         "ref_categorie",
@@ -194,6 +217,7 @@ def divergent_segments(pairs_df: DataFrame, key: Sequence[str] = tuple(vocab.PHR
         F.array_join("changed", " | ").alias("questions_changees"),
         "n_modeles_actifs",
     )
+    return _with_texts(rows, texts, key)
 
 
 def model_influence(concordance_df: DataFrame) -> DataFrame:
@@ -214,9 +238,9 @@ def model_influence(concordance_df: DataFrame) -> DataFrame:
         F.round(mean, 2).cast("double").alias("divergence_moy"),
         F.col("maximum").cast("double").alias("divergence_max"),
         F.when(mean > 15, "FORT").when(mean > 5, "MOYEN").otherwise("FAIBLE").alias("influence"),
-        F.when(mean > 15, "Ce modèle influence fortement la classification — à garder en priorité")
-        .when(mean > 5, "Ce modèle a un impact modéré")
-        .otherwise("Ce modèle est interchangeable sans impact majeur")
+        F.when(mean > 15, STRONG)
+        .when(mean > 5, MODERATE)
+        .otherwise(WEAK)
         .alias("interpretation"),
     ).orderBy(F.desc("divergence_moy"), "model")
 
@@ -262,11 +286,12 @@ def unstable_segments(
     key: Sequence[str] = tuple(vocab.PHRASE_KEY),
     ensembles: Ensembles = vocab.ENSEMBLES,
     reference: str = vocab.REFERENCE_ENSEMBLE,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Units that diverge in two alternatives or more, with a diagnosis."""
     joined = lambda f: F.array_join(F.transform("changes", lambda c: c[f]), " | ")
     seen = F.sort_array(F.array_distinct(F.transform("changes", lambda c: c["alt_categorie"])))
-    return (
+    rows = (
         _per_unit(pairs_df, key, ensembles, reference)
         .filter(F.col("n_changements") >= 2)
         .select(
@@ -276,25 +301,24 @@ def unstable_segments(
             F.array_join(seen, " | ").alias("categories_alt"),
             joined("ensemble").alias("ensembles_alt"),
             joined("retires").alias("modeles_retires"),
-            F.when(
-                F.size(seen) > 1, "Segment AMBIGU — catégorie réelle incertaine, révision manuelle conseillée"
-            )
-            .otherwise(
-                F.concat(F.lit("Catégorie "), "ref_categorie", F.lit(" robuste mais sensible au choix des modèles"))
-            )
+            F.when(F.size(seen) > 1, AMBIGUOUS)
+            .otherwise(F.concat(F.lit(SENSITIVE[0]), "ref_categorie", F.lit(SENSITIVE[1])))
             .alias("diagnostic"),
         )
     )
+    return _with_texts(rows, texts, key)
 
 
-def stable_segments(pairs_df: DataFrame, key: Sequence[str] = tuple(vocab.PHRASE_KEY)) -> DataFrame:
+def stable_segments(pairs_df: DataFrame, key: Sequence[str] = tuple(vocab.PHRASE_KEY),
+                    texts: DataFrame | None = None) -> DataFrame:
     """Units no alternative relabels, one row each."""
-    return (
+    rows = (
         pairs_df.groupBy(*key)
         .agg(F.max("ref_categorie").alias("categorie"), F.count_if(differs()).alias("n"))
         .filter("n = 0")
-        .select(*key, "categorie", F.lit("TRÈS HAUTE — stable dans tous les ensembles testés").alias("fiabilite"))
+        .select(*key, "categorie", F.lit(RELIABLE).alias("fiabilite"))
     )
+    return _with_texts(rows, texts, key)
 
 
 def stability_headline(pairs_df: DataFrame, key: Sequence[str] = tuple(vocab.PHRASE_KEY)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentivote import vocab
 from sentivote.functions.money import cost_units, eur, usd
-from sentivote.operators.ballots import mask_aggregates, model_answer_columns
+from sentivote.operators.ballots import mask_aggregates, model_answer_columns, with_bit
 from sentivote.functions.numbers import exact_mean, exact_sum, percent, ratio, ticks
 from sentivote.operators.vote import agreement_pct, classify, is_valid, majority
 
@@ -51,7 +51,7 @@ def phrase_rows(classified: DataFrame, key: Sequence[str] = KEY, questions: Sequ
 def wide_phrases(calls: DataFrame, models: Sequence[str], key: Sequence[str] = KEY,
                  questions: Sequence[str] = QUESTIONS) -> DataFrame:
     """``phrase_rows`` plus one column per model and question, from one pass."""
-    folded = classify(calls, key, questions, also=mask_aggregates(models, questions))
+    folded = classify(with_bit(calls, models), key, questions, also=mask_aggregates(questions))
     return folded.select(*phrase_columns(key, questions), *model_answer_columns(models, questions))
 
 
@@ -99,7 +99,7 @@ def file_summary(classified: DataFrame, file_key: Sequence[str] = FILE, question
 
 
 def model_stats(calls: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Per model: tokens, cost, calls, errors; models without calls show zeros."""
+    """Per model: tokens, cost, calls, errors; models without calls show zeros, unlisted ones are shown too."""
     listed = calls.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     counted = calls.groupBy("model").agg(
         F.sum("tok_in").alias("i"),
@@ -109,7 +109,7 @@ def model_stats(calls: DataFrame, models: Sequence[str]) -> DataFrame:
         F.count_if(~is_valid()).alias("e"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return listed.join(counted, "model", "left").select(
+    return listed.join(counted, "model", "full").select(
         "model",
         zero("i").alias("tokens_in"),
         zero("o").alias("tokens_out"),

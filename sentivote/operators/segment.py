@@ -424,10 +424,11 @@ def full_text(phrases: Column, limit: int | None = None) -> Column:
     return joined if limit is None else F.substring(joined, 1, limit)
 
 
-def scored_units(paragraphs_df: DataFrame) -> DataFrame:
-    """What gets classified: the title as phrase -1, then the phrases.
+def paragraph_contexts(paragraphs_df: DataFrame) -> DataFrame:
+    """One row per paragraph: its text once, and an array of what gets classified.
 
-    Paragraphs without phrases are skipped, so a bare title is never classified.
+    ``units`` holds the title as phrase -1, then the phrases.  Paragraphs
+    without phrases are skipped, so a bare title is never classified.
     """
     keys = [c for c in paragraphs_df.columns if c != "phrases"]
     title = F.struct(F.lit(-1).alias("phrase_index"), F.col("section_title").alias("phrase"))
@@ -435,10 +436,20 @@ def scored_units(paragraphs_df: DataFrame) -> DataFrame:
         F.concat(F.array(title), F.col("phrases"))
     )
     return paragraphs_df.filter(F.size("phrases") > 0).select(
-        *keys, full_text(F.col("phrases")).alias("full_paragraph"), F.inline(units)
+        *keys, full_text(F.col("phrases")).alias("full_paragraph"), units.alias("units")
     )
 
 
+def scored_units(paragraphs_df: DataFrame) -> DataFrame:
+    """The units of ``paragraph_contexts``, one row each.
+
+    The paragraph's text isn't repeated on them; it is found there, under the same key.
+    """
+    contexts = paragraph_contexts(paragraphs_df)
+    keys = [c for c in contexts.columns if c not in ("full_paragraph", "units")]
+    return contexts.select(*keys, F.inline("units"))
+
+
 def segment_report(phrases: DataFrame, key: list[str]) -> DataFrame:
     """Phrases per file, and the corpus total in the row marked ``is_total``."""
     return (

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from sentivote import vocab
 from sentivote.functions.numbers import percent, ratio, rounded_mean, ticks
 from sentivote.functions.text import quoted
+from sentivote.operators.ballots import bit_of
 from sentivote.operators.vote import is_valid
 
 STABLE_FROM = 80.0
+#: A segment has 2 ** n - 2 subsets; beyond this their ids leave an int.
+MOST_SUBSET_MODELS = 30
 
 
 def fold(predictions: DataFrame, models: Sequence[str], key: Sequence[str] = tuple(vocab.SEGMENT_KEY),
@@ -27,22 +30,19 @@ def fold(predictions: DataFrame, models: Sequence[str], key: Sequence[str] = tup
 
     ``mask_<n>`` holds the models that validly predicted category n, the first
     model in the highest bit; ``conf_<i>`` and ``cat_<i>`` what model i said.
+    A model that isn't listed fails the job.
     """
     code = F.lit(None).cast("int")
     for n, c in enumerate(categories):
         code = F.when(F.col("categorie") == c, n).otherwise(code)
-    bits = F.create_map(
-        *[c for i, m in enumerate(models) for c in (F.lit(m), F.lit(1 << (len(models) - 1 - i)).cast("int"))]
-    )
-    bit = F.try_element_at(bits, F.col("model"))
     aggs = [
-        F.coalesce(F.bit_or(F.when(is_valid() & (F.col("_code") == n), bit)), F.lit(0)).alias(f"mask_{n}")
+        F.coalesce(F.bit_or(F.when(is_valid() & (F.col("_code") == n), F.col("_bit"))), F.lit(0)).cast("long").alias(f"mask_{n}")
         for n in range(len(categories))
     ]
     for i, m in enumerate(models):
         aggs.append(F.max(F.when(F.col("model") == m, F.col("_code"))).alias(f"cat_{i}"))
         aggs.append(F.max(F.when(F.col("model") == m, F.col("confiance"))).alias(f"conf_{i}"))
-    return predictions.withColumn("_code", code).groupBy(*key).agg(*aggs)
+    return predictions.withColumns({"_code": code, "_bit": bit_of(models, first_highest=True)}).groupBy(*key).agg(*aggs)
 
 
 def _voted(df: DataFrame, n_models: int, subset: Column, name: str,
@@ -90,6 +90,8 @@ def weighted_labels(folded: DataFrame, models: Sequence[str], key: Sequence[str]
 
 def _subset_votes(folded: DataFrame, n: int) -> DataFrame:
     """Folded rows times subsets, with ``subset_id``, ``k``, ``label``, ``changed``."""
+    if n > MOST_SUBSET_MODELS:
+        raise ValueError(f"subsets of at most {MOST_SUBSET_MODELS} models can be listed, got {n}")
     # A single model has no proper subset.
     subsets = F.sequence(F.lit(1), F.lit(2**n - 2)) if n > 1 else F.array().cast("array<int>")
     with_ref = _voted(folded, n, F.lit(2**n - 1), "_all")

@@ -144,26 +144,19 @@ def answer_maps(classified: DataFrame, key: Sequence[str] = tuple(vocab.PHRASE_K
 
 
 def call_details(calls: DataFrame, key: Sequence[str] = tuple(vocab.PHRASE_KEY)) -> DataFrame:
-    """Nested list of a unit's calls, in model and question order.
-
-    Calls are first reduced to one per model and question, which bounds the
-    list by the number of models times the number of questions.
-    """
+    """Nested list of all calls of a unit, in model and question order; repeated calls stay."""
     from sentivote.functions.text import model_short
 
-    single = calls.groupBy(*key, "model", "question_key").agg(
-        F.min(F.struct("answer", "erreur", cost_units().alias("units"), "duration_s")).alias("c")
-    )
     detail = F.struct(
         "model",
         "question_key",
         model_short(F.col("model")).alias("model_short"),
-        F.col("c.answer").alias("reponse"),
-        F.col("c.erreur").alias("erreur"),
-        eur(F.col("c.units"), 7).alias("cost_eur"),
-        F.col("c.duration_s").alias("duration_s"),
+        F.col("answer").alias("reponse"),
+        "erreur",
+        eur(cost_units(), 7).alias("cost_eur"),
+        "duration_s",
     )
-    return single.groupBy(*key).agg(F.sort_array(F.collect_list(detail)).alias("detail_appels"))
+    return calls.groupBy(*key).agg(F.sort_array(F.collect_list(detail)).alias("detail_appels"))
 
 
 def unanimity(tallied: DataFrame, questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> DataFrame:

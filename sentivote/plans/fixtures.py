@@ -22,6 +22,12 @@ RULES = {
 }
 
 
+#: Templates of the prompts that take one.
+SEGMENT_TEMPLATE = "Titre : {section_title}\n{paragraph}"
+QWEN_TEMPLATE = "/no_think {section_title}\n{paragraph}"
+JUDGE_TEMPLATE = "{section_title}\n{paragraph}\n{raisonnement}\n{categorie_proposee} {confiance}\n{reponses_str}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

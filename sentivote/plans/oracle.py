@@ -156,7 +156,21 @@ def sql() -> dict[str, str]:
 # --- text -----------------------------------------------------------------------
 
 
+def unit_contexts() -> tuple[str, tuple[str, ...]]:
+    """A relation of units with their paragraph's text, and the CTEs that it needs."""
+    clean = (X.LINES, X.CLEAN, X.tokens("clean_doc_lines"), X.SENTENCES, X.PHRASES, X.PARAGRAPHS)
+    return f"""(
+      SELECT {X.KEYS}, paragraph_index, section_title, string_agg(phrase, ' ' ORDER BY phrase_index) AS full_paragraph,
+        list(phrase_index ORDER BY phrase_index) AS li, list(phrase ORDER BY phrase_index) AS lp
+      FROM para_phrases WHERE phrase IS NOT NULL GROUP BY {X.KEYS}, paragraph_index, section_title
+    ) g, LATERAL (
+      SELECT unnest(li) AS phrase_index, unnest(lp) AS phrase
+      UNION ALL SELECT -1, section_title WHERE section_title <> ''
+    )""", clean
+
+
 def text_sql() -> dict[str, str]:
+    contexts, _ = unit_contexts()
     raw = (X.LINES, X.tokens("md_lines"))
     clean = (X.LINES, X.CLEAN, X.tokens("clean_doc_lines"), X.SENTENCES, X.PHRASES)
     nl = "length(text) - length(replace(text, chr(10), ''))"
@@ -188,15 +202,9 @@ def text_sql() -> dict[str, str]:
             LEFT JOIN (SELECT {X.KEYS}, count(*) AS n FROM phrases GROUP BY ALL) p
             ON p.source_file = 'doc_' || d.doc_id || '.md'""",
             *clean),
-        "scored_units": X.statement(
-            f"""SELECT {X.KEYS}, paragraph_index, section_title, full_paragraph, phrase_index, phrase FROM (
-              SELECT {X.KEYS}, paragraph_index, section_title, string_agg(phrase, ' ' ORDER BY phrase_index) AS full_paragraph,
-                list(phrase_index ORDER BY phrase_index) AS li, list(phrase ORDER BY phrase_index) AS lp
-              FROM para_phrases WHERE phrase IS NOT NULL GROUP BY {X.KEYS}, paragraph_index, section_title
-            ) g, LATERAL (
-              SELECT unnest(li) AS phrase_index, unnest(lp) AS phrase
-              UNION ALL SELECT -1, section_title WHERE section_title <> ''
-            )""",
+        "scored_units": X.statement(f"SELECT {X.KEYS}, paragraph_index, section_title, phrase_index, phrase FROM {contexts}", *clean, X.PARAGRAPHS),
+        "paragraph_contexts": X.statement(
+            f"SELECT {X.KEYS}, paragraph_index, section_title, full_paragraph, CAST(count(*) AS INTEGER) AS n_units FROM {contexts} GROUP BY ALL",
             *clean, X.PARAGRAPHS),
         "segmentation_report": X.statement(
             f"""SELECT source_folder, source_file, grouping(source_file) = 1 AS is_total, count(*) AS n_phrases
@@ -287,7 +295,6 @@ def report_sql() -> dict[str, str]:
       FROM lab JOIN money USING ({K}) JOIN agr USING ({K}) GROUP BY source_folder, source_file"""
     agr = "agr AS (SELECT " + K + ", " + ", ".join(
         f"max(CASE WHEN question_key = '{q}' THEN CASE WHEN n_valid < 2 THEN 50.0 ELSE round(100.0::DOUBLE * greatest(n_oui, n_valid - n_oui) / n_valid, 1) END END) AS a_{q}" for q in Q) + f" FROM va GROUP BY {K})"
-    dist = "{}".join([])
     totals = ", ".join(f"CAST(sum(CASE WHEN categorie = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS \"total_{c}\"" for c in CATS)
     return {
         "phrase_rows": with_(
@@ -463,11 +470,14 @@ def _ensemble_ctes() -> tuple[str, ...]:
     rows = [(i, n, m) for i, (n, ms) in enumerate(vocab.ENSEMBLES.items()) for m in ms]
     names = [(i, n) for i, n in enumerate(vocab.ENSEMBLES)]
     votes = f"""
+mv AS (
+  SELECT {K}, ensemble, count(DISTINCT model) AS n_valid FROM calls JOIN ens USING (model) WHERE NOT failed GROUP BY {K}, ensemble
+),
 ev AS (
   SELECT {K}, ensemble, question_key, ord, category,
-    CASE WHEN 2 * sum(CASE WHEN NOT failed AND answer = 'oui' THEN 1 ELSE 0 END) > sum(CASE WHEN NOT failed THEN 1 ELSE 0 END)
+    CASE WHEN 2 * sum(CASE WHEN NOT failed AND answer = 'oui' THEN 1 ELSE 0 END) > coalesce(max(n_valid), 0)
       THEN 'oui' ELSE 'non' END AS answer
-  FROM calls JOIN ens USING (model) GROUP BY {K}, ensemble, question_key, ord, category
+  FROM calls JOIN ens USING (model) LEFT JOIN mv USING ({K}, ensemble) GROUP BY {K}, ensemble, question_key, ord, category
 ),
 es AS (
   SELECT {K}, ensemble,
@@ -526,6 +536,7 @@ def ensemble_sql() -> dict[str, str]:
         (n, " | ".join(m.split("/")[-1] for m in ref if m not in ms)) for n, ms in vocab.ENSEMBLES.items()])
     added = values("added", "ensemble, ajoutes", [
         (n, " | ".join(m.split("/")[-1] for m in ms if m not in ref)) for n, ms in vocab.ENSEMBLES.items()])
+    texted = lambda body: f"SELECT x.*, text AS phrase FROM ({body}) x JOIN documents ON doc_id = x.phrase_index"
     return {
         "ensemble_revote": with_(
             f"""SELECT {K}, ensemble, CAST(n_modeles_actifs AS INTEGER) AS n_modeles_actifs, roi, noto AS "not", obl, categorie,
@@ -538,10 +549,10 @@ def ensemble_sql() -> dict[str, str]:
             f"SELECT ensemble, categorie, n_ref, n_concordants, {pct('n_concordants', 'n_ref', 1, 'NULL')} AS taux FROM byclass", *base),
         "question_divergence": with_("SELECT * FROM qdiv", *base),
         "divergent_segments": with_(
-            f"""SELECT {K}, ensemble, ref_categorie, alt_categorie, ref_scores, alt_scores,
+            texted(f"""SELECT {K}, ensemble, ref_categorie, alt_categorie, ref_scores, alt_scores,
             coalesce(qs, '') AS questions_changees, n_modeles_actifs FROM pr LEFT JOIN (
               SELECT {K}, ensemble, string_agg(question_key, ' | ' ORDER BY ord) AS qs FROM chg GROUP BY {K}, ensemble
-            ) USING ({K}, ensemble) WHERE differs""", *base),
+            ) USING ({K}, ensemble) WHERE differs"""), *base),
         "model_influence": with_(
             """SELECT model, count(*) AS nb_comparaisons, round(avg(100 - taux_concordance), 2) AS divergence_moy,
             round(max(100 - taux_concordance), 2) AS divergence_max,
@@ -556,7 +567,7 @@ def ensemble_sql() -> dict[str, str]:
             FROM qdiv JOIN qlabels USING (question_key) GROUP BY question_key, label""",
             *base, values("qlabels", "question_key, label", list(vocab.QUESTION_LABELS.items()))),
         "unstable_segments": with_(
-            f"""SELECT {K}, ref_categorie, n_changements, categories_alt, ensembles_alt, modeles_retires,
+            texted(f"""SELECT {K}, ref_categorie, n_changements, categories_alt, ensembles_alt, modeles_retires,
             CASE WHEN n_seen > 1 THEN 'Segment AMBIGU — catégorie réelle incertaine, révision manuelle conseillée'
               ELSE 'Catégorie ' || ref_categorie || ' robuste mais sensible au choix des modèles' END AS diagnostic
             FROM (
@@ -564,10 +575,10 @@ def ensemble_sql() -> dict[str, str]:
                 string_agg(DISTINCT alt_categorie, ' | ' ORDER BY alt_categorie) AS categories_alt,
                 string_agg(ensemble, ' | ' ORDER BY ens_no) AS ensembles_alt, string_agg(retires, ' | ' ORDER BY ens_no) AS modeles_retires
               FROM pr JOIN gone USING (ensemble) JOIN ens_names USING (ensemble) WHERE differs GROUP BY {K}, ref_categorie
-            ) WHERE n_changements >= 2""", *base, gone),
+            ) WHERE n_changements >= 2"""), *base, gone),
         "stable_segments": with_(
-            f"""SELECT {K}, any_value(ref_categorie) AS categorie, 'TRÈS HAUTE — stable dans tous les ensembles testés' AS fiabilite
-            FROM pr GROUP BY {K} HAVING sum(CASE WHEN differs THEN 1 ELSE 0 END) = 0""", *base),
+            texted(f"""SELECT {K}, any_value(ref_categorie) AS categorie, 'TRÈS HAUTE — stable dans tous les ensembles testés' AS fiabilite
+            FROM pr GROUP BY {K} HAVING sum(CASE WHEN differs THEN 1 ELSE 0 END) = 0"""), *base),
         "stability_headline": with_(
             f"""SELECT n_total, n_stables, n_total - n_stables AS n_changeants, round(100.0::DOUBLE * n_stables / n_total, 1) AS pct_stables,
             round(100.0::DOUBLE * (n_total - n_stables) / n_total, 1) AS pct_changeants FROM (

@@ -51,7 +51,7 @@ rh AS (SELECT doc_id, text, question_key, md5(CAST(doc_id AS VARCHAR) || '|' ||
     context = "'Paragraphe de contexte :' || chr(10) || '\"\"\"' || full_paragraph || '\"\"\"' || chr(10) || chr(10) || "
     para_prompt = context + prompt.replace("'Phrase : ", "'Phrase à analyser : ").replace("|| text ||", "|| phrase ||")
     qtext = o.values("qtext", "question_key, texte", [(q.key, q.text) for q in vocab.QUESTIONS])
-    units_of = o.text_sql()["scored_units"]
+    contexts, context_ctes = o.unit_contexts()
     words = lambda ws: "len(list_filter(w, lambda x: x IN (" + ", ".join(quote(x) for x in ws) + ")))"
     langs = list(language.PROFILES)
     counts = ", ".join(f"{words(ws)} AS n_{lang}" for lang, ws in language.PROFILES.items())
@@ -63,6 +63,8 @@ lc AS (SELECT doc_id, lang, {counts} FROM lw),
 ld AS (SELECT doc_id, lang, {detected} AS lang_detected FROM lc)"""
     rule = "CASE WHEN " + " OR ".join(
         f"(question_key = '{q}' AND regexp_matches(text, '{p}'))" for q, p in RULES.items()) + " THEN 'oui' ELSE 'non' END"
+    said = " || chr(10) || ".join(
+        f"'  {q}: ' || " + ("CASE WHEN categorie = 'ROI' THEN 'oui' ELSE 'non' END" if q == "roi_1" else "'non'") for q in vocab.QUESTION_KEYS)
     docs = "SELECT lang AS source_folder, source AS source_file, CAST(doc_id AS INTEGER) AS phrase_index, doc_id, text FROM documents"
     return {
         "parse_answers": parsed(loose, loose_failed),
@@ -83,12 +85,20 @@ ld AS (SELECT doc_id, lang, {detected} AS lang_detected FROM lc)"""
               SELECT *, CAST(tok_in * CAST(round(pin * 100) AS BIGINT) + tok_out * CAST(round(pout * 100) AS BIGINT) AS HUGEINT) AS cents
               FROM calls JOIN prices USING (model))""", *o.VOTE_CTES),
         "phrase_prompts": o.with_(f"SELECT {K}, question_key, model, md5({prompt}) AS prompt_md5 FROM ({docs}), qtext, models", qtext, o.model_list(ANSWER_MODELS)),
-        "paragraph_prompts": f"""WITH {qtext}, {o.model_list(ANSWER_MODELS)} SELECT source_folder, source_file, paragraph_index, phrase_index,
-            question_key, model, md5({para_prompt}) AS prompt_md5 FROM ({units_of}) un, qtext, models""",
+        "paragraph_prompts": X.statement(
+            f"""SELECT source_folder, source_file, paragraph_index, phrase_index, question_key, model, md5({para_prompt}) AS prompt_md5
+            FROM {contexts}, qtext, models""", *context_ctes, qtext, o.model_list(ANSWER_MODELS)),
+        "segment_prompts": o.with_(
+            f"""SELECT {o.S}, model, md5(CASE WHEN contains(model, 'qwen') THEN '/no_think ' ELSE 'Titre : ' END || 'Introduction' || chr(10) || text)
+            AS prompt_md5 FROM u JOIN documents ON doc_id = paragraph_index, models""", o.model_list(ANSWER_MODELS), o.SEGMENTS),
+        "judge_prompts": o.with_(
+            f"""SELECT {o.S}, md5('Introduction' || chr(10) || text || chr(10) || chr(10) || categorie || ' ' || CAST(confiance AS VARCHAR)
+            || chr(10) || {said}) AS prompt_md5 FROM pred JOIN documents ON doc_id = paragraph_index WHERE model_idx = 0""",
+            o.model_list(ANSWER_MODELS), o.SEGMENTS, o.PREDICTIONS),
         "external_answers": o.with_(
-            f"""SELECT {K}, question_key, model, CASE WHEN length(text) % 2 = 0 THEN 'oui' ELSE 'non' END AS answer,
-            CAST(length(text) AS INTEGER) AS tok_in, 5 AS tok_out FROM ({docs}), questions, models""",
-            o.QUESTIONS, o.model_list(ANSWER_MODELS)),
+            f"""SELECT {K}, question_key, model, CASE WHEN length({prompt}) % 2 = 0 THEN 'oui' ELSE 'non' END AS answer,
+            CAST(length({prompt}) + 10 AS INTEGER) AS tok_in, 5 AS tok_out FROM ({docs}), qtext, models""",
+            qtext, o.model_list(ANSWER_MODELS)),
         "recorded_answers": o.with_(
             f"""SELECT lang AS source_folder, source AS source_file, CAST(doc_id AS INTEGER) AS phrase_index, question_key, model,
             CASE WHEN doc_id % 10 = 3 THEN 'non' ELSE {case(shape, loose)} END AS answer,

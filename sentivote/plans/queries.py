@@ -52,6 +52,9 @@ def text_queries() -> dict[str, Query]:
         "paragraphs": lambda s, d: segment.paragraph_phrases(segment.paragraphs(_cleaned(s, d))).fillna(-1, ["phrase_index"]),
         "phrase_counts": lambda s, d: segment.phrase_counts(_cleaned(s, d)),
         "scored_units": lambda s, d: segment.scored_units(segment.paragraphs(_cleaned(s, d))),
+        "paragraph_contexts": lambda s, d: segment.paragraph_contexts(segment.paragraphs(_cleaned(s, d))).withColumn(
+            "n_units", F.size("units")
+        ).drop("units"),
         "segmentation_report": lambda s, d: segment.segment_report(segment.phrases_flat(_cleaned(s, d)), vocab.FILE_KEY),
         "simple_segments": lambda s, d: segment.simple_segments(fx.md_docs(s, d)),
         "html_strip": lambda s, d: fx.table(s, d, "pages").select("page_id", T.clean_markup(F.col("html")).alias("text")),
@@ -176,11 +179,11 @@ def ensemble_queries() -> dict[str, Query]:
         "concordance": concordance,
         "concordance_by_class": lambda s, d: ensemble.concordance_by_class(pairs(s, d)),
         "question_divergence": lambda s, d: ensemble.question_divergence(pairs(s, d)),
-        "divergent_segments": lambda s, d: ensemble.divergent_segments(pairs(s, d)),
+        "divergent_segments": lambda s, d: ensemble.divergent_segments(pairs(s, d), texts=fx.unit_texts(s, d)),
         "model_influence": lambda s, d: ensemble.model_influence(ensemble.concordance(pairs(s, d))),
         "question_sensitivity": lambda s, d: ensemble.question_sensitivity(ensemble.question_divergence(pairs(s, d))),
-        "unstable_segments": lambda s, d: ensemble.unstable_segments(pairs(s, d)),
-        "stable_segments": lambda s, d: ensemble.stable_segments(pairs(s, d)),
+        "unstable_segments": lambda s, d: ensemble.unstable_segments(pairs(s, d), texts=fx.unit_texts(s, d)),
+        "stable_segments": lambda s, d: ensemble.stable_segments(pairs(s, d), texts=fx.unit_texts(s, d)),
         "stability_headline": lambda s, d: ensemble.stability_headline(pairs(s, d)),
         "ensemble_global_view": lambda s, d: ensemble.global_view(pairs(s, d)),
     }
@@ -238,25 +241,37 @@ def call_queries() -> dict[str, Query]:
         return asked.select(*vocab.PHRASE_KEY, "question_key", "model", F.md5(calls.phrase_prompt()).alias("prompt_md5"))
 
     def paragraph_prompts(s: SparkSession, d: str) -> DataFrame:
-        asked = calls.call_plan(segment.scored_units(segment.paragraphs(_cleaned(s, d))))
+        asked = calls.paragraph_prompts(segment.paragraph_contexts(segment.paragraphs(_cleaned(s, d))), then=F.md5)
         return asked.select(
             "source_folder", "source_file", "paragraph_index", "phrase_index", "question_key", "model",
-            F.md5(calls.paragraph_prompt()).alias("prompt_md5"),
+            F.col("prompt").alias("prompt_md5"),
         )
 
+    def segment_prompts(s: SparkSession, d: str) -> DataFrame:
+        plan = _segment_texts(s, d).select("*", F.explode(F.array(*[F.lit(m) for m in fx.ANSWER_MODELS])).alias("model"))
+        prompt = calls.segment_prompt(fx.SEGMENT_TEMPLATE, fx.QWEN_TEMPLATE)
+        return plan.select(*SEG, "model", F.md5(prompt).alias("prompt_md5"))
+
+    def judge_prompts(s: SparkSession, d: str) -> DataFrame:
+        said = F.create_map(F.lit("roi_1"), F.when(F.col("categorie") == "ROI", "oui").otherwise("non"))
+        judged = fx.predictions(s, d, fx.ANSWER_MODELS[:1]).join(_segment_texts(s, d), list(SEG)).withColumns(
+            {"answers": said, "raisonnement": F.lit(None).cast("string")}
+        )
+        return judged.select(*SEG, F.md5(calls.judge_prompt(fx.JUDGE_TEMPLATE)).alias("prompt_md5"))
+
     def external(s: SparkSession, d: str) -> DataFrame:
         def ask():
             def answer(batch):
-                yes = batch["phrase"].str.len() % 2 == 0
+                yes = batch["prompt"].str.len() % 2 == 0
                 out = batch[[]].copy()
                 out["raw"] = yes.map({True: '{"reponse": "oui"}', False: '{"reponse": "non"}'})
-                out["tok_in"] = batch["phrase"].str.len().astype("int32")
+                out["tok_in"] = (batch["system"].str.len() + batch["prompt"].str.len()).astype("int32")
                 out["tok_out"], out["duration_s"], out["erreur"] = 5, 0.0, None
                 return out
 
             return answer
 
-        asked = calls.call_plan(fx.unit_texts(s, d))
+        asked = calls.with_prompts(calls.call_plan(fx.unit_texts(s, d)), calls.phrase_prompt(), "oui ou non").drop("phrase")
         replied = calls.read_answers(calls.ask_external(asked, ask))
         return replied.select(*vocab.PHRASE_KEY, "question_key", "model", "answer", "tok_in", "tok_out")
 
@@ -305,6 +320,8 @@ def call_queries() -> dict[str, Query]:
         ),
         "phrase_prompts": phrase_prompts,
         "paragraph_prompts": paragraph_prompts,
+        "segment_prompts": segment_prompts,
+        "judge_prompts": judge_prompts,
         "external_answers": external,
         "recorded_answers": recorded,
         "rule_answers": rules,

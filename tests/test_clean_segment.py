@@ -119,10 +119,18 @@ def test_paragraph_emission(spark, text, want):
 
 
 def test_scored_units_skip_bare_titles(spark):
-    units = segment.scored_units(segment.paragraphs(docs(spark, "# T\n# U\n- a\n- b"))).collect()
-    assert [(r["phrase_index"], r["phrase"], r["full_paragraph"]) for r in units] == [
-        (-1, "U", "a b"), (0, "a", "a b"), (1, "b", "a b")
-    ]
+    paragraphs = segment.paragraphs(docs(spark, "# T\n# U\n- a\n- b"))
+    units = segment.scored_units(paragraphs).collect()
+    assert [(r["phrase_index"], r["phrase"]) for r in units] == [(-1, "U"), (0, "a"), (1, "b")]
+    assert [r["full_paragraph"] for r in segment.paragraph_contexts(paragraphs).collect()] == ["a b"]
+
+
+def test_units_of_a_section_do_not_repeat_its_text(spark):
+    text = "\n".join(f"- phrase number {i}" for i in range(3000))
+    units = segment.scored_units(segment.paragraphs(docs(spark, text)))
+    assert "full_paragraph" not in units.columns
+    total = units.selectExpr("sum(length(phrase) + length(section_title)) AS n").first()["n"]
+    assert total < 2 * len(text)
 
 
 def test_simple_segments_count_kept_paragraphs_only(spark):

@@ -107,14 +107,26 @@ def test_reports_on_an_empty_corpus(spark):
     assert len(stats) == 5 and all(r["nb_appels"] == 0 and r["taux_erreur"] == 0.0 for r in stats)
 
 
-def test_call_details_hold_each_call_once(spark):
+def test_call_details_hold_all_calls(spark):
+    """Repeated calls stay, as they count in the vote."""
     df = calls(spark, (0, 0, "roi_1", "oui"), (0, 1, "roi_1", "ERR"))
     detail = vote.call_details(df.union(df)).first()["detail_appels"]
     assert [(d["model_short"], d["reponse"], d["erreur"]) for d in detail] == [
-        ("gemma-3-27b-it", "non", "timeout"), ("llama-3.3-70b-instruct", "oui", None)
+        *[("gemma-3-27b-it", "non", "timeout")] * 2, *[("llama-3.3-70b-instruct", "oui", None)] * 2
     ]
 
 
+def test_unlisted_models_fail_by_name_or_are_shown(spark):
+    df = calls(spark, (0, 0, "roi_1", "oui"), (0, 1, "roi_1", "oui"))
+    for folded_calls in (B.ballots(df, M[:1]), report.wide_phrases(df, M[:1])):
+        with pytest.raises(Exception, match=f"not listed: {M[1]}"):
+            folded_calls.collect()
+    predictions = spark.createDataFrame([("c", "f", 0, "new/model", "ROI", 0.5, None)], PRED)
+    with pytest.raises(Exception, match="not listed: new/model"):
+        sensitivity.fold(predictions, M).collect()
+    assert {r["model"]: r["nb_appels"] for r in report.model_stats(df, M[:1]).collect()} == {M[0]: 1, M[1]: 1}
+
+
 # --- sensitivity ---------------------------------------------------------------------
 
 PRED = "source_folder string, source_file string, paragraph_index int, model string, categorie string, confiance double, erreur string"
@@ -183,6 +195,13 @@ def test_ensemble_without_members_falls_back_to_all(spark):
     assert all((r["n_modeles_actifs"], r["categorie"]) == (0, "ROI") for r in rows.values())
 
 
+def test_a_prediction_without_an_answer_counts_in_the_vote(spark):
+    """Three valid predictions, one of them with roi_1: one oui of three is no majority."""
+    df = calls(spark, (0, 0, "roi_1", "oui"), (0, 1, "obl_1", "non"), (0, 2, "obl_1", "non"))
+    rows = {r["ensemble"]: r["categorie"] for r in ensemble.revote(B.ballots(df, M), M, ENS | {"one": M[:1]}).collect()}
+    assert (rows["ref"], rows["one"]) == ("Description", "ROI")
+
+
 def test_divergence_and_absent_class(spark):
     df = calls(
         spark,
@@ -197,6 +216,8 @@ def test_divergence_and_absent_class(spark):
     row = ensemble.divergent_segments(p).first()
     assert (row["ref_categorie"], row["alt_categorie"], row["questions_changees"]) == ("ROI", "Description", "roi_1")
     assert (row["ref_scores"], row["alt_scores"]) == ("ROI:1 NOT:0 OBL:0", "ROI:0 NOT:0 OBL:0")
+    texts = df.select(*vocab.PHRASE_KEY).distinct().withColumn("phrase", F.concat(F.lit("text "), "phrase_index"))
+    assert ensemble.divergent_segments(p, texts=texts).first()["phrase"] == "text 0"
     stable = [r["phrase_index"] for r in ensemble.stable_segments(pairs_of(spark, df)).collect()]
     assert stable == [1]
 
