@@ -95,7 +95,7 @@ class Model:
             return np.empty(0, np.uint8)
         at = np.minimum(np.searchsorted(self.points, p), len(self.points) - 1)
         s = np.where(self.points[at] == p, at + 2, 0).astype(np.uint8)
-        for i in np.flatnonzero((s == 0) & (p > 127)):  # few: letters of scripts that the sample lacks
+        for i in np.flatnonzero((s == 0) & ((p > 127) | ((p >= 97) & (p <= 122)))):  # few: letters that the sample lacks
             if chr(p[i]).isalpha():
                 s[i] = 1
         keep = np.ones(len(s), bool)
