@@ -38,7 +38,8 @@ ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "EXAMPLE|example|SAMPLE|sample|PLACEHOLDER|placeholder|CHANGEME|changeme|DUMMY|dummy",
     "0123456789|1234567890|abcdefghij|ABCDEFGHIJ",
-    "^[A-Za-z]+([-_/][A-Za-z]+)+[-_/]?[0-9]{0,4}$",
+    # no repeated group: it would recurse on runs of many parts
+    "^[A-Za-z]+[-_/][A-Za-z][A-Za-z_/-]*[0-9]{0,4}$",
     "^[=_-]+$",
 )
 

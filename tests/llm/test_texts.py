@@ -128,6 +128,12 @@ def test_secrets_of_odd_rows(docs_of, rows_of):
     assert rows_of(secret_scan.digest(docs_of([]))) == []
 
 
+def test_secrets_in_very_long_runs(docs_of, rows_of):
+    texts = ["ab-" * 40_000 + "c1", "ab-" * 40_000 + "12345", "a1" * 20_000, "= " * 40_000, "secret=" * 20_000]
+    got = {r["doc_id"]: r["spans"] for r in rows_of(secret_scan.digest(docs_of(list(enumerate(texts)))))}
+    assert got == {i: brute_secrets(t)[1] for i, t in enumerate(texts)}
+
+
 def test_secret_scan_runs_no_python(spark, sf):
     plan = queries.op6_secrets(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
