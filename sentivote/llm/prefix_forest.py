@@ -23,7 +23,7 @@ from sentivote.llm.common import column, written
 #: Trees, bits of a hash string.
 TREES, BITS = 48, 48
 #: Ascent ends when this share of a shard's vectors, or WANTED times the neighbours asked for, are candidates.
-SHARE, WANTED = 0.35, 16
+SHARE, WANTED = 0.45, 64
 #: Vectors of a shard and queries of a block, on average.
 SHARD, BLOCK = 8192, 8192
 
@@ -82,9 +82,11 @@ def nearest(forest: Forest, ids: np.ndarray, queries: np.ndarray, query_ids: np.
         found = np.flatnonzero(mask)
         score = forest.vectors[found] @ queries[q]
         if len(found) > k:
+            # the last bits of this product differ between equal rows, so the edge leaves room for them
             edge = np.partition(score, len(score) - k)[len(score) - k]
-            close = score >= edge
-            found, score = found[close], score[close]
+            found = found[score >= edge - 1e-9 * max(np.abs(score).max(), np.finfo(float).tiny)]
+        # sums row by row: equal vectors have equal scores, and ties go by id
+        score = np.einsum("ij,j->i", forest.vectors[found], queries[q])
         best = np.lexsort((ids[found], -score))[:k]
         out_q.append(np.full(len(best), query_ids[q]))
         out_v.append(ids[found[best]])

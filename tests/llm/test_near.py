@@ -166,3 +166,13 @@ def test_forest_search_with_few_candidates(spark, rows_of):
     assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 2), (3, 3)]
     assert rows_of(prefix_forest.search(vectors_of(spark, []), F.col("vec_id") == 0)) == []
     assert rows_of(prefix_forest.search(vectors_of(spark, rows[:1]), F.col("vec_id") == 0)) == []
+
+
+def test_forest_search_settles_ties_by_id(spark, rows_of):
+    rng = np.random.default_rng(9)
+    one, asking = rng.standard_normal((2, 64)).astype(np.float32).tolist()
+    rows = [(0, asking), *((i, one) for i in range(1, 300))]
+    for shard in (8192, 64):
+        got = rows_of(prefix_forest.search(vectors_of(spark, rows), F.col("vec_id") == 0, shard=shard))
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 21))
+        assert len({r["score"] for r in got}) == 1
