@@ -81,14 +81,17 @@ def packed(
     Repeated rows, and rows with a null id, are sequences of their own.  Other columns play no part.
     """
     most = max(lengths)
-    rows = written(docs.select(column(docs, id_col).alias("id"), size.cast("long").alias("size")).where("size > 0"), "sizes")
+    key = column(docs, id_col)
+    # rows without an id are dealt by their place
+    salt = F.when(key.isNull(), F.monotonically_increasing_id()).alias("salt")
+    rows = written(docs.select(key.alias("id"), size.cast("long").alias("size"), salt).where("size > 0"), "sizes")
     n = rows.count()
     shards = max(1, -(-n // shard))
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("size") - 1).cast("long"), F.lit(most).cast("long")))
-    pieces = rows.select("id", "size", cuts.alias("start")).select(
+    pieces = rows.select("id", "size", "salt", cuts.alias("start")).select(
         "id", (F.col("start") / most).cast("int").alias("piece"), "start",
         F.least(F.col("size") - F.col("start"), F.lit(most)).alias("n_tokens"),
-        F.pmod(F.xxhash64("id", "start"), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64("id", "start", "salt"), F.lit(shards)).cast("int").alias("shard"),
     )
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
