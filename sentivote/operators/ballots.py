@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentivote import vocab
@@ -64,11 +64,7 @@ def ballots(
     with_cost: bool = False,
 ) -> DataFrame:
     """Fold calls to masks, on request with the cost of each model."""
-    costs = []
-    if with_cost:
-        costs = [
-            F.sum(F.when(F.col("model") == m, cost_units())).alias(f"cost_units_{i}") for i, m in enumerate(models)
-        ]
+    costs = cost_columns(models) if with_cost else []
     return with_bit(calls, models).groupBy(*key).agg(*mask_aggregates(questions), *costs)
 
 
@@ -119,6 +115,32 @@ def client_axis(units: DataFrame) -> DataFrame:
     return numbered(units.select("source_folder").distinct(), ["source_folder"], "client_pos")
 
 
+def model_axis(spark: SparkSession, models: Sequence[str]) -> DataFrame:
+    """model_pos, model, short name."""
+    rows = F.array(*[F.struct(F.lit(i).alias("model_pos"), F.lit(m).alias("model"), F.lit(m.split("/")[-1]).alias("short")) for i, m in enumerate(models)])
+    return spark.range(1).select(F.inline(rows))
+
+
+def question_axis(spark: SparkSession, questions: Sequence[vocab.Question] = tuple(vocab.QUESTIONS)) -> DataFrame:
+    """question_pos, question_key, categorie, texte."""
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("question_pos"), F.lit(q.key).alias("question_key"), F.lit(q.category).alias("categorie"), F.lit(q.text).alias("texte"))
+        for i, q in enumerate(questions)
+    ])
+    return spark.range(1).select(F.inline(rows))
+
+
+def phrase_axis(texts: DataFrame, position: Sequence[str] = ("source_file", "phrase_index")) -> DataFrame:
+    """client_pos and phrase_pos of every row of ``texts``, as in ``tensor_coo`` over the same units, with its columns.
+
+    Only the keys are numbered; the texts join their numbers last.
+    """
+    key = ["source_folder", *position]
+    keys = checkpointed(texts.select(*key))
+    placed = numbered(keys, position, "phrase_pos", group=["source_folder"]).join(client_axis(keys), "source_folder")
+    return texts.join(placed, key)
+
+
 def tensor_shape(ballots_df: DataFrame, models: Sequence[str],
                  questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> DataFrame:
     """Dimensions of the padded tensor, in one row."""
@@ -140,28 +162,34 @@ def model_answer_columns(models: Sequence[str], questions: Sequence[str] = tuple
     return [cell(q, i).alias(f"{short(m)}__{q}") for i, m in enumerate(models) for q in questions]
 
 
-def compact_answers(ballots_df: DataFrame, models: Sequence[str],
-                    key: Sequence[str] = tuple(vocab.PHRASE_KEY),
-                    questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> DataFrame:
-    """Per model a string such as ``R:101 N:000 O:010``, and its cost if folded in."""
+def answer_bits(i: int, questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> Column:
+    """Answers of model i as a string such as ``R:101 N:000 O:010``."""
 
-    def bits(prefix: str, i: int) -> Column:
+    def bits(prefix: str) -> Column:
         return F.concat(
-            *[
-                F.getbit(F.col(YES + q), F.lit(i)).cast("string")
-                for q in questions
-                if q.startswith(prefix + "_")
-            ]
+            *[F.getbit(F.col(YES + q), F.lit(i)).cast("string") for q in questions if q.startswith(prefix + "_")]
         )
 
+    return F.concat(F.lit("R:"), bits("roi"), F.lit(" N:"), bits("notoriete"), F.lit(" O:"), bits("obl"))
+
+
+def cost_columns(models: Sequence[str]) -> list[Column]:
+    """The cost of each model, as aggregates."""
+    return [F.sum(F.when(F.col("model") == m, cost_units())).alias(f"cost_units_{i}") for i, m in enumerate(models)]
+
+
+def cost_of(i: int) -> Column:
+    return F.coalesce(eur(F.col(f"cost_units_{i}"), 7), F.lit(0.0))
+
+
+def compact_answers(ballots_df: DataFrame, models: Sequence[str],
+                    key: Sequence[str] = tuple(vocab.PHRASE_KEY),
+                    questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> DataFrame:
+    """Per model a string such as ``R:101 N:000 O:010``, and its cost if folded in."""
     columns = []
     for i, m in enumerate(models):
         short = m.split("/")[-1]
-        columns.append(
-            F.concat(
-                F.lit("R:"), bits("roi", i), F.lit(" N:"), bits("notoriete", i), F.lit(" O:"), bits("obl", i)
-            ).alias(f"resp_{short}")
-        )
+        columns.append(answer_bits(i, questions).alias(f"resp_{short}"))
         if f"cost_units_{i}" in ballots_df.columns:
-            columns.append(F.coalesce(eur(F.col(f"cost_units_{i}"), 7), F.lit(0.0)).alias(f"cost_eur_{short}"))
+            columns.append(cost_of(i).alias(f"cost_eur_{short}"))
     return ballots_df.select(*key, *columns)

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from sentivote import vocab
 from sentivote.functions.money import cost_units, eur, usd
-from sentivote.operators.ballots import mask_aggregates, model_answer_columns, with_bit
+from sentivote.operators.ballots import answer_bits, cost_columns, cost_of, mask_aggregates, model_answer_columns, with_bit
 from sentivote.functions.numbers import exact_mean, exact_sum, percent, ratio, ticks
 from sentivote.operators.vote import agreement_pct, classify, is_valid, majority
 
 QUESTIONS = tuple(vocab.QUESTION_KEYS)
 KEY = tuple(vocab.PHRASE_KEY)
 FILE = tuple(vocab.FILE_KEY)
+UNIT = (*FILE, "paragraph_index", "phrase_index")
 PREFIX = {"ROI": "roi", "Notoriete": "notoriete", "Obligation": "obl"}
 
 
@@ -55,6 +56,30 @@ def wide_phrases(calls: DataFrame, models: Sequence[str], key: Sequence[str] = K
     return folded.select(*phrase_columns(key, questions), *model_answer_columns(models, questions))
 
 
+def wide_units(calls: DataFrame, units: DataFrame, models: Sequence[str], key: Sequence[str] = UNIT,
+               questions: Sequence[str] = QUESTIONS) -> DataFrame:
+    """Report of paragraph mode: titles and phrases with section, text, label, costs, answers, and those of each model.
+
+    ``units`` holds the key, ``section_title`` and ``phrase``; a title is the unit of phrase index -1.  The
+    texts join last, so only keys and numbers are grouped.
+    """
+    errors = [F.max(F.when(F.col("model") == m, F.col("erreur"))).alias(f"_error_{i}") for i, m in enumerate(models)]
+    folded = classify(with_bit(calls, models), key, questions, also=[*mask_aggregates(questions), *cost_columns(models), *errors])
+    per_model = []
+    for i, m in enumerate(models):
+        short = m.split("/")[-1]
+        per_model += [
+            answer_bits(i, questions).alias(f"resp_{short}"),
+            F.coalesce(f"_error_{i}", F.lit("")).alias(f"err_{short}"),
+            cost_of(i).alias(f"cost_eur_{short}"),
+        ]
+    rows = folded.select(
+        *key, (F.col("phrase_index") == -1).alias("is_title"), "categorie", *score_strings(questions), "cost_usd_phrase", "cost_eur_phrase",
+        *[majority(q).alias(f"Q_{q}") for q in questions], *per_model,
+    )
+    return rows.join(units.select(*key, "section_title", "phrase"), list(key))
+
+
 def flat_listing(classified: DataFrame, texts: DataFrame, key: Sequence[str] = KEY,
                  questions: Sequence[str] = QUESTIONS) -> DataFrame:
     """Global listing: text, label, score strings, cost, aggregated answers."""

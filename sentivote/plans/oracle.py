@@ -252,6 +252,11 @@ def vote_sql() -> dict[str, str]:
                 dense_rank() OVER (ORDER BY source_folder) - 1 AS client_pos FROM u
             ) USING ({K}) WHERE NOT failed AND answer = 'oui'""",
             *VOTE_CTES),
+        "tensor_phrases": """SELECT lang AS source_folder, source AS source_file, CAST(doc_id AS INTEGER) AS phrase_index, text AS phrase,
+            row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) - 1 AS phrase_pos,
+            dense_rank() OVER (ORDER BY lang) - 1 AS client_pos FROM documents""",
+        "tensor_clients": """SELECT lang AS source_folder, row_number() OVER (ORDER BY lang) - 1 AS client_pos
+            FROM (SELECT DISTINCT lang FROM documents)""",
         "tensor_shape": with_(
             """SELECT count(*) AS n_clients, max(n) AS max_phrases_per_client, 5 AS n_models, 9 AS n_questions
             FROM (SELECT source_folder, count(*) AS n FROM u GROUP BY 1)""", UNITS),
@@ -296,7 +301,23 @@ def report_sql() -> dict[str, str]:
     agr = "agr AS (SELECT " + K + ", " + ", ".join(
         f"max(CASE WHEN question_key = '{q}' THEN CASE WHEN n_valid < 2 THEN 50.0 ELSE round(100.0::DOUBLE * greatest(n_oui, n_valid - n_oui) / n_valid, 1) END END) AS a_{q}" for q in Q) + f" FROM va GROUP BY {K})"
     totals = ", ".join(f"CAST(sum(CASE WHEN categorie = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS \"total_{c}\"" for c in CATS)
+    contexts, clean = unit_contexts()
+    key = f"{X.KEYS}, paragraph_index, phrase_index"
+    said = ", ".join(f"max(CASE WHEN question_key = '{q}' THEN answer END) AS \"Q_{q}\"" for q in Q)
+    errors = ", ".join(
+        f"coalesce(max(CASE WHEN model = '{m}' AND failed THEN 'timeout' END), '') AS \"err_{short(m)}\"" for m in ANSWER_MODELS)
+    wide_units = X.statement(
+        f"""SELECT w.*, m.* EXCLUDE ({key}), lab.categorie, {_score_strings()}, cost_usd_phrase, cost_eur_phrase, v.* EXCLUDE ({key}),
+          section_title, phrase
+        FROM (SELECT {key}, phrase_index = -1 AS is_title FROM u) w
+        JOIN u USING ({key}) JOIN lab USING ({key}) JOIN money USING ({key})
+        JOIN (SELECT {key}, {compact}, {errors} FROM calls JOIN prices USING (model) GROUP BY {key}) m USING ({key})
+        JOIN (SELECT {key}, {said} FROM va GROUP BY {key}) v USING ({key})""",
+        *clean, f"""
+u AS (SELECT {key}, section_title, phrase, concat_ws('/', source_file, paragraph_index, phrase_index) AS seed FROM {contexts})""",
+        QUESTIONS, model_list(ANSWER_MODELS), PRICES, answers("u", key), votes_cte(key), COSTS.replace(K, key))
     return {
+        "wide_units": wide_units,
         "phrase_rows": with_(
             f"""SELECT {K}, categorie, {_score_strings()}, cost_eur_phrase, duration_s_phrase,
             {", ".join(f'"ACCORD_{q}"' for q in Q)}, {", ".join(f'"AGG_{q}"' for q in Q)}

@@ -100,6 +100,8 @@ def vote_queries() -> dict[str, Query]:
         ),
         "call_details": call_details,
         "tensor_coo": lambda s, d: B.tensor_coo(B.ballots(fx.votes(s, d), models), models),
+        "tensor_phrases": lambda s, d: B.phrase_axis(fx.unit_texts(s, d)),
+        "tensor_clients": lambda s, d: B.client_axis(fx.units(s, d)),
         "tensor_shape": lambda s, d: B.tensor_shape(fx.units(s, d), models),
     }
 
@@ -107,7 +109,14 @@ def vote_queries() -> dict[str, Query]:
 def report_queries() -> dict[str, Query]:
     classified = lambda s, d: vote.classify(fx.votes(s, d))
     models = fx.ANSWER_MODELS
+
+    def wide_units(s: SparkSession, d: str) -> DataFrame:
+        units = segment.scored_units(segment.paragraphs(_cleaned(s, d)))
+        seed = F.concat_ws("/", "source_file", "paragraph_index", "phrase_index")
+        return report.wide_units(fx.hashed_answers(units.select(*report.UNIT), seed), units, models)
+
     return {
+        "wide_units": wide_units,
         "phrase_rows": lambda s, d: report.phrase_rows(classified(s, d)),
         "wide_phrases": lambda s, d: report.wide_phrases(fx.votes(s, d), models),
         "compact_answers": lambda s, d: B.compact_answers(B.ballots(fx.votes(s, d), models, with_cost=True), models),
