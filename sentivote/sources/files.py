@@ -145,9 +145,14 @@ def load_template(spark: SparkSession, path: str) -> str:
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Ground truth from CSV, column names stripped, with the row's ordinal ``ord``."""
+    """Ground truth from CSV, column names stripped, with the row's ordinal ``ord``: file, place in the file.
+
+    A file may be cut, so the place is the start of the part and the count of rows in it.
+    """
     rows = spark.read.csv(path, header=True)
-    return rows.toDF(*[c.strip() for c in rows.columns]).withColumn("ord", F.monotonically_increasing_id())
+    ord_ = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    named = [F.col("`" + c.replace("`", "``") + "`").alias(c.strip()) for c in rows.columns]
+    return rows.select(*named, ord_.alias("ord"))
 
 
 # --- sinks ----------------------------------------------------------------------------
