@@ -164,7 +164,7 @@ def splice_tables(docs: DataFrame, tables: DataFrame, key: Sequence[str] = ("doc
     """
     heading = rf"\n(?=[^\n]*### T(?:ableau|ABLEAU)|{WS_IN_LINE}*#[^\n]*Tableau)"
     cut = F.split(F.concat(F.lit("\n"), F.col("text")), heading)
-    top = rf"(?s)^([^\n]*(?:\n{WS_IN_LINE}*(?=\n|\z))*)(.*)\z"
+    top = rf"(?s)^([^\n]*(?:\n{WS_IN_LINE}*(?=\n|\z))*+)(.*)\z"  # possessive: it neither recurses nor steps back
 
     def insert(piece: Column, i: Column, found: Column) -> Column:
         table = F.coalesce(F.get(found, i - 1), F.lit(NO_TABLE))

@@ -125,3 +125,11 @@ def test_leaderboard_and_paths(spark):
     assert rows == {"a": (2, 1, 1, 3, 10, 1, 0.3), "b": (1, 1, 0, 1, 5, 0, 1.0)}
     files = spark.createDataFrame([("p", 1, "x"), ("p", 2, "y"), ("q", 3, "z")], "path string, no int, v string")
     assert sorted(map(tuple, D.distinct_paths(files, "no").collect())) == [("p", 2, "y"), ("q", 3, "z")]
+
+
+def test_splice_behind_very_many_blank_lines(spark):
+    text = "### Tableau 1" + "\n \n" * 50_000 + "suite"
+    docs = spark.createDataFrame([("d", text)], "doc string, text string")
+    tables = spark.createDataFrame([("d", 0, "|x|")], "doc string, table_no int, markdown string")
+    got = D.splice_tables(docs, tables).first()["text"]
+    assert got.count("|x|") == 1 and got.endswith("suite")
