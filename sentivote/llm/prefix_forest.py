@@ -6,7 +6,11 @@ ascend together: the matched prefix is shortened by one bit at a time, and the
 vectors under it join the candidates, until there are enough of them.  The candidates'
 nearness is then computed exactly.
 
-The vectors are dealt to shards of bounded size by a hash, the queries to blocks,
+Equal vectors are one class, with its smallest ids.  Nearly equal ones, that fall on the same side of
+the first hyperplanes, count as one towards "enough", so a large group doesn't end the ascent
+before others are met.
+
+The classes are dealt to shards of bounded size by a hash, the queries to blocks,
 and each pair of a shard and a block is one task's work; a query's nearest of all shards
 are merged by a window that drops what is beyond the wanted number before it is moved.
 """
@@ -24,7 +28,9 @@ from sentivote.llm.common import column, written
 TREES, BITS = 48, 48
 #: Ascent ends when this share of a shard's vectors, or WANTED times the neighbours asked for, are candidates.
 SHARE, WANTED = 0.45, 64
-#: Vectors of a shard and queries of a block, on average.
+#: Vectors whose directions share so many bits of the first tree count as one towards the end of the ascent.
+ALIKE = 24
+#: Distinct vectors of a shard, and of queries in a block, on average.
 SHARD, BLOCK = 8192, 8192
 
 
@@ -35,6 +41,11 @@ class Forest:
         self.vectors, self.trees, self.bits = vectors, trees, bits
         self.planes = np.random.default_rng(seed).standard_normal((trees * bits, vectors.shape[1]))
         codes = self.codes(vectors)
+        cells = codes[0] >> np.uint64(max(bits - ALIKE, 0))
+        _, at, sizes = np.unique(cells, return_inverse=True, return_counts=True)
+        #: What a row adds to the number of unlike vectors.
+        self.share = 1 / sizes[at]
+        self.unlike = len(sizes)
         self.order = np.argsort(codes, axis=1, kind="stable")
         self.sorted = np.take_along_axis(codes, self.order, axis=1)
 
@@ -47,8 +58,8 @@ class Forest:
             out[t] = side @ weights
         return out
 
-    def candidates(self, queries: np.ndarray, enough: int):
-        """For each query the mask of its candidates, after the synchronous ascent."""
+    def candidates(self, queries: np.ndarray, enough: int, unlike: int):
+        """For each query the mask of its candidates, after the synchronous ascent to ``enough`` rows, ``unlike`` of them unlike."""
         codes = self.codes(queries)
         low = np.empty((self.trees, self.bits + 1, len(queries)), np.int32)
         high = np.empty_like(low)
@@ -68,32 +79,43 @@ class Forest:
                 for t in np.flatnonzero(b > a):
                     mask[self.order[t, a[t] : b[t]]] = True
                 met = int(np.count_nonzero(mask))
-                if met >= enough:
+                if met >= enough and self.share[mask].sum() >= unlike - 1e-6:
                     break
             yield q, mask
 
 
-def nearest(forest: Forest, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, share: float, wanted: int) -> pd.DataFrame:
-    """Each query's ``k`` nearest candidates by inner product, ties to the smaller id, itself left out."""
-    enough = min(len(ids), max(int(share * len(ids)), wanted * k))
+def nearest(
+    forest: Forest, ids: np.ndarray, heads: list[np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int, share: float, wanted: int
+) -> pd.DataFrame:
+    """Each query's ``k`` nearest candidates by inner product, ties to the smaller id.
+
+    ``ids`` are the smallest of each class of equal vectors, ``heads`` its ``k`` smallest.
+    """
+    enough, unlike = (min(n, max(int(share * n), wanted * k)) for n in (len(ids), forest.unlike))
+    several = np.array([len(h) > 1 for h in heads], bool)
     out_q, out_v, out_s = [], [], []
-    for q, mask in forest.candidates(queries, enough):
-        mask &= ids != query_ids[q]
+    for q, mask in forest.candidates(queries, enough, unlike):
         found = np.flatnonzero(mask)
         score = forest.vectors[found] @ queries[q]
         if len(found) > k:
-            # the last bits of this product differ between equal rows, so the edge leaves room for them
+            # the last bits of this product differ between like rows, so the edge leaves room for them
             edge = np.partition(score, len(score) - k)[len(score) - k]
             found = found[score >= edge - 1e-9 * max(np.abs(score).max(), np.finfo(float).tiny)]
-        # sums row by row: equal vectors have equal scores, and ties go by id
+        # sums row by row, so that ties go by id
         score = np.einsum("ij,j->i", forest.vectors[found], queries[q])
         best = np.lexsort((ids[found], -score))[:k]
-        out_q.append(np.full(len(best), query_ids[q]))
-        out_v.append(ids[found[best]])
-        out_s.append(score[best])
+        found, score = found[best], score[best]
+        got = ids[found]
+        if several[found].any():
+            got, score = np.concatenate([heads[f] for f in found]), np.repeat(score, [len(heads[f]) for f in found])
+            best = np.lexsort((got, -score))[:k]
+            got, score = got[best], score[best]
+        out_q.append(np.full(len(got), query_ids[q]))
+        out_v.append(got)
+        out_s.append(score)
     empty = np.empty(0, np.int64)
     return pd.DataFrame({
-        "query_id": np.concatenate([empty, *out_q]), "vec_id": np.concatenate([empty, *out_v]), "score": np.concatenate([empty.astype(float), *out_s]),
+        "asked": np.concatenate([empty, *out_q]), "vec_id": np.concatenate([empty, *out_v]), "score": np.concatenate([empty.astype(float), *out_s]),
     })
 
 
@@ -125,31 +147,44 @@ def search(
     Nearness is the largest inner product in double precision on the vectors as
     they are; a query with fewer candidates than ``k`` gets them all.  Rows without an id, and vectors
     that are null, empty, zero or hold null or non-finite components, take no part.  Rows that repeat an
-    id count once, with the smallest vector; all vectors must have one length.
+    id count once, with the smallest vector; all vectors must have one length.  Equal vectors are searched
+    as one, then handed out by id.
     ``is_query`` is a condition on the columns of ``df``.
     """
     flagged = df.withColumn("_query", F.coalesce(is_query, F.lit(False)))
-    rows = usable(flagged, id_col, vector_col, "_query")
-    vectors = written(rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("_query").alias("_query")), "searched")
-    queries = vectors.where("_query")
-    n, m = vectors.count(), queries.count()
+    rows = usable(flagged, id_col, vector_col, "_query").groupBy("id").agg(F.min("vector").alias("vector"), F.max("_query").alias("_query"))
+    members = written(rows.withColumn("h", F.xxhash64("vector")), "searched")
+    # a query's own id may be among the nearest of its class, so one more is looked for
+    most = k + 1
+    first = Window.partitionBy("h", "vector").orderBy("id")
+    heads = members.select("h", "vector", "id", F.row_number().over(first).alias("r")).where(F.col("r") <= most)
+    classes = heads.groupBy("h", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("rep"))
+    classes = written(classes, "searched-classes")
+    # written, so that the join reads both sides from a shuffle and can split a class of many queries
+    queries = written(members.where("_query").join(classes.select("h", "vector", "rep"), ["h", "vector"]).select("id", "rep"), "queries")
+    asked = written(classes.join(queries.select("rep").distinct(), "rep").select(F.col("rep").alias("asked"), F.col("vector").alias("asking")), "asked")
+    n, m = classes.count(), asked.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
-    part = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")
+    part = lambda key, count, seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = vectors.select("id", "vector", part(shards, 1).alias("shard"), every(blocks).alias("block"))
-    right = queries.select(F.col("id").alias("asked"), F.col("vector").alias("asking"), every(shards).alias("at"), part(blocks, 2).alias("of"))
+    left = classes.select("rep", "ids", "vector", part("rep", shards, 1).alias("shard"), every(blocks).alias("block"))
+    right = asked.select("asked", "asking", every(shards).alias("at"), part("asked", blocks, 2).alias("of"))
 
     def work(rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asking):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        rows = rows.sort_values("id")
+            return pd.DataFrame({"asked": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        rows = rows.sort_values("rep")
         forest = Forest(np.stack(rows["vector"].to_numpy()), trees, bits)
-        ids, result = rows["id"].to_numpy(np.int64), []
+        ids, heads, result = rows["rep"].to_numpy(np.int64), [np.asarray(i, np.int64) for i in rows["ids"]], []
         for at in range(0, len(asking), 512):  # bounds the table of prefix ranges
             some = asking.iloc[at : at + 512]
-            result.append(nearest(forest, ids, np.stack(some["asking"].to_numpy()), some["asked"].to_numpy(np.int64), k, share, wanted))
+            result.append(nearest(forest, ids, heads, np.stack(some["asking"].to_numpy()), some["asked"].to_numpy(np.int64), most, share, wanted))
         return pd.concat(result)
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("at", "of")).applyInPandas(work, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("at", "of")).applyInPandas(work, "asked long, vec_id long, score double")
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    merged = found.select("*", F.row_number().over(order).alias("r")).where(F.col("r") <= most)
+    lists = written(merged.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near")), "nearest")
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("id")), 1, k)
+    out = queries.join(lists, F.col("rep") == F.col("asked")).select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "one"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), "one.vec_id", "one.score")

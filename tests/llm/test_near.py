@@ -176,3 +176,41 @@ def test_forest_search_settles_ties_by_id(spark, rows_of):
         got = rows_of(prefix_forest.search(vectors_of(spark, rows), F.col("vec_id") == 0, shard=shard))
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 21))
         assert len({r["score"] for r in got}) == 1
+
+
+def recalls(spark, rows_of, x, asked, k=20):
+    """Recall of each query of ``asked`` against brute force; of equal scores any will do."""
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in rows_of(prefix_forest.search(df, F.col("vec_id").isin([int(q) for q in asked]), k=k)):
+        got.setdefault(r["query_id"], []).append(r["score"])
+    dots = x.astype(np.float32).astype(float)
+    out = []
+    for q in asked:
+        score = np.delete(dots @ dots[q], q)
+        out.append(sum(s >= np.sort(score)[-k] - 1e-9 for s in got[q]) / k)
+    return np.array(out)
+
+
+def unit_vectors(n, seed=0):
+    u = np.random.default_rng(seed).standard_normal((n, 64))
+    return u / np.linalg.norm(u, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("noise", [0, 0.004])
+def test_forest_recall_beside_a_large_group_of_copies(spark, rows_of, noise):
+    x, third = unit_vectors(8192), 8192 // 3
+    x[:third] = x[0] + noise * np.random.default_rng(1).standard_normal((third, 64))
+    inside, outside = recalls(spark, rows_of, x, range(0, third, 131)), recalls(spark, rows_of, x, range(third, 8192, 37))
+    assert inside.min() == 1
+    assert outside.mean() >= 0.92 and np.percentile(outside, 5) >= 0.75
+
+
+def test_forest_search_hands_out_copies_by_id(spark, rows_of):
+    x = unit_vectors(40, seed=3)
+    x[5:35] = x[5]
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got = rows_of(prefix_forest.search(vectors_of(spark, rows), F.col("vec_id").isin(7, 30), k=8))
+    for q, wanted in ((7, [5, 6, 8, 9, 10, 11, 12, 13]), (30, [5, 6, 7, 8, 9, 10, 11, 12])):
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == wanted
