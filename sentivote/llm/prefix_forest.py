@@ -10,6 +10,9 @@ Equal vectors are one class, with its smallest ids.  Nearly equal ones, that fal
 the first hyperplanes, count as one towards "enough", so a large group doesn't end the ascent
 before others are met.
 
+Hash bits see angles only.  Where lengths differ, a candidate's length times the cosine that its longest
+prefix allows bounds its inner product, and the candidates with the largest bounds are taken.
+
 The classes are dealt to shards of bounded size by a hash, the queries to blocks,
 and each pair of a shard and a block is one task's work; a query's nearest of all shards
 are merged by a window that drops what is beyond the wanted number before it is moved.
@@ -30,6 +33,8 @@ TREES, BITS = 48, 48
 SHARE, WANTED = 0.45, 64
 #: Vectors whose directions share so many bits of the first tree count as one towards the end of the ascent.
 ALIKE = 24
+#: Chance that a vector at the cosine taken for a prefix isn't met with a longer one; ratio between classes of length, as a logarithm.
+SLIP, STEP = 0.01, 0.1
 #: Distinct vectors of a shard, and of queries in a block, on average.
 SHARD, BLOCK = 8192, 8192
 
@@ -46,6 +51,15 @@ class Forest:
         #: What a row adds to the number of unlike vectors.
         self.share = 1 / sizes[at]
         self.unlike = len(sizes)
+        # cosine of a row whose longest prefix in all trees has so many bits, at most but for SLIP; ever above 0, so that length counts
+        p = (1 - SLIP ** (1 / trees)) ** (1 / np.arange(1, bits + 2))
+        self.cosine = np.maximum(np.cos(np.pi * (1 - p)), np.arange(1, bits + 2) * 4e-4)
+        largest = np.abs(vectors).max(axis=1)
+        length = np.log(largest) + np.log(np.linalg.norm(vectors / largest[:, None], axis=1))
+        step = np.floor((length.max() - length) / STEP + 1e-6)
+        self.even = not step.any()
+        #: Lengths, the largest as 1, in classes.
+        self.length = np.exp(-STEP * step)
         self.order = np.argsort(codes, axis=1, kind="stable")
         self.sorted = np.take_along_axis(codes, self.order, axis=1)
 
@@ -70,17 +84,27 @@ class Forest:
                 low[t, length] = np.searchsorted(self.sorted[t], first, side="left")
                 high[t, length] = np.searchsorted(self.sorted[t], first + ((np.uint64(1) << shift) - np.uint64(1)), side="right")
         for q in range(len(queries)):
-            mask = np.zeros(len(self.vectors), bool)
-            met = 0
+            mask, longest = np.zeros(len(self.vectors), bool), np.full(len(self.vectors), -1, np.int16)
+            before = np.zeros(self.trees, np.int32)
             for length in range(self.bits, -1, -1):
                 a, b = low[:, length, q], high[:, length, q]
-                if (b - a).sum() < enough and length:
+                if self.even and (b - a).sum() < enough and length:
                     continue  # too few, even if all of them differ
-                for t in np.flatnonzero(b > a):
+                for t in np.flatnonzero(b - a > before):
                     mask[self.order[t, a[t] : b[t]]] = True
-                met = int(np.count_nonzero(mask))
-                if met >= enough and self.share[mask].sum() >= unlike - 1e-6:
+                before = b - a
+                sure = mask
+                if not self.even:
+                    longest[mask & (longest < 0)] = length
+                    if length:  # what is met later is bounded by this
+                        sure = mask & (self.length * self.cosine[longest] >= self.cosine[length - 1])
+                if int(np.count_nonzero(sure)) >= enough and self.share[sure].sum() >= unlike - 1e-6:
                     break
+            if not self.even:
+                bound = np.where(mask, self.length * self.cosine[longest], -1)
+                order = np.argsort(-bound, kind="stable")
+                last = max(enough - 1, int(np.searchsorted(np.cumsum(self.share[order]), unlike - 1e-6)))
+                mask &= bound >= bound[order[min(last, len(order) - 1)]]
             yield q, mask
 
 

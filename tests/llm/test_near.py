@@ -214,3 +214,10 @@ def test_forest_search_hands_out_copies_by_id(spark, rows_of):
     got = rows_of(prefix_forest.search(vectors_of(spark, rows), F.col("vec_id").isin(7, 30), k=8))
     for q, wanted in ((7, [5, 6, 8, 9, 10, 11, 12, 13]), (30, [5, 6, 7, 8, 9, 10, 11, 12])):
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == wanted
+
+
+@pytest.mark.parametrize("spread", [0.3, 1.0])
+def test_forest_recall_on_vectors_of_mixed_length(spark, rows_of, spread):
+    x = unit_vectors(8192) * np.exp(spread * np.random.default_rng(2).standard_normal((8192, 1)))
+    found = recalls(spark, rows_of, x, range(5, 8192, 67))
+    assert found.mean() >= 0.95 and np.percentile(found, 5) >= 0.85
