@@ -25,6 +25,11 @@ from sentivote.llm.common import code_points, column
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 64, 24_000
 #: Letters that get a symbol of their own, the most frequent of the sample.
 LETTERS = 120
+#: A text of fewer symbols, or one whose language was learnt from fewer, isn't judged by its entropy.
+SHORT, LEARNT = 100, 5000
+#: Least gain over evenly drawn symbols of a text that has a language.  Of 34,000 labelled documents the lowest had -0.02,
+#: words of evenly drawn letters and base64 have -0.6 and less.
+LEAST = -0.3
 #: Symbols that are parsed in one go.
 WINDOW = 512
 
@@ -76,6 +81,7 @@ class Model:
         #: Symbol 0 is any run of other characters, 1 a letter that has no symbol.
         self.points = np.array(sorted(ord(c) for c in chosen), np.uint32)
         self.width = len(self.points) + 2
+        self.lacking = len(seen) > len(chosen)
         tables, self.starts, sizes = [], [], []
         for lang in self.langs:
             s = self.symbols(samples[lang])[:most]
@@ -129,8 +135,8 @@ class Model:
             state[:m] = to
         return (count + (state != start)).reshape(n, langs)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score of each text."""
+    def parsed(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Symbols of each text, and its numbers of phrases (text, language) and of windows."""
         parts = [self.symbols(t) if t else np.empty(0, np.uint8) for t in texts]
         owners, sizes, windows = [], [], []
         for d, s in enumerate(parts):
@@ -146,6 +152,30 @@ class Model:
             for row, k in enumerate(order):
                 grid[row, : sizes[row]] = windows[k]
             np.add.at(total, owners, self.phrases(grid, sizes))
+        return parts, total, np.bincount(np.asarray(owners, np.int64), minlength=len(texts))
+
+    def gains(self, texts: list[str | None]) -> list[float]:
+        """For each text 1 less the ratio of the winner's entropy to that of evenly drawn symbols.
+
+        The last phrase of a window is cut by its end and isn't counted.  A text without letters has minus infinity.  What can't be
+        judged has 0: few symbols, a winner with a small sample, or more letters in the samples than have symbols.
+        """
+        parts, total, windows = self.parsed(texts)
+        out = []
+        for s, n, cut in zip(parts, total, windows):
+            if not len(s) or not (s > 0).any():
+                out.append(-np.inf)
+                continue
+            best = int(np.argmin(n * self.cost))
+            if len(s) < SHORT or self.cost[best] < np.log(LEARNT) or self.lacking:
+                out.append(0.0)
+                continue
+            out.append(float(1 - (n[best] - cut) * self.cost[best] / (len(s) * np.log(self.width - 1))))
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        parts, total, _ = self.parsed(texts)
         out = []
         for s, n in zip(parts, total * self.cost):
             if not len(s) or not (s > 0).any() or not self.langs:
@@ -191,25 +221,40 @@ def fitted(
     return Model(joined, letters, sample_symbols)
 
 
+def in_groups(of, texts: pd.Series) -> list:
+    """``of`` over lists of about 1,500,000 characters."""
+    out, group, size = [], [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t or "")
+        if size > 1_500_000:
+            out += of(group)
+            group, size = [], 0
+    return out + of(group)
+
+
 def predicted(model: Model):
     """A column function: text -> struct(lang_pred, score)."""
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            out, group, size = [], [], 0
-            for t in texts:
-                group.append(t)
-                size += len(t or "")
-                if size > 1_500_000:
-                    out += model.predict(group)
-                    group, size = [], 0
-            out += model.predict(group)
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+            yield pd.DataFrame(in_groups(model.predict, texts), columns=["lang_pred", "score"])
 
     return guess
 
 
+def gained(model: Model):
+    """A column function: text -> gain, see ``Model.gains``."""
+
+    @F.pandas_udf("double")
+    def gain(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(in_groups(model.gains, texts), dtype="float64")
+
+    return gain
+
+
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
     """Per row of ``docs``: id, held_out, lang_pred, score.
 
@@ -225,9 +270,15 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """Rows of ``docs`` whose text has a language, with ``least`` as the score wanted; columns as they were."""
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
+    """Rows of ``docs`` whose text has letters and a learnt language, columns as they were.
+
+    A text has a language if its phrases cost less than evenly drawn symbols would, with ``least`` as the gain wanted.  The
+    score of ``identified`` doesn't tell: a text in two languages has a score near 0 too.  What can't be judged stays, as do
+    all texts with letters when no language was learnt.
+    """
     model = fitted(docs, id_col, text_col, lang_col)
-    guess = predicted(model)(column(docs, text_col).cast("string"))
-    found = docs.withColumn("_g", guess)
-    return found.where((F.col("_g.lang_pred") != "und") & (F.col("_g.score") >= least)).drop("_g")
+    text = column(docs, text_col).cast("string")
+    if not model.langs:
+        return docs.where(text.rlike("[^\\P{L}]"))
+    return docs.withColumn("_g", gained(model)(text)).where(F.col("_g") >= least).drop("_g")

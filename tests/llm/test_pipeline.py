@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import sys
+import zlib
 from pathlib import Path
 
 import pytest
@@ -12,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
 
-from sentivote.llm import importance, personal  # noqa: E402
+from sentivote.llm import cross_parse, importance, personal  # noqa: E402
 from test_near import brute_near  # noqa: E402
 
 
@@ -82,3 +84,23 @@ def test_parting_weight(spark):
     keys = spark.createDataFrame([(i, float(i), 0.0) for i in range(10)], "id long, w double, key double")
     label = spark.createDataFrame([(i, float(i > 5)) for i in range(10)], "id long, label double")
     assert importance.parting_weight(keys, label) == 5.5
+
+
+def test_language_drops_texts_of_no_language_and_keeps_clean_ones(spark, sf):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    noise = [" ".join(word() for _ in range(n)) for n in (40, 400)] + ["".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=3000)), "1 2 3"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    ids = [i for i in range(10**6, 10**6 + 100) if zlib.crc32(str(i).encode()) % 4 == 2]  # held out
+    both = max((t for t in texts.values()), key=len)[:2000]
+    rows = [*zip(ids, noise), (ids[8], "Ok."), (ids[9], both)]
+    extra = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in cross_parse.kept_documents(docs.unionByName(extra, allowMissingColumns=True)).collect()}
+    assert kept == {i for i, t in texts.items() if any(c.isalpha() for c in t)} | {ids[8], ids[9]}
+
+
+def test_language_keeps_documents_when_none_was_learnt(spark, docs_of):
+    docs = docs_of([(1, "clean text"), (2, "12 34"), (3, None), (4, "чистый текст")]).withColumn("lang", F.lit(None).cast("string"))
+    kept = cross_parse.kept_documents(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
