@@ -64,6 +64,10 @@ def multipliers(trees: int, length: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, (trees, length), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def set_hash(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return np.bitwise_xor.reduce(mixed(s * np.uint64(3))), mixed(s + np.uint64(len(s))).sum(dtype=np.uint64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int, length: int) -> DataFrame:
     """id, set hash (f1, f2), n_shingles, t0.. : one prefix label per tree.  Rows without id or words are left out."""
     names = [f"t{i}" for i in range(trees)]
@@ -77,7 +81,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: i
                     s = shingle_set(text, width)
                     if len(s):
                         ids.append(i)
-                        prints.append((np.bitwise_xor.reduce(mixed(s * np.uint64(3))), mixed(s + np.uint64(len(s))).sum(dtype=np.uint64)))
+                        prints.append(set_hash(s))
                         sizes.append(len(s))
                         labels.append(forest_labels(s, factors))
                 p = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
@@ -195,31 +199,38 @@ def near_duplicates(
     # written, so that the join below reads both sides from a shuffle and can split a class that many documents share
     per_class = written(members.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
     members = written(members.join(per_class, ["f1", "f2"]).select("id", "rep", "copies"), "members")
-    firsts = members.where("id = rep").select(F.col("id"), "copies")
-    classes = sig.join(firsts, "id").groupBy(F.col("id").alias("rep")).agg(
+    # of an id's rows only the one that was chosen; equal sets have equal sizes and labels
+    firsts = per_class.select(F.col("rep").alias("id"), "f1", "f2", "copies")
+    classes = sig.join(firsts, ["id", "f1", "f2"]).groupBy(F.col("id").alias("rep"), "f1", "f2").agg(
         F.first("n").alias("n"), F.first("copies").alias("copies"), *[F.first(c).alias(c) for c in names]
     )
     classes = written(classes, "classes")
     groups = written(candidate_groups(classes, trees), "groups")
-    sized = groups.join(classes.select("rep", "n", "copies"), "rep")
+    sized = groups.join(classes.select("rep", "f1", "f2", "n", "copies"), "rep")
     volume = sized.groupBy("grp").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / block_classes), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
     )
     placed = sized.join(volume, "grp").select(
-        "rep", "grp", "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("blk")
+        "rep", "f1", "f2", "grp", "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("blk")
     )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                shingles = [shingle_set(t, width).view(np.int64) for t in batch.column("text").to_pylist()]
+                shingles, chosen = [], []
+                for t, *f in zip(*(batch.column(c).to_pylist() for c in ("text", "f1", "f2"))):
+                    s = shingle_set(t, width)
+                    chosen.append(len(s) > 0 and np.array(set_hash(s), np.uint64).view(np.int64).tolist() == f)
+                    if chosen[-1]:
+                        shingles.append(s.view(np.int64))
+                batch = batch.filter(pa.array(chosen, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in ("rep", "grp", "copies", "blocks", "blk")] + [pa.array(shingles, pa.list_(pa.int64()))],
                     names=["rep", "grp", "copies", "blocks", "blk", "shingles"],
                 )
 
     texts = docs.select(column(docs, id_col).cast("long").alias("rep"), column(docs, text_col).cast("string").alias("text"))
-    texts = texts.join(placed, "rep").select("rep", "grp", "copies", "blocks", "blk", "text")
+    texts = texts.join(placed, "rep").select("rep", "f1", "f2", "grp", "copies", "blocks", "blk", "text")
     rows = texts.mapInArrow(sets, "rep long, grp long, copies long, blocks int, blk int, shingles array<long>")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = rows.select("*", other).select(
@@ -251,13 +262,19 @@ def near_duplicates(
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without all but one document of each group of near copies, columns as they were.
 
-    The document with the smallest id stays.  Rows without an id stay all; of rows that repeat an id,
-    equal ones stay once.
+    The document with the smallest id stays.  Rows without an id stay all; of rows that repeat an
+    id, equal ones stay once and different texts count as documents of their own, one of them under the id
+    and the others after all ids.
     """
-    found = written(near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("_id"), "kept"), "kept")
-    gone = found.where(~F.col("kept")).select("_id")
-    key = column(docs, id_col).cast("long")
-    left = docs.join(gone, key == gone["_id"], "left_anti")
+    key, text = column(docs, id_col).cast("long"), column(docs, text_col).cast("string")
+    hashed = docs.select(key.alias("_id"), F.xxhash64(text).alias("h")).where("_id is not null")
+    several = hashed.groupBy("_id").agg(F.min("h").alias("_h"), F.max("h").alias("last")).where("_h <> last").select("_id", "_h")
+    several = written(several, "several-texts")
+    own = F.col("_h").isNull() | (F.xxhash64(text) == F.col("_h"))
+    other = F.shiftrightunsigned(F.xxhash64(key, text), 2) + F.lit(1 << 62)
+    keyed = docs.join(several, key == several["_id"], "left").withColumn("_key", F.when(own, key).otherwise(other)).drop("_id", "_h")
+    found = written(near_duplicates(keyed, "_key", text_col, **options).select("_key", "kept"), "kept")
+    left = keyed.join(found.where(~F.col("kept")).select("_key"), "_key", "left_anti").select(*[column(keyed, c) for c in docs.columns])
     twice = docs.select(key.alias("_id")).where("_id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id")
     key = column(left, id_col).cast("long")
     again = left.join(twice, key == twice["_id"], "left_semi")

@@ -221,3 +221,25 @@ def test_forest_recall_on_vectors_of_mixed_length(spark, rows_of, spread):
     x = unit_vectors(8192) * np.exp(spread * np.random.default_rng(2).standard_normal((8192, 1)))
     found = recalls(spark, rows_of, x, range(5, 8192, 67))
     assert found.mean() >= 0.95 and np.percentile(found, 5) >= 0.85
+
+
+def test_near_join_of_different_texts_under_one_id(docs_of, rows_of):
+    a, b, c = (" ".join(prose(k, 80)) for k in (50, 51, 52))
+    for first, second in ((a, b), (b, a)):
+        rows = [(1, first), (1, second), (2, a), (3, b), (4, c), (5, first), (5, c), (6, "")]
+        kept = [r["text"] for r in rows_of(near_join.kept_documents(docs_of(rows)))]
+        assert sorted(kept) == sorted(["", a, b, c])
+
+
+def test_near_join_takes_the_row_with_the_smallest_set_hash(docs_of, rows_of):
+    texts = [" ".join(prose(k, 80)) for k in range(60, 66)]
+    near = [t.replace(t.split()[40], "changed", 1) for t in texts]
+    least = lambda t: tuple(np.array(near_join.set_hash(shingle_set(t, 5))).view(np.int64).tolist())
+    rows, wanted = [], {}
+    for k in range(0, 6, 2):
+        rows += [(k, texts[k]), (k, texts[k + 1]), (100 + k, near[k]), (101 + k, near[k + 1])]
+        one = k if least(texts[k]) < least(texts[k + 1]) else k + 1
+        wanted |= {k: 1, 100 + one: 1, 100 + (2 * k + 1 - one): 0}
+    for some in (rows, rows[::-1]):
+        got = {r["doc_id"]: r["n_links"] for r in rows_of(near_join.near_duplicates(docs_of(some)))}
+        assert got == wanted
