@@ -3,8 +3,10 @@
 Two generative models over hashed n-grams, one of the target text and one of all
 raw text, give each document the logarithm of its importance weight.  Gumbel
 noise on the logarithm and a cut at the k largest values draw k documents
-without replacement in proportion to their weights.  What isn't drawn is
-rejected.  k is the number of documents above the weight that best parts the
+without replacement: in proportion to their weights with the whole noise, in
+proportion to weight ** (1 / TEMPERATURE) with that share of it.  By default it's
+scaled down, so the draw is near to a cut at the k-th weight; README has held-out
+figures for both.  What isn't drawn is rejected.  k is the number of documents above the weight that best parts the
 labelled ones.
 """
 
