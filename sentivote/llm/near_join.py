@@ -1,10 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash bands, then exact verification.
 
 Documents are sets of word shingles.  Equal sets are one class; classes are
-compared.  Every tree of the forest orders the classes by a string of MinHash
-values, and classes that share a prefix of that string in any tree are
-candidates.  The matched prefix starts at its full length and is shortened
-until a pair at the threshold is met with the target recall.  Candidates
+compared.  Every tree gives a class a short string of MinHash values, and
+classes that share the whole string in any tree are candidates.  The
+strings are as long as a pair at the threshold can have them and be met with the
+target recall; this length is fixed by the parameters, so the trees are bands and
+no forest that adapts its prefixes to the data.  Candidates
 are gathered to groups, and inside a group every pair is verified on its whole
 shingle sets.
 
@@ -29,7 +30,7 @@ from sentivote.llm.common import column, components, local_roots, mixed, shingle
 SIMILARITY = 0.8
 #: Words of a shingle.
 WIDTH = 5
-#: Trees of the forest, the full length of a tree's string, and the recall wanted for a pair at the threshold.
+#: Trees (bands), the longest string that is tried, and the recall wanted for a pair at the threshold.
 TREES, LONGEST, RECALL = 32, 10, 0.999
 #: A block holds this many classes, or shingles, on average at most.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 400_000
