@@ -42,6 +42,14 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, in any case: ``stem``, or ``stem`` behind underscores."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces of about ``most`` bytes of text, never inside a row."""
     sizes = batch.column(text).nbytes

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentivote.llm import (
-    cross_parse, importance, main_text, near_join, packing, personal, piece_codec, pivots, prefix_forest, secret_scan,
+    cross_parse, fill_middle, importance, main_text, mixing, near_join, packing, personal, piece_codec, pivots, prefix_forest,
+    secret_scan, substring_crc,
 )
 
 #: Model file of the tokenizer that ``op9`` uses.
@@ -63,11 +64,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents, "doc_id", F.octet_length(F.col("text")))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_crc.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_prefix_forest, op2_main_text, op3_importance, op4_pivots, op5_personal, op6_secrets, op7_near_join,
-            op8_cross_parse, op9_pieces, op10_packing,
+            op8_cross_parse, op9_pieces, op10_packing, op11_fill_middle, op12_mixing, op13_substring_crc,
         )
     }

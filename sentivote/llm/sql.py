@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sentivote.llm import near_join, pivots, secret_scan
+from sentivote.llm import fill_middle, mixing, near_join, pivots, secret_scan, substring_crc
 
 
 def quoted(text: str) -> str:
@@ -95,5 +95,83 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN summed USING (doc_id)"""
 
 
+def turned() -> str:
+    p, s, m = fill_middle.SENTINELS
+    groups = ", ".join(f"CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    held = " OR ".join(f"contains(text, {quoted(x)})" for x in fill_middle.SENTINELS)
+    block = lambda a, b: f"coalesce(array_to_string(lines[{a}:{b}], ''), '')"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fill_middle.SEED}:' || doc_id) AS d FROM documents),
+cut AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines, {groups} FROM docs),
+formed AS (
+  SELECT *, len(lines) AS n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b,
+    CASE WHEN d IS NULL OR text = '' OR {held} OR h3 % 100 >= {fill_middle.RATE} THEN 'plain'
+      WHEN h4 % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM cut
+),
+block AS (SELECT *, {block("1", "a")} AS prefix, {block("a + 1", "b")} AS middle, {block("b + 1", "n")} AS suffix FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle
+    ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM block"""
+
+
+def mixture() -> str:
+    weights = ", ".join(map(str, mixing.WEIGHTS))
+    return f"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    coalesce(CAST(doc_id AS VARCHAR), sha256(coalesce(text, ''))) AS key FROM documents
+),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) * {mixing.MOST} AS BIGINT) AS most,
+    [{weights}][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1 AS INT)] AS weight FROM docs GROUP BY source
+),
+whole AS (SELECT sum(source_size) * {mixing.SHARE} / 100 AS wanted FROM src),
+-- a source is at its limit if the level that takes it there asks no more than the whole
+full_at AS (SELECT x.source, sum(least(y.most * x.weight, y.weight * x.most)) <= any_value(wanted) * any_value(x.weight) AS at_limit
+  FROM src x, src y, whole GROUP BY x.source),
+level AS (SELECT any_value(wanted) - coalesce(sum(most) FILTER (WHERE at_limit), 0) AS rest, sum(weight) FILTER (WHERE NOT at_limit) AS free
+  FROM src JOIN full_at ON src.source IS NOT DISTINCT FROM full_at.source, whole),
+goal AS (SELECT src.source, source_size, CASE WHEN at_limit THEN CAST(most AS DOUBLE) ELSE weight * CAST(rest AS DOUBLE) / free END AS target
+  FROM src JOIN full_at ON src.source IS NOT DISTINCT FROM full_at.source, level),
+rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, key
+  FROM docs JOIN goal ON docs.source IS NOT DISTINCT FROM goal.source),
+copied AS (SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN CAST(CAST('0x' || substr(sha256('{mixing.SEED}:' || key), 1, 13) AS BIGINT) AS DOUBLE)
+  < (rate - floor(rate)) * 4503599627370496 THEN 1 ELSE 0 END AS copies FROM rated)
+SELECT doc_id, size, source_size, target, copies, size * copies AS taken FROM copied"""
+
+
+def resampling() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    n, step = substring_crc.BUCKETS, f"CASE WHEN c & 1 = 1 THEN xor(c >> 1, {substring_crc.POLYNOMIAL}) ELSE c >> 1 END"
+    words = lambda table: f"regexp_extract_all(translate(coalesce({table}.text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: {step}, i)) AS t),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {words("documents")} AS w FROM documents),
+word AS (SELECT r, unnest(w) AS w FROM docs),
+wanted AS (SELECT unnest({words("benchmark")}) AS w FROM benchmark),
+bucket AS (
+  SELECT w, xor(list_reduce(list_transform(range(CAST(length(hex(w)) / 2 AS INT)), lambda i: CAST('0x' || substr(hex(w), CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % {n} AS b FROM (SELECT w FROM word UNION SELECT w FROM wanted), tab
+),
+s AS (SELECT b, count(*) AS n FROM word JOIN bucket USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM wanted JOIN bucket USING (w) GROUP BY b),
+gain AS (
+  SELECT s.b, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT sum(n) FROM s) + {n}) AS DOUBLE)
+    / CAST((s.n + 1) * (coalesce((SELECT sum(n) FROM t), 0) + {n}) AS DOUBLE))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b)
+),
+total AS (SELECT r, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS g FROM word JOIN bucket USING (w) JOIN gain USING (b) GROUP BY r),
+weighed AS (
+  SELECT r, doc_id, len(w) AS n_features, coalesce(CAST(floor(g / CAST(n_features AS DOUBLE)) AS BIGINT), 0) AS weight,
+    CAST('0x' || substr(sha256('{substring_crc.SEED}:' || doc_id), 1, 8) AS BIGINT) AS h FROM docs LEFT JOIN total USING (r)
+),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM weighed),
+able AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored
+  WHERE n_features >= {substring_crc.LEAST_WORDS} AND score IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {substring_crc.DRAWN} * n // 100 THEN place END AS rank FROM scored LEFT JOIN able USING (r)"""
+
+
 def sql() -> dict[str, str]:
-    return {"op4_pivots": vectors(), "op6_secrets": secrets(), "op7_near_join": near_copies()}
+    return {
+        "op4_pivots": vectors(), "op6_secrets": secrets(), "op7_near_join": near_copies(),
+        "op11_fill_middle": turned(), "op12_mixing": mixture(), "op13_substring_crc": resampling(),
+    }
