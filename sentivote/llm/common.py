@@ -37,6 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table of a few numbers that are sent to every task, at most: some 20 MB.
+FEW_ROWS = 250_000
+
+
+def if_few(table: DataFrame) -> DataFrame:
+    """A written table of short rows, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(table) if table.count() <= FEW_ROWS else table
+
+
 def column(df: DataFrame, name: str) -> Column:
     """A top-level column by its exact name, dots and all."""
     return df["`" + name.replace("`", "``") + "`"]
@@ -58,6 +67,12 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[
         yield batch.slice(start, step)
 
 
+def one_by_one(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of an Arrow array in turn; never all of them as Python strings."""
+    for text in texts:
+        yield text.as_py()
+
+
 def code_points(text: str) -> np.ndarray:
     """Code points of ``text`` in lower case."""
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -72,9 +87,9 @@ def kinds_of(rule: str) -> np.ndarray:
     ``words``: 0 white space, 1 the rest.  ``tokens``: also tells word characters (1) from others (2).
     """
     if rule not in _kinds:
-        every = [chr(p) for p in range(0x110000)]
-        space = np.fromiter((c.isspace() for c in every), bool, len(every))
-        inside = np.fromiter((c.isalnum() or c == "_" for c in every), bool, len(every))
+        every = np.arange(0x110000, dtype=np.uint32).view("U1")
+        space, inside = np.strings.isspace(every), np.strings.isalnum(every)
+        inside[ord("_")] = True
         _kinds["words"] = np.where(space, 0, 1).astype(np.uint8)
         _kinds["tokens"] = np.where(space, 0, np.where(inside, 1, 2)).astype(np.uint8)
     return _kinds[rule]

@@ -6,25 +6,23 @@ one ended.  The fewer phrases, normalised by the log size of the sample, the clo
 language; the language with the fewest wins.
 
 All texts of a batch walk all automata in step: one transition table, one
-gather per symbol.  Texts are cut into windows of ``WINDOW`` symbols that parse on their own,
+lookup per symbol.  Texts are cut into windows of ``WINDOW`` symbols that parse on their own,
 which bounds the number of steps; every symbol of every text is parsed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentivote.llm.common import code_points, column
+from sentivote.llm.common import code_points, column, fresh, one_by_one
 
 #: Bounds of the fitted sample: documents per language, symbols per language.
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 64, 24_000
-#: Letters that get a symbol of their own, the most frequent of the sample.
-LETTERS = 120
 #: A text of fewer symbols, or one whose language was learnt from fewer, isn't judged by its entropy.
 SHORT, LEARNT = 100, 5000
 #: Least gain over evenly drawn symbols of a text that has a language.  Of 34,000 labelled documents the lowest had -0.02,
@@ -34,8 +32,8 @@ LEAST = -0.3
 WINDOW = 512
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions (state, symbol) -> state of the suffix automaton of a sequence, 0 the start, -1 for none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions (symbol -> state) of each state of the suffix automaton of a sequence; state 0 is the start."""
     step, link, length = [{}], [-1], [0]
     last = 0
     for c in symbols:
@@ -61,49 +59,82 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(step), width), -1, np.int32)
-    for state, out in enumerate(step):
-        table[state, list(out.keys())] = list(out.values())
-    return table
+    return step
+
+
+class Transitions:
+    """(state, symbol) -> state, in a hash table with a quarter of its slots used: its size grows with the
+    transitions and not with the number of symbols, so every letter of any script can have its own."""
+
+    def __init__(self, states: np.ndarray, symbols: np.ndarray, targets: np.ndarray):
+        bits = max(4, (4 * len(states)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, 64 - bits
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys = self._key(states, symbols)
+        slots, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slots[left]] < 0]
+            self.keys[slots[free]] = keys[free]  # of those that want one slot the last one has it
+            won = self.keys[slots[left]] == keys[left]
+            self.targets[slots[left[won]]] = targets[left[won]]
+            left = left[~won]
+            slots[left] = (slots[left] + 1) & self.mask
+
+    def _key(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return states.astype(np.int64) << 21 | symbols
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def follow(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states reached, -1 where there is no transition."""
+        keys = self._key(states, symbols)
+        slots = self._slot(keys)
+        held = self.keys[slots]
+        out = np.where(held == keys, self.targets[slots], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & self.mask
+            held = self.keys[slots[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.targets[slots[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
 
 
 class Model:
-    """Languages, the symbols of letters, one stacked transition table."""
+    """Languages, the symbols of letters, the transitions of all automata in one table."""
 
-    def __init__(self, samples: dict[str, str], letters: int = LETTERS, most: int = SAMPLE_SYMBOLS):
+    def __init__(self, samples: dict[str, str], most: int = SAMPLE_SYMBOLS):
         self.langs = sorted(samples)
-        seen: dict[str, int] = {}
-        for lang in self.langs:
-            for ch in samples[lang].lower():
-                if ch.isalpha():
-                    seen[ch] = seen.get(ch, 0) + 1
-        chosen = sorted(seen, key=lambda c: (-seen[c], c))[:letters]
-        #: Symbol 0 is any run of other characters, 1 a letter that has no symbol.
-        self.points = np.array(sorted(ord(c) for c in chosen), np.uint32)
+        letters = {c for text in samples.values() for c in text.lower() if c.isalpha()}
+        #: Symbol 0 is any run of other characters, 1 a letter that the samples lack, then come all their letters.
+        self.points = np.array(sorted(map(ord, letters)), np.uint32)
         self.width = len(self.points) + 2
-        self.lacking = len(seen) > len(chosen)
-        tables, self.starts, sizes = [], [], []
+        states, symbols, targets = [], [], []
+        self.starts, sizes, base = [], [], 0
         for lang in self.langs:
             s = self.symbols(samples[lang])[:most]
-            t = suffix_automaton(s.tolist(), self.width)
-            t[:, 1] = -1  # an unknown letter matches nothing
-            base = sum(len(x) for x in tables)
-            tables.append(np.where(t >= 0, t + base, -1).astype(np.int32))
+            automaton = suffix_automaton(s.tolist())
+            for state, out in enumerate(automaton, base):
+                states += [state] * len(out)
+                symbols += out.keys()
+                targets += [t + base for t in out.values()]
             self.starts.append(base)
+            base += len(automaton)
             sizes.append(max(len(s), 2))
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.empty(0, np.int32)
+        self.table = Transitions(np.array(states, np.int64), np.array(symbols, np.int64), np.array(targets, np.int32))
         self.cost = np.log(np.array(sizes, np.float64))
 
     def symbols(self, text: str) -> np.ndarray:
         """Letters as symbols, each run of anything else as one 0; no 0 at either end."""
         p = code_points(text)
         if not len(p) or not len(self.points):
-            return np.empty(0, np.uint8)
+            return np.empty(0, np.int32)
         at = np.minimum(np.searchsorted(self.points, p), len(self.points) - 1)
-        s = np.where(self.points[at] == p, at + 2, 0).astype(np.uint8)
-        for i in np.flatnonzero((s == 0) & ((p > 127) | ((p >= 97) & (p <= 122)))):  # few: letters that the sample lacks
-            if chr(p[i]).isalpha():
-                s[i] = 1
+        s = np.where(self.points[at] == p, at + 2, 0).astype(np.int32)
+        other = np.flatnonzero((s == 0) & ((p > 127) | ((p >= 97) & (p <= 122))))
+        s[other] = np.strings.isalpha(p[other].view("U1"))  # letters that the sample lacks
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
         s = s[keep]
@@ -112,23 +143,23 @@ class Model:
 
     def phrases(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Numbers of phrases (window, language); ``windows`` (n, WINDOW) is padded, longest first."""
-        n, langs, width = len(windows), len(self.langs), self.width
+        n, langs = len(windows), len(self.langs)
         start = np.tile(np.array(self.starts, np.int32), n)
         state, count = start.copy(), np.zeros(n * langs, np.int32)
-        by_step = np.ascontiguousarray(windows.T).astype(np.int32)
+        by_step = np.ascontiguousarray(windows.T)
         live = np.searchsorted(-lengths, -np.arange(windows.shape[1]), side="left")
         for k in range(windows.shape[1]):
             m = int(live[k]) * langs
             if not m:
                 break
             c = np.repeat(by_step[k, : live[k]], langs)
-            to = self.table[state[:m] * width + c]
+            to = self.table.follow(state[:m], c)
             ended = np.flatnonzero(to < 0)
             if len(ended):
                 # the phrase ends before this symbol, if it has begun at all; the next begins with it
                 s = start[ended]
                 count[ended] += state[ended] != s
-                again = self.table[s * width + c[ended]]
+                again = self.table.follow(s, c[ended])
                 lost = again < 0
                 count[ended[lost]] += 1
                 to[ended] = np.where(lost, s, again)
@@ -137,7 +168,7 @@ class Model:
 
     def parsed(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Symbols of each text, and its numbers of phrases (text, language) and of windows."""
-        parts = [self.symbols(t) if t else np.empty(0, np.uint8) for t in texts]
+        parts = [self.symbols(t) if t else np.empty(0, np.int32) for t in texts]
         owners, sizes, windows = [], [], []
         for d, s in enumerate(parts):
             for at in range(0, len(s), WINDOW):
@@ -148,7 +179,7 @@ class Model:
             sizes = np.array([len(w) for w in windows], np.int64)
             order = np.argsort(-sizes, kind="stable")
             sizes, owners = sizes[order], np.array(owners)[order]
-            grid = np.zeros((len(windows), WINDOW), np.uint8)
+            grid = np.zeros((len(windows), WINDOW), np.int32)
             for row, k in enumerate(order):
                 grid[row, : sizes[row]] = windows[k]
             np.add.at(total, owners, self.phrases(grid, sizes))
@@ -158,7 +189,7 @@ class Model:
         """For each text 1 less the ratio of the winner's entropy to that of evenly drawn symbols.
 
         The last phrase of a window is cut by its end and isn't counted.  A text without letters has minus infinity.  What can't be
-        judged has 0: few symbols, a winner with a small sample, or more letters in the samples than have symbols.
+        judged has 0: few symbols, or a winner with a small sample.
         """
         parts, total, windows = self.parsed(texts)
         out = []
@@ -167,7 +198,7 @@ class Model:
                 out.append(-np.inf)
                 continue
             best = int(np.argmin(n * self.cost))
-            if len(s) < SHORT or self.cost[best] < np.log(LEARNT) or self.lacking:
+            if len(s) < SHORT or self.cost[best] < np.log(LEARNT):
                 out.append(0.0)
                 continue
             out.append(float(1 - (n[best] - cut) * self.cost[best] / (len(s) * np.log(self.width - 1))))
@@ -194,7 +225,7 @@ def held_out(key: Column) -> Column:
 
 def fitted(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample_docs: int = SAMPLE_DOCS, sample_symbols: int = SAMPLE_SYMBOLS, letters: int = LETTERS,
+    sample_docs: int = SAMPLE_DOCS, sample_symbols: int = SAMPLE_SYMBOLS,
 ) -> Model:
     """A model of a bounded sample: per language, of ``sample_docs`` hash classes of text the text with the least hash.
 
@@ -218,10 +249,10 @@ def fitted(
         # every sampled text gives a share first, then the rest fill up
         first, rest = [t[:share] for t in texts], [t[share:] for t in texts]
         joined[lang] = " ".join(first + rest)[: 2 * sample_symbols]
-    return Model(joined, letters, sample_symbols)
+    return Model(joined, sample_symbols)
 
 
-def in_groups(of, texts: pd.Series) -> list:
+def in_groups(of, texts: Iterable[str | None]) -> list:
     """``of`` over lists of about 1,500,000 characters."""
     out, group, size = [], [], 0
     for t in texts:
@@ -236,10 +267,13 @@ def in_groups(of, texts: pd.Series) -> list:
 def predicted(model: Model):
     """A column function: text -> struct(lang_pred, score)."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def guess(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pd.DataFrame(in_groups(model.predict, texts), columns=["lang_pred", "score"])
+            found = in_groups(model.predict, one_by_one(texts))
+            yield pa.StructArray.from_arrays(
+                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"]
+            )
 
     return guess
 
@@ -247,10 +281,10 @@ def predicted(model: Model):
 def gained(model: Model):
     """A column function: text -> gain, see ``Model.gains``."""
 
-    @F.pandas_udf("double")
-    def gain(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def gain(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pd.Series(in_groups(model.gains, texts), dtype="float64")
+            yield pa.array(in_groups(model.gains, one_by_one(texts)), pa.float64())
 
     return gain
 
@@ -265,9 +299,8 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = model or fitted(docs, id_col, text_col, lang_col)
     key = column(docs, id_col)
     guess = predicted(model)(column(docs, text_col).cast("string"))
-    return docs.select(key.alias(id_col), held_out(key).alias("held_out"), guess.alias("_g")).select(
-        F.col("`" + id_col.replace("`", "``") + "`"), "held_out", "_g.lang_pred", "_g.score"
-    )
+    found = docs.select(key.alias("id"), held_out(key).alias("held_out"), guess.alias("g"))
+    return found.select(F.col("id").alias(id_col), "held_out", "g.lang_pred", "g.score")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
@@ -281,4 +314,6 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = column(docs, text_col).cast("string")
     if not model.langs:
         return docs.where(text.rlike("[^\\P{L}]"))
-    return docs.withColumn("_g", gained(model)(text)).where(F.col("_g") >= least).drop("_g")
+    name = fresh(docs, "gain")
+    judged = docs.withColumn(name, gained(model)(text))
+    return judged.where(column(judged, name) >= least).select(*[column(judged, c) for c in docs.columns])

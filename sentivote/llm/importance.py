@@ -15,12 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentivote.llm.common import code_points, column, kinds_of, mixed, slices, token_hashes, written
+from sentivote.llm.common import code_points, column, fresh, kinds_of, mixed, one_by_one, slices, token_hashes, written
 
 #: n-grams are hashed to this many buckets; the models are two counts for each.
 BUCKETS = 1 << 14
@@ -92,11 +91,11 @@ def log_weight(ratios: np.ndarray):
     """A column function: text -> log importance weight, null for a text without tokens."""
     table = ratios.astype(np.float64)
 
-    @F.pandas_udf("double")
-    def weigh(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def weigh(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            found = [features(t, len(table)) for t in texts]
-            yield pd.Series([float(table[f].sum()) if len(f) else None for f in found], dtype="float64")
+            found = (features(t, len(table)) for t in one_by_one(texts))
+            yield pa.array([float(table[f].sum()) if len(f) else None for f in found], pa.float64())
 
     return weigh
 
@@ -170,11 +169,12 @@ def parting_weight(keys: DataFrame, label: DataFrame) -> float:
     return float((edges[at] + edges[at + 1]) / 2)
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, temperature: float, seed: int) -> DataFrame:
-    """``docs`` and, in one struct column ``_q``, log weight and Gumbel key."""
-    weight = log_weight(ratios)(column(docs, text_col).cast("string"))
-    keyed = docs.withColumn("_q", F.struct(weight.alias("w")))
-    return keyed.withColumn("_q", F.struct(F.col("_q.w").alias("w"), (F.col("_q.w") + temperature * gumbel(column(docs, id_col), seed)).alias("key")))
+def weighted(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, temperature: float, seed: int) -> tuple[DataFrame, Column, Column]:
+    """``docs`` and a last column with the log weight, that column, and the Gumbel key made of it."""
+    name = fresh(docs, "w")
+    scored = docs.withColumn(name, log_weight(ratios)(column(docs, text_col).cast("string")))
+    weight = column(scored, name)
+    return scored, weight, weight + temperature * gumbel(column(scored, id_col), seed)
 
 
 def resampled(
@@ -188,8 +188,8 @@ def resampled(
     sample: int = SAMPLE,
     temperature: float = TEMPERATURE,
     seed: int = SEED,
-) -> tuple[DataFrame, DataFrame, float | None]:
-    """``docs`` with a struct column ``_q`` (w, key), a written table (id, w, key), the cut: key >= cut is drawn.
+) -> tuple[DataFrame, Column, DataFrame, float | None]:
+    """``docs`` with their weights, the Gumbel key of its rows, a written table (id, w, key), the cut: key >= cut is drawn.
 
     Of ``sample`` labels at most, three quarters give the target text (those above 0) and one
     quarter the cut; the raw text is that of all rows.  ``k`` defaults to the number of documents above
@@ -202,21 +202,22 @@ def resampled(
     label = written(labelled(labels, id_col, label_col).orderBy(F.xxhash64("id"), "id").limit(sample), "labels")
     apart = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0
     ratios = fitted(docs, label.where(~apart), id_col, text_col, buckets)
-    scored = weighted(docs, ratios, id_col, text_col, temperature, seed)
-    keys = written(scored.select(column(scored, id_col).alias("id"), "_q.w", "_q.key"), "keys")
+    scored, weight, key = weighted(docs, ratios, id_col, text_col, temperature, seed)
+    keys = written(scored.select(column(scored, id_col).alias("id"), weight.alias("w"), key.alias("key")), "keys")
     if k is None:
         k = keys.where(F.col("w") >= parting_weight(keys, label.where(apart))).count()
-    return scored, keys, kth_largest(keys, "key", k)
+    return scored, key, keys, kth_largest(keys, "key", k)
 
 
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Per row of ``docs``: id, log_weight, gumbel_key, kept.  See ``resampled`` for the rules."""
-    _, keys, cut = resampled(docs, labels, id_col, **options)
+    _, _, keys, cut = resampled(docs, labels, id_col, **options)
     kept = F.coalesce(F.col("key") >= cut, F.lit(False)) if cut is not None else F.lit(False)
     return keys.select(F.col("id").alias(id_col), F.col("w").alias("log_weight"), F.col("key").alias("gumbel_key"), kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The drawn rows of ``docs``, columns as they were."""
-    scored, _, cut = resampled(docs, labels, id_col, **options)
-    return scored.where(F.col("_q.key") >= cut if cut is not None else F.lit(False)).drop("_q")
+    scored, key, _, cut = resampled(docs, labels, id_col, **options)
+    drawn = scored.where(key >= cut if cut is not None else F.lit(False))
+    return drawn.select(*[column(scored, c) for c in docs.columns])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentivote.llm.common import column, components, local_roots, mixed, shingle_set, slices, written
+from sentivote.llm.common import column, components, fresh, if_few, local_roots, mixed, shingle_set, slices, written
 
 #: Pairs at this similarity or above are links.
 SIMILARITY = 0.8
@@ -196,7 +196,7 @@ def near_duplicates(
     names = [f"t{i}" for i in range(trees)]
     sig = signatures(docs, id_col, text_col, width, trees, length)
     sig = written(sig, "signatures")
-    members = sig.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("f")).select("id", "f.f1", "f.f2")
+    members = written(sig.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("f")).select("id", "f.f1", "f.f2"), "ids")
     # written, so that the join below reads both sides from a shuffle and can split a class that many documents share
     per_class = written(members.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
     members = written(members.join(per_class, ["f1", "f2"]).select("id", "rep", "copies"), "members")
@@ -230,13 +230,17 @@ def near_duplicates(
                     names=["rep", "grp", "copies", "blocks", "blk", "shingles"],
                 )
 
+    # the candidates' rows are short: while they are few they go to the texts, else the texts are moved once
+    placed = if_few(written(placed, "placed"))
     texts = docs.select(column(docs, id_col).cast("long").alias("rep"), column(docs, text_col).cast("string").alias("text"))
     texts = texts.join(placed, "rep").select("rep", "f1", "f2", "grp", "copies", "blocks", "blk", "text")
     rows = texts.mapInArrow(sets, "rep long, grp long, copies long, blocks int, blk int, shingles array<long>")
+    if sig.count() > members.count():  # ids are repeated, so a class can be found on several rows
+        rows = rows.dropDuplicates(["rep"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = rows.select("*", other).select(
         "rep", "grp", "copies", "blk", "shingles", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj")
-    ).dropDuplicates(["rep", "grp", "bi", "bj"])
+    )
     found = paired.groupBy("grp", "bi", "bj").applyInPandas(verify_block(similarity), "rep long, links long, root long")
     found = written(found, "links")
     # written, so that a class of many copies can be split in the joins
@@ -268,15 +272,26 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and the others after all ids.
     """
     key, text = column(docs, id_col).cast("long"), column(docs, text_col).cast("string")
-    hashed = docs.select(key.alias("_id"), F.xxhash64(text).alias("h")).where("_id is not null")
-    several = hashed.groupBy("_id").agg(F.min("h").alias("_h"), F.max("h").alias("last")).where("_h <> last").select("_id", "_h")
-    several = written(several, "several-texts")
-    own = F.col("_h").isNull() | (F.xxhash64(text) == F.col("_h"))
-    other = F.shiftrightunsigned(F.xxhash64(key, text), 2) + F.lit(1 << 62)
-    keyed = docs.join(several, key == several["_id"], "left").withColumn("_key", F.when(own, key).otherwise(other)).drop("_id", "_h")
-    found = written(near_duplicates(keyed, "_key", text_col, **options).select("_key", "kept"), "kept")
-    left = keyed.join(found.where(~F.col("kept")).select("_key"), "_key", "left_anti").select(*[column(keyed, c) for c in docs.columns])
-    twice = docs.select(key.alias("_id")).where("_id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id")
-    key = column(left, id_col).cast("long")
-    again = left.join(twice, key == twice["_id"], "left_semi")
-    return left.join(twice, key == twice["_id"], "left_anti").union(again.dropDuplicates())
+    # everything is settled on ids and hashes; the texts are read for the last join alone
+    ids = written(docs.select(key.alias("id"), F.xxhash64(text).alias("h")).where("id is not null"), "text-hashes")
+    repeated = ids.groupBy("id").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "first")
+    repeated = written(repeated, "repeated-ids")
+    name = fresh(docs, "key")
+    if repeated.isEmpty():
+        keyed, again = docs.withColumn(name, key), None
+    else:
+        few = if_few(repeated)
+        own = few["first"].isNull() | (F.xxhash64(text) == few["first"])
+        other = F.shiftrightunsigned(F.xxhash64(key, text), 2) + F.lit(1 << 62)
+        again = few["id"].isNotNull()
+        keyed = docs.join(few, key == few["id"], "left").select(
+            *[column(docs, c) for c in docs.columns], F.when(own, key).otherwise(other).alias(name), again.alias(fresh(docs, "again"))
+        )
+    found = near_duplicates(keyed, name, text_col, **options)
+    gone = if_few(written(found.where(~F.col("kept")).select(column(found, name).alias("gone")), "gone"))
+    left = keyed.join(gone, column(keyed, name) == gone["gone"], "left_anti")
+    names = [column(left, c) for c in docs.columns]
+    if again is None:
+        return left.select(*names)
+    again = column(left, fresh(docs, "again"))
+    return left.where(~again).select(*names).union(left.where(again).select(*names).dropDuplicates())

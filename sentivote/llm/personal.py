@@ -12,11 +12,11 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentivote.llm.common import column
+from sentivote.llm.common import column, one_by_one
 
 #: Kinds in the order of ties; the first four are the base.
 BASE = ("email", "ip", "card", "phone")
@@ -35,6 +35,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _IBAN = re.compile(r"[\x20:.#-]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 _ACCOUNT = re.compile(r"(?:\x20?(?:number|no|nr|num|id))?[\x20:.#=-]{1,4}([A-Z]{0,2}[0-9](?:[\x20-]?[0-9]){5,19})(?![0-9A-Za-z])", re.IGNORECASE)
+#: Bytes of text that are masked at a time.
+MASKED_BYTES = 4_000_000
+
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -137,11 +140,14 @@ def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     that pass its rule; a failing match is passed over whole.
     """
 
-    @F.pandas_udf("array<struct<kind string, start int, stop int>>")
-    def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+
+    @F.arrow_udf("array<struct<kind string, start int, stop int>>")
+    def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = anchors()
         for texts in parts:
-            yield pd.Series([[{"kind": k, "start": a, "stop": b} for a, b, k in find_spans(t, machine)] for t in texts])
+            spans = ([{"kind": k, "start": a, "stop": b} for a, b, k in find_spans(t, machine)] for t in one_by_one(texts))
+            yield pa.array(list(spans), kind)
 
     text = column(docs, text_col).cast("string")
     return docs.select(column(docs, id_col).alias(id_col), text.alias(text_col), find(text).alias("spans"))
@@ -150,20 +156,22 @@ def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, numbers of the base kinds, hash of the base spans, all spans as text."""
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
-    def summed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    names, kinds_of_columns = [*(f"n_{k}" for k in BASE), "base_sha256", "spans"], [pa.int64()] * len(BASE) + [pa.string()] * 2
+
+    @F.arrow_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    def summed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = anchors()
         for texts in parts:
             rows = []
-            for t in texts:
+            for t in one_by_one(texts):
                 spans = find_spans(t, machine)
                 base = [s for s in spans if s[2] in BASE]
                 kinds = [s[2] for s in base]
                 rows.append((*(kinds.count(k) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            yield pd.DataFrame(rows, columns=[*(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_of_columns)], names=names)
 
     key = column(docs, id_col)
-    return docs.select(key.alias("_id"), summed(column(docs, text_col).cast("string")).alias("_s")).select(F.col("_id").alias(id_col), "_s.*")
+    return docs.select(key.alias("id"), summed(column(docs, text_col).cast("string")).alias("s")).select(F.col("id").alias(id_col), "s.*")
 
 
 def masked_text(text: str | None, machine: ahocorasick.Automaton) -> str | None:
@@ -181,11 +189,13 @@ def masked_text(text: str | None, machine: ahocorasick.Automaton) -> str | None:
 def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data of ``text_col`` masked and its length in ``length_col`` set anew, if there is such a column."""
 
-    @F.pandas_udf("string")
-    def mask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def mask(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = anchors()
         for texts in parts:
-            yield pd.Series([masked_text(t, machine) for t in texts], dtype=object)
+            step = max(1, len(texts) * MASKED_BYTES // max(texts.nbytes, 1))
+            some = [pa.array([masked_text(t, machine) for t in one_by_one(texts.slice(at, step))], pa.string()) for at in range(0, len(texts), step)]
+            yield pa.concat_arrays(some) if some else texts
 
     out = docs.withColumn(text_col, mask(column(docs, text_col).cast("string")))
     if length_col in docs.columns:

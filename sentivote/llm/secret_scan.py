@@ -44,27 +44,50 @@ ALLOWED = (
 )
 
 
+#: Numbers that are summed up one by one; there is one level of blocks of blocks for each of the levels.
+_BLOCK, _LEVELS = 256, 1
+
+
+def totals_before(sizes: Column, levels: int = _LEVELS) -> Column:
+    """For each of an array of numbers the sum of those before it.
+
+    A fold that gathers them would copy all it has at every number.  Here a number's own
+    block is summed up to it, and the blocks before by the same rule one level up.
+    """
+    def before(numbers: Column, i: Column) -> Column:
+        block = F.slice(numbers, i - i % _BLOCK + 1, i % _BLOCK) if levels else F.slice(numbers, F.lit(1), i)
+        return F.aggregate(block, F.lit(0), lambda s, x: s + x)
+
+    def of(numbers: Column) -> Column:
+        if not levels:
+            return F.transform(numbers, lambda x, i: before(numbers, i))
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(numbers) / _BLOCK).cast("int") - 1))
+        sums = F.transform(blocks, lambda b: F.aggregate(F.slice(numbers, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda s, x: s + x))
+        return let(totals_before(sums, levels - 1), lambda t: F.transform(numbers, lambda x, i: F.get(t, (i / _BLOCK).cast("int")) + before(numbers, i)))
+
+    return let(sizes, of)
+
+
 def located(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Spans (start, order, stop, kind, found) of the leftmost non-overlapping matches for which ``keep`` holds."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zero = F.lit(0)
-    shape = f"array<struct<start:int,ord:int,stop:int,kind:string,found:string>>"
-    state = F.struct(zero.alias("at"), F.array().cast(shape).alias("spans"))
-
-    def step(s: Column, pair: Column) -> Column:
-        start = s["at"] + F.length(pair["gap"])
-        stop = start + F.length(pair["found"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), stop.alias("stop"), F.lit(kind).alias("kind"), pair["found"].alias("found"))
-        more = F.concat(s["spans"], F.array(span))
-        return F.struct(stop.alias("at"), (more if keep is None else F.when(keep(pair["found"]), more).otherwise(s["spans"])).alias("spans"))
-
-    pairs = let(between, lambda b: F.transform(matches, lambda m, i: F.struct(F.get(b, i).alias("gap"), m.alias("found"))))
-    spans = F.aggregate(pairs, state, step, lambda s: s["spans"])
-    wanted = text.rlike(pattern)
-    if keep is not None:
-        wanted = F.when(wanted, F.exists(matches, keep)).otherwise(False)
-    return F.when(wanted, spans).otherwise(F.array().cast(shape))
+    shape = "array<struct<start:int,ord:int,stop:int,kind:string,found:string>>"
+
+    def spans(gaps: Column, matches: Column) -> Column:
+        sizes = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+
+        def span(m: Column, i: Column, before: Column) -> Column:
+            start = F.get(before, i) + F.length(F.get(gaps, i))
+            return F.struct(
+                start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), (start + F.length(m)).alias("stop"), F.lit(kind).alias("kind"), m.alias("found")
+            )
+
+        every = let(totals_before(sizes), lambda before: F.transform(matches, lambda m, i: span(m, i, before)))
+        return every if keep is None else F.filter(every, lambda s: keep(s["found"]))
+
+    found = let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: let(F.split(text, pattern, -1), lambda gaps: spans(gaps, matches))
+    )
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(shape))
 
 
 def window_entropy(run: Column, window: int = WINDOW) -> Column:
