@@ -148,10 +148,11 @@ RAW_SCHEMA = "raw string, tok_in int, tok_out int, duration_s double, erreur str
 Ask = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def ask_external(calls: DataFrame, ask: Callable[[], Ask]) -> DataFrame:
+def ask_external(calls: DataFrame, ask: Callable[[], Ask], keep: Sequence[str] | None = None) -> DataFrame:
     """Answer calls with user code, batch by batch.
 
-    ``calls`` carries the messages, see ``with_prompts``.
+    ``calls`` carries the messages, see ``with_prompts``.  The result has the columns of ``keep``, all by default,
+    and the reply; what isn't kept doesn't come back from Python.
     ``ask()`` runs once per task and returns a function from a batch of calls to
     a frame with the columns of ``RAW_SCHEMA``, row for row.  If a batch of calls
     raises, its calls are asked one by one, and those that raise again become
@@ -161,6 +162,7 @@ def ask_external(calls: DataFrame, ask: Callable[[], Ask]) -> DataFrame:
     """
     replies = StructType.fromDDL(RAW_SCHEMA)
     names = replies.names
+    kept = calls.columns if keep is None else list(keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = ask()
@@ -177,9 +179,9 @@ def ask_external(calls: DataFrame, ask: Callable[[], Ask]) -> DataFrame:
             return found[names]
 
         for batch in batches:
-            yield pd.concat([batch.reset_index(drop=True), asked(batch).reset_index(drop=True)], axis=1)
+            yield pd.concat([batch[kept].reset_index(drop=True), asked(batch).reset_index(drop=True)], axis=1)
 
-    return calls.mapInPandas(run, StructType(calls.schema.fields + replies.fields))
+    return calls.mapInPandas(run, StructType([calls.schema[c] for c in kept] + replies.fields))
 
 
 def answer_from_recorded(calls: DataFrame, responses: DataFrame, on: Sequence[str]) -> DataFrame:

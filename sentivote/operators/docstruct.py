@@ -359,7 +359,8 @@ def extraction_leaderboard(extractions: DataFrame, by: Sequence[str] = ("outil",
 
 
 def distinct_paths(files: DataFrame, order: str, path: str = "path") -> DataFrame:
-    """One row per path, the last one in ``order``."""
+    """One row per path, the last one in ``order``; of equal places the last as JSON.  Rows may hold maps."""
     rest = [c for c in files.columns if c not in (path, order)]
-    last = files.groupBy(path).agg(F.max(F.struct(order, *rest)).alias("_r"))
+    place = F.struct(order, F.to_json(F.struct(*rest)).alias("rest"))
+    last = files.groupBy(path).agg(F.max_by(F.struct(order, *rest), place).alias("_r"))
     return last.select(path, "_r.*").select(*files.columns)

@@ -7,6 +7,8 @@ position, answers by hexadecimal digits of an md5.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,9 +73,20 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
-def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Words of the supplied prose and what stands in their place in texts with abbreviations.
+ABBREVIATIONS = {" of ": " Dr. ", " by ": " e.g. ", " de ": " art. ", " der ": " Abs. ", " und ": " z.B. ", " la ": " av. ", " en ": " 3. ", " los ": " Sr. "}
+
+
+def abbreviated(text: Column) -> Column:
+    """The text with abbreviations and ordinals in place of some words; no sentence ends at them."""
+    for word, short in ABBREVIATIONS.items():
+        text = F.replace(text, F.lit(word), F.lit(short))
+    return text
+
+
+def md_docs(spark: SparkSession, sf_dir: str, rewrite: Callable[[Column], Column] = lambda text: text) -> DataFrame:
     """Documents rewritten as Markdown: (source_folder, source_file, text)."""
-    docs = documents(spark, sf_dir, "source", "text")
+    docs = documents(spark, sf_dir, "source", "text").withColumn("text", rewrite(F.col("text")))
     lines = F.transform(
         F.split("text", "\n"),
         lambda l, i: decorate(l, (i + F.col("doc_id")) % 17, (1 + i % 3).cast("int")),

@@ -6,7 +6,7 @@ import re
 import sys
 
 from sentivote import vocab
-from sentivote.plans import oracle_calls
+from sentivote.plans import fixtures, oracle_calls
 from sentivote.plans import oracle_text as X
 from sentivote.plans.fixtures import ANSWER_MODELS, ENSEMBLE_MODELS
 
@@ -174,7 +174,13 @@ def text_sql() -> dict[str, str]:
     raw = (X.LINES, X.tokens("md_lines"))
     clean = (X.LINES, X.CLEAN, X.tokens("clean_doc_lines"), X.SENTENCES, X.PHRASES)
     nl = "length(text) - length(replace(text, chr(10), ''))"
+    short = "text"
+    for word, abbreviation in fixtures.ABBREVIATIONS.items():
+        short = f"replace({short}, '{word}', '{abbreviation}')"
+    blocks = (X.LINES.replace("string_split(text,", f"string_split({short},"), X.CLEAN, X.tokens("clean_doc_lines"), X.boundary_words())
     return {
+        "boundary_words": X.statement("SELECT kind, word, n, round(score, 4) AS score FROM learnt", *blocks),
+        "phrases_learned": X.statement("SELECT * FROM phrases", *blocks, X.learned_pieces(), X.MERGED, X.PHRASES),
         "clean_lines": X.statement(
             f"SELECT {X.KEYS}, CAST(row_number() OVER (PARTITION BY {X.KEYS} ORDER BY line_no) - 1 AS INTEGER) AS line_no, line FROM cleaned",
             X.LINES, X.CLEAN),

@@ -99,6 +99,11 @@ ld AS (SELECT doc_id, lang, {detected} AS lang_detected FROM lc)"""
             f"""SELECT {K}, question_key, model, CASE WHEN length({prompt}) % 2 = 0 THEN 'oui' ELSE 'non' END AS answer,
             CAST(length({prompt}) + 10 AS INTEGER) AS tok_in, 5 AS tok_out FROM ({docs}), qtext, models""",
             qtext, o.model_list(ANSWER_MODELS)),
+        "answers_once": o.with_(
+            f"""SELECT {K}, question_key, model, CASE WHEN length({prompt}) % 2 = 0 THEN 'oui' ELSE 'non' END AS answer,
+            CAST(length({prompt}) + 10 AS INTEGER) AS tok_in, 5 AS tok_out,
+            phrase_index IN (SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE starts_with(source, 'src1'))) AS reused FROM ({docs}), qtext, models""",
+            qtext, o.model_list(ANSWER_MODELS)),
         "recorded_answers": o.with_(
             f"""SELECT lang AS source_folder, source AS source_file, CAST(doc_id AS INTEGER) AS phrase_index, question_key, model,
             CASE WHEN doc_id % 10 = 3 THEN 'non' ELSE {case(shape, loose)} END AS answer,

@@ -6,6 +6,13 @@ use window functions instead, which makes them an independent check.
 
 from __future__ import annotations
 
+from sentivote.operators import boundaries
+
+
+def sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 # ASCII whitespace is all the supplied tables contain.
 WS_CHARS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 KEYS = "source_folder, source_file"
@@ -191,13 +198,15 @@ tok AS (
 )"""
 
 
-SENTENCES = f"""
+RULE_PIECES = f"""
 pieces AS (
   SELECT {KEYS}, tok_pos, text AS block,
     list_transform(list_filter(string_split(regexp_replace(text, '([.!?…]\\s+)', '\\1' || chr(10), 'g'), chr(10)),
       lambda x: x <> ''), lambda x: {strip('x')}) AS p
   FROM tok WHERE kind = 'text'
-),
+)"""
+
+MERGED = f"""
 merging AS (
   SELECT {KEYS}, tok_pos, block, p, 1 AS i, 0 AS n_out, p[1] AS cur, CAST(NULL AS VARCHAR) AS done FROM pieces
   UNION ALL
@@ -217,6 +226,83 @@ sent AS (
   SELECT {KEYS}, tok_pos, n_out, cur FROM merging WHERE i = len(p)
 )"""
 
+SENTENCES = RULE_PIECES + "," + MERGED
+
+
+def boundary_words() -> str:
+    """CTEs ending in ``learnt(kind, word, n, score)``, over the text blocks of ``tok``."""
+    core = f"trim(x, {sql_text(boundaries.AROUND)})"
+    chance = lambda k, n, p: f"(CASE WHEN {k} = 0 THEN 0 ELSE {k} * ln({p}) END + CASE WHEN {n} - {k} = 0 THEN 0 ELSE ({n} - {k}) * ln(1 - {p}) END)"
+    apart = f"{chance('k', 'b', '(k / b)')} + {chance('(c - k)', '(m - b)', '((c - k) / (m - b))')}"
+    alike = f"{chance('k', 'b', '(c / m)')} + {chance('(c - k)', '(m - b)', '(c / m)')}"
+
+    def standing_out(name: str, kind: str, rows: str, least: float) -> str:
+        return f"""
+{name}_rows AS ({rows}),
+{name} AS (
+  SELECT kind, word, n, score FROM (
+    SELECT '{kind}' AS kind, follower AS word, CAST(k AS BIGINT) AS n, 2 * ({apart} - ({alike})) AS score, k / b > c / m AS more FROM (
+      SELECT f.follower, CAST(f.k AS DOUBLE) AS k, CAST(w.n AS DOUBLE) AS c, CAST((SELECT sum(n) FROM {name}_rows) AS DOUBLE) AS b, m
+      FROM (SELECT follower, sum(n) AS k FROM {name}_rows GROUP BY follower) f JOIN per_word w ON w.type = f.follower, totals)
+  ) WHERE more AND score >= {least}
+)"""
+
+    return f"""
+core_words AS (
+  SELECT r, i, core, CASE WHEN regexp_matches(core, '{boundaries.NUMERIC}') THEN '#' ELSE lower(regexp_replace(core, '\\.$', '')) END AS type
+  FROM (SELECT r, generate_subscripts(t, 1) AS i, unnest(list_transform(t, lambda x: {core})) AS core FROM (
+    SELECT row_number() OVER () AS r, list_filter(string_split_regex({strip('text')}, '\\s+'), lambda x: x <> '') AS t FROM tok WHERE kind = 'text'))
+),
+word_counts AS (
+  SELECT type, dot, follower, count(*) AS n FROM (
+    SELECT type, ends_with(core, '.') AS dot, CASE WHEN ends_with(core, '.') THEN nullif(behind, '') END AS follower
+    FROM (SELECT *, lead(type) OVER (PARTITION BY r ORDER BY i) AS behind FROM core_words) WHERE type <> '') GROUP BY ALL
+),
+totals AS (SELECT CAST(sum(n) AS DOUBLE) AS m, CAST(sum(n) FILTER (WHERE dot) AS DOUBLE) AS d FROM word_counts),
+per_word AS (SELECT type, coalesce(sum(n) FILTER (WHERE dot), 0) AS dotted, sum(n) AS n FROM word_counts GROUP BY type),
+short AS (
+  SELECT 'abbreviation' AS kind, type AS word, CAST(dotted AS BIGINT) AS n,
+    2 * ({chance('dotted', 'n', str(boundaries.CERTAIN))} - {chance('dotted', 'n', '(d / m)')}) * exp(-letters) * (length(type) - letters + 1)
+      * pow(letters, -CAST(n - dotted AS DOUBLE)) AS score
+  FROM (SELECT *, CAST(length(replace(type, '.', '')) AS DOUBLE) AS letters FROM per_word), totals
+  WHERE dotted > 0 AND regexp_matches(type, '\\p{{L}}') AND score >= {boundaries.ABBREVIATION}
+),{standing_out('starting', 'starter', "SELECT * FROM word_counts WHERE follower IS NOT NULL AND type <> '#' AND type NOT IN (SELECT word FROM short)", boundaries.STARTER)},
+{standing_out('ordered', 'ordinal', "SELECT * FROM word_counts WHERE follower IS NOT NULL AND type = '#'", boundaries.COLLOCATION)},
+learnt AS (
+  SELECT * FROM short UNION ALL SELECT * FROM starting
+  UNION ALL SELECT * FROM ordered WHERE n > 1 AND word NOT IN (SELECT word FROM starting)
+)"""
+
+
+def learned_pieces() -> str:
+    """CTE ``pieces`` with the rule's cuts less those that ``learnt`` rules out."""
+    bare = lambda x: f"trim({x}, {sql_text(boundaries.AROUND)})"
+    kind = lambda x: f"CASE WHEN regexp_matches({x}, '{boundaries.NUMERIC}') THEN '#' ELSE lower(regexp_replace({x}, '\\.$', '')) END"
+    known = lambda x, name: f"{x} IN (SELECT word FROM learnt WHERE kind = '{name}')"
+    return f"""
+rule_cut AS (
+  SELECT {KEYS}, tok_pos, text AS block, generate_subscripts(q, 1) AS i, unnest(q) AS piece FROM (
+    SELECT *, list_filter(string_split(regexp_replace(text, '([.!?…]\\s+)', '\\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') AS q FROM tok WHERE kind = 'text')
+),
+borders AS (
+  SELECT *, {bare(f"regexp_extract({strip('piece')}, '(?:^|\\s)(\\S+)$', 1)")} AS core,
+    {bare(f"regexp_extract({strip('next_piece')}, '^\\S+')")} AS follower
+  FROM (SELECT *, lead(piece) OVER (PARTITION BY {KEYS}, tok_pos ORDER BY i) AS next_piece FROM rule_cut)
+),
+typed_borders AS (SELECT *, {kind('core')} AS w, {kind('follower')} AS u, substr(follower, 1, 1) AS f FROM borders),
+decided AS (
+  SELECT *, next_piece IS NOT NULL AND ends_with(core, '.') AND (
+    ({known('w', 'abbreviation')} AND NOT (f <> lower(f) AND {known('u', 'starter')}))
+    OR (w = '#' AND (f <> upper(f) OR {known('u', 'ordinal')}))) AS on_it FROM typed_borders
+),
+islands AS (
+  SELECT *, coalesce(sum(CASE WHEN on_it THEN 0 ELSE 1 END) OVER (PARTITION BY {KEYS}, tok_pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
+  FROM decided
+),
+joined_pieces AS (SELECT {KEYS}, tok_pos, block, g, {strip("string_agg(piece, '' ORDER BY i)")} AS piece FROM islands GROUP BY source_folder, source_file, tok_pos, block, g),
+pieces AS (SELECT {KEYS}, tok_pos, block, list(piece ORDER BY g) AS p FROM joined_pieces GROUP BY source_folder, source_file, tok_pos, block)"""
+
+
 PHRASES = f"""
 units AS (
   SELECT {KEYS}, tok_pos, 0 AS sent_pos, kind, {strip('text')} AS text FROM tok WHERE kind <> 'text'

@@ -11,8 +11,10 @@ from sentivote import vocab
 from sentivote.functions import text as T
 from sentivote.operators import ballots as B
 from sentivote.functions import language, parse
-from sentivote.operators import calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, vote
+from sentivote.operators.answer_store import AnswerStore, ask_once
+from sentivote.operators import boundaries, calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, vote
 from sentivote.plans import fixtures as fx
+from sentivote.session import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEG = tuple(vocab.SEGMENT_KEY)
@@ -41,8 +43,25 @@ def text_queries() -> dict[str, Query]:
 
         return segment.phrases_flat(segment.with_model_pieces(_cleaned(spark, sf), load), segment.model_splitter)
 
+    def abbreviated(spark: SparkSession, sf: str) -> DataFrame:
+        docs = clean.clean_documents(fx.md_docs(spark, sf, fx.abbreviated))
+        return docs.select("source_folder", "source_file", "text")
+
+    def blocks(docs: DataFrame) -> DataFrame:
+        return segment.tokens(docs).where("kind = 'text'").select("text")
+
+    def boundary_words(spark: SparkSession, sf: str) -> DataFrame:
+        learnt = boundaries.learn(blocks(abbreviated(spark, sf)))
+        return learnt.select("kind", "word", "n", F.round("score", 4).alias("score"))
+
+    def learned_phrases(spark: SparkSession, sf: str) -> DataFrame:
+        docs = abbreviated(spark, sf)
+        return segment.phrases_flat(docs, boundaries.learned_splitter(blocks(docs)))
+
     return {
         "phrases_by_model": model_phrases,
+        "boundary_words": boundary_words,
+        "phrases_learned": learned_phrases,
         "clean_lines": lambda s, d: clean.clean_lines(fx.md_docs(s, d)),
         "clean_documents": lambda s, d: clean.clean_documents(fx.md_docs(s, d)),
         "clean_report": lambda s, d: clean.clean_report(clean.clean_documents(fx.md_docs(s, d))),
@@ -268,22 +287,30 @@ def call_queries() -> dict[str, Query]:
         )
         return judged.select(*SEG, F.md5(calls.judge_prompt(fx.JUDGE_TEMPLATE)).alias("prompt_md5"))
 
-    def external(s: SparkSession, d: str) -> DataFrame:
-        def ask():
-            def answer(batch):
-                yes = batch["prompt"].str.len() % 2 == 0
-                out = batch[[]].copy()
-                out["raw"] = yes.map({True: '{"reponse": "oui"}', False: '{"reponse": "non"}'})
-                out["tok_in"] = (batch["system"].str.len() + batch["prompt"].str.len()).astype("int32")
-                out["tok_out"], out["duration_s"], out["erreur"] = 5, 0.0, None
-                return out
+    def ask():
+        def answer(batch):
+            yes = batch["prompt"].str.len() % 2 == 0
+            out = batch[[]].copy()
+            out["raw"] = yes.map({True: '{"reponse": "oui"}', False: '{"reponse": "non"}'})
+            out["tok_in"] = (batch["system"].str.len() + batch["prompt"].str.len()).astype("int32")
+            out["tok_out"], out["duration_s"], out["erreur"] = 5, 0.0, None
+            return out
 
-            return answer
+        return answer
 
+    def external(s: SparkSession, d: str) -> DataFrame:
         asked = calls.with_prompts(calls.call_plan(fx.unit_texts(s, d)), calls.phrase_prompt(), "oui ou non").drop("phrase")
         replied = calls.read_answers(calls.ask_external(asked, ask))
         return replied.select(*vocab.PHRASE_KEY, "question_key", "model", "answer", "tok_in", "tok_out")
 
+    def answers_once(s: SparkSession, d: str) -> DataFrame:
+        """The calls of some files, then those of all: prompts that were asked before aren't asked again."""
+        store = AnswerStore(shared_path(s, "answers"))
+        asked = calls.with_prompts(calls.call_plan(fx.unit_texts(s, d)), calls.phrase_prompt(), "oui ou non").drop("phrase")
+        ask_once(asked.where(F.col("source_file").startswith("src1")), store, ask)
+        replied = calls.read_answers(ask_once(asked, store, ask))
+        return replied.select(*vocab.PHRASE_KEY, "question_key", "model", "answer", "tok_in", "tok_out", "reused")
+
     def recorded(s: SparkSession, d: str) -> DataFrame:
         replies = fx.raw_replies(s, d).filter("doc_id % 10 <> 3").select(
             F.col("doc_id").cast("int").alias("phrase_index"), "question_key", "raw",
@@ -332,6 +359,7 @@ def call_queries() -> dict[str, Query]:
         "segment_prompts": segment_prompts,
         "judge_prompts": judge_prompts,
         "external_answers": external,
+        "answers_once": answers_once,
         "recorded_answers": recorded,
         "rule_answers": rules,
         "incremental_skip": lambda s, d: calls.pending(fx.units(s, d), done(s, d)),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from sentivote import vocab
 from sentivote.operators import ballots as B
+from sentivote.operators.answer_store import AnswerStore, ask_once
 from sentivote.operators import calls, clean, ensemble, judge, report, segment, sensitivity, vote
 from sentivote.sources import files
 
@@ -30,16 +31,18 @@ def answered_files(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def asked_once(units: DataFrame, provider: Callable[[], calls.Ask], prompt: Column, system: str, path: str,
-               models: Sequence[str] = MODELS) -> DataFrame:
+               models: Sequence[str] = MODELS, store: AnswerStore | None = None) -> DataFrame:
     """Answers of all ``units``, kept at ``path``: files that have answers there aren't asked again.
 
-    New answers are appended, so a run can be resumed and a folder can grow.  Each call is made once.
+    New answers are appended, so a run can be resumed and a folder can grow.  Each call is made once.  With a
+    ``store``, calls with equal messages are one call, and what any run with that store has asked isn't asked again.
     """
     spark = units.sparkSession
     done = answered_files(spark, path)
     todo = units if done is None else calls.pending(units, done)
     plan = calls.with_prompts(calls.call_plan(todo, models=models), prompt, system)
-    answers = calls.read_answers(calls.ask_external(plan, provider)).drop("system", "prompt", "raw")
+    replied = calls.ask_external(plan, provider) if store is None else ask_once(plan, store, provider).drop("reused")
+    answers = calls.read_answers(replied).drop("system", "prompt", "raw")
     files.write_dataset(answers, path, mode="append")
     return spark.read.schema(answers.schema).parquet(path)
 

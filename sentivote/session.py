@@ -30,14 +30,13 @@ def local_session(cpus: int | str = "*", app: str = "sentivote", memory: str = "
 _own_folder: list[str] = []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet to the checkpoint folder and go on from the written copy.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``, shared
-    by all executors, so losing some of them loses no result.  Only a session on one
-    machine that names none, as in tests, gets a temporary folder.
+    by all executors.  Only a session on one machine that names none, as in tests, gets a
+    temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -46,6 +45,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="sentivote-checkpoint-"))
         folder = _own_folder[0]
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet to the checkpoint folder and go on from the written copy.
+
+    Losing executors loses no result.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -35,7 +35,10 @@ def process_new(
 ) -> int:
     """Run ``work`` on everything new, write Parquet, return the batches run."""
 
+    done = set()
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        done.add(batch_id)
         work(batch).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
 
     query = (
@@ -45,7 +48,7 @@ def process_new(
         .start()
     )
     query.awaitTermination()
-    return sum(1 for p in query.recentProgress if p["numInputRows"] > 0)
+    return len(done)
 
 
 def results(spark: SparkSession, out_dir: str) -> DataFrame:

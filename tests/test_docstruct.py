@@ -133,3 +133,11 @@ def test_splice_behind_very_many_blank_lines(spark):
     tables = spark.createDataFrame([("d", 0, "|x|")], "doc string, table_no int, markdown string")
     got = D.splice_tables(docs, tables).first()["text"]
     assert got.count("|x|") == 1 and got.endswith("suite")
+
+
+def test_path_dedup_takes_rows_that_hold_maps(spark):
+    from sentivote.operators import docstruct
+
+    rows = [("a", 1, {"x": 1}), ("a", 2, {"y": 2}), ("b", 1, None)]
+    got = docstruct.distinct_paths(spark.createDataFrame(rows, "path string, seen int, meta map<string,int>"), "seen").collect()
+    assert sorted((r["path"], r["seen"], r["meta"]) for r in got) == [("a", 2, {"y": 2}), ("b", 1, None)]
