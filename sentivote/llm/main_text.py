@@ -13,16 +13,16 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentivote.llm.common import column
+from sentivote.llm.common import column, one_by_one
 
 # Tags whose content is never shown or never main text, tags that
 # end a block, tags that hold the article, words of class and id names.
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
-OUTSIDE = frozenset("nav header footer aside form menu select button dialog svg head object canvas audio video figcaption fieldset".split())
+OUTSIDE = frozenset("nav header footer aside form menu select button dialog svg head object canvas audio video fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figure figcaption footer form h1 h2 h3"
     " h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -35,6 +35,13 @@ NAMES = frozenset(
     " comment comments respond replies disqus share sharing social related recommended recommendations widget pagination pager copyright"
     " disclaimer tags search".split()
 )
+#: Words that say nothing about what an element is for, beside one of ``NAMES``.
+FRAMES = frozenset(
+    "box block wrap wrapper wrapping container inner outer area bar list links link item items post posts article articles section slot unit group"
+    " row col column top bottom left right site page main global primary secondary form button buttons text title body content js is has the my"
+    " widgets stories story news more also read you may like icon icons".split()
+)
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 STOP_WORDS = frozenset(
     # English
@@ -66,10 +73,26 @@ class Block:
     words: int
     link_words: int
     stop_words: int
+    doubtful: bool = False  # a heading in the article that is named like boilerplate
+
+
+def named(attributes: str, whole: bool) -> bool:
+    """Whether a name is one of boilerplate: one of its words is, or, as a ``whole``, all that say anything."""
+    for m in _NAMED.finditer(attributes):
+        value = m.group(1) or m.group(2) or m.group(3) or ""
+        for name in value.split():
+            words = [w.lower() for w in _PART.findall(_CAMEL.sub(" ", name))]
+            if any(w in NAMES for w in words) and (not whole or all(w in NAMES or w in FRAMES for w in words)):
+                return True
+    return False
 
 
-def boilerplate(tag: str, attributes: str) -> bool:
-    """Whether an element's tag, role or names say that it is not main text."""
+def boilerplate(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element's tag, role or names say that it is not main text.
+
+    ``inside`` an article a name must say so as a whole, as "related-posts" does and "related-work" does not, and headings
+    aren't judged by it.
+    """
     if tag in OUTSIDE:
         return True
     if "=" not in attributes and "hidden" not in attributes:
@@ -81,11 +104,9 @@ def boilerplate(tag: str, attributes: str) -> bool:
         return True
     if tag in ARTICLE or tag in ("body", "html"):
         return False
-    for m in _NAMED.finditer(attributes):
-        value = m.group(1) or m.group(2) or m.group(3) or ""
-        if any(w.lower() in NAMES for w in _PART.findall(_CAMEL.sub(" ", value))):
-            return True
-    return False
+    if inside and tag in HEADINGS:
+        return False
+    return named(attributes, inside)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -93,6 +114,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     open_tags: list[tuple[str, bool]] = []  # (tag, boilerplate)
     shut = articles = links = 0
+    doubtful = False
     parts: list[str] = []
     linked: list[str] = []
 
@@ -102,7 +124,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             words = [w.strip(".,;:!?()[]{}\"'«»„“”*#%&$|…") for w in text.lower().split()]
             n_links = len(html.unescape("".join(linked)).split())
-            out.append(Block(text, articles > 0, len(words), n_links, sum(w in STOP_WORDS for w in words)))
+            out.append(Block(text, articles > 0, len(words), n_links, sum(w in STOP_WORDS for w in words), doubtful))
         parts.clear()
         linked.clear()
 
@@ -124,6 +146,7 @@ def blocks_of(page: str) -> list[Block]:
         if m.group(1) or m.group(4):
             if tag in BLOCKS:
                 close()
+                doubtful = False
             # an end tag closes the innermost element of its name, and what was left open inside
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == tag:
@@ -137,6 +160,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             close()
+            doubtful = tag in HEADINGS and articles > 0 and "=" in attributes and named(attributes, True)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else size
@@ -145,7 +169,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and open_tags and open_tags[-1][0] == tag:
             shut -= open_tags.pop()[1]
-        bad = boilerplate(tag, attributes)
+        bad = boilerplate(tag, attributes, articles > 0)
         if tag == "header" and articles and not shut and not _NAMED.search(attributes):
             bad = False  # an article's own header holds its headline
         open_tags.append((tag, bad))
@@ -156,13 +180,23 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, has_article: bool) -> bool | None:
-    """True for main text, False for boilerplate, None for open."""
-    if block.link_words > LINKS * block.words:
+def first_pass(block: Block, has_article: bool, known: bool = True) -> bool | None:
+    """True for main text, False for boilerplate, None for open.
+
+    ``known`` is whether the page's language has known stop words; without them length and links decide, and
+    a text without blanks counts one word for six characters.
+    """
+    linked = block.link_words > LINKS * block.words
+    if has_article and block.inside:
+        # the article is marked: its blocks are main text, unless they are links or named otherwise, which is left open
+        return None if linked or block.doubtful else True
+    if linked:
         return False
     if has_article:
-        # the article is marked: its blocks are main text, others need every sign of it
-        return True if block.inside else None if block.words >= LONG and block.stop_words >= STOPS_HIGH * block.words else False
+        # what is beside the article needs every sign of main text
+        return None if block.words >= LONG and block.stop_words >= STOPS_HIGH * block.words else False
+    if not known:
+        return True if max(block.words, len(block.text) // 6) >= LONG else None
     if block.words < LONG:
         return None
     if block.stop_words >= STOPS_HIGH * block.words:
@@ -196,8 +230,14 @@ def main_text(page: str | None) -> str:
         return ""
     blocks = blocks_of(page)
     has_article = any(b.inside and b.words for b in blocks)
-    labels = second_pass([first_pass(b, has_article) for b in blocks])
-    return " ".join(b.text for b, keep in zip(blocks, labels) if keep)
+    labels = [first_pass(b, has_article) for b in blocks]
+    if not has_article and True not in labels:  # no block speaks a known language
+        labels = [first_pass(b, has_article, known=False) for b in blocks]
+    if has_article:
+        # an article's open blocks have their neighbours inside it
+        within = iter(second_pass([x for x, b in zip(labels, blocks) if b.inside]))
+        labels = [next(within) if b.inside else x for x, b in zip(labels, blocks)]
+    return " ".join(b.text for b, keep in zip(blocks, second_pass(labels)) if keep)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -207,11 +247,11 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     whole.  Repeated rows give repeated results; other columns play no part.
     """
 
-    @F.pandas_udf("string")
-    def extract(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def extract(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in parts:
-            yield pd.Series([main_text(p) for p in pages], dtype=object)
+            yield pa.array([main_text(p) for p in one_by_one(pages)], pa.string())
 
     text = extract(column(pages, html_col).cast("string"))
-    out = pages.select(column(pages, id_col).alias("_id"), column(pages, url_col).alias("_url"), text.alias("text"))
-    return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    out = pages.select(column(pages, id_col).alias("id"), column(pages, url_col).alias("url"), text.alias("text"))
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
