@@ -103,22 +103,23 @@ def marked_text(text: Column) -> Column:
     return F.array_join(F.transform(lines, _write_line), "")
 
 
-def token_array(text: Column) -> Column:
-    """Array of (kind, level, text) in document order."""
+def read_piece(piece: Column) -> Column:
+    """A piece of marked text between line breaks as (kind, level, text)."""
+    is_title = piece.startswith(TITLE_MARK)
+    is_bullet = piece.startswith(BULLET_MARK)
+    return F.struct(
+        F.when(is_title, "title").when(is_bullet, "bullet").otherwise("text").alias("kind"),
+        F.when(is_title, F.substring(piece, 2, 1).cast("int")).alias("level"),
+        F.when(is_title, F.substring(piece, 3, 2**31 - 1))
+        .when(is_bullet, F.substring(piece, 2, 2**31 - 1))
+        .otherwise(T.strip(piece))
+        .alias("text"),
+    )
 
-    def read(piece: Column) -> Column:
-        is_title = piece.startswith(TITLE_MARK)
-        is_bullet = piece.startswith(BULLET_MARK)
-        return F.struct(
-            F.when(is_title, "title").when(is_bullet, "bullet").otherwise("text").alias("kind"),
-            F.when(is_title, F.substring(piece, 2, 1).cast("int")).alias("level"),
-            F.when(is_title, F.substring(piece, 3, 2**31 - 1))
-            .when(is_bullet, F.substring(piece, 2, 2**31 - 1))
-            .otherwise(T.strip(piece))
-            .alias("text"),
-        )
 
-    tokens = F.transform(F.filter(F.split(marked_text(text), "\n"), lambda p: p != ""), read)
+def token_array(text: Column) -> Column:
+    """Array of (kind, level, text) in document order."""
+    tokens = F.transform(F.filter(F.split(marked_text(text), "\n"), lambda p: p != ""), read_piece)
     return F.filter(tokens, lambda t: (t["kind"] != "text") | ~T.is_noise(t["text"]))
 
 

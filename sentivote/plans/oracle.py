@@ -199,6 +199,8 @@ def text_sql() -> dict[str, str]:
         "sentences_merged": X.statement(
             f"SELECT {X.KEYS}, tok_pos, CAST(sent_pos AS INTEGER) AS sent_pos, text AS sentence FROM sent",
             X.LINES, X.tokens("md_lines"), X.SENTENCES),
+        "blocked_documents": X.statement("SELECT * FROM clean_docs WHERE text <> ''", X.LINES, X.CLEAN),
+        "blocked_phrases": X.statement("SELECT * FROM phrases", *clean),
         "phrases_flat": X.statement("SELECT * FROM phrases", *clean),
         "phrases_by_model": X.statement("SELECT * FROM phrases", *clean),
         "paragraphs": X.statement("SELECT * REPLACE (coalesce(phrase_index, -1) AS phrase_index) FROM para_phrases", *clean, X.PARAGRAPHS),

@@ -12,6 +12,7 @@ from sentivote.functions import text as T
 from sentivote.operators import ballots as B
 from sentivote.functions import language, parse
 from sentivote.operators.answer_store import AnswerStore, ask_once
+from sentivote.operators import blocks as blocked
 from sentivote.operators import boundaries, calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, vote
 from sentivote.plans import fixtures as fx
 from sentivote.session import shared_path
@@ -58,7 +59,19 @@ def text_queries() -> dict[str, Query]:
         docs = abbreviated(spark, sf)
         return segment.phrases_flat(docs, boundaries.learned_splitter(blocks(docs)))
 
+    def clean_blocks(spark: SparkSession, sf: str) -> DataFrame:
+        return blocked.clean_blocks(blocked.split_documents(fx.md_docs(spark, sf), 5))
+
+    def documents_of_blocks(spark: SparkSession, sf: str) -> DataFrame:
+        """Documents cleaned in blocks, put together again to be compared."""
+        parts = F.sort_array(F.collect_list(F.struct("block_no", "text")))
+        return clean_blocks(spark, sf).groupBy(*vocab.FILE_KEY).agg(parts.alias("p")).select(
+            *vocab.FILE_KEY, F.array_join("p.text", "\n").alias("text")
+        )
+
     return {
+        "blocked_documents": documents_of_blocks,
+        "blocked_phrases": lambda s, d: blocked.phrases_of_blocks(clean_blocks(s, d)),
         "phrases_by_model": model_phrases,
         "boundary_words": boundary_words,
         "phrases_learned": learned_phrases,
