@@ -1,20 +1,22 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The best segmentation of a text is the one whose pieces have the highest sum of scores.  The
-search runs over the text once and keeps the open part only: whenever all surviving
-paths, those that end within one piece length of the front, go through one boundary, the
-ids up to it are final and leave the window.
+search runs over the whole text once and keeps the open part only.  The surviving paths end
+within one piece length of the front; whenever all of them go through one boundary, the ids
+up to it are final and leave the window.  A front that no path reaches beyond is such a boundary
+with nothing left open: what follows depends on the text behind it alone.
 
-No piece crosses the start of a run of word marks or a line break, so all paths
-meet there.  Such stretches, mostly words, are searched once and remembered.
+That makes it safe to remember what was committed between two such fronts.  No piece crosses the
+start of a run of word marks or a line break, so the text up to the next of these is looked up before it is searched.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from sentivote.llm.common import column, slices
 
 #: The word mark.
 MARK = "▁"
-#: Stretches that a task remembers, the longest of them, and the longest that is searched without a stream.
-REMEMBERED, REMEMBERED_LENGTH, LONGEST = 1_000_000, 24, 256
+#: Stretches between two fronts that a task remembers, and the most marks and the most other characters of one.
+REMEMBERED, REMEMBERED_LENGTH = 1_000_000, 24
 
 
 class Vocabulary:
@@ -45,11 +47,10 @@ class Vocabulary:
             p.replace(MARK, " ").encode("utf-8", "surrogatepass") if k == "normal" else bytes([int(p[3:5], 16)]) if k == "byte" else b""
             for p, k in zip(pieces, kinds)
         ]
-        # a mark after another character, or a line break, inside a piece would forbid cutting there
-        if any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in self.ids):
-            self.stretches = re.compile(r".+", re.DOTALL)
-        else:
-            self.stretches = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+        # up to the next place that no piece crosses, if that is near; None if a piece may cross such places
+        crossed = any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in self.ids)
+        most = f"{{0,{REMEMBERED_LENGTH}}}+"
+        self.near = None if crossed else re.compile(rf"\n|{MARK}{most}[^{MARK}\n]{most}(?=\n|\Z|(?<!{MARK}){MARK})").match
         self.memo: dict[str, bytes] = {}
 
     def _trie(self) -> tuple[dict, float, int]:
@@ -83,94 +84,107 @@ class Vocabulary:
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` in lists, each as soon as it is final."""
-        trie, unknown, longest = self.trie[0], self.unknown, self.longest
-        best: dict[int, float] = {0: 0.0}  # boundary -> score of the best path to it, for boundaries in the window
-        back: dict[int, int] = {}
-        done, size = 0, len(text)
-        for start in range(size):
-            base = best[start]
-            node = trie.get(text[start])
-            if (node is None or node[1] == -math.inf) and base + unknown > best.get(start + 1, -math.inf):
-                best[start + 1], back[start + 1] = base + unknown, start
-            stop = start + 1
+        for ids in self.commits(text):
+            yield np.frombuffer(ids, np.int32).tolist()
+
+    def commits(self, text: str) -> Iterator[bytes]:
+        """What the stream commits, as 32-bit numbers."""
+        at, size, memo, near = 0, len(text), self.memo, self.near
+        while at < size:
+            ahead = near(text, at) if near else None
+            if ahead is None:
+                at = yield from self.search(text, at)
+                continue
+            key = ahead.group()
+            found = memo.get(key)
+            if found is None:
+                parts, stop = [], at
+                while stop < ahead.end():  # a front may close before the place that no piece crosses
+                    stop = self._gather(self.search(text, stop), parts)
+                if len(memo) >= REMEMBERED:
+                    memo.clear()
+                found = memo[key] = b"".join(parts)
+            at = ahead.end()
+            yield found
+
+    @staticmethod
+    def _gather(search: Iterator[bytes], parts: list[bytes]) -> int:
+        """Add what a search commits to ``parts``; the front at which it closes."""
+        while True:
+            try:
+                parts.append(next(search))
+            except StopIteration as closed:
+                return closed.value
+
+    def search(self, text: str, done: int) -> Generator[bytes, None, int]:
+        """Search from ``done``, a boundary that all paths go through, to the next front with nothing left open.
+
+        Yields ids whenever they are final, and returns that front.  The window holds the boundaries from
+        the last common one on: score of the best path, length of its last piece, and that piece's id.
+        """
+        trie, unknown, longest, size = self.trie[0], self.unknown, self.longest, len(text)
+        none, room = -math.inf, 2 * longest + 1
+        best, back, via = [none] * room, [0] * room, [-1] * room
+        best[0] = 0.0
+        front, reach, look = 0, 0, longest
+        while True:
+            base = best[front]
+            node = trie.get(text[done + front])
+            stop = front + 1
+            if node is None or node[2] < 0:
+                if base + unknown > best[stop]:
+                    best[stop], back[stop], via[stop] = base + unknown, 1, -1
+                if stop > reach:
+                    reach = stop
             while node is not None:
-                # of equal paths the one with the longer last piece stays
-                if base + node[1] > best.get(stop, -math.inf):
-                    best[stop], back[stop] = base + node[1], start
-                if stop == size:
+                children, score, piece = node
+                if piece >= 0:
+                    # of equal paths the one with the longer last piece stays
+                    if base + score > best[stop]:
+                        best[stop], back[stop], via[stop] = base + score, stop - front, piece
+                    if stop > reach:
+                        reach = stop
+                if done + stop == size:
                     break
-                node = node[0].get(text[stop])
+                node = children.get(text[done + stop])
                 stop += 1
-            if start - done >= 4 * longest and start % longest == 0:
-                meet = self._meet(back, [p for p in range(start + 1, min(start + longest, size) + 1) if p in best])
-                if meet > done:
-                    yield self._path(text, back, done, meet)
-                    for p in range(done, meet):
-                        best.pop(p, None)
-                        back.pop(p, None)
-                    back.pop(meet, None)
-                    done = meet
-        if size > done:
-            yield self._path(text, back, done, size)
+            front += 1
+            if front == reach:
+                yield self._path(text, done, back, via, front)
+                return done + front
+            if front >= look:
+                meet = self._meet(back, front, reach)
+                if meet:
+                    yield self._path(text, done, back, via, meet)
+                    del best[:meet], back[:meet], via[:meet]
+                    done, front, reach = done + meet, front - meet, reach - meet
+                look = front + longest
+                more = look + longest + 1 - len(best)
+                best += [none] * more
+                back += [0] * more
+                via += [-1] * more
 
     @staticmethod
-    def _meet(back: dict[int, int], ends: list[int]) -> int:
-        """The last boundary that the paths to all ``ends`` have in common."""
-        open_ends = sorted(set(ends))
-        while len(open_ends) > 1:
-            last = open_ends.pop()
-            before = back.get(last)
-            if before is None:
-                return 0
-            if before not in open_ends:
-                open_ends.append(before)
-                open_ends.sort()
-        return open_ends[0] if open_ends else 0
-
-    def _path(self, text: str, back: dict[int, int] | list[int], start: int, stop: int) -> list[int]:
-        pieces = []
-        while stop > start:
-            pieces.append(text[back[stop] : stop])
-            stop = back[stop]
-        return [i for p in reversed(pieces) for i in self.units(p)]
-
-    def word(self, part: str) -> list[int]:
-        """Ids of a short stretch: the same search with the window open to its end."""
-        trie, size = self.trie[0], len(part)
-        best, back, via = [0.0] + [-math.inf] * size, [0] * (size + 1), [-1] * (size + 1)
-        for start, first in enumerate(part):
-            base = best[start]
-            node = trie.get(first)
-            if (node is None or node[2] < 0) and base + self.unknown > best[start + 1]:
-                best[start + 1], back[start + 1], via[start + 1] = base + self.unknown, start, -1
-            stop = start
-            while node is not None:
-                children, s, i = node
-                stop += 1
-                if i >= 0 and base + s > best[stop]:
-                    best[stop], back[stop], via[stop] = base + s, start, i
-                if stop == size:
-                    break
-                node = children.get(part[stop])
+    def _meet(back: list[int], front: int, reach: int) -> int:
+        """The last boundary that the paths to ``front`` and beyond have in common."""
+        ends = [-b for b in range(front, reach + 1) if back[b]]  # where paths end; a heap whose first is the last of them
+        heapq.heapify(ends)
+        while True:
+            last = -heapq.heappop(ends)
+            while ends and ends[0] == -last:
+                heapq.heappop(ends)
+            if not ends:
+                return last
+            heapq.heappush(ends, back[last] - last)
+
+    def _path(self, text: str, done: int, back: list[int], via: list[int], stop: int) -> bytes:
+        """Ids of the best path to a boundary of the window."""
         out: list[int] = []
-        while size:
-            out += (via[size],) if via[size] >= 0 else self.units(part[size - 1])[::-1]
-            size = back[size]
+        while stop:
+            out += (via[stop],) if via[stop] >= 0 else self.units(text[done + stop - 1])[::-1]
+            stop -= back[stop]
         out.reverse()
-        return out
-
-    def stretch(self, part: str) -> bytes:
-        """Ids of a stretch, as 32-bit numbers."""
-        found = self.memo.get(part)
-        if found is None:
-            if len(part) > LONGEST:
-                return array("i", (i for ids in self.stream(part) for i in ids)).tobytes()
-            found = array("i", self.word(part)).tobytes()
-            if len(part) <= REMEMBERED_LENGTH:
-                if len(self.memo) >= REMEMBERED:
-                    self.memo.clear()
-                self.memo[part] = found
-        return found
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of ``text``; a blank is put before it, as the decoder takes one away."""
@@ -181,7 +195,7 @@ class Vocabulary:
                 if k:
                     out.append(literal)
                 marked = (MARK if not k else "") + part.replace(" ", MARK)
-                out += map(self.stretch, self.stretches.findall(marked))
+                out += self.commits(marked)
         return np.frombuffer(b"".join(out), np.int32)
 
     def units_of_mark(self) -> list[int]:
