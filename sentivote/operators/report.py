@@ -52,7 +52,11 @@ def phrase_rows(classified: DataFrame, key: Sequence[str] = KEY, questions: Sequ
 def wide_phrases(calls: DataFrame, models: Sequence[str], key: Sequence[str] = KEY,
                  questions: Sequence[str] = QUESTIONS) -> DataFrame:
     """``phrase_rows`` plus one column per model and question, from one pass."""
-    folded = classify(with_bit(calls, models), key, questions, also=mask_aggregates(questions))
+    return wide_rows(classify(with_bit(calls, models), key, questions, also=mask_aggregates(questions)), models, key, questions)
+
+
+def wide_rows(folded: DataFrame, models: Sequence[str], key: Sequence[str] = KEY, questions: Sequence[str] = QUESTIONS) -> DataFrame:
+    """The wide columns of labelled units that carry their models' masks."""
     return folded.select(*phrase_columns(key, questions), *model_answer_columns(models, questions))
 
 

@@ -115,20 +115,24 @@ def classify(
     also: Sequence[Column] = (),
 ) -> DataFrame:
     """Tally plus scores, label, and rounded cost and duration per unit."""
-    t = tally(calls, key, questions, errors_as_no, also)
-    scored = t.select(
+    return scored(tally(calls, key, questions, errors_as_no, also), questions)
+
+
+def scored(t: DataFrame, questions: Sequence[str] = tuple(vocab.QUESTION_KEYS)) -> DataFrame:
+    """A tally with scores, label, and rounded cost and duration."""
+    out = t.select(
         "*",
         score(questions, "roi").alias("scores_roi"),
         score(questions, "notoriete").alias("scores_notoriete"),
         score(questions, "obl").alias("scores_obligation"),
     ).withColumn("categorie", label(F.col("scores_roi"), F.col("scores_notoriete"), F.col("scores_obligation")))
     if "cost_units" in t.columns:
-        scored = scored.withColumn("cost_usd_phrase", usd(F.col("cost_units"), 7)).withColumn(
+        out = out.withColumn("cost_usd_phrase", usd(F.col("cost_units"), 7)).withColumn(
             "cost_eur_phrase", eur(F.col("cost_units"), 7)
         )
     if "duration_ticks" in t.columns:
-        scored = scored.withColumn("duration_s_phrase", ratio(F.col("duration_ticks"), F.lit(10_000), 2))
-    return scored
+        out = out.withColumn("duration_s_phrase", ratio(F.col("duration_ticks"), F.lit(10_000), 2))
+    return out
 
 
 def answer_maps(classified: DataFrame, key: Sequence[str] = tuple(vocab.PHRASE_KEY),

@@ -150,7 +150,9 @@ def sql() -> dict[str, str]:
         text_sql(), vote_sql(), report_sql(), sensitivity_sql(), ensemble_sql(), judge_sql(),
         oracle_calls.call_sql(here), oracle_calls.structure_sql(here), oracle_calls.flagship_sql(here),
     ]
-    return {name: exact_percentages(s) for part in parts for name, s in part.items()}
+    twins = {name: exact_percentages(s) for part in parts for name, s in part.items()}
+    # the stored table answers as the calls do
+    return twins | {"stored_votes": twins["majority_vote"], "stored_costs": twins["phrase_costs"], "stored_wide": twins["wide_phrases"]}
 
 
 # --- text -----------------------------------------------------------------------

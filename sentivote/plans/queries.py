@@ -13,6 +13,7 @@ from sentivote.operators import ballots as B
 from sentivote.functions import language, parse
 from sentivote.operators.answer_store import AnswerStore, ask_once
 from sentivote.operators import blocks as blocked
+from sentivote.operators.call_table import CallTable
 from sentivote.operators import boundaries, calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, vote
 from sentivote.plans import fixtures as fx
 from sentivote.session import shared_path
@@ -119,8 +120,19 @@ def vote_queries() -> dict[str, Query]:
             *vocab.PHRASE_KEY, F.size("detail_appels").alias("n_details"), F.array_join(shown, ",").alias("details")
         )
 
+    def stored(s: SparkSession, d: str) -> CallTable:
+        """All calls: those that went well first, then those that failed."""
+        table = CallTable.create(fx.votes(s, d).where(vote.is_valid()), shared_path(s, "calls"))
+        table.add(fx.votes(s, d).where(~vote.is_valid()))
+        return table
+
     models = fx.ANSWER_MODELS
     return {
+        "stored_votes": lambda s, d: vote.per_question(stored(s, d).tally()),
+        "stored_costs": lambda s, d: stored(s, d).classify().select(
+            *vocab.PHRASE_KEY, "cost_usd_phrase", "cost_eur_phrase", "duration_s_phrase"
+        ),
+        "stored_wide": lambda s, d: stored(s, d).wide(models),
         "majority_vote": per_question,
         "scores_labels": lambda s, d: vote.classify(fx.votes(s, d)).select(
             *vocab.PHRASE_KEY, "scores_roi", "scores_notoriete", "scores_obligation", "categorie"
