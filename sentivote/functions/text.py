@@ -29,7 +29,7 @@ NOISE = (
 RULE_LINE = rf"^[-=_*]{{3,}}{WS}*$"
 IMAGE = r"(?d)!\[.*?\]\(.*?\)"
 
-# Applied in this order by ``clean_markup``.
+# Fixed values, applied in this order by ``clean_markup``.
 MARKUP_REWRITES = [
     (r'(?diu)<span' + WS + r'+id="[^"]*"[^>]*>.*?</span>', ""),
     (r"<[^>]+>", ""),
@@ -41,7 +41,7 @@ MARKUP_REWRITES = [
     (r"(?d)\\(.)", "$1"),
     (r"[ \t]{2,}", " "),
 ]
-# Applied in this order by ``clean_inline``.
+# Fixed values, applied in this order by ``clean_inline``.
 INLINE_REWRITES = [
     (rf"https?://{NOT_WS}+", ""),
     (r"\[([^\]]+)\]\([^)]*\)", "$1"),

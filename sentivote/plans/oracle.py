@@ -151,8 +151,9 @@ def sql() -> dict[str, str]:
         oracle_calls.call_sql(here), oracle_calls.structure_sql(here), oracle_calls.flagship_sql(here),
     ]
     twins = {name: exact_percentages(s) for part in parts for name, s in part.items()}
-    # the stored table answers as the calls do
-    return twins | {"stored_votes": twins["majority_vote"], "stored_costs": twins["phrase_costs"], "stored_wide": twins["wide_phrases"]}
+    # what is stored or published answers as what it was made from
+    made_from = {"stored_votes": "majority_vote", "stored_costs": "phrase_costs", "stored_wide": "wide_phrases", "published_summary": "file_summary"}
+    return twins | {name: twins[source] for name, source in made_from.items()}
 
 
 # --- text -----------------------------------------------------------------------

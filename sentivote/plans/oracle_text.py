@@ -32,6 +32,7 @@ def chain(x: str, rules: list[tuple[str, str]]) -> str:
     return x
 
 
+# The patterns of cleaning, in their order.
 MARKUP = [
     (r'(?i)<span\s+id="[^"]*"[^>]*>.*?</span>', ""),
     (r"<[^>]+>", ""),

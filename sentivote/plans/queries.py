@@ -17,6 +17,7 @@ from sentivote.operators.call_table import CallTable
 from sentivote.operators import boundaries, calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, vote
 from sentivote.plans import fixtures as fx
 from sentivote.session import shared_path
+from sentivote.sources.published import publish_run, read_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEG = tuple(vocab.SEGMENT_KEY)
@@ -154,6 +155,12 @@ def report_queries() -> dict[str, Query]:
     classified = lambda s, d: vote.classify(fx.votes(s, d))
     models = fx.ANSWER_MODELS
 
+    def published(s: SparkSession, d: str) -> DataFrame:
+        """The summary as a reader of a published run sees it."""
+        labels, root = classified(s, d), shared_path(s, "reports")
+        publish_run({"summary": report.file_summary(labels), "distribution": report.category_distribution(labels)}, root, "first")
+        return read_run(s, root, "summary")
+
     def wide_units(s: SparkSession, d: str) -> DataFrame:
         units = segment.scored_units(segment.paragraphs(_cleaned(s, d)))
         seed = F.concat_ws("/", "source_file", "paragraph_index", "phrase_index")
@@ -165,6 +172,7 @@ def report_queries() -> dict[str, Query]:
         "wide_phrases": lambda s, d: report.wide_phrases(fx.votes(s, d), models),
         "compact_answers": lambda s, d: B.compact_answers(B.ballots(fx.votes(s, d), models, with_cost=True), models),
         "file_summary": lambda s, d: report.file_summary(classified(s, d)),
+        "published_summary": published,
         "model_stats": lambda s, d: report.model_stats(fx.votes(s, d), models),
         "file_costs": lambda s, d: report.file_costs(fx.votes(s, d)),
         "question_agreement": lambda s, d: report.question_agreement(vote.unanimity(vote.tally(fx.votes(s, d)))),
