@@ -151,8 +151,9 @@ def sql() -> dict[str, str]:
         oracle_calls.call_sql(here), oracle_calls.structure_sql(here), oracle_calls.flagship_sql(here),
     ]
     twins = {name: exact_percentages(s) for part in parts for name, s in part.items()}
-    # what is stored or published answers as what it was made from
-    made_from = {"stored_votes": "majority_vote", "stored_costs": "phrase_costs", "stored_wide": "wide_phrases", "published_summary": "file_summary"}
+    # what is stored, published, streamed or counted in the row answers as what it was made from
+    made_from = {"stored_votes": "majority_vote", "stored_costs": "phrase_costs", "stored_wide": "wide_phrases", "published_summary": "file_summary",
+                 "change_rates_in_row": "change_rates", "stability_in_row": "stability", "streamed_votes": "majority_vote"}
     return twins | {name: twins[source] for name, source in made_from.items()}
 
 

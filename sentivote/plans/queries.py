@@ -14,10 +14,11 @@ from sentivote.functions import language, parse
 from sentivote.operators.answer_store import AnswerStore, ask_once
 from sentivote.operators import blocks as blocked
 from sentivote.operators.call_table import CallTable
-from sentivote.operators import boundaries, calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, vote
+from sentivote.operators import boundaries, calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, subset_sums, vote
 from sentivote.plans import fixtures as fx
 from sentivote.session import shared_path
 from sentivote.sources.published import publish_run, read_run
+from sentivote.streaming import votes
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEG = tuple(vocab.SEGMENT_KEY)
@@ -127,8 +128,18 @@ def vote_queries() -> dict[str, Query]:
         table.add(fx.votes(s, d).where(~vote.is_valid()))
         return table
 
+    def streamed(s: SparkSession, d: str) -> DataFrame:
+        """All calls as a stream of files, failed ones in files of their own, so that a unit's calls come in several batches."""
+        made, root = fx.votes(s, d), shared_path(s, "stream")
+        for part in (vote.is_valid(), ~vote.is_valid()):
+            made.where(part).write.mode("append").parquet(f"{root}/calls")
+        arriving = s.readStream.schema(made.schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/calls")
+        votes.follow(arriving, f"{root}/tallies", f"{root}/state")
+        return vote.per_question(votes.tallies(s, f"{root}/tallies"))
+
     models = fx.ANSWER_MODELS
     return {
+        "streamed_votes": streamed,
         "stored_votes": lambda s, d: vote.per_question(stored(s, d).tally()),
         "stored_costs": lambda s, d: stored(s, d).classify().select(
             *vocab.PHRASE_KEY, "cost_usd_phrase", "cost_eur_phrase", "duration_s_phrase"
@@ -210,6 +221,8 @@ def sensitivity_queries() -> dict[str, Query]:
         "leave_k_out": subsets,
         "change_rates": rates,
         "stability": lambda s, d: sensitivity.stability(rates(s, d)),
+        "change_rates_in_row": lambda s, d: subset_sums.change_rates(folded(s, d), models),
+        "stability_in_row": lambda s, d: subset_sums.with_stability(folded(s, d), models).select(*SEG, "stability_score"),
         "stability_report": lambda s, d: sensitivity.stability_report(rates(s, d)),
         "top_combinations": lambda s, d: sensitivity.top_combinations(subsets(s, d), models),
         "labelled_dataset": dataset,

@@ -31,7 +31,7 @@ def markdown_stream(spark: SparkSession, root: str, files_per_batch: int | None
 
 
 def process_new(
-    stream: DataFrame, work: Callable[[DataFrame], DataFrame], out_dir: str, checkpoint_dir: str
+    stream: DataFrame, work: Callable[[DataFrame], DataFrame], out_dir: str, checkpoint_dir: str, output_mode: str = "append"
 ) -> int:
     """Run ``work`` on everything new, write Parquet, return the batches run."""
 
@@ -41,12 +41,23 @@ def process_new(
         done.add(batch_id)
         work(batch).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
 
-    query = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint_dir)
-        .trigger(availableNow=True)
-        .start()
-    )
+    spark = stream.sparkSession
+    # a state that can time out would ask for one empty batch after the other and never end
+    empty, before = "spark.sql.streaming.noDataMicroBatches.enabled", None
+    if output_mode == "update":
+        before = spark.conf.get(empty)
+        spark.conf.set(empty, "false")
+    try:
+        query = (
+            stream.writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint_dir)
+            .outputMode(output_mode)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        if before is not None:
+            spark.conf.set(empty, before)
     query.awaitTermination()
     return len(done)
 
