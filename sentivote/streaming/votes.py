@@ -104,7 +104,7 @@ def running_tallies(
         # a sum over nothing is null, as in a batch
         shown = [int(v) if i < 2 or seen[i - 2] else None for i, v in enumerate(sums)]
         row = [*unit, opened, *had.tolist(), *shown]
-        yield pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in zip(columns, row)})
+        yield pd.DataFrame([row], columns=columns, dtype=object)
 
     return slim.groupBy(*group_key).applyInPandasWithState(update, out, state_type, "update", "ProcessingTimeTimeout")
 
