@@ -36,16 +36,15 @@ def _measures(calls: DataFrame) -> list[str]:
 
 
 def _slim(calls: DataFrame, key: Sequence[str], questions: Sequence[str], errors_as_no: bool) -> DataFrame:
-    """Key and numbers only: the place of the call's question (null if it isn't listed), what it counts for."""
+    """Key and a few numbers only: the place of the call's question (behind the last if it isn't listed) with what it counts for in one."""
     place = F.lit(None).cast("int")
     for i, q in enumerate(questions):
         place = F.when(F.col("question_key") == q, i).otherwise(place)
     one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
     valid = F.lit(True) if errors_as_no else is_valid()
-    named: dict[str, Column] = {
-        "_place": F.coalesce(place, F.lit(len(questions))),
-        "_valid": one(valid), "_yes": one(is_valid() & (F.col("answer") == "oui")), "_failed": one(~is_valid()),
-    }
+    yes = one(is_valid() & (F.col("answer") == "oui"))
+    place = F.coalesce(place, F.lit(len(questions))).cast("long")
+    named: dict[str, Column] = {"_counts_for": 8 * place + 4 * one(~is_valid()) + 2 * one(valid) + yes}
     made = {"cost_units": lambda: cost_units(), "duration_ticks": lambda: ticks(F.col("duration_s"), 4)}
     for m in _measures(calls):
         named["_" + m] = made[m]().cast("long")
@@ -65,8 +64,9 @@ def running_tallies(
     fields = sorted(fields, key=lambda f: list(key).index(f.name))
     numbers = ["n_calls", "n_errors", *measures]
     counters = [p + q for q in questions for p in (N, Y)]
+    packed = ("_counters", "_numbers")
     out = StructType([
-        *fields, StructField(EPISODE, LongType()), *[StructField(c, LongType()) for c in counters + numbers],
+        *fields, StructField(EPISODE, LongType()), *[StructField(c, ArrayType(LongType())) for c in packed],
     ])
     state_type = StructType([
         StructField("opened", LongType()), StructField("counters", ArrayType(LongType())),
@@ -89,24 +89,28 @@ def running_tallies(
             opened = state.getCurrentProcessingTimeMs()
             had, sums, seen = (np.zeros(n, dtype="int64") for n in (2 * places, 2 + len(measures), len(measures)))
         for batch in batches:
-            place = batch["_place"].to_numpy()
-            listed = place < places
-            np.add.at(had, 2 * place[listed], batch["_valid"].to_numpy()[listed])
-            np.add.at(had, 2 * place[listed] + 1, batch["_yes"].to_numpy()[listed])
-            sums[0] += len(batch)
-            sums[1] += int(batch["_failed"].sum())
+            code = batch["_counts_for"].to_numpy()
+            listed = code[code < 8 * places]
+            had[0::2] += np.bincount(listed[listed & 2 > 0] >> 3, minlength=places)
+            had[1::2] += np.bincount(listed[listed & 1 > 0] >> 3, minlength=places)
+            sums[0] += len(code)
+            sums[1] += np.count_nonzero(code & 4)
             for i, m in enumerate(measures):
-                known = batch["_" + m].dropna()
-                sums[2 + i] += int(known.sum())
+                known = batch["_" + m].to_numpy()
+                if known.dtype.kind != "i":  # nulls among them
+                    known = batch["_" + m].dropna().to_numpy().astype("int64")
+                sums[2 + i] += known.sum()
                 seen[i] += len(known)
         state.update((opened, had.tolist(), sums.tolist(), seen.tolist()))
         state.setTimeoutDuration(idle_ms)
         # a sum over nothing is null, as in a batch
         shown = [int(v) if i < 2 or seen[i - 2] else None for i, v in enumerate(sums)]
-        row = [*unit, opened, *had.tolist(), *shown]
+        row = [*unit, opened, had.tolist(), shown]
         yield pd.DataFrame([row], columns=columns, dtype=object)
 
-    return slim.groupBy(*group_key).applyInPandasWithState(update, out, state_type, "update", "ProcessingTimeTimeout")
+    running = slim.groupBy(*group_key).applyInPandasWithState(update, out, state_type, "update", "ProcessingTimeTimeout")
+    unpacked = [F.col(a)[i].alias(c) for a, cs in zip(packed, (counters, numbers)) for i, c in enumerate(cs)]
+    return running.select(*group_key, EPISODE, *unpacked)
 
 
 def follow(
