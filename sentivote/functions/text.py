@@ -7,6 +7,8 @@ Java's ``\\s`` is ASCII only) and ``.`` stops at ``\\n`` only (``(?d)``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 WS_RANGES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{WS_RANGES}]"
 NOT_WS = f"[^{WS_RANGES}]"
+#: What is no blank and lies in no range free of white space; these ranges hold nearly all letters and marks.
+NOT_PLAIN = r"[^ -~\xa1-\u167f\u200b-\u2027\u3001-\uffff]"
 WS_IN_LINE = rf"[{WS_RANGES}&&[^\n]]"
 _WS_CHARS = "".join(
     chr(c)
@@ -29,24 +33,24 @@ NOISE = (
 RULE_LINE = rf"^[-=_*]{{3,}}{WS}*$"
 IMAGE = r"(?d)!\[.*?\]\(.*?\)"
 
-# Fixed values, applied in this order by ``clean_markup``.
+# Fixed values, applied in this order by ``clean_markup``.  Last come the marks of which any match holds one.
 MARKUP_REWRITES = [
-    (r'(?diu)<span' + WS + r'+id="[^"]*"[^>]*>.*?</span>', ""),
-    (r"<[^>]+>", ""),
-    (r"&[a-z]+;|&#\p{Nd}+;", " "),
-    (IMAGE, ""),
-    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-    (r"(?d)\*{1,3}(.+?)\*{1,3}", "$1"),
-    (r"(?d)`(.+?)`", "$1"),
-    (r"(?d)\\(.)", "$1"),
-    (r"[ \t]{2,}", " "),
+    (r'(?diu)<span' + WS + r'+id="[^"]*"[^>]*>.*?</span>', "", ["<"]),
+    (r"<[^>]+>", "", ["<"]),
+    (r"&[a-z]+;|&#\p{Nd}+;", " ", ["&"]),
+    (IMAGE, "", ["!["]),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1", ["]("]),
+    (r"(?d)\*{1,3}(.+?)\*{1,3}", "$1", ["*"]),
+    (r"(?d)`(.+?)`", "$1", ["`"]),
+    (r"(?d)\\(.)", "$1", ["\\"]),
+    (r"[ \t]{2,}", " ", ["  ", "\t"]),
 ]
 # Fixed values, applied in this order by ``clean_inline``.
 INLINE_REWRITES = [
-    (rf"https?://{NOT_WS}+", ""),
-    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-    (r"[*_]{1,2}([^*_]+)[*_]{1,2}", "$1"),
-    (r"`[^`]+`", ""),
+    (rf"https?://{NOT_WS}+", "", ["http"]),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1", ["]("]),
+    (r"[*_]{1,2}([^*_]+)[*_]{1,2}", "$1", ["*", "_"]),
+    (r"`[^`]+`", "", ["`"]),
 ]
 
 
@@ -61,13 +65,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(_WS_CHARS))
+    """Trimming by a set of characters lists every position of a text, so it is left to texts with white space at an end."""
+    ends = F.lit(_WS_CHARS)
+    at_end = lambda s: F.contains(ends, F.substring(s, 1, 1)) | F.contains(ends, F.substring(s, -1, 1))
+    return let(c, lambda s: F.when(at_end(s), F.btrim(s, ends)).otherwise(s))
 
 
-def rewrite(c: Column, rules: list[tuple[str, str]]) -> Column:
-    for pattern, replacement in rules:
-        c = F.regexp_replace(c, pattern, replacement)
-    return c
+def _holds(c: Column, marks: list[str]) -> Column:
+    return reduce(or_, [c.contains(m) for m in marks])
+
+
+def rewrite(c: Column, rules: list[tuple[str, str, list[str]]]) -> Column:
+    """The rules in order.  Looking for a mark is much cheaper than a pattern that finds nothing; most lines hold no mark at all."""
+
+    def by(pattern: str, replacement: str, marks: list[str]) -> Callable[[Column], Column]:
+        return lambda s: F.when(_holds(s, marks), F.regexp_replace(s, pattern, replacement)).otherwise(s)
+
+    def all_rules(s: Column) -> Column:
+        for rule in rules:
+            s = let(s, by(*rule))
+        return s
+
+    marks = dict.fromkeys(m for rule in rules for m in rule[2])
+    return let(c, lambda s: F.when(_holds(s, list(marks)), all_rules(s)).otherwise(s))
 
 
 def clean_markup(line: Column, protect_bullets: bool = False) -> Column:
@@ -85,22 +105,34 @@ def clean_inline(line: Column) -> Column:
     return strip(rewrite(line, INLINE_REWRITES))
 
 
+def first_char(c: Column) -> Column:
+    return F.substring(c, 1, 1)
+
+
 def is_rule_line(stripped: Column) -> Column:
-    return stripped.rlike(RULE_LINE)
+    return F.contains(F.lit("-=_*"), first_char(stripped)) & stripped.rlike(RULE_LINE)
+
+
+def is_url_only(stripped: Column) -> Column:
+    return (stripped.startswith("http") | stripped.startswith("www.")) & stripped.rlike(URL_ONLY)
 
 
 def is_image_only(stripped: Column) -> Column:
-    return (stripped != "") & (strip(F.regexp_replace(stripped, IMAGE, "")) == "")
+    """A text that begins with anything but an image is not only images."""
+    return (stripped != "") & stripped.startswith("![") & (strip(F.regexp_replace(stripped, IMAGE, "")) == "")
 
 
 def is_noise(text: Column) -> Column:
-    s = strip(text)
-    return (s == "") | s.rlike(NOISE)
+    """Only an address begins with a letter and is noise."""
+    letter = lambda c: c.between("a", "z") | c.between("A", "Z")
+    prose = lambda s: letter(first_char(s)) & ~s.startswith("http") & ~s.startswith("www.")
+    return let(strip(text), lambda s: (s == "") | (~prose(s) & s.rlike(NOISE)))
 
 
 def fingerprint(text: Column) -> Column:
     """md5 of the lower-cased text with whitespace runs squeezed."""
-    return F.md5(F.regexp_replace(strip(F.lower(text)), f"{WS}+", " "))
+    squeezed = lambda s: F.when(s.contains("  ") | s.rlike(NOT_PLAIN), F.regexp_replace(s, f"{WS}+", " ")).otherwise(s)
+    return F.md5(let(strip(F.lower(text)), squeezed))
 
 
 def newline_count(text: Column) -> Column:

@@ -67,13 +67,20 @@ def _without_table_separators(lines: Column) -> Column:
     """
     letter = lambda s: (
         F.when(s.startswith("```"), "f").when(s.startswith("|"), "t")
-        .when((s != "") & s.rlike(SEPARATOR_LIKE), "s").otherwise("o")
+        .when((s.startswith("-") | s.startswith(":")) & s.rlike(SEPARATOR_LIKE), "s").otherwise("o")
     )
-    letters = F.array_join(F.transform(lines, letter), "")
-    marked = F.regexp_replace(letters, r"((?:t|(?!^)\G)f*)s", "$1x")
-    paired = F.zip_with(lines, F.split(marked, ""), lambda s, k: F.struct(s.alias("s"), k.alias("k")))
-    kept = F.filter(paired, lambda p: p["s"].isNotNull() & (p["k"] != "x"))
-    return F.transform(kept, lambda p: p["s"])
+
+    def without(lines: Column, letters: Column) -> Column:
+        marked = F.regexp_replace(letters, r"((?:t|(?!^)\G)f*)s", "$1x")
+        paired = F.zip_with(lines, F.split(marked, ""), lambda s, k: F.struct(s.alias("s"), k.alias("k")))
+        kept = F.filter(paired, lambda p: p["s"].isNotNull() & (p["k"] != "x"))
+        return F.transform(kept, lambda p: p["s"])
+
+    def read(lines: Column) -> Column:
+        letters = F.array_join(F.transform(lines, letter), "")
+        return T.let(letters, lambda k: F.when(k.contains("s"), without(lines, k)).otherwise(lines))
+
+    return T.let(lines, read)
 
 
 def _write_line(s: Column) -> Column:
@@ -89,11 +96,13 @@ def _write_line(s: Column) -> Column:
     item = F.when(s.rlike(BULLET), F.regexp_extract(s, BULLET, 1)).otherwise(F.regexp_extract(s, NUMBERED, 1))
     bullet = marked(F.lit(BULLET_MARK), item)
     plain = T.let(T.clean_inline(s), lambda c: F.when(c == "", "").otherwise(F.concat(c, F.lit(" "))))
+    is_bullet = F.contains(F.lit("-*+"), T.first_char(s)) & s.rlike(BULLET)
+    is_numbered = ~T.first_char(s).between("A", "z") & s.rlike(NUMBERED)
     return (
         F.when(s.startswith("```") | s.startswith("|") | (s == ""), "\n")
-        .when(s.startswith("![") | s.rlike(T.URL_ONLY), "")
-        .when(s.rlike(HEADING), heading)
-        .when(s.rlike(BULLET) | s.rlike(NUMBERED), bullet)
+        .when(s.startswith("![") | T.is_url_only(s), "")
+        .when(s.startswith("#") & s.rlike(HEADING), heading)
+        .when(is_bullet | is_numbered, bullet)
         .otherwise(plain)
     )
 
@@ -295,9 +304,9 @@ def _first_of_each(items: Column) -> Column:
     )
 
 
-def phrase_array(sections: Column) -> Column:
-    """Distinct phrases of a document in order of first appearance, titles included."""
-    listed = F.flatten(
+def _listed(sections: Column) -> Column:
+    """Titles and phrases in order."""
+    return F.flatten(
         F.transform(
             sections,
             lambda s: F.when(s["title"].isNull(), s["phrases"]).otherwise(
@@ -305,8 +314,12 @@ def phrase_array(sections: Column) -> Column:
             ),
         )
     )
+
+
+def phrase_array(sections: Column) -> Column:
+    """Distinct phrases of a document in order of first appearance, titles included."""
     keyed = F.transform(
-        listed, lambda p, i: F.struct(T.fingerprint(p).alias("fp"), i.alias("pos"), p.alias("phrase"))
+        _listed(sections), lambda p, i: F.struct(T.fingerprint(p).alias("fp"), i.alias("pos"), p.alias("phrase"))
     )
     by_position = F.transform(_first_of_each(keyed), lambda e: F.struct(e["pos"], e["phrase"]))
     return F.transform(F.sort_array(by_position), lambda e: e["phrase"])
@@ -407,15 +420,12 @@ def paragraph_phrases(paragraphs_df: DataFrame) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, splitter: SentenceSplitter = rule_pieces) -> DataFrame:
-    """Distinct fingerprints over titles and phrases of each document's paragraphs."""
+    """Distinct fingerprints over titles and phrases of each document's paragraphs.
+
+    The first title or phrase of a fingerprint always makes it into a paragraph, so those of the sections are the same.
+    """
     keys = document_keys(docs)
-    found = paragraph_array(section_array(F.col("text"), splitter))
-    titles = lambda ps: F.filter(F.transform(ps, lambda p: p["section_title"]), lambda t: T.strip(t) != "")
-    texts = lambda ps: F.flatten(F.transform(ps, lambda p: F.transform(p["phrases"], lambda x: x["phrase"])))
-    distinct = T.let(
-        found,
-        lambda ps: F.size(F.array_distinct(F.transform(F.concat(titles(ps), texts(ps)), T.fingerprint))),
-    )
+    distinct = F.size(F.array_distinct(F.transform(_listed(section_array(F.col("text"), splitter)), T.fingerprint)))
     return docs.select(*keys, distinct.alias("n_phrases"))
 
 
