@@ -43,26 +43,27 @@ def bare(token: Column) -> Column:
 
 def word_type(core: Column) -> Column:
     """A word in lower case without its last period; all numbers are one."""
-    return F.when(core.rlike(NUMERIC), NUMBER).otherwise(F.lower(F.regexp_replace(core, r"\.$", "")))
+    number = F.substring(core, 1, 1).between("0", "9") & core.rlike(NUMERIC)
+    return F.when(number, NUMBER).otherwise(F.lower(F.regexp_replace(core, r"\.$", "")))
 
 
 def word_counts(blocks: DataFrame, text_col: str = "text") -> DataFrame:
     """type, dot, follower, n: words of all blocks with and without a period, and the word behind a period.
 
-    The follower is null behind words without a period, and at the end of a block.
+    The follower is null behind words without a period, and at the end of a block.  Words are counted as they
+    are written first, so that only different ones are looked into.
     """
     tokens = F.filter(F.split(T.strip(F.col(text_col)), f"{T.WS}+"), lambda t: t != "")
 
-    def read(cores: Column) -> Column:
-        def word(core: Column, i: Column) -> Column:
-            dot = core.endswith(".")
-            behind = F.nullif(word_type(F.get(cores, i + 1)), F.lit(""))
-            return F.struct(word_type(core).alias("type"), dot.alias("dot"), F.when(dot, behind).alias("follower"))
+    def read(found: Column) -> Column:
+        behind = lambda t, i: F.when(t.contains("."), F.get(found, i + 1))
+        return F.transform(found, lambda t, i: F.struct(t.alias("token"), behind(t, i).alias("next")))
 
-        return F.transform(cores, word)
-
-    words = blocks.select(F.inline(T.let(F.transform(tokens, bare), read)))
-    return words.where("type <> ''").groupBy("type", "dot", "follower").agg(F.count(F.lit(1)).alias("n"))
+    written = blocks.select(F.inline(T.let(tokens, read))).groupBy("token", "next").agg(F.count(F.lit(1)).alias("n"))
+    core = bare(F.col("token"))
+    follower = F.when(core.endswith("."), F.nullif(word_type(bare(F.col("next"))), F.lit("")))
+    words = written.select(word_type(core).alias("type"), core.endswith(".").alias("dot"), follower.alias("follower"), "n")
+    return words.where("type <> ''").groupBy("type", "dot", "follower").agg(F.sum("n").alias("n"))
 
 
 def log_likelihood(k: Column, n: Column, p: Column) -> Column:
