@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from sentivote import vocab
@@ -146,6 +148,8 @@ def judge_prompt(template: str, questions: Sequence[str] = tuple(vocab.QUESTION_
 
 RAW_SCHEMA = "raw string, tok_in int, tok_out int, duration_s double, erreur string"
 Ask = Callable[[pd.DataFrame], pd.DataFrame]
+#: Calls that a provider gets at once.
+PER_ASK = 500
 
 
 def ask_external(calls: DataFrame, ask: Callable[[], Ask], keep: Sequence[str] | None = None) -> DataFrame:
@@ -158,13 +162,16 @@ def ask_external(calls: DataFrame, ask: Callable[[], Ask], keep: Sequence[str] |
     raises, its calls are asked one by one, and those that raise again become
     error rows.  A reply with other columns or another number of rows is a
     fault of the provider and fails the job.  Write the result to a table
-    before using it twice, or the calls are asked twice.
+    before using it twice, or the calls are asked twice.  Spark's batches are handed
+    on in parts of ``PER_ASK`` calls, so that few prompts are Python objects at one time.
     """
     replies = StructType.fromDDL(RAW_SCHEMA)
     names = replies.names
     kept = calls.columns if keep is None else list(keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(replies)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = ask()
 
         def asked(batch: pd.DataFrame) -> pd.DataFrame:
@@ -179,9 +186,12 @@ def ask_external(calls: DataFrame, ask: Callable[[], Ask], keep: Sequence[str] |
             return found[names]
 
         for batch in batches:
-            yield pd.concat([batch[kept].reset_index(drop=True), asked(batch).reset_index(drop=True)], axis=1)
+            for at in range(0, batch.num_rows, PER_ASK):
+                part = batch.slice(at, PER_ASK)
+                found = pa.RecordBatch.from_pandas(asked(part.to_pandas()), schema=schema, preserve_index=False)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *found.columns], names=[*kept, *names])
 
-    return calls.mapInPandas(run, StructType([calls.schema[c] for c in kept] + replies.fields))
+    return calls.mapInArrow(run, StructType([calls.schema[c] for c in kept] + replies.fields))
 
 
 def answer_from_recorded(calls: DataFrame, responses: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -193,6 +203,23 @@ def answer_from_recorded(calls: DataFrame, responses: DataFrame, on: Sequence[st
     )
 
 
+def answers_from_recorded(calls: DataFrame, responses: DataFrame, on: Sequence[str], strict: bool = False) -> DataFrame:
+    """``read_answers`` over ``answer_from_recorded`` without ``raw``.
+
+    A reply that many calls share is read once, and its text isn't moved to them.
+    """
+    empty = F.when(F.col("raw").isNull(), parse.EMPTY)
+    answers = read_answers(responses.withColumn("erreur", F.coalesce("erreur", empty)), strict)
+    read = answers.select(*on, "answer", "tok_in", "tok_out", "erreur", F.lit(True).alias("_found"))
+    joined = calls.join(read, list(on), "left")
+    return joined.withColumns(
+        {
+            "answer": F.coalesce("answer", F.lit("non")),
+            "erreur": F.when(F.col("_found").isNull(), parse.EMPTY).otherwise(F.col("erreur")),
+        }
+    ).fillna(0, ["tok_in", "tok_out"]).drop("_found")
+
+
 def answer_by_rules(calls: DataFrame, patterns: Mapping[str, str], text: str = "phrase") -> DataFrame:
     """Answer with one regular expression per question, no model involved."""
     hit = F.lit(False)

@@ -346,7 +346,7 @@ def call_queries() -> dict[str, Query]:
 
     def external(s: SparkSession, d: str) -> DataFrame:
         asked = calls.with_prompts(calls.call_plan(fx.unit_texts(s, d)), calls.phrase_prompt(), "oui ou non").drop("phrase")
-        replied = calls.read_answers(calls.ask_external(asked, ask))
+        replied = calls.read_answers(calls.ask_external(asked, ask, keep=[*vocab.PHRASE_KEY, "question_key", "model"]))
         return replied.select(*vocab.PHRASE_KEY, "question_key", "model", "answer", "tok_in", "tok_out")
 
     def answers_once(s: SparkSession, d: str) -> DataFrame:
@@ -363,7 +363,7 @@ def call_queries() -> dict[str, Query]:
             F.lit(10).alias("tok_in"), F.lit(2).alias("tok_out"), F.lit(None).cast("string").alias("erreur"),
         )
         asked = calls.call_plan(fx.units(s, d))
-        answered = calls.read_answers(calls.answer_from_recorded(asked, replies, ["phrase_index", "question_key"]))
+        answered = calls.answers_from_recorded(asked, replies, ["phrase_index", "question_key"])
         return answered.select(
             *vocab.PHRASE_KEY, "question_key", "model", "answer", "tok_in", F.col("erreur").isNotNull().alias("failed")
         )
