@@ -11,7 +11,7 @@ from sentivote import vocab
 from sentivote.functions import text as T
 from sentivote.operators import ballots as B
 from sentivote.functions import language, parse
-from sentivote.operators.answer_store import AnswerStore, ask_once
+from sentivote.operators.answer_store import AnswerStore, ask_units_once
 from sentivote.operators import blocks as blocked
 from sentivote.operators.call_table import CallTable
 from sentivote.operators import boundaries, calls, clean, docstruct, ensemble, judge, report, segment, sensitivity, subset_sums, vote
@@ -352,9 +352,10 @@ def call_queries() -> dict[str, Query]:
     def answers_once(s: SparkSession, d: str) -> DataFrame:
         """The calls of some files, then those of all: prompts that were asked before aren't asked again."""
         store = AnswerStore(shared_path(s, "answers"))
-        asked = calls.with_prompts(calls.call_plan(fx.unit_texts(s, d)), calls.phrase_prompt(), "oui ou non").drop("phrase")
-        ask_once(asked.where(F.col("source_file").startswith("src1")), store, ask)
-        replied = calls.read_answers(ask_once(asked, store, ask))
+        units = fx.unit_texts(s, d)
+        once = lambda some: ask_units_once(some, calls.phrase_prompt(), "oui ou non", store, ask)
+        once(units.where(F.col("source_file").startswith("src1")))
+        replied = calls.read_answers(once(units))
         return replied.select(*vocab.PHRASE_KEY, "question_key", "model", "answer", "tok_in", "tok_out", "reused")
 
     def recorded(s: SparkSession, d: str) -> DataFrame:

@@ -89,3 +89,28 @@ def test_a_provider_gets_parts_of_a_batch(spark):
     rows = calls.with_prompts(spark.range(0, 1200, 1, 1), F.col("id").cast("string")).withColumn("model", F.lit("m"))
     got = calls.ask_external(rows, ask, keep=["id"]).collect()
     assert sorted(r["id"] for r in got) == list(range(1200)) and max(int(r["raw"]) for r in got) <= calls.PER_ASK
+
+
+def test_texts_are_not_moved_with_each_call(spark):
+    from sentivote.operators.answer_store import AnswerStore, ask_once, ask_units_once
+    from sentivote.session import shared_path
+
+    def ask():
+        def answer(batch):
+            out = batch[[]].copy()
+            out["raw"], out["tok_in"], out["tok_out"], out["duration_s"], out["erreur"] = batch["prompt"] + batch["model"], 1, 1, 0.0, None
+            return out
+
+        return answer
+
+    units = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a", None, "", "c"])], "id int, phrase string")
+    prompt = F.concat(F.lit("p "), F.coalesce(F.upper("phrase"), F.lit("A")), "question_key")
+    args = {"questions": ["q", "r"], "models": ["m", "n"]}
+    plain, store = AnswerStore(shared_path(spark, "answers")), AnswerStore(shared_path(spark, "answers"))
+    for some in (units.where("id < 2"), units):
+        got = ask_units_once(some, prompt, "s", store, ask, **args)
+        want = ask_once(calls.with_prompts(calls.call_plan(some, ["q", "r"], ["m", "n"]), prompt, "s"), plain, ask).select(*got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # texts of one prompt are asked once
+    assert store.replies(spark).count() == spark.read.parquet(store.path).count() == plain.replies(spark).count() == 16
+    assert not {"phrase", "prompt", "system"} & set(got.columns)
