@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +99,46 @@ def code_points(text: memoryview) -> int:
     return int(np.count_nonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
 
 
+Turned = tuple[int, str, int | None, int | None, bytes | bytearray]
+
+
+def turner(sentinels: Sequence[str], seed: int, rate: int, suffix_first: int) -> Callable[[int | None, bytes], Turned]:
+    """A function from a row's number and text to n, form, prefix_chars, middle_chars and output."""
+    if len(set(sentinels)) != 3 or not all(re.fullmatch(r"<[^<>\n]+>", s) for s in sentinels):
+        raise ValueError("sentinels are three different marks in angle brackets")
+    marks = [s.encode() for s in sentinels]
+    held = re.compile(b"|".join(map(re.escape, marks)))
+
+    def one(key: int | None, text: bytes) -> Turned:
+        ends = line_ends(text)
+        if key is not None and text and not held.search(text):
+            first, second, turned, form = draws(seed, key)
+            if turned % 100 < rate:
+                units = sorted((first % (len(ends) + 1), second % (len(ends) + 1)))
+                cuts = tuple(int(ends[u - 1]) if u else 0 for u in units)
+                spm = form % 100 < suffix_first
+                view = memoryview(text)
+                return (
+                    len(ends), "spm" if spm else "psm", code_points(view[: cuts[0]]), code_points(view[cuts[0] : cuts[1]]),
+                    turn(text, cuts, spm, marks),
+                )
+        return len(ends), "plain", None, None, text
+
+    return one
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """id, its number and text, and the type of the id."""
+    key = column(docs, id_col)
+    rows = docs.select(key.alias("id"), key.cast("long").alias("number"), column(docs, text_col).cast("string").alias("text"))
+    return rows, rows.schema["id"].dataType.simpleString()
+
+
+def numbered_texts(batch: pa.RecordBatch) -> tuple[list[int | None], Iterator[bytes]]:
+    """Numbers and texts of a batch, a text at a time; a null text is an empty one."""
+    return batch.column("number").to_pylist(), (t.as_py() or b"" for t in batch.column("text").cast(pa.binary()))
+
+
 def transformed(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -118,37 +158,16 @@ def transformed(
     sentinel and one without an id, which has no draws.  Repeated rows are turned alike.
     Texts of any length are taken whole.  Other columns of ``docs`` play no part.
     """
-    if len(set(sentinels)) != 3 or not all(re.fullmatch(r"<[^<>\n]+>", s) for s in sentinels):
-        raise ValueError("sentinels are three different marks in angle brackets")
-    marks = [s.encode() for s in sentinels]
-    held = re.compile(b"|".join(map(re.escape, marks)))
-
-    def one(key: int | None, text: bytes) -> tuple[int, str, int | None, int | None, str]:
-        ends = line_ends(text)
-        if key is not None and text and not held.search(text):
-            first, second, turned, form = draws(seed, key)
-            if turned % 100 < rate:
-                units = sorted((first % (len(ends) + 1), second % (len(ends) + 1)))
-                cuts = tuple(int(ends[u - 1]) if u else 0 for u in units)
-                spm = form % 100 < suffix_first
-                view = memoryview(text)
-                return (
-                    len(ends), "spm" if spm else "psm", code_points(view[: cuts[0]]), code_points(view[cuts[0] : cuts[1]]),
-                    turn(text, cuts, spm, marks).decode(),
-                )
-        return len(ends), "plain", None, None, text.decode()
+    one = turner(sentinels, seed, rate, suffix_first)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                texts = batch.column("text").cast(pa.binary())
-                rows = [one(k, t.as_py() or b"") for k, t in zip(batch.column("number").to_pylist(), texts)]
+                rows = [(*found, output.decode()) for *found, output in map(one, *numbered_texts(batch))]
                 found = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *found], names=["id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
-    key = column(docs, id_col)
-    rows = docs.select(key.alias("id"), key.cast("long").alias("number"), column(docs, text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    rows, kind = keyed_texts(docs, id_col, text_col)
     out = rows.mapInArrow(work, f"id {kind}, n long, form string, prefix_chars long, middle_chars long, output string")
     return out.withColumnRenamed("id", id_col)
 
@@ -172,11 +191,35 @@ def restored(rows: DataFrame, form_col: str = "form", output_col: str = "output"
     return back(column(rows, form_col), column(rows, output_col))
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id, n, form, prefix_chars, middle_chars and the digests of output and of the text rebuilt from it."""
-    rows = transformed(docs, id_col, text_col, **options)
-    text = restored(rows, sentinels=options.get("sentinels", SENTINELS))
-    return rows.select(
-        column(rows, id_col), "n", "form", "prefix_chars", "middle_chars",
-        F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"),
-    )
+def digest(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sentinels: Sequence[str] = SENTINELS,
+    seed: int = SEED,
+    rate: int = RATE,
+    suffix_first: int = SUFFIX_FIRST,
+) -> DataFrame:
+    """id, n, form, prefix_chars, middle_chars and the digests of output and of the text rebuilt from it.
+
+    The rows of ``transformed``, each rebuilt as by ``restored`` where it was turned: texts go to Python once and none comes back.
+    """
+    one = turner(sentinels, seed, rate, suffix_first)
+    marks = [s.encode() for s in sentinels]
+    names, kinds = ["n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def summed(number: int | None, text: bytes) -> tuple:
+        *found, output = one(number, text)
+        back = output if found[1] == "plain" else unturn(output, found[1] == "spm", marks)
+        return (*found, hashlib.sha256(output).hexdigest(), hashlib.sha256(back).hexdigest())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows = list(map(summed, *numbered_texts(batch)))
+                found = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *found], names=["id", *names])
+
+    rows, kind = keyed_texts(docs, id_col, text_col)
+    out = rows.mapInArrow(work, f"id {kind}, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string")
+    return out.withColumnRenamed("id", id_col)
