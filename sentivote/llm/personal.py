@@ -186,6 +186,13 @@ def masked_text(text: str | None, machine: ahocorasick.Automaton) -> str | None:
     return "".join([*out, text[at:]]) if out else text
 
 
+def masked_parts(texts: pa.Array, machine: ahocorasick.Automaton) -> Iterator[pa.Array]:
+    """``texts`` masked, in parts of about ``MASKED_BYTES``: neither a worker nor its executor holds a whole batch of masked texts."""
+    step = max(1, len(texts) * MASKED_BYTES // max(texts.nbytes, 1))
+    for at in range(0, len(texts), step):
+        yield pa.array([masked_text(t, machine) for t in one_by_one(texts.slice(at, step))], pa.string())
+
+
 def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data of ``text_col`` masked and its length in ``length_col`` set anew, if there is such a column."""
 
@@ -193,9 +200,7 @@ def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     def mask(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = anchors()
         for texts in parts:
-            step = max(1, len(texts) * MASKED_BYTES // max(texts.nbytes, 1))
-            some = [pa.array([masked_text(t, machine) for t in one_by_one(texts.slice(at, step))], pa.string()) for at in range(0, len(texts), step)]
-            yield pa.concat_arrays(some) if some else texts
+            yield from masked_parts(texts, machine)
 
     out = docs.withColumn(text_col, mask(column(docs, text_col).cast("string")))
     if length_col in docs.columns:
