@@ -65,10 +65,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trimming by a set of characters lists every position of a text, so it is left to texts with white space at an end."""
+    """Trimming by a set of characters lists every position of a text, so it is left to texts with white space at an end.
+
+    Even the place of a last character is found by walking the text, so first of all the outer bytes are looked at: a printed ASCII
+    character at both ends settles most texts.
+    """
     ends = F.lit(_WS_CHARS)
+    last = lambda s: F.substring(s.cast("binary"), -1, 1)
+    plain = lambda s: begins_between(s, "!", "~") & last(s).between(F.lit(b"!"), F.lit(b"~"))
     at_end = lambda s: F.contains(ends, F.substring(s, 1, 1)) | F.contains(ends, F.substring(s, -1, 1))
-    return let(c, lambda s: F.when(at_end(s), F.btrim(s, ends)).otherwise(s))
+    return let(c, lambda s: F.when(plain(s), s).when(at_end(s), F.btrim(s, ends)).otherwise(s))
 
 
 def _holds(c: Column, marks: list[str]) -> Column:
@@ -105,12 +111,13 @@ def clean_inline(line: Column) -> Column:
     return strip(rewrite(line, INLINE_REWRITES))
 
 
-def first_char(c: Column) -> Column:
-    return F.substring(c, 1, 1)
+def begins_between(c: Column, low: str, high: str) -> Column:
+    """Whether the first character is one of ASCII from ``low`` to ``high``; comparing texts stops at their first difference."""
+    return (c >= low) & (c < chr(ord(high) + 1))
 
 
 def is_rule_line(stripped: Column) -> Column:
-    return F.contains(F.lit("-=_*"), first_char(stripped)) & stripped.rlike(RULE_LINE)
+    return reduce(or_, [stripped.startswith(m) for m in "-=_*"]) & stripped.rlike(RULE_LINE)
 
 
 def is_url_only(stripped: Column) -> Column:
@@ -124,8 +131,8 @@ def is_image_only(stripped: Column) -> Column:
 
 def is_noise(text: Column) -> Column:
     """Only an address begins with a letter and is noise."""
-    letter = lambda c: c.between("a", "z") | c.between("A", "Z")
-    prose = lambda s: letter(first_char(s)) & ~s.startswith("http") & ~s.startswith("www.")
+    letter = lambda s: begins_between(s, "a", "z") | begins_between(s, "A", "Z")
+    prose = lambda s: letter(s) & ~s.startswith("http") & ~s.startswith("www.")
     return let(strip(text), lambda s: (s == "") | (~prose(s) & s.rlike(NOISE)))
 
 

@@ -96,8 +96,8 @@ def _write_line(s: Column) -> Column:
     item = F.when(s.rlike(BULLET), F.regexp_extract(s, BULLET, 1)).otherwise(F.regexp_extract(s, NUMBERED, 1))
     bullet = marked(F.lit(BULLET_MARK), item)
     plain = T.let(T.clean_inline(s), lambda c: F.when(c == "", "").otherwise(F.concat(c, F.lit(" "))))
-    is_bullet = F.contains(F.lit("-*+"), T.first_char(s)) & s.rlike(BULLET)
-    is_numbered = ~T.first_char(s).between("A", "z") & s.rlike(NUMBERED)
+    is_bullet = T.begins_between(s, "*", "-") & s.rlike(BULLET)
+    is_numbered = ~T.begins_between(s, "A", "z") & s.rlike(NUMBERED)
     return (
         F.when(s.startswith("```") | s.startswith("|") | (s == ""), "\n")
         .when(s.startswith("![") | T.is_url_only(s), "")

@@ -137,18 +137,19 @@ def hashed_answers(units_df: DataFrame, seed: Column, models: list[str] = ANSWER
         *keys,
         "call.model",
         "call.question_key",
-        F.md5(F.concat_ws("|", "_seed", "call.model", "call.question_key")).alias("_h"),
+        F.conv(F.substring(F.md5(F.concat_ws("|", "_seed", "call.model", "call.question_key")), 1, 8), 16, 10).cast("long").alias("_n"),
     )
-    h = F.col("_h")
-    failed = digits(h, 2, 2) < 6
+    # the first eight digits as one number: a digit is four of its bits
+    part = lambda shift, mask: F.shiftright("_n", shift).bitwiseAND(F.lit(mask))
+    failed = part(20, 255) < 6
     return hashed.select(
         *keys,
         "model",
         "question_key",
-        F.when(failed, "non").when(digit(h, 1) < 7, "oui").otherwise("non").alias("answer"),
-        F.when(failed, 0).otherwise(50 + digits(h, 4, 2)).cast("int").alias("tok_in"),
-        F.when(failed, 0).otherwise(4 + digit(h, 6)).cast("int").alias("tok_out"),
-        (digits(h, 7, 2) / 100.0).alias("duration_s"),
+        F.when(failed, "non").when(part(28, 15) < 7, "oui").otherwise("non").alias("answer"),
+        F.when(failed, 0).otherwise(50 + part(12, 255)).cast("int").alias("tok_in"),
+        F.when(failed, 0).otherwise(4 + part(8, 15)).cast("int").alias("tok_out"),
+        (part(0, 255) / 100.0).alias("duration_s"),
         F.when(failed, "timeout").alias("erreur"),
     )
 
