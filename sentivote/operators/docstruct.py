@@ -8,6 +8,8 @@ by document collects at most that document, since the result is one text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -278,66 +280,135 @@ def block_text(blocks: DataFrame, key: Sequence[str] = ("doc",)) -> DataFrame:
     return lines.groupBy(*key).agg(F.array_join(_ordered(F.col("text"), "ord"), "\n").alias("text"))
 
 
-def block_tables(blocks: DataFrame, key: Sequence[str] = ("doc",)) -> DataFrame:
+IN_ROW = 1000
+"""Documents of up to so many blocks of tables are looked up inside one row: its maps are read from end to end."""
+
+
+def block_tables(blocks: DataFrame, key: Sequence[str] = ("doc",), in_row: int = IN_ROW) -> DataFrame:
     """Table cells from the block graph: one row per grid position, holes empty.
 
+    Documents of at most ``in_row`` blocks are collected and follow their edges in the row; the edges of larger ones are
+    joined to the blocks, so no document has to fit into one group.  Blocks already dealt by ``key`` are not moved.
+    """
+    kind = F.col("block_type")
+    children = F.flatten(F.transform(F.filter("relationships", lambda r: r["type"] == "CHILD"), lambda r: r["ids"]))
+    block = F.struct(
+        kind.alias("kind"),
+        "id",
+        F.when(kind == "WORD", F.coalesce("text", F.lit(""))).alias("word"),
+        F.when(kind == "CELL", F.coalesce("row_index", F.lit(1))).alias("row"),
+        F.when(kind == "CELL", F.coalesce("column_index", F.lit(1))).alias("col"),
+        F.when(kind != "WORD", F.coalesce(children, F.array().cast("array<string>"))).alias("ids"),
+    )
+    known = reduce(and_, [F.col(k).isNotNull() for k in key])
+    used = blocks.filter(kind.isin("TABLE", "CELL", "WORD") & known)
+    large = F.broadcast(used.groupBy(*key).count().filter(F.col("count") > in_row).select(*key))
+    used = used.select(*key, block.alias("_block"))
+    small = _cells_in_row(used.join(large, list(key), "left_anti"), key)
+    joined = _cells_by_join(used.join(large, list(key), "left_semi").select(*key, "_block.*"), key)
+    return _grid(small.unionByName(joined), key)
+
+
+def _said(words: Column) -> Column:
+    return strip(F.array_join(words, " "))
+
+
+def _cells_in_row(blocks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The cells of each table in order, found in the collected blocks of its document."""
+    of = lambda kind: F.filter("_blocks", lambda b: b["kind"] == kind)
+    named = lambda kind: F.filter(of(kind), lambda b: b["id"].isNotNull())
+    ids = lambda listed: F.transform(listed, lambda b: b["id"])
+    by_id = lambda listed, value: F.map_from_arrays(ids(listed), F.transform(listed, value))
+    same = lambda listed, i: F.filter(listed, lambda b: b["id"] == i)
+    spot = lambda c, pos, value: F.struct(c["row"].alias("row"), c["col"].alias("col"), pos.alias("_pos"), value.alias("value"))
+
+    docs = blocks.groupBy(*key).agg(F.collect_list("_block").alias("_blocks")).select(
+        *key, of("TABLE").alias("tables"), named("CELL").alias("cells"), named("WORD").alias("words")
+    )
+    once = reduce(and_, [F.size(F.array_distinct(ids(c))) == F.size(c) for c in ("cells", "words")])
+
+    def cells_of(word_of: Column) -> Column:
+        value = lambda c: _said(F.transform(c["ids"], lambda i: F.try_element_at(word_of, i)))
+        return by_id("cells", lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), value(c).alias("value")))
+
+    docs = docs.select("*", F.when(once, let(by_id("words", lambda w: w["word"]), cells_of)).alias("cell_of"))
+
+    def spots(children: Column) -> Column:
+        return F.transform(children, lambda i, pos: let(
+            F.try_element_at("cell_of", i), lambda c: F.when(c.isNotNull(), spot(c, pos, c["value"]))))
+
+    def spots_of_repeated(children: Column) -> Column:
+        """The same if ids are repeated: an id stands for all its blocks, a cell says the words of all of them."""
+        words = lambda c: F.flatten(F.transform(c["ids"], lambda i, pos: F.transform(
+            same("words", i), lambda w: F.struct(pos.alias("_pos"), w["word"].alias("word")))))
+        value = lambda found: _said(F.transform(F.sort_array(F.flatten(F.transform(found, words))), lambda w: w["word"]))
+        return F.flatten(F.transform(children, lambda i, pos: let(same("cells", i), lambda found: let(
+            value(found), lambda v: F.transform(found, lambda c: spot(c, pos, v))))))
+
+    def listed(i: Column) -> Column:
+        """The cells of all tables with this id."""
+        found = F.transform(
+            F.filter("tables", lambda t: t["id"].eqNullSafe(i)),
+            lambda t: F.when(F.col("cell_of").isNotNull(), spots(t["ids"])).otherwise(spots_of_repeated(t["ids"])),
+        )
+        return F.sort_array(F.filter(F.flatten(found), lambda c: c.isNotNull()))
+
+    tables = F.transform(F.array_distinct(ids("tables")), lambda i: F.struct(i.alias("table_id"), listed(i).alias("_cells")))
+    return docs.select(*key, F.inline(tables)).filter(F.size("_cells") > 0)
+
+
+def _cells_by_join(blocks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The same by joins.
+
     Both edges, table to cell and cell to word, go through one join on the
     block id and meet again in one grouping by cell.
     """
-    children = F.flatten(F.transform(F.filter("relationships", lambda r: r["type"] == "CHILD"), lambda r: r["ids"]))
-    edges = blocks.filter(F.col("block_type").isin("TABLE", "CELL")).select(
-        *key, F.col("id").alias("parent"), (F.col("block_type") == "TABLE").alias("from_table"),
-        F.posexplode(children).alias("_pos", "id"),
+    edges = blocks.filter(F.col("kind") != "WORD").select(
+        *key, F.col("id").alias("parent"), (F.col("kind") == "TABLE").alias("from_table"), F.posexplode("ids").alias("_pos", "id")
     )
-    ends = blocks.filter(F.col("block_type").isin("CELL", "WORD")).select(
-        *key, "id", (F.col("block_type") == "CELL").alias("from_table"), "text", "row_index", "column_index"
+    ends = blocks.filter(F.col("kind") != "TABLE").select(
+        *key, "id", (F.col("kind") == "CELL").alias("from_table"), "word", "row", "col"
     )
     # A table's children must be cells, a cell's children words.
     pairs = edges.join(ends, [*key, "id", "from_table"])
     in_table = F.col("from_table")
-    spot = F.struct(
-        F.col("parent").alias("table_id"), "_pos",
-        F.coalesce("row_index", F.lit(1)).alias("row"), F.coalesce("column_index", F.lit(1)).alias("col"),
-    )
-    word = F.struct("_pos", F.coalesce("text", F.lit("")).alias("word"))
+    spot = F.struct(F.col("parent").alias("table_id"), "_pos", "row", "col")
     by_cell = pairs.groupBy(*key, F.when(in_table, F.col("id")).otherwise(F.col("parent")).alias("cell_id")).agg(
         F.collect_list(F.when(in_table, spot)).alias("spots"),
-        F.sort_array(F.collect_list(F.when(~in_table, word))).alias("words"),
+        F.sort_array(F.collect_list(F.when(~in_table, F.struct("_pos", "word")))).alias("words"),
     )
-    said = strip(F.array_join(F.transform("words", lambda w: w["word"]), " "))
+    said = _said(F.transform("words", lambda w: w["word"]))
     filled = by_cell.select(*key, said.alias("value"), F.inline("spots"))
     # A table's cells are listed in its own block, so they also fit into one row here.
-    tables = filled.groupBy(*key, "table_id").agg(
-        F.max("row").alias("_rows"),
-        F.max("col").alias("_cols"),
-        F.sort_array(F.collect_list(F.struct("row", "col", "_pos", "value"))).alias("_cells"),
+    return filled.groupBy(*key, "table_id").agg(
+        F.sort_array(F.collect_list(F.struct("row", "col", "_pos", "value"))).alias("_cells")
     )
-    cols = F.col("_cols")
-    place = lambda c: (c["row"] - 1) * cols + c["col"] - 1
-
-    def last_at_place(cells: Column) -> Column:
-        """Of two cells at one position the later one counts."""
-        return F.filter(cells, lambda c, i: F.coalesce(place(F.get(cells, i + 1)) != place(c), F.lit(True)))
 
-    def with_holes(cells: Column) -> Column:
-        """Each cell followed by the empty positions up to the next cell."""
-        hole = lambda p: F.struct(
-            F.floor(p / cols + 1).cast("int").alias("row"), (p % cols + 1).cast("int").alias("col"), F.lit("").alias("value")
-        )
-        holes = lambda start, end: F.when(
-            end > start, F.transform(F.sequence(start, end - 1), hole)
-        ).otherwise(F.array().cast("array<struct<row:int,col:int,value:string>>"))
 
-        def fill(c: Column, i: Column) -> Column:
-            here = F.array(F.struct(c["row"].alias("row"), c["col"].alias("col"), c["value"].alias("value")))
-            following = F.coalesce(place(F.get(cells, i + 1)), F.col("_rows") * cols)
-            leading = F.when(i == 0, holes(F.lit(0), place(c))).otherwise(holes(F.lit(1), F.lit(0)))
-            return F.concat(leading, here, holes(place(c) + 1, following))
-
-        return F.flatten(F.transform(cells, fill))
+def _grid(tables: DataFrame, key: Sequence[str]) -> DataFrame:
+    """All positions of each table; of two cells at one position the later one counts."""
+    largest = lambda field: F.array_max(F.transform("_cells", lambda c: c[field]))
+    sized = tables.withColumns({"_rows": largest("row"), "_cols": largest("col")})
+    cols = F.col("_cols")
+    place = lambda c: (c["row"] - 1) * cols + c["col"] - 1
 
-    grid = let(last_at_place(F.col("_cells")), with_holes)
-    return tables.select(*key, "table_id", F.inline(grid))
+    def span(c: Column, i: Column) -> Column:
+        """A cell with the positions from its own, the first from the table's start, up to the next cell."""
+        following = F.coalesce(place(F.get("_cells", i + 1)), F.col("_rows") * cols)
+        start = F.when(i == 0, F.least(F.lit(0), place(c))).otherwise(place(c))
+        end = F.when(following == place(c), place(c) - 1).otherwise(F.greatest(following - 1, place(c)))
+        return F.struct(c.alias("cell"), place(c).alias("place"), start.alias("start"), end.alias("end"))
+
+    spans = sized.select(*key, "table_id", "_cols", F.inline(F.transform("_cells", span)))
+    each = spans.select("*", F.explode(F.when(F.col("end") >= F.col("start"), F.sequence("start", "end"))).alias("_at"))
+    at, own = F.col("_at"), F.col("_at") == F.col("place")
+    return each.select(
+        *key,
+        "table_id",
+        F.when(own, F.col("cell.row")).otherwise((F.floor(at / cols) + 1).cast("int")).alias("row"),
+        F.when(own, F.col("cell.col")).otherwise((at % cols + 1).cast("int")).alias("col"),
+        F.when(own, F.col("cell.value")).otherwise("").alias("value"),
+    )
 
 
 # --- extraction runs ---------------------------------------------------------------------

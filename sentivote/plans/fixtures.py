@@ -352,31 +352,35 @@ def docs_with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OCR block graph from orders: a table per order, a cell per line item, counted anew inside the order."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("l_linenumber"), "l_partkey")
+    """OCR block graph from orders: a table per order, a cell per line item, counted anew inside the order.
+
+    Line items are dealt and read once, an order's last one also brings its table; the blocks stay dealt by order.
+    They are many times larger than their line items, so the parts stay as many as set and aren't merged by size.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    kinds = lambda letters: F.array(*[F.lit(k) for k in letters])
+    kind, n = F.col("kind"), F.col("n")
+    dealt = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(parts, "l_orderkey")
+    items = dealt.select(
+        "l_orderkey", "l_partkey", F.row_number().over(in_order).alias("n"), F.lead(F.lit(False), 1, True).over(in_order).alias("last")
+    ).select("*", F.explode(F.when(F.col("last"), kinds("cwvlt")).otherwise(kinds("cwvl"))).alias("kind"))
     child = lambda ids: F.array(F.struct(F.lit("CHILD").alias("type"), ids.alias("ids")))
     none = F.array().cast("array<struct<type:string,ids:array<string>>>")
-    number = F.col("l_linenumber").cast("string")
-    id_of = lambda kind: F.concat(F.lit(kind), number)
-    block = lambda i, kind, text, row, col, rel: F.struct(
-        i.alias("id"), F.lit(kind).alias("block_type"), text.cast("string").alias("text"),
-        row.cast("int").alias("row_index"), col.cast("int").alias("column_index"), rel.alias("relationships"),
-    )
-    nothing = F.lit(None)
-    per_item = F.array(
-        block(id_of("c"), "CELL", nothing, number, F.lit(1) + F.col("l_partkey") % 3,
-              child(F.array(id_of("w"), id_of("v"), F.lit("gone")))),
-        block(id_of("w"), "WORD", F.col("l_partkey"), nothing, nothing, none),
-        block(id_of("v"), "WORD", id_of("x"), nothing, nothing, none),
-        block(id_of("l"), "LINE", F.concat_ws(" ", F.col("l_partkey").cast("string"), id_of("x")), nothing, nothing, none),
-    )
-    rows = items.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), F.inline(per_item))
-    cell_ids = F.sort_array(F.collect_list(id_of("c")))
-    tables = items.groupBy(F.col("l_orderkey").alias("doc")).agg(cell_ids.alias("_ids")).select(
-        "doc", F.lit(0).alias("ord"), F.inline(F.array(block(F.lit("t"), "TABLE", nothing, nothing, nothing, child(F.col("_ids")))))
+    number, part = n.cast("string"), F.col("l_partkey").cast("string")
+    label = F.concat(F.lit("x"), number)
+    words = F.array(F.concat(F.lit("w"), number), F.concat(F.lit("v"), number), F.lit("gone"))
+    cells = F.sort_array(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("c"), i.cast("string"))))
+    return items.select(
+        F.col("l_orderkey").alias("doc"),
+        F.when(kind == "t", 0).otherwise(n).alias("ord"),
+        F.when(kind == "t", "t").otherwise(F.concat(kind, number)).alias("id"),
+        F.when(kind == "c", "CELL").when(kind.isin("w", "v"), "WORD").when(kind == "l", "LINE").otherwise("TABLE").alias("block_type"),
+        F.when(kind == "w", part).when(kind == "v", label).when(kind == "l", F.concat_ws(" ", part, label)).alias("text"),
+        F.when(kind == "c", n).alias("row_index"),
+        F.when(kind == "c", F.lit(1) + F.col("l_partkey") % 3).cast("int").alias("column_index"),
+        F.when(kind == "c", child(words)).when(kind == "t", child(cells)).otherwise(none).alias("relationships"),
     )
-    return rows.unionByName(tables)
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,46 @@ def test_block_grid_and_text(spark):
     assert D.block_text(df).first()["text"] == "ligne a\nligne b"
 
 
+BLOCKS = ("doc long, ord int, id string, block_type string, text string, row_index int, column_index int, "
+          "relationships array<struct<type:string,ids:array<string>>>")
+
+
+def test_block_grid_in_the_row_and_by_joins(spark):
+    child = lambda *ids: [("CHILD", list(ids))]
+    word = lambda i, text: (i, "WORD", text, None, None, None)
+    plain = [
+        ("t", "TABLE", None, None, None, child("b", "a", "gone", None, "w1")), ("a", "CELL", None, 2, 2, child("w2", "w1", "a")),
+        ("b", "CELL", None, None, None, [("CHILD", ["w1"]), ("OTHER", ["w2"]), ("CHILD", ["w3"])]), ("l", "LINE", "x", None, None, None),
+        word("w1", "un"), word("w2", " deux "), word("w3", None), ("t2", "TABLE", None, None, None, child("a")), ("t3", "TABLE", None, None, None, None),
+    ]
+    repeated = [
+        *plain, word("w1", "autre"), ("a", "CELL", "x", 1, 3, child("w3", "w2")), ("t", "TABLE", None, None, None, child("c", "c")),
+        ("c", "CELL", None, 3, 1, child("w2")), ("c", "WORD", "mot", None, None, None), (None, "TABLE", None, None, None, child("c")),
+        (None, "CELL", None, 1, 1, child("w1")), (None, "WORD", "rien", None, None, None),
+    ]
+    rows = [(doc, n, *b) for doc, listed in ((1, plain), (2, repeated), (None, plain)) for n, b in enumerate(listed)]
+    df = spark.createDataFrame(rows, BLOCKS)
+    whole, joined, mixed = ([tuple(r) for r in D.block_tables(df, in_row=n).orderBy("doc", "table_id", "row", "col").collect()] for n in (1000, 0, 10))
+    assert whole == joined == mixed
+    first = [r[1:] for r in whole if r[0] == 1]
+    assert first == [("t", 1, 1, "un"), ("t", 1, 2, ""), ("t", 2, 1, ""), ("t", 2, 2, "deux  un"),
+                     ("t2", 1, 1, ""), ("t2", 1, 2, ""), ("t2", 2, 1, ""), ("t2", 2, 2, "deux  un")]
+    second = {r[1:4]: r[4] for r in whole if r[0] == 2}
+    assert second["t", 2, 2] == second["t", 1, 3] == "deux   deux  autre un" and second["t", 3, 1] == second[None, 3, 1] == "deux"
+    assert {r[0] for r in whole} == {1, 2}
+
+
+def test_block_grid_moves_line_items_once(spark, sf):
+    """Small documents follow their edges where they lie: no join on ids, no second exchange."""
+    from sentivote.plans import queries
+
+    df = queries.registry()["block_grid"](spark, sf)
+    assert len(df.collect()) > 0
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [l for l in ran.split("\n") if "Exchange hashpartitioning" in l and "ReusedExchange" not in l]
+    assert "isFinalPlan=true" in ran and len(moved) <= 1 and "SortMergeJoin" not in ran
+
+
 def test_pages_and_boxes(spark):
     pages = spark.createDataFrame([(1, 2, "b"), (1, 1, None)], "doc long, page int, text string")
     assert tuple(D.join_pages(pages).first()) == (1, "\n\n--- PAGE SUIVANTE ---\n\nb", 2, 26)
