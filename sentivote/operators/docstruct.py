@@ -14,7 +14,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentivote.functions.text import WS_IN_LINE, let, strip
+from sentivote.functions.text import WS_IN_LINE, begins_between, let, strip
 
 NEXT_PAGE = "\n\n--- PAGE SUIVANTE ---\n\n"
 RULED = "\n\n---\n\n"
@@ -292,6 +292,8 @@ def block_tables(blocks: DataFrame, key: Sequence[str] = ("doc",), in_row: int =
     """
     kind = F.col("block_type")
     children = F.flatten(F.transform(F.filter("relationships", lambda r: r["type"] == "CHILD"), lambda r: r["ids"]))
+    first = F.get("relationships", F.lit(0))
+    children = F.when((F.size("relationships") == 1) & (first["type"] == "CHILD"), first["ids"]).otherwise(children)
     block = F.struct(
         kind.alias("kind"),
         "id",
@@ -310,7 +312,8 @@ def block_tables(blocks: DataFrame, key: Sequence[str] = ("doc",), in_row: int =
 
 
 def _said(words: Column) -> Column:
-    return strip(F.array_join(words, " "))
+    """The words of a cell; its ends are stripped once the cell has a row of its own."""
+    return F.array_join(words, " ")
 
 
 def _cells_in_row(blocks: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -402,12 +405,14 @@ def _grid(tables: DataFrame, key: Sequence[str]) -> DataFrame:
     spans = sized.select(*key, "table_id", "_cols", F.inline(F.transform("_cells", span)))
     each = spans.select("*", F.explode(F.when(F.col("end") >= F.col("start"), F.sequence("start", "end"))).alias("_at"))
     at, own = F.col("_at"), F.col("_at") == F.col("place")
+    value = F.col("cell.value")
+    plain = begins_between(value, "!", "~") & F.substring(value.cast("binary"), -1, 1).between(F.lit(b"!"), F.lit(b"~"))
     return each.select(
         *key,
         "table_id",
         F.when(own, F.col("cell.row")).otherwise((F.floor(at / cols) + 1).cast("int")).alias("row"),
         F.when(own, F.col("cell.col")).otherwise((at % cols + 1).cast("int")).alias("col"),
-        F.when(own, F.col("cell.value")).otherwise("").alias("value"),
+        F.when(~own, "").when(plain, value).otherwise(strip(value)).alias("value"),
     )
 
 
