@@ -7,21 +7,21 @@ its period, a sentence starter is a word that follows sentence ends more often t
 frequency explains, and a number with a period that is followed by the same few words is an
 ordinal.  All three are log-likelihood ratios over one aggregate of word counts.
 
-What is learnt is a small table.  It becomes literal sets, and the cutting of a
-block stays an expression on its own row, without Python.
+What is learnt is a table that grows with the corpus.  A kind with few words becomes a literal set, and
+the cutting of a block stays an expression on its own row, without Python.  Of a kind with more, each
+document gets the words that its own borders ask for by a join.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentivote.functions import text as T
-from sentivote.operators.segment import SentenceSplitter, rule_pieces
+from sentivote.operators.segment import SentenceSplitter, rule_pieces, token_array
 from sentivote.session import checkpointed
 
 #: Marks around a word that don't belong to it.
@@ -33,17 +33,33 @@ NUMERIC = r"^[0-9][0-9.,]*$"
 CERTAIN = 0.99
 #: Least scores of an abbreviation, a sentence starter, a word that goes with a number.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
-#: Learnt words of a kind that become literals; more are refused, not dropped.
+#: Learnt words of a kind that become literals; of more, documents get those they ask for.
 MOST_WORDS = 20_000
+#: The kinds of learnt words, as ``learn`` names them and as ``Boundaries`` does.
+KINDS = {"abbreviation": "abbreviations", "starter": "starters", "ordinal": "ordinals"}
+
+#: Column with the number of a document that was written once.
+ROW = "_row"
 
 
 def bare(token: Column) -> Column:
     return F.btrim(token, F.lit(AROUND))
 
 
+def is_number(core: Column) -> Column:
+    return T.begins_between(core, "0", "9") & core.rlike(NUMERIC)
+
+
 def word_type(core: Column) -> Column:
     """A word in lower case without its last period; all numbers are one."""
-    return F.when(core.rlike(NUMERIC), NUMBER).otherwise(F.lower(F.regexp_replace(core, r"\.$", "")))
+    plain = F.when(core.endswith("."), F.substring(core, F.lit(1), F.length(core) - 1)).otherwise(core)
+    return F.when(is_number(core), NUMBER).otherwise(F.lower(plain))
+
+
+def written_words(text: Column) -> Column:
+    """The words of a text.  Most texts hold no white space but blanks, and need no pattern to be cut."""
+    cut = F.when(text.rlike(T.NOT_PLAIN), F.split(text, f"{T.WS}+")).otherwise(F.split(text, " "))
+    return F.filter(cut, lambda t: t != "")
 
 
 def word_counts(blocks: DataFrame, text_col: str = "text") -> DataFrame:
@@ -51,7 +67,7 @@ def word_counts(blocks: DataFrame, text_col: str = "text") -> DataFrame:
 
     The follower is null behind words without a period, and at the end of a block.
     """
-    tokens = F.filter(F.split(T.strip(F.col(text_col)), f"{T.WS}+"), lambda t: t != "")
+    tokens = written_words(F.col(text_col))
 
     def read(cores: Column) -> Column:
         def word(core: Column, i: Column) -> Column:
@@ -133,45 +149,78 @@ def learn(blocks: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Boundaries:
-    """The words that decide whether a period ends a sentence."""
+    """The words that decide whether a period ends a sentence: literals, or a column with an array of them."""
+
+    abbreviations: Sequence[str] | Column = ()
+    starters: Sequence[str] | Column = ()
+    ordinals: Sequence[str] | Column = ()
 
-    abbreviations: Sequence[str] = ()
-    starters: Sequence[str] = ()
-    ordinals: Sequence[str] = ()
+
+def _few_words(learnt: DataFrame, kind: str, most: int) -> list[str] | None:
+    """The words of a kind; nothing if there are more than ``most``."""
+    words = [r["word"] for r in learnt.where(F.col("kind") == kind).select("word").limit(most + 1).collect()]
+    return sorted(words) if len(words) <= most else None
 
 
 def read_boundaries(learnt: DataFrame, most: int = MOST_WORDS) -> Boundaries:
-    """The table of ``learn`` as literals.  More than ``most`` words of a kind are refused."""
-    found: dict[str, list[str]] = {}
-    for kind in ("abbreviation", "starter", "ordinal"):
-        words = [r["word"] for r in learnt.where(F.col("kind") == kind).select("word").limit(most + 1).collect()]
-        if len(words) > most:
+    """The table of ``learn`` as literals.  More than ``most`` words of a kind are refused; ``with_learned`` takes any number."""
+    found = {kind: _few_words(learnt, kind, most) for kind in KINDS}
+    for kind, words in found.items():
+        if words is None:
             raise ValueError(f"more than {most} words of the kind {kind} were learnt; give a larger number or learn by language")
-        found[kind] = sorted(words)
-    return Boundaries(found["abbreviation"], found["starter"], found["ordinal"])
+    return Boundaries(**{KINDS[kind]: words for kind, words in found.items()})
+
 
+def among(word: Column, words: Sequence[str] | Column) -> Column:
+    if isinstance(words, Column):
+        return F.array_contains(words, word)
+    return word.isin(list(words)) if words else F.lit(False)
 
-def runs_on(last: Column, behind: Column, known: Boundaries) -> Column:
-    """Whether the period of the word ``last`` ends no sentence, given the word behind it."""
-    core, follower = bare(last), bare(behind)
-    first = F.substring(follower, 1, 1)
-    upper, lower = first != F.lower(first), first != F.upper(first)
-    among = lambda word, words: word.isin(list(words)) if words else F.lit(False)
-    starts = upper & among(word_type(follower), known.starters)
-    ordinal = core.rlike(NUMERIC) & (lower | among(word_type(follower), known.ordinals))
-    return core.endswith(".") & ((among(word_type(core), known.abbreviations) & ~starts) | ordinal)
+
+def first_letter(word: Column) -> tuple[Column, Column]:
+    """Whether a word begins with an upper, and with a lower case letter."""
+    first = F.substring(word, 1, 1)
+    return first != F.lower(first), first != F.upper(first)
+
+
+def runs_on(core: Column, follower: Column, known: Boundaries) -> Column:
+    """Whether the period of the bare word ``core`` ends no sentence, given the bare word behind it, which few borders look at."""
+    abbreviation = among(word_type(core), known.abbreviations)
+
+    def decide(follower: Column) -> Column:
+        upper, lower = first_letter(follower)
+        starts = upper & among(word_type(follower), known.starters)
+        ordinal = is_number(core) & (lower | among(word_type(follower), known.ordinals))
+        return (abbreviation & ~starts) | ordinal
+
+    return F.when(abbreviation | is_number(core), T.let(follower, decide)).otherwise(False)
+
+
+def word_at(piece: Column, end: int) -> Column:
+    """The last (``end`` -1) or the first word of a piece.
+
+    What lies between its blanks is that word, unless it is empty or may hold other white space: a pattern of all
+    white space is slow on a long piece.
+    """
+    pattern = rf"(?<!{T.NOT_WS}){T.NOT_WS}+\z" if end < 0 else rf"\A{T.NOT_WS}+"
+    between = F.substring_index(F.rtrim(piece) if end < 0 else piece, " ", end)
+    searched = F.regexp_extract(F.substring_index(T.strip(piece), " ", end), pattern, 0)
+    return T.let(between, lambda word: F.when((word == "") | word.rlike(T.NOT_PLAIN), searched).otherwise(word))
+
+
+def at_border(piece: Column, behind: Column, read: Callable[[Column, Column], Column], other: Column) -> Column:
+    """``read`` of the bare words around the border between two pieces; ``other`` if there is no period before it."""
+    both = lambda core: F.when(core.endswith("."), read(core, bare(word_at(behind, 1)))).otherwise(other)
+    return F.when(behind.isNotNull(), T.let(bare(word_at(piece, -1)), both)).otherwise(other)
 
 
 def splitter(known: Boundaries) -> SentenceSplitter:
     """A splitter for ``segment``: the rule's cuts without those behind abbreviations and ordinals."""
-    last_word = rf"(?<!{T.NOT_WS}){T.NOT_WS}+\z"
-    first_word = rf"\A{T.NOT_WS}+"
 
     def mark(pieces: Column) -> Column:
         def one(piece: Column, i: Column) -> Column:
-            behind = F.get(pieces, i + 1)
-            keeps = runs_on(F.regexp_extract(T.strip(piece), last_word, 0), F.regexp_extract(T.strip(behind), first_word, 0), known)
-            return F.concat(piece, F.when(behind.isNotNull() & keeps, "").otherwise("\n"))
+            end = lambda core, follower: F.when(runs_on(core, follower, known), "").otherwise("\n")
+            return F.concat(piece, at_border(piece, F.get(pieces, i + 1), end, F.lit("\n")))
 
         return F.array_join(F.transform(pieces, one), "")
 
@@ -181,6 +230,56 @@ def splitter(known: Boundaries) -> SentenceSplitter:
     return cut
 
 
-def learned_splitter(blocks: DataFrame, text_col: str = "text") -> SentenceSplitter:
-    """Learn from all blocks of a corpus, for that corpus."""
-    return splitter(read_boundaries(learn(blocks, text_col)))
+def asked_words(text: Column, few: dict[str, Sequence[str] | None]) -> Column:
+    """What the borders of a document ask of the kinds that are no literals: each word behind the first letter of its kind, once."""
+    none = F.array().cast("array<string>")
+
+    def words_of(core: Column, follower: Column) -> Column:
+        upper, lower = first_letter(follower)
+        abbreviation = F.lit(True) if few["abbreviation"] is None else among(word_type(core), few["abbreviation"])
+        asked = {
+            "abbreviation": F.when(~is_number(core), word_type(core)),
+            "starter": F.when(abbreviation & upper, word_type(follower)),
+            "ordinal": F.when(is_number(core) & ~lower, word_type(follower)),
+        }
+        return F.array(*[F.concat(F.lit(kind[0]), asked[kind]) for kind in KINDS if few[kind] is None])
+
+    ask = lambda core, follower: T.let(follower, lambda f: words_of(core, f))
+
+    def of_pieces(pieces: Column) -> Column:
+        return F.flatten(F.transform(pieces, lambda piece, i: at_border(piece, F.get(pieces, i + 1), ask, none)))
+
+    blocks = F.filter(token_array(text), lambda t: t["kind"] == "text")
+    words = F.flatten(F.transform(blocks, lambda t: T.let(rule_pieces(t["text"]), of_pieces)))
+    return F.array_distinct(F.array_compact(words))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Documents written once, each with a number of its own in ``_row``."""
+    return checkpointed(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def with_learned(docs: DataFrame, learnt: DataFrame, most: int = MOST_WORDS) -> tuple[DataFrame, SentenceSplitter]:
+    """Documents and a splitter that cuts them by all words of ``learn``, however many there are.
+
+    Kinds of up to ``most`` words are literals.  Of the others a document asks for the words at its own
+    borders, and ``_known`` brings back those that were learnt.
+    """
+    learnt = checkpointed(learnt)
+    few = {kind: _few_words(learnt, kind, most) for kind in KINDS}
+    literals = {KINDS[kind]: words for kind, words in few.items() if words is not None}
+    many = [kind for kind in KINDS if few[kind] is None]
+    if not many:
+        return docs.drop(ROW), splitter(Boundaries(**literals))
+    kept = docs if ROW in docs.columns else numbered(docs)
+    asked = kept.select(ROW, F.explode(asked_words(F.col("text"), few)).alias("asked"))
+    met = asked.join(learnt.where(F.col("kind").isin(many)).select(F.concat(F.substring("kind", 1, 1), "word").alias("asked")), "asked")
+    words = lambda kind: F.collect_list(F.when(F.col("asked").startswith(kind[0]), F.substring("asked", 2, 2**31 - 1)))
+    answers = met.groupBy(ROW).agg(F.struct(*[words(kind).alias(KINDS[kind]) for kind in many]).alias("_known"))
+    given = {KINDS[kind]: F.coalesce(F.col(f"_known.{KINDS[kind]}"), F.array().cast("array<string>")) for kind in many}
+    return kept.join(answers, ROW, "left").drop(ROW), splitter(Boundaries(**literals, **given))
+
+
+def learned_splitter(docs: DataFrame, blocks: DataFrame, text_col: str = "text") -> tuple[DataFrame, SentenceSplitter]:
+    """Learn from all blocks of a corpus, for that corpus: ``with_learned`` of its documents."""
+    return with_learned(docs, learn(blocks, text_col))

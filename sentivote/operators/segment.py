@@ -43,7 +43,7 @@ SentenceSplitter = Callable[[Column], Column]
 
 def document_keys(docs: DataFrame) -> list[str]:
     """The columns that go with each row found in a document."""
-    return [c for c in docs.columns if c not in ("text", "_pieces")]
+    return [c for c in docs.columns if c not in ("text", "_pieces", "_known")]
 
 
 # --- tokens -------------------------------------------------------------------

@@ -59,8 +59,8 @@ def text_queries() -> dict[str, Query]:
         return learnt.select("kind", "word", "n", F.round("score", 4).alias("score"))
 
     def learned_phrases(spark: SparkSession, sf: str) -> DataFrame:
-        docs = abbreviated(spark, sf)
-        return segment.phrases_flat(docs, boundaries.learned_splitter(blocks(docs)))
+        docs = boundaries.numbered(abbreviated(spark, sf))
+        return segment.phrases_flat(*boundaries.learned_splitter(docs, blocks(docs)))
 
     def clean_blocks(spark: SparkSession, sf: str) -> DataFrame:
         return blocked.clean_blocks(blocked.split_documents(fx.md_docs(spark, sf), 5))
